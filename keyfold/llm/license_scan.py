@@ -6,10 +6,10 @@ line at or above ``threshold``. Inverse document frequencies come from the
 templates; a word that no template has gets the largest.
 
 Most lines cannot reach the threshold, and which ones is known beforehand: the
-words of a template, from the lightest up, are left out while all of them
-together would keep the cosine below the threshold. A line must hold one of the
-remaining words; others are dropped before any vector is made, and nothing that
-could pass is lost.
+words of a template, common and short ones first, are left out while all of
+them together would keep the cosine below the threshold. A line must hold one
+of the remaining words; texts and lines without any are dropped before any
+vector is made, and nothing that could pass is lost.
 
 A file named as a licence file gives its licence to its directory. Each
 directory takes the licence of its nearest ancestor that has one, itself first:
@@ -50,6 +50,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
+#: Words left out first when lines are sifted; the choice affects speed only.
+COMMON = {"any", "person", "software", "source", "code", "free", "form", "forms", "this", "with", "without", "under", "use", "work", "version", "terms", "june", "january"}
 WORD = "[\\p{L}\\p{N}]+"
 THRESHOLD = 0.7
 
@@ -70,7 +72,7 @@ class Matcher:
             v = {w: x / norm for w, x in v.items()}
             self.vectors.append(v)
             spare = 0.0
-            for w, x in sorted(v.items(), key=lambda wx: (wx[1], wx[0])):
+            for w, x in sorted(v.items(), key=lambda wx: (wx[0] not in COMMON, len(wx[0]), wx[0])):
                 spare += x * x
                 if spare >= threshold**2 - 1e-9:
                     must.add(w)
@@ -86,7 +88,8 @@ class Matcher:
 
     def best_line(self, text: Column) -> Column:
         """struct(score, licence) of the best line, null if no line can reach the threshold."""
-        possible = F.filter(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda line: line.rlike("(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(self.must) + ")(?![\\p{L}\\p{N}])"))
+        must = "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(self.must) + ")(?![\\p{L}\\p{N}])"
+        possible = F.filter(F.split(text, "\r?\n"), lambda line: line.rlike(must))
         idf = F.create_map(*[F.lit(x) for wx in self.idf.items() for x in wx])
         weight = lambda w: F.coalesce(F.element_at(idf, w), F.lit(self.most))
 
@@ -112,7 +115,9 @@ class Matcher:
             return F.array_min(F.array(*each))
 
         best = F.array_min(F.transform(bags, score))
-        return F.when(-best["cost"] >= self.threshold, F.struct((-best["cost"]).alias("score"), best["licence"].alias("licence")))
+        # Through an array of one, so that the best line is worked out once.
+        passed = F.transform(F.array(best), lambda b: F.when(-b["cost"] >= self.threshold, F.struct((-b["cost"]).alias("score"), b["licence"].alias("licence"))))
+        return F.when(text.rlike(must), F.get(passed, F.lit(0)))
 
 
 def scan(files: DataFrame, path: str = "path", matcher: Matcher | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -14,11 +15,17 @@ P = pytest.importorskip("public_tokenizers")
 TEXTS = ["Hello world's BIG day", None, "", " \t\n ", "été ÀÉ naïve", "ΑΣ ΑΣΑ İstanbul", "<|endoftext|>after<|startoftext|> <|x", "aaaaaaaaaaaaaaa hahahahaha !!!!!!!!", "漢字 かな 한국 😀👍🏽", "１２ ½ ²³ 10 000", "don't we'll I'M you're", "x" * 30_000, "word " * 5_000]
 
 
-def library(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = library.__dict__.setdefault("t", Tokenizer.from_file(P.path("word_bpe_49k.json")))
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     t.no_truncation(), t.no_padding()
+    return t
+
+
+def library(text):
+    t = tokenizer()
     ids = t.encode(text or "", add_special_tokens=False).ids
     return ids, t.decode(ids, skip_special_tokens=False)
 
