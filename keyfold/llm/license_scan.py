@@ -51,7 +51,7 @@ TEMPLATES = [
 ]
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 #: Words left out first when lines are sifted; the choice affects speed only.
-COMMON = {"any", "person", "software", "source", "code", "free", "form", "forms", "this", "with", "without", "under", "use", "work", "version", "terms", "june", "january"}
+COMMON = {"the", "of", "and", "to", "in", "is", "by", "for", "with", "this", "or", "are", "any", "a"}
 WORD = "[\\p{L}\\p{N}]+"
 THRESHOLD = 0.7
 
