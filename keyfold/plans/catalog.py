@@ -1,2 +1,268 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries over the test tables, each with SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from keyfold.functions.scalar import Compressor, java_hash, key_partition
+from keyfold.operators import commit, fold, records, timers
+from keyfold.sources import tables
+from keyfold.sources.log import compacted, events_log, orders_log, table
+from keyfold.streaming import engine
+
+QUERIES, ORACLES = {}, {}
+EVENTS = "(SELECT 'events' AS topic, CAST(user_id % 4 AS INTEGER) AS partition, event_id AS \"offset\", ts AS \"timestamp\", CAST(user_id AS VARCHAR) AS key, event_type, value, props FROM events) e"
+BY = 'topic, partition, key'
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.replace("{events}", EVENTS)
+        return f
+
+    return add
+
+
+@query(f'SELECT {BY}, max("offset") AS "offset", CAST(count(*) % 3 AS INTEGER) AS n FROM {{events}} GROUP BY ALL HAVING count(*) % 3 <> 0')
+def wait_for_n_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live states of a fold that gives up each state at its third record."""
+    return fold.wait_for_monoid(3).run(events_log(spark, sf_dir))
+
+
+@query(f'SELECT {BY}, max("offset") AS "offset", count(DISTINCT "offset") AS n FROM {{events}} GROUP BY ALL')
+def snapshot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counting fold that skips offsets it has seen, over a log delivered twice."""
+    log = events_log(spark, sf_dir)
+    count = fold.FoldOption(lambda s, a: F.struct(a["offset"].alias("offset"), (F.coalesce(s["n"], F.lit(0)) + 1).cast("long").alias("n"))).newer("offset")
+    out = fold.run(log.unionByName(log), count, F.lit(None).cast("struct<offset:bigint,n:bigint>"), ("offset",))
+    return out.select(*fold.KEY, "state.offset", "state.n")
+
+
+@query(f"SELECT {BY}, \"offset\", value FROM (SELECT *, row_number() OVER (PARTITION BY topic, partition, key ORDER BY \"offset\" DESC) AS r FROM {{events}}) WHERE r = 1 AND event_type <> 'error'")
+def compacted_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value of each key; an "error" record deletes it."""
+    return compacted(events_log(spark, sf_dir, "value", "event_type"), "value", F.col("event_type") == "error")
+
+
+@query('WITH p AS (SELECT *, row_number() OVER (PARTITION BY topic, partition, key ORDER BY "offset") AS k, count(*) OVER (PARTITION BY topic, partition, key) AS n FROM {events}) SELECT topic, partition, coalesce(min(CASE WHEN n % 3 <> 0 AND k = n - n % 3 + 1 THEN "offset" END), max("offset") + 1) AS commit_offset FROM p GROUP BY topic, partition')
+def committable_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset to commit while keys wait for three records each."""
+    log = events_log(spark, sf_dir)
+    return commit.committable(commit.wait_holds(log, 3), records.next_offsets(log))
+
+
+@query('WITH d AS (SELECT topic, partition, "offset", date_trunc(\'day\', "timestamp") AS batch_id FROM {events}), b AS (SELECT topic, partition, batch_id, max("offset") + 1 AS commit_offset FROM d GROUP BY ALL) SELECT topic, partition, batch_id, commit_offset FROM (SELECT *, max(commit_offset) OVER (PARTITION BY topic, partition ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b) WHERE top IS NULL OR commit_offset > top')
+def commit_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One commit a day and partition, never going back."""
+    days = events_log(spark, sf_dir).groupBy("topic", "partition", F.date_trunc("day", "timestamp").alias("batch_id")).agg((F.max("offset") + 1).alias("commit_offset"))
+    return commit.advances(days)
+
+
+@query("SELECT topic, partition, coalesce(min(CASE WHEN last = 'error' THEN first END), max(n)) AS commit_offset FROM (SELECT topic, partition, key, arg_max(event_type, \"offset\") AS last, min(\"offset\") AS first, max(\"offset\") + 1 AS n FROM {events} GROUP BY topic, partition, key) GROUP BY topic, partition")
+def commit_on_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit at revocation, where keys that ended in an error could not be flushed and hold their first offset."""
+    log = events_log(spark, sf_dir, "event_type")
+    keys = log.groupBy(*fold.KEY).agg(F.min("offset").alias("hold"), (F.max_by("event_type", "offset") != "error").alias("flushed"))
+    return commit.commit_on_revoke(keys, records.next_offsets(log))
+
+
+@query(f'SELECT {BY}, "offset", "timestamp", nxt AS next_timestamp FROM (SELECT *, lead("timestamp") OVER (PARTITION BY topic, partition, key ORDER BY "offset") AS nxt FROM {{events}}) WHERE nxt > "timestamp" + INTERVAL 6 HOUR')
+def idle_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys unloaded after six idle hours."""
+    return timers.idle_unloads(events_log(spark, sf_dir), "6 hours")
+
+
+@query(f'SELECT {BY}, "offset", nxt - "offset" AS behind FROM (SELECT *, lead("offset") OVER (PARTITION BY topic, partition, key ORDER BY "offset") AS nxt FROM {{events}}) WHERE nxt - "offset" > 200')
+def offset_distance_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys unloaded once 200 offsets have passed without them."""
+    return timers.distance_unloads(events_log(spark, sf_dir), 200)
+
+
+@query(f"SELECT {BY}, date_trunc('hour', \"timestamp\") AS tick, max(\"offset\") AS \"offset\", arg_max(value, \"offset\") AS value, max(\"offset\") + 1 AS hold FROM {{events}} GROUP BY ALL")
+def periodic_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hourly flushes write, and the offset that each key holds after them."""
+    return timers.periodic_persists(events_log(spark, sf_dir, "value"), "hour", "value")
+
+
+@query(f'SELECT {BY}, "offset", "offset" - "offset" % 100000 AS window_start FROM {{events}}')
+def timer_window_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_log(spark, sf_dir).select(*fold.KEY, "offset", timers.window_floor(F.col("offset"), 100_000).alias("window_start"))
+
+
+@query(f'SELECT {BY}, arg_max(value, "offset") AS value FROM {{events}} GROUP BY ALL')
+def last_value_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.Monoid({"__v": F.max_by("value", "offset")}, {"value": F.col("__v")}).run(events_log(spark, sf_dir, "value"))
+
+
+@query(f"SELECT {BY}, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM {{events}} GROUP BY ALL")
+def sum_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.Monoid({"__c": F.sum(F.round(F.col("value") * 100).cast("long"))}, {"cents": F.col("__c")}).run(events_log(spark, sf_dir, "value"))
+
+
+@query(f"SELECT {BY}, string_agg(event_type, ',' ORDER BY \"offset\") AS state FROM {{events}} GROUP BY ALL")
+def concat_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered fold whose state is the list of all inputs as text."""
+    step = fold.Fold(lambda s, a: F.when(s == "", a["event_type"]).otherwise(F.concat(s, F.lit(","), a["event_type"])))
+    return fold.run(events_log(spark, sf_dir, "event_type"), step, F.lit(""), ("event_type",))
+
+
+@query("SELECT topic, partition, count(*) FILTER (event_type = 'purchase') AS folded, max(\"offset\") + 1 AS next_offset FROM {events} GROUP BY ALL")
+def filter_advances_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only purchases are folded; the offset advances past all records."""
+    kept, nexts = records.split(events_log(spark, sf_dir, "event_type"), F.col("event_type") == "purchase")
+    n = kept.groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("folded"))
+    return nexts.join(n, ["topic", "partition"], "left").select("topic", "partition", F.coalesce("folded", F.lit(0)).cast("long").alias("folded"), "next_offset")
+
+
+@query("SELECT topic, partition, key || '-' || event_type AS key, count(*) AS n FROM {events} GROUP BY ALL")
+def remap_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold by derived key; the partition stays that of the input."""
+    log = records.remap_key(events_log(spark, sf_dir, "event_type"), lambda k: F.concat(k, F.lit("-"), F.col("event_type")))
+    return fold.Monoid({"__n": F.count(F.lit(1))}, {"n": F.col("__n")}).run(log)
+
+
+@query("SELECT topic, partition, count(*) FILTER (event_type <> 'error') AS folded, max(\"offset\") + 1 AS next_offset FROM {events} GROUP BY ALL")
+def keyless_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors lose their key: they are not folded, but still advance the offset."""
+    log = events_log(spark, sf_dir, "event_type").withColumn("key", F.when(F.col("event_type") != "error", F.col("key")))
+    n = records.keyed(log).groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("folded"))
+    return records.next_offsets(log).join(n, ["topic", "partition"], "left").select("topic", "partition", F.coalesce("folded", F.lit(0)).cast("long").alias("folded"), "next_offset")
+
+
+@query("SELECT topic, partition, key, CAST(count(*) AS DOUBLE) AS state FROM {events} GROUP BY ALL UNION ALL SELECT 'orders', CAST(o_custkey % 4 AS INTEGER), CAST(o_custkey AS VARCHAR), max(o_totalprice) FROM orders GROUP BY ALL")
+def topic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two topics in one log, each with its own fold."""
+    both = events_log(spark, sf_dir).withColumn("price", F.lit(None).cast("double")).unionByName(orders_log(spark, sf_dir, "o_totalprice").withColumnRenamed("o_totalprice", "price"))
+    return records.route(both, {"events": lambda d: d.groupBy(*fold.KEY).agg(F.count(F.lit(1)).cast("double").alias("state")), "orders": lambda d: d.groupBy(*fold.KEY).agg(F.max("price").alias("state"))})
+
+
+@query("SELECT DISTINCT partition, CAST(partition % 3 AS INTEGER) AS state_partition, key FROM {events}")
+def partition_mapper_modulo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_log(spark, sf_dir).select("partition", records.modulo_partition(F.col("partition"), 3).alias("state_partition"), "key").distinct()
+
+
+@query()
+def partition_mapper_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States that their source partition owns, by the hash with which clients place keys."""
+    keys = events_log(spark, sf_dir).select("partition", "key").distinct()
+    return records.owned(keys.withColumn("place", key_partition(F.col("key"), 4)), F.col("partition"), F.col("place"))
+
+
+@query(f'SELECT {BY}, CAST(min("timestamp") AS DATE) AS created_date FROM {{events}} GROUP BY ALL')
+def keys_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_log(spark, sf_dir).groupBy(*fold.KEY).agg(F.to_date(F.min("timestamp")).alias("created_date"))
+
+
+@query("WITH c AS (SELECT DISTINCT key, [ascii(x) FOR x IN string_split(key, '')] AS u FROM {events} WHERE key IS NOT NULL) SELECT key, CAST(abs((list_reduce([CAST(0 AS BIGINT)] || [CAST(x AS BIGINT) FOR x IN u], lambda h, x: (h * 31 + x) % 4294967296) + 2147483648) % 4294967296 - 2147483648) % 10000 AS BIGINT) AS segment FROM c")
+def key_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment of each key, by the JVM's string hash."""
+    return events_log(spark, sf_dir).select("key").distinct().select("key", records.key_segment(java_hash(F.col("key"))).alias("segment"))
+
+
+@query(f'SELECT {BY}, CAST(count(*) AS BIGINT) AS live, CAST(count(*) AS BIGINT) AS replayed FROM {{events}} GROUP BY ALL')
+def journal_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replaying the journal gives the state of the live fold."""
+    log = events_log(spark, sf_dir)
+    count = fold.Monoid({"__n": F.count(F.lit(1))}, {"n": F.col("__n")})
+    journal = log.unionByName(log).groupBy(*fold.KEY, "offset").agg(F.max("timestamp").alias("timestamp"))  # written twice, kept once per offset
+    replayed = tables.restore("events", journal, None, count.run)
+    return count.run(log).withColumnRenamed("n", "live").join(replayed.withColumnRenamed("n", "replayed"), list(fold.KEY))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS key, max(turn) AS seq, count(DISTINCT turn) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL")
+def journal_seqnr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log whose records come twice, folded by sequence number."""
+    log = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("seq_from"))
+    count = fold.newer_sequence(fold.FoldOption(lambda s, a: F.struct(a["seq_from"].alias("seq"), (F.coalesce(s["n"], F.lit(0)) + 1).cast("long").alias("n"))))
+    out = fold.run(log.unionByName(log), count, F.lit(None).cast("struct<seq:bigint,n:bigint>"), ("seq_from",), ("key",), ("seq_from",))
+    return out.select("key", "state.seq", "state.n")
+
+
+@query("SELECT key, \"offset\", CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM {events}")
+def journal_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of each record's JSON payload."""
+    return events_log(spark, sf_dir, "props").select("key", "offset", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query(f"SELECT {BY}, \"offset\", event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY topic, partition, key ORDER BY \"offset\") AS was FROM {{events}}) WHERE event_type IS DISTINCT FROM was")
+def snapshot_write_elision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots that need writing: those that differ from the one before."""
+    was = F.lag("event_type").over(Window.partitionBy(*fold.KEY).orderBy("offset"))
+    return events_log(spark, sf_dir, "event_type").withColumn("was", was).where(~F.col("event_type").eqNullSafe(F.col("was"))).select(*fold.KEY, "offset", "event_type")
+
+
+@query('WITH m AS (SELECT max("timestamp") AS now FROM {events}) SELECT key, "offset" FROM {events}, m WHERE "timestamp" + INTERVAL 86400 SECOND > now')
+def ttl_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a day's time to live leaves, seen at the last event."""
+    log = events_log(spark, sf_dir)
+    now = log.agg(F.max("timestamp").alias("__now"))  # one row
+    return timers.ttl(log.join(F.broadcast(now)), "timestamp", 86_400, F.col("__now")).select("key", "offset")
+
+
+def _two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changelog in which the old owner's last write of each key arrives after the new owner's."""
+    log = events_log(spark, sf_dir, "value").groupBy(*fold.KEY).agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
+    old = log.select(*fold.KEY, F.col("first").alias("offset"), F.lit(1).alias("generation"), F.lit(2).alias("arrival"))
+    return old.unionByName(log.select(*fold.KEY, F.col("last").alias("offset"), F.lit(2).alias("generation"), F.lit(1).alias("arrival")))
+
+
+@query(f'SELECT {BY}, min("offset") AS "offset" FROM {{events}} GROUP BY ALL')
+def stale_writer_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a fence the stale write stays."""
+    return tables.last_write_wins(_two_writers(spark, sf_dir), fold.KEY).select(*fold.KEY, "offset")
+
+
+@query(f'SELECT {BY}, max("offset") AS "offset" FROM {{events}} GROUP BY ALL')
+def stale_writer_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With it the new owner's does."""
+    return tables.fenced(_two_writers(spark, sf_dir), fold.KEY).select(*fold.KEY, "offset")
+
+
+@query("SELECT topic, quantile_cont(value, 0.9) AS q90, quantile_cont(value, 0.99) AS q99, max(value) AS q100 FROM {events} GROUP BY topic")
+def apply_duration_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of a measured value."""
+    return events_log(spark, sf_dir, "value").groupBy("topic").agg(F.percentile("value", 0.9).alias("q90"), F.percentile("value", 0.99).alias("q99"), F.max("value").alias("q100"))
+
+
+@query("SELECT topic, count(DISTINCT key) AS live_keys FROM {events} GROUP BY topic")
+def live_key_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_log(spark, sf_dir).groupBy(*fold.KEY).agg(F.lit(1).alias("x")).groupBy("topic").agg(F.count(F.lit(1)).alias("live_keys"))
+
+
+@query(f"WITH s AS (SELECT {BY}, \"offset\" AS o, value FROM (SELECT *, row_number() OVER (PARTITION BY topic, partition, key ORDER BY \"offset\" DESC) AS r FROM {{events}}) WHERE r = 1 AND event_type <> 'error') SELECT k.topic, k.partition, k.key, s.o AS \"offset\", s.value FROM (SELECT DISTINCT {BY} FROM {{events}}) k LEFT JOIN s USING (topic, partition, key)")
+def eager_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys with their stored snapshots, in one join."""
+    log = events_log(spark, sf_dir, "value", "event_type")
+    return tables.recover(log, compacted(log, "value", F.col("event_type") == "error"), fold.KEY)
+
+
+@query('WITH t AS (SELECT topic, partition, "offset", CAST(floor((row_number() OVER (PARTITION BY topic, partition ORDER BY "offset") - 1) / 256) AS BIGINT) AS txn FROM {events}) SELECT topic, partition, txn, count(*) AS writes, max("offset") + 1 AS next_offset FROM t GROUP BY ALL')
+def group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes drained into transactions of at most 256."""
+    return commit.group_commit(events_log(spark, sf_dir))
+
+
+@query(f"SELECT {BY}, max(\"offset\") AS \"offset\", arg_max(value, \"offset\") AS value FROM {{events}} GROUP BY ALL")
+def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of the whole log put over those of its first events."""
+    log = events_log(spark, sf_dir, "value")
+    first = log.groupBy(*fold.KEY).agg(F.min("offset").alias("offset"), F.min_by("value", "offset").alias("value"))
+    return tables.upserted(first, log.select(*fold.KEY, "offset", "value"), fold.KEY, F.col("offset"))
+
+
+@query("SELECT key, \"offset\", length(props) AS raw_bytes, true AS same FROM {events}")
+def compression_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads framed and compressed from 8 bytes on, and read back."""
+    c, raw = Compressor(threshold=8), F.concat(F.lit("#"), F.col("props")).cast("binary")
+    packed = events_log(spark, sf_dir, "props").select("key", "offset", F.length("props").cast("long").alias("raw_bytes"), raw.alias("raw"), c.column(c.pack, raw).alias("packed"))
+    return packed.select("key", "offset", "raw_bytes", (c.column(c.unpack, F.col("packed")) == F.col("raw")).alias("same"))
+
+
+@query(f'SELECT {BY}, count(*) AS steps, count(*) - CAST(floor(count(*) / 3) AS BIGINT) AS kept FROM {{events}} GROUP BY ALL')
+def stateful_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming processor's steps over the log as one batch: how many there were and how many left a state."""
+    out = engine.fold_in_batch(events_log(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")), engine.wait_for_step(3), ())
+    return out.groupBy(*fold.KEY).agg(F.count(F.lit(1)).alias("steps"), F.count("after").alias("kept"))
