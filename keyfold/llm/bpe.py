@@ -8,7 +8,8 @@ to rebuild the whole encoding: what stands before that token is the encoding
 of the shorter prefix. So the distinct words of a block of texts form a trie,
 a depth-first walk gives each trie node its last token, and a prefix that many
 words share is encoded once. The trie is held as its sorted word list with the
-lengths of shared prefixes; the walk keeps the states of the current path.
+lengths of shared prefixes; the walk keeps the states of the current path, and
+those of nodes met in earlier blocks as long as they fit in memory.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text;
 white space alone has no ids; the special tokens' own strings in a text become
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.common import text_blocks
 
-#: Words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers in each of two generations, and trie nodes whose states it remembers.
+REMEMBERED = 200_000
 #: A rank after all merges.
 NEVER = 1 << 60
 #: White space as Unicode defines it.
@@ -104,9 +105,13 @@ class WordBpe:
             (self.final if ends else self.inner)[bytes(byte_of[c] for c in body)] = i
         self.inner = {k: i for k, i in self.inner.items() if self._stable(i)}
         self.final = {k: i for k, i in self.final.items() if self._stable(i)}
-        self.longest_inner = max(map(len, self.inner))
-        self.longest_final = max(map(len, self.final))
+        #: Length of the longest token that ends in each four bytes.
+        self.inner_reach, self.final_reach = ({}, {})
+        for tokens, reach in ((self.inner, self.inner_reach), (self.final, self.final_reach)):
+            for t in tokens:
+                reach[t[-4:]] = max(len(t), reach.get(t[-4:], 3))
         self.pairs: dict[int, bool] = {}
+        self.trie: dict[bytes, int] = {}  # states of nodes met before, by prefix
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -152,8 +157,12 @@ class WordBpe:
         """Encode distinct words into ``known`` by one walk over their trie."""
         if len(self.pairs) > 4 * REMEMBERED:
             self.pairs.clear()
-        inner, final, pairs = self.inner, self.final, self.pairs
-        states: list[tuple[int, int]] = [(-1, 0)]  # (last token, its length) along the current path
+        if len(self.trie) > REMEMBERED:
+            self.trie.clear()
+        pairs, trie = self.pairs, self.trie
+        inner, final, known_pair, known_state = self.inner.get, self.final.get, pairs.get, trie.get
+        inner_reach, final_reach = self.inner_reach.get, self.final_reach.get
+        states = [0]  # last token, then eight bits for its length, of each node of the current path
         before = b""
         for word in sorted(w.encode() for w in words):
             n, shared = len(word), 0
@@ -161,27 +170,39 @@ class WordBpe:
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for depth in range(shared + 1, n + 1):
-                # The longest token that ends here and may follow what stands before it is the last one; no other may.
-                tokens, longest = (inner, self.longest_inner) if depth < n else (final, self.longest_final)
-                for start in range(max(0, depth - longest), depth):
-                    token = tokens.get(word[start:depth])
-                    if token is not None:
-                        if not start:
-                            break
-                        key = states[start][0] << 20 | token
-                        fits = pairs.get(key)
-                        if fits is None:
-                            fits = pairs[key] = self._apart(states[start][0], token)
-                        if fits:
-                            break
-                if depth < n:
-                    states.append((token, depth - start))
+            for depth in range(shared + 1, n):
+                prefix = word[:depth]
+                state = known_state(prefix)
+                if state is None:
+                    # The longest token that ends here and may follow what stands before it is the last one; no other may.
+                    for start in range(max(0, depth - inner_reach(prefix[-4:], 3)), depth):
+                        token = inner(prefix[start:])
+                        if token is not None:
+                            if not start:
+                                break
+                            key = states[start] >> 8 << 20 | token
+                            fits = known_pair(key)
+                            if fits is None:
+                                fits = pairs[key] = self._apart(states[start] >> 8, token)
+                            if fits:
+                                break
+                    state = trie[prefix] = token << 8 | depth - start
+                states.append(state)
+            for start in range(max(0, n - final_reach(word[-4:], 3)), n):
+                token = final(word[start:])
+                if token is not None:
+                    if not start:
+                        break
+                    key = states[start] >> 8 << 20 | token
+                    fits = known_pair(key)
+                    if fits is None:
+                        fits = pairs[key] = self._apart(states[start] >> 8, token)
+                    if fits:
+                        break
             ids, at = [token], start
             while at:
-                token, size = states[at]
-                ids.append(token)
-                at -= size
+                ids.append(states[at] >> 8)
+                at -= states[at] & 255
             self.known[word.decode()] = struct.pack(f"<{len(ids)}I", *reversed(ids))
             before = word
 

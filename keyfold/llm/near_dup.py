@@ -49,6 +49,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 6
 #: Members of a pivot that one streamed group holds.
 SALT_ROWS = 4096
+#: Characters that a Python worker handles at once, unless one text is longer.
+BLOCK = 500_000
 
 _U = np.uint64
 _BYTE_HASH = mix64(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
@@ -63,7 +65,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     """The first n powers of ``base`` modulo 2^64."""
     if name not in _powers or len(_powers[name]) < n:
-        out = np.full(max(n, 1 << 20), base, _U)
+        out = np.full(max(n, 1 << 19), base, _U)
         out[0] = 1
         _powers[name] = np.multiply.accumulate(out)
     return _powers[name][:n]
@@ -159,7 +161,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, end in text_blocks(texts):
+            for start, end in text_blocks(texts, BLOCK):
                 part = texts[start:end]
                 doc, h, count = multisets(part)
                 keys = fingerprints(part, doc, h, count)
@@ -189,7 +191,7 @@ def _compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             pivot, kind, ids, texts = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             out: list[tuple[int, int, float]] = []
-            for start, end in text_blocks(texts):
+            for start, end in text_blocks(texts, BLOCK):
                 doc, h, count = multisets(texts[start:end])
                 at = np.searchsorted(doc, np.arange(end - start + 1))
                 for i in range(start, end):

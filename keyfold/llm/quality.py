@@ -183,7 +183,7 @@ def _scorer(shared):
         tables = shared.value.tables()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            out = [shared.value.score(texts[a:b], tables) for a, b in text_blocks(texts, 1_000_000)]
+            out = [shared.value.score(texts[a:b], tables) for a, b in text_blocks(texts, 500_000)]
             yield pa.record_batch([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -204,7 +204,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
         tables = shared.value.tables()
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            out = [shared.value.score(texts[a:b], tables) for a, b in text_blocks(texts, 1_000_000)]
+            out = [shared.value.score(texts[a:b], tables) for a, b in text_blocks(texts, 500_000)]
             yield batch.filter(pa.array((np.concatenate(out) if out else np.zeros(0)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
