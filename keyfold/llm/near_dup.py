@@ -17,11 +17,13 @@ probability equal to the weighted Jaccard index, without bias.
 Search. Equal multisets are one class first (heavy ones by broadcast). Class
 representatives meet in the buckets of ``BANDS`` bands of ``ROWS`` components.
 Within a bucket no all-pairs join takes place: members are compared with a
-pivot. Members that fail go on to the next round, with four times as many
-pivots, and so do members that pass but, by the triangle inequality of the
-Jaccard distance, may still be near one that failed. So no link within a bucket
-is lost, a bucket of near copies of any size takes one comparison a member, and
-the rounds end when no bucket has two open members.
+pivot, the member that meets most others over all its buckets. Members that
+fail go on to the next round, with twice as many pivots, and so do members that
+pass but, by the triangle inequality of the Jaccard distance, may still be near
+one that failed. Members that links from any bucket connect already are not
+compared with each other. So no connection within a bucket is lost, a bucket
+of near copies of any size takes one comparison a member, and the rounds end
+when no bucket has open members of two components.
 
 Classes are the connected components over verified links, found by spreading
 the smallest id along links and then jumping pointers, a table per round.
@@ -209,40 +211,38 @@ def _compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Verified links (pivot, doc_id) between representatives, enough to connect all that any bucket links."""
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "pivot long, doc_id long, sim double")
-    open_ = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    links = docs.sparkSession.createDataFrame([], "pivot long, doc_id long, sim double")
+    open_ = reps.select("doc_id", F.explode("bands").alias("bucket"), F.col("doc_id").alias("part"))
     pivots = 1
     while True:
-        order = F.struct(F.xxhash64("doc_id").alias("o"), "doc_id")
+        # A bucket whose open members are all connected already has nothing left to find.
+        sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket", "n")
+        open_ = cut(open_.join(sizes, "bucket"))
+        if open_.isEmpty():
+            return links
+        # The member that meets most others over all its buckets is likeliest to be near them all.
+        reach = open_.groupBy("doc_id").agg(F.sum("n").alias("met"))
+        ranked = cut(open_.join(reach, "doc_id").select("bucket", "doc_id", "part", F.struct((-F.col("met")).alias("a"), "doc_id").alias("order")))
         if pivots == 1:
-            heads = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("head")).where("n > 1").select("bucket", F.col("head.doc_id").alias("pivot"))
+            heads = ranked.groupBy("bucket").agg(F.min(F.struct("order", "part")).alias("head")).select("bucket", F.col("head.order.doc_id").alias("pivot"), F.col("head.part").alias("pivot_part"))
         else:
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(order))
-            heads = open_.withColumn("rank", rank).where(F.col("rank") <= pivots).select("bucket", F.col("doc_id").alias("pivot"))
-        met = cut(open_.join(heads, "bucket").where("doc_id <> pivot"))
-        pairs = met.select("pivot", "doc_id").distinct()
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return links
-        seen = cut(_compare(pairs, docs))
-        links = links.unionByName(seen.where(F.col("sim") >= threshold))
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order"))
+            heads = ranked.withColumn("rank", rank).where(F.col("rank") <= pivots).select("bucket", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"))
+        heads = cut(heads)
+        met = cut(ranked.join(heads, "bucket").where("part <> pivot_part").select("bucket", "pivot", "doc_id"))
+        seen = cut(_compare(cut(met.select("pivot", "doc_id").distinct()), docs))
+        links = cut(links.unionByName(seen.where(F.col("sim") >= threshold)))
         # Who is still open: members near no pivot of their bucket, and members that may be near one of those.
         known = met.join(seen, ["pivot", "doc_id"])
         heads_only = heads.select("bucket", F.col("pivot").alias("doc_id"))
-        best = known.groupBy("bucket", "doc_id").agg(F.max(F.struct("sim", "pivot")).alias("top")).select("bucket", "doc_id", F.col("top.sim").alias("sim"), F.col("top.pivot").alias("pivot"))
-        failed = cut(best.where(F.col("sim") < threshold).join(heads_only, ["bucket", "doc_id"], "left_anti").select("bucket", "doc_id"))
-        if failed.isEmpty():
-            return links
-        nearest = known.join(failed, ["bucket", "doc_id"], "left_semi").groupBy("bucket", "pivot").agg(F.max("sim").alias("reach"))
-        passed = best.where(F.col("sim") >= threshold).join(nearest, ["bucket", "pivot"]).where(F.col("sim") - F.col("reach") <= 1 - threshold + 1e-9)
-        passed = passed.join(heads_only, ["bucket", "doc_id"], "left_anti").select("bucket", "doc_id")
-        both = failed.unionByName(passed)
-        several = both.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        open_ = cut(both.join(several, "bucket"))
-        if open_.isEmpty():
-            return links
-        pivots *= 4
+        others = ranked.select("bucket", "doc_id").join(heads_only, ["bucket", "doc_id"], "left_anti")
+        best = cut(known.groupBy("bucket", "doc_id").agg(F.max(F.struct("sim", "pivot")).alias("top")).select("bucket", "doc_id", F.col("top.sim").alias("sim"), F.col("top.pivot").alias("pivot")))
+        nearest = known.where(F.col("sim") < threshold).groupBy("bucket", "pivot").agg(F.max("sim").alias("reach"))
+        done = best.where(F.col("sim") >= threshold).join(nearest, ["bucket", "pivot"], "left").where(F.col("reach").isNull() | (F.col("sim") - F.col("reach") > 1 - threshold + 1e-9)).select("bucket", "doc_id")
+        part = components(links.select("pivot", "doc_id")).withColumnRenamed("class_id", "part")
+        left = others.join(done, ["bucket", "doc_id"], "left_anti").join(part, "doc_id", "left")
+        open_ = cut(left.select("doc_id", "bucket", F.coalesce("part", "doc_id").alias("part")))
+        pivots *= 2
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_copies (rows of the same multiset), n_links (verified links of its multiset)."""
+    """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_copies (rows of the same multiset), n_links (verified links of its multiset; links within a connected group are not all looked for)."""
     signed = cut(_signed(docs))
     rows = cut(group_pick(signed.where("doc_id is not null"), "fp", F.min("doc_id")).select("doc_id", F.col("__pick").alias("rep"), F.col("__size").alias("n_copies"), "fp", F.when(F.col("doc_id") == F.col("__pick"), F.col("bands")).alias("bands")))
     reps = rows.where("doc_id = rep and bands is not null").select("doc_id", "bands").dropDuplicates(["doc_id"])
