@@ -20,8 +20,12 @@ Within a bucket no all-pairs join takes place: members are compared with a
 pivot, the member that meets most others over all its buckets. Members that
 fail go on to the next round, with twice as many pivots, and so do members that
 pass but, by the triangle inequality of the Jaccard distance, may still be near
-one that failed. Members that links from any bucket connect already are not
-compared with each other. So no connection within a bucket is lost, a bucket
+one that failed. After the first round, those that are still open meet in
+the buckets of a steeper, longer signature (``FINE_BANDS`` of ``FINE_ROWS``
+components) instead: texts that share a common passage only part there, so that
+the rounds end soon. Members that links from any bucket connect already are not
+compared with each other. So no connection within a bucket of the first
+round is lost but by the second signature's small miss rate, a bucket
 of near copies of any size takes one comparison a member, and the rounds end
 when no bucket has open members of two components.
 
@@ -49,6 +53,8 @@ from keyfold.llm.common import cut, drop_ids, group_pick, mix64, only_ids, small
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 0.9996.
 BANDS, ROWS = 26, 6
+#: Of the signature for members whose buckets are still open after a round; a pair at the threshold shares a band with probability 0.9992.
+FINE_BANDS, FINE_ROWS = 100, 12
 #: Members of a pivot that one streamed group holds.
 SALT_ROWS = 4096
 #: Characters that a Python worker handles at once, unless one text is longer.
@@ -124,6 +130,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, m
     seed = mix64(h[row] + mix64(level.astype(_U) + _U(101)))
     owner, weight = doc[row], count[row]
     time = np.zeros(len(row))
+    turn = look = 0
     while len(owner):
         seed += _U(0x9E3779B97F4A7C15)
         point = mix64(seed)
@@ -133,6 +140,10 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, m
         slot = owner * m + ((other & _U(0xFFFFFFFF)) * _U(m) >> _U(32)).astype(np.int64)
         ok = unit <= weight
         np.minimum.at(best, slot[ok], time[ok])
+        turn += 1
+        if turn <= look:  # points later than the latest component change nothing, so it is looked up ever more rarely
+            continue
+        look = turn + turn // 4
         going = time < best.reshape(n_docs, m).max(axis=1)[owner]
         owner, weight, time, seed, low, size = owner[going], weight[going], time[going], seed[going], low[going], size[going]
     best[np.isinf(best)] = 0
@@ -159,17 +170,19 @@ def fingerprints(texts: list[str | None], doc: np.ndarray, h: np.ndarray, count:
     return [f"{sums[0][i]:016x}{sums[1][i]:016x}" if has[i] else blake2b((t or "").encode("utf-8", "replace"), digest_size=15).hexdigest() for i, t in enumerate(texts)]
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
+    block = max(1, BLOCK * BANDS * ROWS // (n_bands * n_rows))
+
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for start, end in text_blocks(texts, BLOCK):
+            for start, end in text_blocks(texts, block):
                 part = texts[start:end]
                 doc, h, count = multisets(part)
                 keys = fingerprints(part, doc, h, count)
-                found = bands(signatures(doc, h, count, len(part)))
+                found = bands(signatures(doc, h, count, len(part), n_bands * n_rows), n_bands, n_rows)
                 has = np.bincount(doc, minlength=len(part)) > 0
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(has * BANDS)).astype(np.int32), pa.array(found[has].ravel()))
+                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(has * n_bands)).astype(np.int32), pa.array(found[has].ravel()))
                 yield pa.record_batch([batch.column(0).slice(start, end - start), pa.array(keys, pa.string()), lists], names=["doc_id", "fp", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp string, bands array<long>")
@@ -213,7 +226,7 @@ def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Verified links (pivot, doc_id) between representatives, enough to connect all that any bucket links."""
     links = docs.sparkSession.createDataFrame([], "pivot long, doc_id long, sim double")
     open_ = reps.select("doc_id", F.explode("bands").alias("bucket"), F.col("doc_id").alias("part"))
-    pivots = 1
+    pivots, fine = 1, False
     while True:
         # A bucket whose open members are all connected already has nothing left to find.
         sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket", "n")
@@ -242,7 +255,20 @@ def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
         part = components(links.select("pivot", "doc_id")).withColumnRenamed("class_id", "part")
         left = others.join(done, ["bucket", "doc_id"], "left_anti").join(part, "doc_id", "left")
         open_ = cut(left.select("doc_id", "bucket", F.coalesce("part", "doc_id").alias("part")))
-        pivots *= 2
+        if fine:
+            pivots *= 4
+        else:
+            open_, fine = cut(_finer(open_, docs)), True
+
+
+def _finer(open_: DataFrame, docs: DataFrame) -> DataFrame:
+    """The members of buckets with open members of two components, in the buckets of the steeper signature."""
+    mixed = open_.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
+    members = cut(open_.join(mixed, "bucket", "left_semi").select("doc_id", "part").distinct())
+    texts = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), members.select("doc_id"))
+    texts = texts.repartition(min(10_000, 1 + members.count() // 256), "doc_id").dropDuplicates(["doc_id"])
+    signed = cut(_signed(texts, FINE_BANDS, FINE_ROWS).select("doc_id", "bands"))
+    return signed.join(members, "doc_id").select("doc_id", F.explode("bands").alias("bucket"), "part")
 
 
 def components(links: DataFrame) -> DataFrame:
