@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a column of ids is broadcast; a larger one is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Narrow rows that one file of a table of known size holds.
+FILE_ROWS = 50_000
 #: Largest share of rows that one key may hold before it counts as heavy.
 SUPPORT = 1 / 512
 
@@ -28,14 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame, **options: str) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there.
 
     A lost executor then costs a re-read, never a recomputation, and a plan
-    that uses the table twice computes it once.
+    that uses the table twice computes it once. ``rows``, if known about, sizes
+    the files and tasks: one for every ``FILE_ROWS`` rows, however many
+    partitions a shuffle has. That is for narrow rows of cheap columns.
     """
     path = f"{shared_dir(df.sparkSession)}/keyfold-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

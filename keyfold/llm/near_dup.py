@@ -226,60 +226,69 @@ def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Verified links (pivot, doc_id) between representatives, enough to connect all that any bucket links."""
     links = docs.sparkSession.createDataFrame([], "pivot long, doc_id long, sim double")
     open_ = reps.select("doc_id", F.explode("bands").alias("bucket"), F.col("doc_id").alias("part"))
+    rows, n_links = reps.count() * BANDS, 0
     pivots, fine = 1, False
     while True:
         # A bucket whose open members are all connected already has nothing left to find.
         sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket", "n")
-        open_ = cut(open_.join(sizes, "bucket"))
-        if open_.isEmpty():
+        open_ = cut(open_.join(sizes, "bucket"), rows)
+        rows = open_.count()
+        if not rows:
             return links
         # The member that meets most others over all its buckets is likeliest to be near them all.
         reach = open_.groupBy("doc_id").agg(F.sum("n").alias("met"))
-        ranked = cut(open_.join(reach, "doc_id").select("bucket", "doc_id", "part", F.struct((-F.col("met")).alias("a"), "doc_id").alias("order")))
+        ranked = cut(open_.join(reach, "doc_id").select("bucket", "doc_id", "part", F.struct((-F.col("met")).alias("a"), "doc_id").alias("order")), rows)
         if pivots == 1:
             heads = ranked.groupBy("bucket").agg(F.min(F.struct("order", "part")).alias("head")).select("bucket", F.col("head.order.doc_id").alias("pivot"), F.col("head.part").alias("pivot_part"))
         else:
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order"))
             heads = ranked.withColumn("rank", rank).where(F.col("rank") <= pivots).select("bucket", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"))
-        heads = cut(heads)
-        met = cut(ranked.join(heads, "bucket").where("part <> pivot_part").select("bucket", "pivot", "doc_id"))
-        seen = cut(_compare(cut(met.select("pivot", "doc_id").distinct()), docs))
-        links = cut(links.unionByName(seen.where(F.col("sim") >= threshold)))
+        heads = cut(heads, rows)
+        met = cut(ranked.join(heads, "bucket").where("part <> pivot_part").select("bucket", "pivot", "doc_id"), rows * pivots)
+        n_met = met.count()
+        seen = cut(_compare(cut(met.select("pivot", "doc_id").distinct(), n_met), docs))
+        n_links += seen.where(F.col("sim") >= threshold).count()
+        links = cut(links.unionByName(seen.where(F.col("sim") >= threshold)), n_links)
         # Who is still open: members near no pivot of their bucket, and members that may be near one of those.
         known = met.join(seen, ["pivot", "doc_id"])
         heads_only = heads.select("bucket", F.col("pivot").alias("doc_id"))
         others = ranked.select("bucket", "doc_id").join(heads_only, ["bucket", "doc_id"], "left_anti")
-        best = cut(known.groupBy("bucket", "doc_id").agg(F.max(F.struct("sim", "pivot")).alias("top")).select("bucket", "doc_id", F.col("top.sim").alias("sim"), F.col("top.pivot").alias("pivot")))
+        best = cut(known.groupBy("bucket", "doc_id").agg(F.max(F.struct("sim", "pivot")).alias("top")).select("bucket", "doc_id", F.col("top.sim").alias("sim"), F.col("top.pivot").alias("pivot")), n_met)
         nearest = known.where(F.col("sim") < threshold).groupBy("bucket", "pivot").agg(F.max("sim").alias("reach"))
         done = best.where(F.col("sim") >= threshold).join(nearest, ["bucket", "pivot"], "left").where(F.col("reach").isNull() | (F.col("sim") - F.col("reach") > 1 - threshold + 1e-9)).select("bucket", "doc_id")
         part = components(links.select("pivot", "doc_id")).withColumnRenamed("class_id", "part")
         left = others.join(done, ["bucket", "doc_id"], "left_anti").join(part, "doc_id", "left")
-        open_ = cut(left.select("doc_id", "bucket", F.coalesce("part", "doc_id").alias("part")))
+        open_ = cut(left.select("doc_id", "bucket", F.coalesce("part", "doc_id").alias("part")), rows)
         if fine:
             pivots *= 4
-        else:
-            open_, fine = cut(_finer(open_, docs)), True
+        else:  # later rounds compare only the members that are open now, so they read those texts alone
+            open_, docs, rows = _finer(open_, docs)
+            fine = True
 
 
-def _finer(open_: DataFrame, docs: DataFrame) -> DataFrame:
-    """The members of buckets with open members of two components, in the buckets of the steeper signature."""
+def _finer(open_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The members of buckets with open members of two components, in the buckets of the steeper signature; their texts; the number of (member, bucket) rows."""
     mixed = open_.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
     members = cut(open_.join(mixed, "bucket", "left_semi").select("doc_id", "part").distinct())
+    n = members.count()
     texts = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), members.select("doc_id"))
-    texts = texts.repartition(min(10_000, 1 + members.count() // 256), "doc_id").dropDuplicates(["doc_id"])
-    signed = cut(_signed(texts, FINE_BANDS, FINE_ROWS).select("doc_id", "bands"))
-    return signed.join(members, "doc_id").select("doc_id", F.explode("bands").alias("bucket"), "part")
+    texts = cut(texts.repartition(min(10_000, 1 + n // 256), "doc_id").dropDuplicates(["doc_id"]))
+    # Long texts cost most: deal them out again by their number, not by the bytes of their files.
+    signed = cut(_signed(texts.repartition(min(10_000, 1 + n // 256), "doc_id"), FINE_BANDS, FINE_ROWS).select("doc_id", "bands"))
+    return signed.join(members, "doc_id").select("doc_id", F.explode("bands").alias("bucket"), "part"), texts, n * FINE_BANDS
 
 
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, class_id) of the ends of ``links`` (pivot, doc_id): the smallest id of the connected component."""
-    edges = cut(links.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).union(links.select("doc_id", "pivot")).distinct())
-    label = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("doc_id"), F.col("c").alias("class_id")))
+    links = cut(links)
+    ends = 2 * links.count()
+    edges = cut(links.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).union(links.select("doc_id", "pivot")).distinct(), ends)
+    label = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("doc_id"), F.col("c").alias("class_id")), ends)
     while True:
         near = edges.join(label.select(F.col("doc_id").alias("b"), F.col("class_id").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         low = label.join(near, F.col("doc_id") == F.col("a")).select("doc_id", F.col("class_id").alias("was"), F.least("class_id", "c").alias("class_id"))
         up = low.select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("up"))
-        new = cut(low.join(up, "class_id", "left").select("doc_id", "was", F.least("class_id", F.coalesce("up", "class_id")).alias("class_id")))
+        new = cut(low.join(up, "class_id", "left").select("doc_id", "was", F.least("class_id", F.coalesce("up", "class_id")).alias("class_id")), ends)
         label = new.select("doc_id", "class_id")
         if new.where("was <> class_id").isEmpty():
             return label
