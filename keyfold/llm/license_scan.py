@@ -138,7 +138,15 @@ def scan(files: DataFrame, path: str = "path", matcher: Matcher | None = None) -
 
 
 def file_path() -> Column:
-    """A tree over ``documents``: source, language, then directories of 1000 and 20 ids; every 20th file is named LICENSE."""
+    """A tree over ``documents``: directories of 1000 ids, source, language, then of 200 ids. A tenth of the files in each
+    source are licence files of their leaf, a tenth of the language, a tenth of the source; a fiftieth, of the 1000 ids."""
     div = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    name = F.when(F.col("doc_id") % 20 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), div(1000), div(20), name)
+    top, source, lang, leaf = div(1000), F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), div(200)
+    turn, notice = F.floor(F.col("doc_id") / 20) % 50, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))
+    return (
+        F.when(turn == 49, F.concat_ws("/", top, notice))
+        .when(turn % 10 == 6, F.concat_ws("/", top, source, notice))
+        .when(turn % 10 == 3, F.concat_ws("/", top, source, lang, notice))
+        .when(turn % 10 == 0, F.concat_ws("/", top, source, lang, leaf, notice))
+        .otherwise(F.concat_ws("/", top, source, lang, leaf, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    )

@@ -198,3 +198,21 @@ def test_license_scan(spark):
             passed += 1
             assert abs(r.own.score - best) < 1e-6 and (r.own.licence == name or abs(best - r.own.score) < 1e-6)
     assert passed > 30
+
+
+def test_license_paths_let_ancestors_decide(spark):
+    """In the query's tree, directories hold several files and licences come from the own directory and from higher ones."""
+    line = "Released under the MIT License."
+    rows = [(i, line if i % 7 == 0 else "words", "en" if i % 3 else None, f"src{i % 20}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("path", license_scan.file_path())
+    got = license_scan.scan(docs).collect()
+    home = {r.doc_id: r.path.rsplit("/", 1)[0] for r in got}
+    assert len(got) == 3000 and max(Counter(home.values()).values()) > 2
+    gives = {home[r.doc_id] for r in got if "/LICENSE" in r.path and r.own_licence}
+    for r in got:
+        parts = home[r.doc_id].split("/")
+        near = next((d for n in range(len(parts), 0, -1) if (d := "/".join(parts[:n])) in gives), None)
+        assert r.origin == ("own" if r.own_licence else near)
+    depths = Counter(r.origin.count("/") for r in got if r.origin not in (None, "own") and r.origin != home[r.doc_id])
+    assert {0, 1, 2} <= set(depths)
+    assert any(r.origin == home[r.doc_id] for r in got)
