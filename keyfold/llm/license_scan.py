@@ -1,15 +1,17 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance from directories. DataFrame functions only.
 
-Every line of every text, header or not, is a sparse TF-IDF vector and is
-compared with each template by cosine; a file's own licence is that of its best
-line at or above ``threshold``. Inverse document frequencies come from the
-templates; a word that no template has gets the largest.
-
-Most lines cannot reach the threshold, and which ones is known beforehand: the
-words of a template, common and short ones first, are left out while all of
-them together would keep the cosine below the threshold. A line must hold one
-of the remaining words; texts and lines without any are dropped before any
-vector is made, and nothing that could pass is lost.
+A text is compared with templates by the cosine of sparse TF-IDF vectors: as a
+whole, line by line, and, so that neighbouring words dilute nothing and line
+breaks do not matter, in sliding windows of a template's size and a third more
+around every anchor word. A file's own licence is that of its best match at or
+above ``threshold``. The families of licences among the templates are the
+documents of the inverse document frequency; a word that none has gets the largest.
+A lower rank wins first: SPDX tags (taken as stated, score 1), titles of
+licence files, then grants and whole texts, then wording that several licences share, last "All
+rights reserved." (``LicenseRef-Proprietary``), which open licences contain too.
+
+Every template has an anchor word; texts and lines without any are dropped
+before any vector is made, and windows are made around anchors only.
 
 A file named as a licence file gives its licence to its directory. Each
 directory takes the licence of its nearest ancestor that has one, itself first:
@@ -17,7 +19,7 @@ directories, not files, are expanded to their ancestors and joined by path; a
 file without a licence of its own takes its directory's.
 
 Edge cases: a null or empty text has no licence of its own; ties between
-templates go to the smaller name; several licence files in one directory: the
+templates of a rank go to the smaller name; several licence files in one directory: the
 best score, then the smaller name; a null path lies in the root directory;
 repeated rows are scanned one by one; an empty table gives an empty table;
 extra columns do not matter.
@@ -28,96 +30,184 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm.common import cut
 
-#: SPDX identifiers, and phrases by which their headers and licence files state them.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+#: SPDX identifiers, and the titles by which licence files state them.
+TITLES = [
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+#: Phrases by which headers, notices and licence files grant a licence.
+GRANTS = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "CC0 1.0 Universal public domain dedication"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("ISC", "for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Whole licence texts, compared with whole files and lines.
+WHOLE = [
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}"),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
+ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+]
+#: Wording that licences with more clauses contain too.
+SHARED = [("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted")]
+LAST = [("LicenseRef-Proprietary", "All rights reserved.")]
+TEMPLATES = TITLES + GRANTS + WHOLE + SHARED + LAST
+RANK = {text: rank for rank, group in enumerate((TITLES, GRANTS + WHOLE, SHARED, LAST)) for _, text in group}
+#: Every template has one of these words; the first one of a template is its anchor.
+ANCHORS = "gnu gpl lgpl agpl gplv1 gplv2 gplv3 lgplv2 lgplv3 agplv3 apache mozilla eclipse boost commons cc0 cc unencumbered advertising endorse redistribution fee granted bsd license attribution reserved".split()
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
-#: Words left out first when lines are sifted; the choice affects speed only.
-COMMON = {"the", "of", "and", "to", "in", "is", "by", "for", "with", "this", "or", "are", "any", "a"}
 WORD = "[\\p{L}\\p{N}]+"
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
 THRESHOLD = 0.7
+#: Templates of more words are compared with whole texts and lines only.
+WINDOW = 40
+
+
+def _family(name: str) -> str:
+    return re.sub("^[LA]GPL", "GPL", re.split("[-0-9]", name)[0])
 
 
 class Matcher:
-    """TF-IDF vectors of templates, and the column expression that scores a line by them."""
+    """TF-IDF vectors of templates, and the column expression that scores a text by them."""
 
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD):
-        self.templates, self.threshold = templates, threshold
-        bags = [Counter(re.findall(r"[^\W_]+", text.lower())) for _, text in templates]
-        df = Counter(w for b in bags for w in b)
-        self.most = math.log(1 + len(bags)) + 1
-        self.idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in sorted(df.items())}
-        self.vectors, must = [], set()
-        for b in bags:
-            v = {w: n * self.idf[w] for w, n in sorted(b.items())}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            v = {w: x / norm for w, x in v.items()}
-            self.vectors.append(v)
-            spare = 0.0
-            for w, x in sorted(v.items(), key=lambda wx: (wx[0] not in COMMON, len(wx[0]), wx[0])):
-                spare += x * x
-                if spare >= threshold**2 - 1e-9:
-                    must.add(w)
-        self.must = sorted(must)
+        self.threshold = threshold
+        bags = [Counter(self.tokens(text)) for _, text in templates]
+        families = [{w for b, (n, _) in zip(bags, templates) if _family(n) == f for w in b} for f in sorted({_family(n) for n, _ in templates})]
+        df = Counter(w for f in families for w in f)
+        self.most = math.log(1 + len(families)) + 1
+        self.idf = {w: math.log((1 + len(families)) / (1 + n)) + 1 for w, n in sorted(df.items())}
+        self.templates: dict[tuple, tuple] = {}
+        for b, (name, text) in zip(bags, templates):
+            norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in b.items()))
+            anchor = next(w for w in ANCHORS if w in b)
+            need, ban = [anchor], []
+            short = b.total() <= WINDOW
+            sizes = [b.total(), b.total() + b.total() // 3 + 1] if short else []
+            weights = {w: n * self.idf[w] ** 2 / norm for w, n in sorted(b.items())}
+            # Templates with the same words are one.
+            key = (name, *sorted(b.items()))
+            rank = min(RANK.get(text, 1), self.templates[key][1] if key in self.templates else 9)
+            self.templates[key] = (name, rank, need, ban, sizes, weights)
+        self.reach = max(s for t in self.templates.values() for s in t[4]) - 1
+        self.anchors = sorted({t[2][0] for t in self.templates.values()})
+
+    @staticmethod
+    def tokens(text: str) -> list[str]:
+        return re.findall(r"[^\W_]+", text.lower().replace("licenc", "licens"))
 
     def cosine(self, text: str) -> tuple[float, str | None]:
-        """The same in Python, for a single line: (best cosine, licence)."""
-        bag = Counter(re.findall(r"[^\W_]+", text.lower()))
-        norm = math.sqrt(sum((n * self.idf.get(w, self.most)) ** 2 for w, n in bag.items()))
-        scored = [(sum(n * self.idf[w] * v[w] for w, n in bag.items() if w in v) / norm if norm else 0.0, name) for v, (name, _) in zip(self.vectors, self.templates)]
-        best = max(s for s, _ in scored)
-        return best, min(name for s, name in scored if s == best)
+        """The same in Python: (cosine of the best match, licence), (0, None) if no match reaches the threshold."""
+        if tag := re.search(SPDX, text):
+            return 1.0, tag[1]
+        words = self.tokens(text)
+        wholes = [words, *map(self.tokens, re.split("\r?\n", text))]
+        nears = [words[max(0, i - self.reach) : max(0, i - self.reach) + 2 * self.reach + 2] for i, w in enumerate(words) if w in self.anchors]
+        found = []
+        for name, rank, need, ban, sizes, weights in self.templates.values():
+            for c, wide in [(c, c) for c in wholes] + [(near[s : s + n], near[s : s + n + 1]) for near in nears for n in sizes for s in range(len(near) - n + 1)]:
+                if set(need) <= set(c) and not set(ban) & set(wide):
+                    norm = math.sqrt(sum((n * self.idf.get(w, self.most)) ** 2 for w, n in Counter(c).items()))
+                    score = round(sum(weights.get(w, 0.0) for w in c) / norm, 9)
+                    if score >= self.threshold:
+                        found.append((rank, -score, name))
+        return (-min(found)[1], min(found)[2]) if found else (0.0, None)
 
     def best_line(self, text: Column) -> Column:
-        """struct(score, licence) of the best line, null if no line can reach the threshold."""
-        must = "(?iu)(?<![\\p{L}\\p{N}])(?:" + "|".join(self.must) + ")(?![\\p{L}\\p{N}])"
-        possible = F.filter(F.split(text, "\r?\n"), lambda line: line.rlike(must))
-        idf = F.create_map(*[F.lit(x) for wx in self.idf.items() for x in wx])
+        """struct(score, licence) of the best match, null if none reaches the threshold."""
+        lower = F.regexp_replace(F.lower(text), "licenc", "licens")
+        must = "(?<![\\p{L}\\p{N}])(?:" + "|".join(self.anchors) + ")(?![\\p{L}\\p{N}])"
+        literal = lambda words: F.array(*[F.lit(w) for w in words]).cast("array<string>")
+        table = lambda d: F.create_map(*[F.lit(x) for wx in d.items() for x in wx])
+        anchors, idf = literal(self.anchors), table(self.idf)
         weight = lambda w: F.coalesce(F.element_at(idf, w), F.lit(self.most))
+        split = lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+        templates = F.array(*[
+            F.struct(F.lit(name).alias("licence"), F.lit(rank).alias("rank"), literal(need).alias("need"), literal(ban).alias("ban"), F.array(*[F.lit(n) for n in sizes]).cast("array<int>").alias("sizes"), table(weights).alias("weights"))
+            for name, rank, need, ban, sizes, weights in self.templates.values()
+        ])
 
         def norm(words: Column) -> Column:
-            """Length of the line's vector, over its sorted words run by run."""
+            """Length of the vector, over its sorted words run by run."""
             start = F.struct(F.lit("").alias("w"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
             close = lambda s: s["sum"] + F.pow(s["n"] * weight(s["w"]), F.lit(2.0))
             step = lambda s, w: F.when(s["w"] == w, F.struct(s["w"].alias("w"), (s["n"] + 1.0).alias("n"), s["sum"].alias("sum"))).otherwise(F.struct(w.alias("w"), F.lit(1.0).alias("n"), close(s).alias("sum")))
             return F.aggregate(F.array_sort(words), start, step, lambda s: F.sqrt(close(s)))
 
-        vocabulary = F.array(*[F.lit(w) for w in self.idf])
-        bags = F.transform(F.transform(possible, lambda line: F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))), lambda words: F.struct(F.filter(words, lambda w: F.array_contains(vocabulary, w)).alias("known"), norm(words).alias("norm")))
-
-        def add(table: Column):
-            return lambda s, w: s + F.coalesce(F.element_at(table, w), F.lit(0.0))
-
-        def score(bag: Column) -> Column:
-            each = []
-            for (name, _), v in zip(self.templates, self.vectors):
-                table = F.create_map(*[F.lit(x) for w, x in v.items() for x in (w, x * self.idf[w])])
-                dot = F.aggregate(bag["known"], F.lit(0.0), add(table))
-                each.append(F.struct((-F.round(dot / bag["norm"], 9)).alias("cost"), F.lit(name).alias("licence")))
-            return F.array_min(F.array(*each))
-
-        best = F.array_min(F.transform(bags, score))
-        # Through an array of one, so that the best line is worked out once.
-        passed = F.transform(F.array(best), lambda b: F.when(-b["cost"] >= self.threshold, F.struct((-b["cost"]).alias("score"), b["licence"].alias("licence"))))
-        return F.when(text.rlike(must), F.get(passed, F.lit(0)))
+        def holds(words: Column, t: Column) -> Column:
+            return F.forall(t["need"], lambda w: F.array_contains(words, w))
+
+        def rated(words: Column, t: Column) -> Column:
+            dot = F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(t["weights"], w), F.lit(0.0)))
+            return F.struct(t["rank"].alias("rank"), (-F.round(dot / norm(words), 9)).alias("cost"), t["licence"].alias("licence"))
+
+        def best(candidates: Column, t: Column) -> Column:
+            fit = F.filter(candidates, lambda c: holds(c["words"], t) & ~F.arrays_overlap(c["wide"], t["ban"]))
+            return F.array_min(F.filter(F.transform(fit, lambda c: rated(c["words"], t)), lambda r: -r["cost"] >= self.threshold))
+
+        def windows(near: Column, t: Column) -> Column:
+            starts = lambda n: F.when(F.size(near) >= n, F.sequence(F.lit(1), F.size(near) - n + 1)).otherwise(F.array().cast("array<int>"))
+            return F.flatten(F.transform(t["sizes"], lambda n: F.transform(starts(n), lambda i: F.struct(F.slice(near, i, n).alias("words"), F.slice(near, i, n + 1).alias("wide")))))
+
+        def scored(words: Column) -> Column:
+            wholes = F.concat(F.array(words), F.transform(F.filter(F.split(lower, "\r?\n"), lambda line: line.rlike(must)), split))
+            places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(anchors, w), i + 1)), lambda i: i.isNotNull())
+            first = lambda i: F.greatest(i - self.reach, F.lit(1))
+            nears = F.array_distinct(F.transform(places, lambda i: F.slice(words, first(i), F.lit(2 * self.reach + 2))))
+            each = lambda units, make: F.flatten(F.transform(units, lambda u: F.transform(F.filter(templates, lambda t: holds(u, t)), lambda t: best(make(u, t), t))))
+            return F.array_min(F.concat(each(wholes, lambda u, t: F.array(F.struct(u.alias("words"), u.alias("wide")))), each(nears, windows)))
+
+        # Through arrays of one, so that the words and the best match are worked out once.
+        found = F.transform(F.transform(F.array(split(lower)), scored), lambda b: F.when(b.isNotNull(), F.struct((-b["cost"]).alias("score"), b["licence"].alias("licence"))))
+        tag = F.regexp_extract(text, SPDX, 1)
+        stems = sorted({w for a in self.anchors for w in ([a] if a != "license" else ["licens", "licenc"])})
+        some = reduce(or_, [F.lower(text).contains(w) for w in stems])
+        return F.when(F.lower(text).contains("spdx-license-identifier") & (tag != ""), F.struct(F.lit(1.0).alias("score"), tag.alias("licence"))).when(some & lower.rlike(must), F.get(found, F.lit(0)))
 
 
 def scan(files: DataFrame, path: str = "path", matcher: Matcher | None = None) -> DataFrame:

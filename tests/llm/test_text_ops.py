@@ -216,3 +216,36 @@ def test_license_paths_let_ancestors_decide(spark):
     depths = Counter(r.origin.count("/") for r in got if r.origin not in (None, "own") and r.origin != home[r.doc_id])
     assert {0, 1, 2} <= set(depths)
     assert any(r.origin == home[r.doc_id] for r in got)
+
+
+def licences_of(spark, texts):
+    m = license_scan.Matcher()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.own for r in df.select("doc_id", m.best_line(F.col("text")).alias("own")).collect()}
+    for i, t in enumerate(texts):
+        best, name = m.cosine(t)
+        assert (got[i].licence if got[i] else None) == name and (not got[i] or abs(got[i].score - best) < 1e-6), t
+    return [got[i].licence if got[i] else None for i in range(len(texts))]
+
+
+def test_license_neighbouring_words_and_whole_texts(spark):
+    """Words on the same line, line breaks and whole texts hide no licence; "All rights reserved." is one, the weakest."""
+    mit, bsd2, bsd3 = license_scan.WHOLE[3][1], license_scan.WHOLE[0][1], license_scan.WHOLE[1][1]
+    cases = [
+        ("All rights reserved.", "LicenseRef-Proprietary"),
+        ("x\nCopyright 2020 Foo. All rights reserved.\nmore", "LicenseRef-Proprietary"),
+        ("Released under the MIT License. Copyright 2020 Foo Bar", "MIT"),
+        ("Copyright Foo. All rights reserved. Released under the MIT Licence.", "MIT"),
+        ("This work is licensed under the GNU General Public License, version 3. Another sentence stands here on the same line.", "GPL-3.0"),
+        ("words before GNU General\n   Public License,\nversion 3 and words after", "GPL-3.0"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nAll rights reserved.", "MIT OR Apache-2.0"),
+        (mit.replace("\n", " "), "MIT"),
+        (mit, "MIT"),
+        (bsd2, "BSD-2-Clause"),
+        ("All rights reserved.\n" + bsd3, "BSD-3-Clause"),
+        ("no rights, no words", None),
+        ("mit der Licence", None),
+    ]
+    assert licences_of(spark, [t for t, _ in cases]) == [n for _, n in cases]
+    files = spark.createDataFrame([(1, "a/LICENSE", "MIT License"), (2, "a/b.py", "All rights reserved."), (3, "a/c.py", "")], "doc_id long, path string, text string")
+    assert {r.doc_id: (r.licence, r.origin) for r in license_scan.scan(files).collect()} == {1: ("MIT", "own"), 2: ("LicenseRef-Proprietary", "own"), 3: ("MIT", "a")}
