@@ -6,6 +6,9 @@ breaks do not matter, in sliding windows of a template's size and a third more
 around every anchor word. A file's own licence is that of its best match at or
 above ``threshold``. The families of licences among the templates are the
 documents of the inverse document frequency; a word that none has gets the largest.
+A match also holds all deciding words of its template (names, versions,
+modifiers) and none of the modifiers that stand for a sibling licence, the word
+after a window included: a text with "NC" is not CC BY, "LGPL 2.1" not LGPL 2.
 A lower rank wins first: SPDX tags (taken as stated, score 1), titles of
 licence files, then grants and whole texts, then wording that several licences share, last "All
 rights reserved." (``LicenseRef-Proprietary``), which open licences contain too.
@@ -96,10 +99,48 @@ SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 #: Wording that licences with more clauses contain too.
 SHARED = [("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted")]
 LAST = [("LicenseRef-Proprietary", "All rights reserved.")]
+#: Short and long forms of licences that differ in a few words only.
+_MODS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_GNU = [("GPL", "", "1"), ("GPL", "", "2"), ("GPL", "", "3"), ("LGPL", "Library", "2"), ("LGPL", "Lesser", "2.1"), ("LGPL", "Lesser", "3"), ("AGPL", "Affero", "3")]
+_id = lambda name, version: f"{name}-{version if '.' in version else version + '.0'}"
+SIBLINGS = [
+    *[(f"CC-{m}-{v}", form) for m, words in _MODS.items() for v in ("1.0", "2.0", "2.5", "3.0", "4.0") for form in (f"CC {m} {v}", f"Creative Commons {words} {v}")],
+    *[(_id(x, v), form) for x, mod, v in _GNU for form in (f"GNU {mod} General Public License version {v}", f"GNU {mod} General Public License v{v}", f"{x} version {v}", f"{x} {v}", f"{x} v{v}", f"{x}v{v}", f"version {v} of the GNU {mod} General Public License", f"GNU {mod} General Public License as published by the Free Software Foundation; either version {v} of the License")],
+    ("Apache-2.0", "Apache 2.0"),
+    ("Apache-2.0", "Apache License v2.0"),
+    ("Apache-1.1", "Apache Software License Version 1.1"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("BSL-1.0", "Boost Software License Version 1.0"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("EPL-1.0", "Eclipse Public License v 1.0"),
+    ("EPL-2.0", "Eclipse Public License v 2.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+]
+TITLES += [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("MIT-0", "MIT No Attribution"),
+]
+GRANTS += SIBLINGS
 TEMPLATES = TITLES + GRANTS + WHOLE + SHARED + LAST
 RANK = {text: rank for rank, group in enumerate((TITLES, GRANTS + WHOLE, SHARED, LAST)) for _, text in group}
 #: Every template has one of these words; the first one of a template is its anchor.
 ANCHORS = "gnu gpl lgpl agpl gplv1 gplv2 gplv3 lgplv2 lgplv3 agplv3 apache mozilla eclipse boost commons cc0 cc unencumbered advertising endorse redistribution fee granted bsd license attribution reserved".split()
+#: Words without which a match does not count, if the template has them.
+NEEDED = {*ANCHORS, "general", "mit", "universal", "attribution", "by", "clause", "style", "no", "organization", "sublicense", "provided", "all", "rights", "january", "february", "june", "november"}
+#: Words that tell siblings of a family apart: a match has those of its template and no others.
+DECIDING = {
+    "GPL": "lesser library affero 1 2 3 v1 v2 v3".split(),
+    "CC": "nc noncommercial commercial sa sharealike alike nd noderivatives noderivs derivatives 1 2 3 4 5".split(),
+    "Apache": "1 2 v1 v2".split(),
+    "MPL": "1 2".split(),
+    "EPL": "1 2".split(),
+    "BSD": "neither endorse advertising".split(),
+}
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 WORD = "[\\p{L}\\p{N}]+"
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)"
@@ -126,7 +167,11 @@ class Matcher:
         for b, (name, text) in zip(bags, templates):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in b.items()))
             anchor = next(w for w in ANCHORS if w in b)
-            need, ban = [anchor], []
+            need = [anchor, *sorted(w for w in b if w in NEEDED and w != anchor)]
+            # The numbered clauses of whole texts and the dates of titles are no versions.
+            deciding = [w for w in DECIDING.get(_family(name), []) if b.total() <= WINDOW or not w.isdigit()]
+            need += [w for w in deciding if w in b and w not in need]
+            ban = [w for w in deciding if w not in b]
             short = b.total() <= WINDOW
             sizes = [b.total(), b.total() + b.total() // 3 + 1] if short else []
             weights = {w: n * self.idf[w] ** 2 / norm for w, n in sorted(b.items())}

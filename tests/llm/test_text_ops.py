@@ -249,3 +249,24 @@ def test_license_neighbouring_words_and_whole_texts(spark):
     assert licences_of(spark, [t for t, _ in cases]) == [n for _, n in cases]
     files = spark.createDataFrame([(1, "a/LICENSE", "MIT License"), (2, "a/b.py", "All rights reserved."), (3, "a/c.py", "")], "doc_id long, path string, text string")
     assert {r.doc_id: (r.licence, r.origin) for r in license_scan.scan(files).collect()} == {1: ("MIT", "own"), 2: ("LicenseRef-Proprietary", "own"), 3: ("MIT", "a")}
+
+
+def test_license_siblings_are_told_apart(spark):
+    """A short form is not taken for a sibling that differs in a version or a modifier; an unknown sibling has no licence."""
+    cases = [
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("Some text, CC BY-NC-SA 3.0, some text", "CC-BY-NC-SA-3.0"),
+        ("Licensed under CC BY-NC-SA 2.1 JP", None),
+        ("licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 9.", None),
+        ("GPLv2", "GPL-2.0"),
+        ("code under LGPL 2.1 and more", "LGPL-2.1"),
+        ("Apache Software License, Version 1.1", "Apache-1.1"),
+        ("Eclipse Public License - v 1.0", "EPL-1.0"),
+    ]
+    assert licences_of(spark, [t for t, _ in cases]) == [n for _, n in cases]
