@@ -126,3 +126,20 @@ def test_codewords_are_far_apart(n):
     code = langid.codewords(n)
     far = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
     assert set(np.unique(code)) <= {-1.0, 1.0} and far >= max(1, code.shape[1] // 5)
+
+
+def test_toxicity_keeps_words_by_occurrence():
+    """A word with one left neighbour and one successor in several texts is known, and so is its bigram; copies count once."""
+    texts = [f"a{i} b{i} you zork now c{i}" for i in range(3)] + [f"d{i} e{i} plain words here f{i}" for i in range(3)] + ["lone copy"] * 3
+    m = toxicity._estimate(texts, np.array([1, 1, 1, 0, 0, 0, 0, 0, 0]))
+    assert "zork" in m.vocab and "lone" not in m.vocab
+    v = len(m.vocab) + 1
+    assert m.vocab["you"] * v + m.vocab["zork"] in m.keys
+
+
+def test_toxicity_repeating_a_word_hides_no_other():
+    texts = [f"you {w} now {w} then {i}" for i in range(4) for w in ("zork", "blarg")] + [f"plain {w} here {w} there {i}" for i in range(4) for w in ("quiet", "words")]
+    m = toxicity._estimate(texts, np.array([1] * 8 + [0] * 8))
+    one, many = m.evidence(["you zork now then blarg", "you zork now " * 40 + "then blarg"])
+    at = 2 + len(toxicity.WINDOWS)
+    assert np.allclose(one[at:], many[at:])
