@@ -6,10 +6,14 @@ dropped white space; it is only read, never trained.
 For every prefix of a word the last token of the prefix's encoding is enough
 to rebuild the whole encoding: what stands before that token is the encoding
 of the shorter prefix. So the distinct words of a block of texts form a trie,
-a depth-first walk gives each trie node its last token, and a prefix that many
+a traversal gives each trie node its last token, and a prefix that many
 words share is encoded once. The trie is held as its sorted word list with the
-lengths of shared prefixes; the walk keeps the states of the current path, and
-those of nodes met in earlier blocks as long as they fit in memory.
+lengths of shared prefixes, its nodes in depth-first order; states pass from
+parents to children, all nodes of one depth in one array operation, and a long
+word's path node by node. An automaton over the tokens' strings names the
+tokens that end at each node, so a node costs a few look-ups whatever its
+depth. Ids of whole chunks between white space are remembered, as long as they
+are few and short enough.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text;
 white space alone has no ids; the special tokens' own strings in a text become
@@ -19,22 +23,32 @@ passed through row by row.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
 import unicodedata
+from array import array
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import text_blocks
+from keyfold.llm.common import small_batches, text_blocks
 
-#: Words whose ids a Python worker remembers in each of two generations, and trie nodes whose states it remembers.
+#: Chunks whose ids a Python worker remembers in each of two generations, and a quarter of the token pairs.
 REMEMBERED = 200_000
+#: Characters of the longest chunk that is remembered.
+LONG = 64
+#: Bytes of the longest word whose trie nodes are worked out by array operations.
+WIDE = 40
+#: Characters that are encoded at once, unless one text is longer.
+BLOCK = 4_000_000
 #: A rank after all merges.
 NEVER = 1 << 60
 #: White space as Unicode defines it.
@@ -43,6 +57,7 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 #: The same for texts of characters below U+0250 only, whose letters and numbers are these ranges.
 _LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{_SPACE}a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile(r"[^\0-ɏ]|[A-Z\xc0-\xd6\xd8-\xde]")
 
 
@@ -60,6 +75,11 @@ def normal(text: str) -> str:
     return text.lower()
 
 
+def chunks_of(text: str) -> list[str]:
+    """Runs of a normalised text between white space; the whole text if it has separators that only ``str.split`` takes for white space."""
+    return [text] if _SEPARATORS.search(text) else text.split()
+
+
 def split_words(text: str) -> list[str]:
     """Words of a normalised text."""
     return (_WORDS if _BEYOND_LATIN.search(text) else _LATIN_WORDS).findall(text)
@@ -105,16 +125,51 @@ class WordBpe:
             (self.final if ends else self.inner)[bytes(byte_of[c] for c in body)] = i
         self.inner = {k: i for k, i in self.inner.items() if self._stable(i)}
         self.final = {k: i for k, i in self.final.items() if self._stable(i)}
-        #: Length of the longest token that ends in each four bytes.
-        self.inner_reach, self.final_reach = ({}, {})
-        for tokens, reach in ((self.inner, self.inner_reach), (self.final, self.final_reach)):
-            for t in tokens:
-                reach[t[-4:]] = max(len(t), reach.get(t[-4:], 3))
+        self._automaton()
+        self.marks = {"\n" + c: struct.pack("<I", i) for c, i in self.specials.items()}  # no chunk begins with white space
         self.pairs: dict[int, bool] = {}
-        self.trie: dict[bytes, int] = {}  # states of nodes met before, by prefix
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _automaton(self) -> None:
+        """States for the tokens' prefixes: a state is the longest end of what was read that begins a token.
+
+        ``inner`` and ``final`` hold, for each state: the longest token that
+        ends there, as the state of its own string (0 if there is none); that
+        token; and the state of the next shorter token that ends there.
+        """
+        go: dict[int, int] = {}
+        parent, byte, named = [0], [0], ({}, {})
+        for at_end, tokens in zip(named, (self.inner, self.final)):
+            for name, token in tokens.items():
+                at = 0
+                for b in name:
+                    to = go.get(at << 8 | b)
+                    if to is None:
+                        to = go[at << 8 | b] = len(parent)
+                        parent.append(at)
+                        byte.append(b)
+                    at = to
+                at_end[at] = token
+        n = len(parent)
+        depth, back = [0] * n, [0] * n
+        for k in range(1, n):  # a state's parent has a smaller number
+            depth[k] = depth[parent[k]] + 1
+        tables = [([0] * n, [0] * n, [0] * n) for _ in named]
+        for k in sorted(range(1, n), key=depth.__getitem__):
+            if parent[k]:
+                at = back[parent[k]]
+                while at and at << 8 | byte[k] not in go:
+                    at = back[at]
+                back[k] = go.get(at << 8 | byte[k], 0)
+            for at_end, (first, token, after) in zip(named, tables):
+                after[k] = first[back[k]]
+                first[k] = k if k in at_end else after[k]
+                token[k] = at_end.get(k, 0)
+        self.go, self.back, self.depth, (self.inner_ends, self.final_ends) = go, back, depth, tables
+        keys = np.array(sorted(go), np.int64)
+        self.arrays = keys, np.array([go[k] for k in keys.tolist()], np.int64), np.array(back, np.int64), np.array(depth, np.int64), *[np.array(t, np.int64) for t in tables]
+
     def _edges(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """Tokens that stand at one edge of ``token`` over time: (token, rank at which it arises, rank at which it is taken up)."""
         found = self.edges[side].get(token)
@@ -153,92 +208,157 @@ class WordBpe:
         left, right = self.parts[token]
         return left in self.born and right in self.born and self._stable(left) and self._stable(right) and self._apart(left, right, self.born[token])
 
-    def learn(self, words: set[str]) -> None:
-        """Encode distinct words into ``known`` by one walk over their trie."""
+    def _fits(self, key: int) -> bool:
+        """Whether the token in the low 20 bits of ``key`` may follow the one above them."""
+        found = self.pairs.get(key)
+        if found is None:
+            found = self.pairs[key] = self._apart(key >> 20, key & 0xFFFFF)
+        return found
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of distinct words, by their trie; time and memory are linear in the words' bytes."""
         if len(self.pairs) > 4 * REMEMBERED:
             self.pairs.clear()
-        if len(self.trie) > REMEMBERED:
-            self.trie.clear()
-        pairs, trie = self.pairs, self.trie
-        inner, final, known_pair, known_state = self.inner.get, self.final.get, pairs.get, trie.get
-        inner_reach, final_reach = self.inner_reach.get, self.final_reach.get
-        states = [0]  # last token, then eight bits for its length, of each node of the current path
-        before = b""
-        for word in sorted(w.encode() for w in words):
-            n, shared = len(word), 0
-            most = min(n - 1, len(states) - 1)
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            del states[shared + 1 :]
-            for depth in range(shared + 1, n):
-                prefix = word[:depth]
-                state = known_state(prefix)
-                if state is None:
-                    # The longest token that ends here and may follow what stands before it is the last one; no other may.
-                    for start in range(max(0, depth - inner_reach(prefix[-4:], 3)), depth):
-                        token = inner(prefix[start:])
-                        if token is not None:
-                            if not start:
-                                break
-                            key = states[start] >> 8 << 20 | token
-                            fits = known_pair(key)
-                            if fits is None:
-                                fits = pairs[key] = self._apart(states[start] >> 8, token)
-                            if fits:
-                                break
-                    state = trie[prefix] = token << 8 | depth - start
-                states.append(state)
-            for start in range(max(0, n - final_reach(word[-4:], 3)), n):
-                token = final(word[start:])
-                if token is not None:
-                    if not start:
-                        break
-                    key = states[start] >> 8 << 20 | token
-                    fits = known_pair(key)
-                    if fits is None:
-                        fits = pairs[key] = self._apart(states[start] >> 8, token)
-                    if fits:
-                        break
-            ids, at = [token], start
-            while at:
-                ids.append(states[at] >> 8)
-                at -= states[at] & 255
-            self.known[word.decode()] = struct.pack(f"<{len(ids)}I", *reversed(ids))
-            before = word
+        order = sorted(words)  # code points sort as their bytes do: the trie in depth-first order
+        coded = [w.encode() for w in order]
+        short = [w for w in coded if len(w) <= WIDE]
+        if len(short) == len(coded):
+            return dict(zip(order, self._levels(short)))
+        long = [(w, c) for w, c in zip(order, coded) if len(c) > WIDE]
+        return dict(zip((w for w, c in zip(order, coded) if len(c) <= WIDE), self._levels(short))) | {w: self._walk(c) for w, c in long}
+
+    def _walk(self, word: bytes) -> bytes:
+        """Ids of one long word: its path from the root, a node at a time."""
+        go, back, depth = self.go, self.back, self.depth
+        last, lengths, auto = [0], [0], 0
+        for n, byte in enumerate(word, 1):
+            while auto and auto << 8 | byte not in go:
+                auto = back[auto]
+            auto = go.get(auto << 8 | byte, 0)
+            first, token, after = self.inner_ends if n < len(word) else self.final_ends
+            end = first[auto]
+            while depth[end] < n and not self._fits(last[n - depth[end]] << 20 | token[end]):
+                end = after[end]
+            last.append(token[end])
+            lengths.append(depth[end])
+        ids, at = array("I"), len(word)
+        while at:
+            ids.append(last[at])
+            at -= lengths[at]
+        ids.reverse()
+        return ids.tobytes()
+
+    def _levels(self, words: list[bytes]) -> list[bytes]:
+        """Ids of sorted words of at most ``WIDE`` bytes: the nodes of their trie, from parents to children, a depth at a time."""
+        if not words:
+            return []
+        n = len(words)
+        keys, targets, back, depth, inner, final = self.arrays
+        size = np.fromiter(map(len, words), np.int64, n)
+        heads = np.frombuffer(b"".join([w.ljust(WIDE, b"\0") for w in words]), np.uint8).reshape(n, WIDE)
+        other = np.ones((n, WIDE + 1), bool)
+        other[1:, :WIDE] = heads[1:] != heads[:-1]
+        shared = other.argmax(axis=1)
+        shared[1:] = np.minimum(shared[1:], size[:-1] - 1)
+        shared[0] = 0
+        last, lengths = np.zeros((WIDE + 1, n), np.int64), np.zeros((WIDE + 1, n), np.int64)
+        autos, every = np.zeros(n, np.int64), np.arange(n)
+
+        def step(rows: np.ndarray, d: int) -> np.ndarray:
+            at, byte = autos[rows], heads[rows, d - 1].astype(np.int64)
+            out, open_ = np.zeros(len(rows), np.int64), np.arange(len(rows))
+            while len(open_):
+                key = at[open_] << 8 | byte[open_]
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[place] == key
+                out[open_[hit]] = targets[place[hit]]
+                open_ = open_[~hit & (at[open_] > 0)]
+                at[open_] = back[at[open_]]
+            return out
+
+        def choose(rows: np.ndarray, state: np.ndarray, d: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The last token of each row at depth d, and its length: the longest that may follow what stands before it."""
+            end, open_ = table[0][state], np.arange(len(rows))
+            while True:
+                open_ = open_[depth[end[open_]] < d]
+                if not len(open_):
+                    return table[1][end], depth[end]
+                key = last[d - depth[end[open_]], rows[open_]] << 20 | table[1][end[open_]]
+                distinct, which = np.unique(key, return_inverse=True)
+                ok = np.fromiter(map(self._fits, distinct.tolist()), bool, len(distinct))
+                open_ = open_[~ok[which]]
+                end[open_] = table[2][end[open_]]
+
+        for d in range(1, int(size.max()) + 1):
+            rows = np.flatnonzero(size == d)
+            last[d, rows], lengths[d, rows] = choose(rows, step(rows, d), d, final)
+            new = (size > d) & (shared < d)
+            rows = np.flatnonzero(new)
+            state = step(rows, d)
+            filled, token, length = np.zeros(n, np.int64), last[d].copy(), lengths[d].copy()
+            filled[rows] = state
+            token[rows], length[rows] = choose(rows, state, d, inner)
+            # A node that several words share is worked out at the first of them.
+            from_ = np.where(size > d, np.maximum.accumulate(np.where(new, every, 0)), every)
+            autos, last[d], lengths[d] = filled[from_], token[from_], length[from_]
+        parts, owners, at, rows = [], [], size.copy(), every
+        while len(rows):
+            parts.append(last[at[rows], rows])
+            owners.append(rows)
+            at[rows] -= lengths[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        # Tokens were met from the last to the first.
+        flat = np.concatenate(parts[::-1])[np.argsort(np.concatenate(owners[::-1]), kind="stable")].astype("<u4").tobytes()
+        ends = np.cumsum(np.bincount(np.concatenate(owners), minlength=n) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def _pieces(self, text: str | None) -> list:
-        """Words of a text, with the bytes of a special token's id where its string stands."""
+        """White-space chunks of a text, with a mark where a special token's string stands.
+
+        Words never cross white space, so a chunk's ids are those of its words.
+        """
         if not text:
             return []
         if self.cut_specials is None or "<|" not in text:
-            return split_words(normal(text))
+            return chunks_of(normal(text))
         out: list = []
         for part in self.cut_specials.split(text):
-            out += [struct.pack("<I", self.specials[part])] if part in self.specials else split_words(normal(part))
+            out += ["\n" + part] if part in self.specials else chunks_of(normal(part))
         return out
 
+    def _look_up(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that ``known`` does not have; they and their words are remembered unless they are long."""
+        known, older = self.known, self.older
+        found = {c: self.marks[c] for c in chunks & self.marks.keys()} | {c: older[c] for c in chunks & older.keys()}
+        chunks = chunks - found.keys()
+        if any(map(_BEYOND_LATIN.search, chunks)):
+            alone, split = set(), {c: split_words(c) for c in chunks}
+        else:
+            alone = set(filter(str.isalpha, chunks))
+            find = _LATIN_WORDS.findall
+            split = {c: find(c) for c in chunks - alone}
+        words = {w for ws in split.values() for w in ws}
+        ids = {w: known[w] for w in words & known.keys()}
+        ids |= {w: older[w] for w in (words - ids.keys()) & older.keys()}
+        ids |= self.learn(alone | (words - ids.keys()))
+        found |= ids
+        found |= {c: b"".join([ids[w] for w in ws]) for c, ws in split.items()}
+        if len(known) + len(found) > REMEMBERED:  # what is met again outlives its generation
+            self.older, self.known = known, {}
+        self.known |= found if max(map(len, found), default=0) <= LONG else {c: x for c, x in found.items() if len(c) <= LONG}
+        return found
+
     def encode(self, texts: list[str | None]):
         """Ids of each text as little-endian unsigned 32-bit integers, in order."""
-        for start, end in text_blocks(texts, 1_000_000):
-            words: list = []
-            ends = [len(words) for t in texts[start:end] if words.extend(self._pieces(t)) is None]
-            got = list(map(self.known.get, words))
-            new = {w for w, ids in zip(words, got) if ids is None}
-            if new:
-                special = {w: w for w in new if isinstance(w, bytes)}
-                new -= special.keys()
-                if len(self.known) + len(new) > REMEMBERED:  # words of the last generation live on if they are met again
-                    self.older, self.known = self.known, {}
-                if again := new & self.older.keys():
-                    self.known |= {w: self.older[w] for w in again}
-                    new -= again
-                self.learn(new)
-                known = self.known | special if special else self.known
-                got = [known[w] if ids is None else ids for w, ids in zip(words, got)]
-            at = 0
-            for end in ends:
-                yield b"".join(got[at:end])
-                at = end
+        for start, end in text_blocks(texts, BLOCK):
+            parts = [self._pieces(t) for t in texts[start:end]]
+            seen = set(chain.from_iterable(parts))
+            known = self.known
+            ids = {c: known[c] for c in seen & known.keys()}
+            if len(ids) < len(seen):
+                ids |= self._look_up(seen - ids.keys())
+            for chunks in parts:
+                yield b"".join(map(ids.__getitem__, chunks))
 
     def decode(self, ids) -> bytes:
         """UTF-8 text of ids: their tokens' strings, parted by single spaces."""
@@ -247,7 +367,9 @@ class WordBpe:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    made = WordBpe(path)
+    gc.freeze()  # the vocabulary stays; the collector need not look through it again
+    return made
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -255,14 +377,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = load(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            done = 0
-            for start, end in text_blocks(texts, 4_000_000):  # keeps output batches small
-                ids = list(bpe.encode(texts[start:end]))
-                out = [bpe.decode(memoryview(x).cast("I")) for x in ids]
-                yield pa.record_batch([batch.column(0).slice(done, end - start), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
-                done = end
+        for batch in small_batches(batches, 1, BLOCK):
+            ids = list(bpe.encode(batch.column(1).to_pylist()))
+            out = [bpe.decode(memoryview(x).cast("I")) for x in ids]
+            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
@@ -272,7 +390,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         bpe = load(path)
-        for batch in batches:
+        for batch in small_batches(batches, 1, BLOCK):
             counts, first, second = [], [], []
             for ids in bpe.encode(batch.column(1).to_pylist()):
                 counts.append(len(ids) // 4)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def small_batches(batches, column: int, most: int = 2_000_000):
+    """Slices of Arrow batches whose texts in ``column`` have about ``most`` bytes; a longer text stands alone."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+        start = size = 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > most:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def text_blocks(texts: list[str | None], most: int = 2_000_000):
     """(start, end) ranges of ``texts`` with about ``most`` characters each; a longer text stands alone."""
     start = size = 0

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyfold.llm import bpe
-from keyfold.llm.common import cut, shared_dir
+from keyfold.llm.common import cut, shared_dir, small_batches
 
 MAGIC, VERSION = b"KFPL", 1
 CHUNK = 1 << 16
@@ -167,9 +167,7 @@ def write(docs: DataFrame, encode: Callable, folder: str, end_id: int, chunk: in
         out = writer = None
         end, docs, first = np.array([end_id], "<u4"), 0, None
         last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small_batches(batches, 1, bpe.BLOCK):
             if writer is None:
                 fs, path = pafs.FileSystem.from_uri(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)

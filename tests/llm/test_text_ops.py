@@ -46,6 +46,31 @@ def test_bpe_equals_the_library():
         assert coder.decode(ids).decode() == decoded
 
 
+def test_bpe_words_of_any_length():
+    """Words around the width of the array operations, with shared prefixes, separators, zero bytes and every script."""
+    coder = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    stem = "".join(rng.choice("abcdeéß漢") for _ in range(200))
+    texts = [stem[:n] + tail for n in range(20, 60) for tail in ("", "x", "ing", "é", "\0", "\0\0")] + [stem[:100] + c for c in "abc"]
+    texts += ["a\x1cb c\x1d!\x1e", "\x1f", "\0", "a\0 a\0\0 a", "x" * 39 + " " + "x" * 40 + " " + "x" * 41 + " " + "x" * 42]
+    for text, raw in zip(texts, coder.encode(texts)):
+        assert list(memoryview(raw).cast("I")) == library(text)[0], text
+    assert max(map(len, coder.known)) <= bpe.LONG
+
+
+def test_bpe_of_one_very_long_word_is_linear():
+    """A million letters without white space: ids as the library's, in a process that grows by less than 500 MB."""
+    import resource
+
+    coder = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    word = "".join(rng.choice("acgtacgtnhe") for _ in range(1_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    raw = next(coder.encode([word]))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert list(memoryview(raw).cast("I")) == library(word)[0]
+
+
 def test_bpe_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     coder = bpe.WordBpe(P.path("word_bpe_49k.json"))
