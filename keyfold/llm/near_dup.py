@@ -16,26 +16,34 @@ probability equal to the weighted Jaccard index, without bias.
 
 Search. Equal multisets are one class first (heavy ones by broadcast). Class
 representatives meet in the buckets of ``BANDS`` bands of ``ROWS`` components.
-Within a bucket no all-pairs join takes place: members are compared with a
-pivot, the member that meets most others over all its buckets. Members that
-fail go on to the next round, with twice as many pivots, and so do members that
-pass but, by the triangle inequality of the Jaccard distance, may still be near
-one that failed. After the first round, those that are still open meet in
-the buckets of a steeper, longer signature (``FINE_BANDS`` of ``FINE_ROWS``
-components) instead: texts that share a common passage only part there, so that
-the rounds end soon. Members that links from any bucket connect already are not
-compared with each other. So no connection within a bucket of the first
-round is lost but by the second signature's small miss rate, a bucket
-of near copies of any size takes one comparison a member, and the rounds end
-when no bucket has open members of two components.
-
-Classes are the connected components over verified links, found by spreading
-the smallest id along links and then jumping pointers, a table per round.
+Within a bucket no all-pairs join takes place: members are compared with one
+pivot, the member that meets most others over all its buckets. A bucket is
+settled if its members are connected by links then. By the triangle inequality
+of the Jaccard distance, so is a member that is near the pivot but cannot be
+near any that is not.
+
+Members left open are searched exactly, by prefixes. Their shingles (the k-th
+occurrence of one counts apart) are put in one order, rare ones first. Of two
+multisets at the threshold, the first ``n - ceil(0.8 n) + 1`` shingles of the
+larger and the first ``n - ceil(8/9 n) + 1`` of the smaller have one in common.
+Texts that share a common passage but little else have other shingles there,
+so they never meet. Two that have a shingle first in common share no more than
+what stands from it on; a member for which that is too little with any other
+leaves. The rest are compared with pivots again, small ones first and ever
+more a round, but only with pivots of another component; a shingle is settled
+when one component is left, or when all members whose short prefix holds it
+were pivots. So no link between members of a bucket is lost, unless
+its ends are connected already.
+
+Verification is the exact overlap of the multisets. Classes are the connected
+components over verified links, found by spreading the smallest fingerprint
+along links and then jumping pointers, a table per round.
 
 Edge cases: a text of one to four words is one shingle; texts without words
 are near only to equal texts; null counts as empty; rows that share a doc_id
 are one document (if their texts differ, one class joins them); a row with a
-null doc_id takes no part and gets a null class; extra columns do not matter.
+null doc_id gets a null class, but ``dedup`` knows it for a copy by its text;
+extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -46,17 +54,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from keyfold.llm.common import cut, drop_ids, group_pick, mix64, only_ids, small_enough, text_blocks
+from keyfold.llm.common import cut, drop_ids, group_pick, mix64, small_batches, small_enough
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 0.9996.
 BANDS, ROWS = 26, 6
-#: Of the signature for members whose buckets are still open after a round; a pair at the threshold shares a band with probability 0.9992.
-FINE_BANDS, FINE_ROWS = 100, 12
-#: Members of a pivot that one streamed group holds.
-SALT_ROWS = 4096
+#: Members of a pivot that one salted group holds.
+SALT_ROWS = 512
+#: Rows up to which a table is broadcast.
+FEW = 100_000
 #: Characters that a Python worker handles at once, unless one text is longer.
 BLOCK = 500_000
 
@@ -67,15 +76,20 @@ _IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _BASE = _U(0x5851F42D4C957F2D)
 _BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
 _PLACE = mix64(np.arange(11, 11 + WORDS, dtype=_U)) | _U(1)
+#: Powers that are kept; those of longer blocks are worked out anew.
+KEPT = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     """The first n powers of ``base`` modulo 2^64."""
     if name not in _powers or len(_powers[name]) < n:
-        out = np.full(max(n, 1 << 19), base, _U)
+        out = np.full(max(n, KEPT), base, _U)
         out[0] = 1
-        _powers[name] = np.multiply.accumulate(out)
+        out = np.multiply.accumulate(out)
+        if n > KEPT:
+            return out
+        _powers[name] = out
     return _powers[name][:n]
 
 
@@ -170,146 +184,203 @@ def fingerprints(texts: list[str | None], doc: np.ndarray, h: np.ndarray, count:
     return [f"{sums[0][i]:016x}{sums[1][i]:016x}" if has[i] else blake2b((t or "").encode("utf-8", "replace"), digest_size=15).hexdigest() for i, t in enumerate(texts)]
 
 
-def _signed(docs: DataFrame, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
-    block = max(1, BLOCK * BANDS * ROWS // (n_bands * n_rows))
+def _signed(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and bands (null without words) of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1, BLOCK):
             texts = batch.column(1).to_pylist()
-            for start, end in text_blocks(texts, block):
-                part = texts[start:end]
-                doc, h, count = multisets(part)
-                keys = fingerprints(part, doc, h, count)
-                found = bands(signatures(doc, h, count, len(part), n_bands * n_rows), n_bands, n_rows)
-                has = np.bincount(doc, minlength=len(part)) > 0
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(has * n_bands)).astype(np.int32), pa.array(found[has].ravel()))
-                yield pa.record_batch([batch.column(0).slice(start, end - start), pa.array(keys, pa.string()), lists], names=["doc_id", "fp", "bands"])
+            doc, h, count = multisets(texts)
+            keys = fingerprints(texts, doc, h, count)
+            has = np.bincount(doc, minlength=len(texts)) > 0
+            found = bands(signatures(doc, h, count, len(texts)))
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(has * BANDS)).astype(np.int32), pa.array(found[has].ravel()), mask=pa.array(~has))
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.string()), lists], names=["doc_id", "fp", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp string, bands array<long>")
 
 
-def _compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Exact similarity of each (pivot, doc_id) pair.
+def _elements(docs: DataFrame) -> DataFrame:
+    """fingerprint, and a hash of every shingle with the number of its occurrence, of each row: overlaps of multisets become those of sets."""
 
-    A pivot's members are streamed past it, in salted groups of bounded size:
-    one pivot's multiset is in memory at a time, and a pivot with many members
-    is dealt to many tasks.
+    def run(batches):
+        for batch in small_batches(batches, 0, BLOCK):
+            texts = batch.column(0).to_pylist()
+            doc, h, count = multisets(texts)
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            each = mix64(np.repeat(h, count) + nth.astype(_U) * _U(0x9E3779B97F4A7C15))
+            sizes = np.bincount(doc, count, minlength=len(texts)).astype(np.int64)
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(each.view(np.int64)))
+            yield pa.record_batch([pa.array(fingerprints(texts, doc, h, count), pa.string()), lists], names=["fp", "elements"])
+
+    return docs.select("text").mapInArrow(run, "fp string, elements array<long>")
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """pivot, fp and similarity of each pair; of pairs whose sizes rule the threshold out, a bound of it.
+
+    A pivot with many members is dealt to many salted groups.
     """
-    texts = cut(only_ids(docs.select(F.col("doc_id").cast("long"), "text"), pairs.select("doc_id").union(pairs.select("pivot"))).dropDuplicates(["doc_id"]))
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts"))
-    left = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("salt"), "doc_id").join(texts, "doc_id").select("pivot", "salt", F.lit(1).alias("kind"), "doc_id", "text")
-    right = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).join(texts.withColumnRenamed("doc_id", "pivot"), "pivot").select("pivot", "salt", F.lit(0).alias("kind"), F.col("pivot").alias("doc_id"), "text")
-    rows = left.unionByName(right).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "kind")
+    hot = cut(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS).select("pivot", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("parts")))
+    hot = small_enough(hot, FEW)
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(hot, "pivot", "left").select("pivot", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("salt"), "fp").join(sets, "fp")
+    pivots = pairs.select("pivot").distinct().join(hot, "pivot", "left").select("pivot", parts.alias("parts")).join(sets.select(F.col("fp").alias("pivot"), F.col("elements").alias("others")), "pivot")
+    right = pivots.select("pivot", "others", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    a, b = F.size("elements"), F.size("others")
+    both = F.size(F.array_intersect("elements", "others"))
+    bound = F.least(a, b) / F.greatest(a, b)
+    return left.join(right, ["pivot", "salt"]).select("pivot", "fp", F.when(bound < threshold, bound).otherwise(both / (a + b - both)).alias("sim"))
 
-    def run(batches):
-        held = None  # (pivot, hashes, counts)
-        for batch in batches:
-            pivot, kind, ids, texts = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
-            out: list[tuple[int, int, float]] = []
-            for start, end in text_blocks(texts, BLOCK):
-                doc, h, count = multisets(texts[start:end])
-                at = np.searchsorted(doc, np.arange(end - start + 1))
-                for i in range(start, end):
-                    mine = slice(at[i - start], at[i - start + 1])
-                    if kind[i] == 0:
-                        held = (pivot[i], h[mine].copy(), count[mine].copy())
-                    elif held and held[0] == pivot[i]:
-                        _, there, here = np.intersect1d(held[1], h[mine], assume_unique=True, return_indices=True)
-                        both = int(np.minimum(held[2][there], count[mine][here]).sum())
-                        out.append((pivot[i], ids[i], both / max(1, int(held[2].sum()) + int(count[mine].sum()) - both)))
-            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["pivot", "doc_id", "sim"])
-
-    return rows.mapInArrow(run, "pivot long, doc_id long, sim double")
+
+def _parts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the component of each fp as ``part``."""
+    known = small_enough(components(links).withColumnRenamed("class_id", "part"), FEW)
+    return rows.join(known, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
 
 
 def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (pivot, doc_id) between representatives, enough to connect all that any bucket links."""
-    links = docs.sparkSession.createDataFrame([], "pivot long, doc_id long, sim double")
-    open_ = reps.select("doc_id", F.explode("bands").alias("bucket"), F.col("doc_id").alias("part"))
-    rows, n_links = reps.count() * BANDS, 0
-    pivots, fine = 1, False
+    """Verified links (pivot, fp) between representatives (fp, id, bands), enough to connect all that any bucket links."""
+    open_ = reps.select("fp", F.explode("bands").alias("bucket"))
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = cut(open_.join(sizes, "bucket"))
+    rows = open_.count()
+    if not rows:
+        return docs.sparkSession.createDataFrame([], "pivot string, fp string")
+    # Whole multisets are read again only of representatives that share a bucket.
+    members = cut(open_.groupBy("fp").agg(F.sum("n").alias("met")), rows)
+    wanted = cut(reps.join(members.select("fp"), "fp", "left_semi").select(F.col("id").alias("__want")).distinct(), rows)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = texts.join(small_enough(wanted, FEW), F.col("doc_id").eqNullSafe(F.col("__want")), "left_semi")
+    sets = cut(_elements(texts).join(small_enough(members.select("fp"), FEW), "fp", "left_semi").dropDuplicates(["fp"]))
+
+    # The member that meets most others over all its buckets is likeliest to be near them all.
+    open_ = cut(open_.join(members, "fp").select("bucket", "fp", F.struct((-F.col("met")).alias("a"), F.col("fp").alias("b")).alias("order")), rows)
+    met = open_.join(open_.groupBy("bucket").agg(F.min("order.b").alias("low"), F.min("order").alias("head")), "bucket").select("bucket", F.col("head.b").alias("pivot"), "fp")
+    met = cut(met.where("fp <> pivot"), rows)
+    seen = cut(_compare(cut(met.select("pivot", "fp").distinct(), rows), sets, threshold), rows)
+    links = cut(seen.where(F.col("sim") >= threshold).select("pivot", "fp"), rows)
+    # Open: members that are not near their pivot, and near ones that may be near one of those.
+    known = cut(met.join(seen, ["pivot", "fp"]), rows)
+    reach = known.where(F.col("sim") < threshold).groupBy("bucket").agg(F.max("sim").alias("reach"))
+    left = known.join(reach, "bucket").where((F.col("sim") < threshold) | (F.col("sim") - F.col("reach") <= 1 - threshold + 1e-9))
+    left = cut(_parts(left.select("bucket", "fp"), links), rows)
+    mixed = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    left = cut(left.join(mixed, "bucket", "left_semi").select("fp", "part").distinct(), rows)
+    n = left.count()
+    return _exact(left, n, cut(sets.join(small_enough(left.select("fp"), FEW), "fp", "left_semi")), links, threshold) if n else links
+
+
+def _exact(left: DataFrame, n_left: int, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """``links`` and those found between the members of ``left`` (fp, part), by shared shingles of their prefixes."""
+    each = sets.select("fp", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    # Shingles of one member alone come first in every order; only their number matters.
+    usual = small_enough(cut(each.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")), FEW)
+    n, ordered = F.col("n"), F.sort_array(F.collect_list(F.struct("df", "element")))
+    alone, share = n - F.size("list"), threshold / (1 + threshold)
+    long = n - F.ceil(n * threshold - 1e-9) + 1 - alone
+    short = n - F.ceil(n * 2 * share - 1e-9) + 1 - alone
+    lists = each.join(usual, "element").groupBy("fp", "n").agg(ordered.alias("list")).where(long > 0)
+    open_ = lists.select("fp", "n", F.size("list").alias("listed"), short.alias("short"), F.posexplode(F.slice("list", F.lit(1), long.cast("int"))))
+    open_ = cut(open_.select("fp", "n", F.col("col.element").alias("element"), (F.col("pos") < F.col("short")).alias("leads"), (F.col("listed") - F.col("pos")).alias("rest")))
+    pivots = 1
     while True:
-        # A bucket whose open members are all connected already has nothing left to find.
-        sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket", "n")
-        open_ = cut(open_.join(sizes, "bucket"), rows)
+        open_ = cut(_parts(open_.drop("part"), links))
+        live = open_.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("n").alias("least"), F.min(F.when(F.col("leads"), n)).alias("least_lead"))
+        # Two that have this shingle first in common share no more than what stands from it on: too little with any partner, and the row can go.
+        enough = F.col("rest") >= share * (n + F.when(F.col("leads"), F.col("least")).otherwise(F.col("least_lead"))) - 1e-9
+        open_ = cut(open_.join(live.where("low <> high and least_lead is not null"), "element").where(enough).select(*open_.columns))
         rows = open_.count()
         if not rows:
             return links
-        # The member that meets most others over all its buckets is likeliest to be near them all.
-        reach = open_.groupBy("doc_id").agg(F.sum("n").alias("met"))
-        ranked = cut(open_.join(reach, "doc_id").select("bucket", "doc_id", "part", F.struct((-F.col("met")).alias("a"), "doc_id").alias("order")), rows)
+        first = F.struct("n", "fp", "rest", "part")
+        leads = open_.where("leads").select("element", first.alias("p"))
         if pivots == 1:
-            heads = ranked.groupBy("bucket").agg(F.min(F.struct("order", "part")).alias("head")).select("bucket", F.col("head.order.doc_id").alias("pivot"), F.col("head.part").alias("pivot_part"))
+            heads = leads.groupBy("element").agg(F.min("p").alias("p"))
         else:
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("order"))
-            heads = ranked.withColumn("rank", rank).where(F.col("rank") <= pivots).select("bucket", F.col("doc_id").alias("pivot"), F.col("part").alias("pivot_part"))
-        heads = cut(heads, rows)
-        met = cut(ranked.join(heads, "bucket").where("part <> pivot_part").select("bucket", "pivot", "doc_id"), rows * pivots)
-        n_met = met.count()
-        seen = cut(_compare(cut(met.select("pivot", "doc_id").distinct(), n_met), docs))
-        n_links += seen.where(F.col("sim") >= threshold).count()
-        links = cut(links.unionByName(seen.where(F.col("sim") >= threshold)), n_links)
-        # Who is still open: members near no pivot of their bucket, and members that may be near one of those.
-        known = met.join(seen, ["pivot", "doc_id"])
-        heads_only = heads.select("bucket", F.col("pivot").alias("doc_id"))
-        others = ranked.select("bucket", "doc_id").join(heads_only, ["bucket", "doc_id"], "left_anti")
-        best = cut(known.groupBy("bucket", "doc_id").agg(F.max(F.struct("sim", "pivot")).alias("top")).select("bucket", "doc_id", F.col("top.sim").alias("sim"), F.col("top.pivot").alias("pivot")), n_met)
-        nearest = known.where(F.col("sim") < threshold).groupBy("bucket", "pivot").agg(F.max("sim").alias("reach"))
-        done = best.where(F.col("sim") >= threshold).join(nearest, ["bucket", "pivot"], "left").where(F.col("reach").isNull() | (F.col("sim") - F.col("reach") > 1 - threshold + 1e-9)).select("bucket", "doc_id")
-        part = components(links.select("pivot", "doc_id")).withColumnRenamed("class_id", "part")
-        left = others.join(done, ["bucket", "doc_id"], "left_anti").join(part, "doc_id", "left")
-        open_ = cut(left.select("doc_id", "bucket", F.coalesce("part", "doc_id").alias("part")), rows)
-        if fine:
-            pivots *= 4
-        else:  # later rounds compare only the members that are open now, so they read those texts alone
-            open_, docs, rows = _finer(open_, docs)
-            fine = True
-
-
-def _finer(open_: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """The members of buckets with open members of two components, in the buckets of the steeper signature; their texts; the number of (member, bucket) rows."""
-    mixed = open_.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
-    members = cut(open_.join(mixed, "bucket", "left_semi").select("doc_id", "part").distinct())
-    n = members.count()
-    texts = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), members.select("doc_id"))
-    texts = cut(texts.repartition(min(10_000, 1 + n // 256), "doc_id").dropDuplicates(["doc_id"]))
-    # Long texts cost most: deal them out again by their number, not by the bytes of their files.
-    signed = cut(_signed(texts.repartition(min(10_000, 1 + n // 256), "doc_id"), FINE_BANDS, FINE_ROWS).select("doc_id", "bands"))
-    return signed.join(members, "doc_id").select("doc_id", F.explode("bands").alias("bucket"), "part"), texts, n * FINE_BANDS
+            heads = leads.withColumn("rank", F.row_number().over(Window.partitionBy("element").orderBy("p"))).where(F.col("rank") <= pivots)
+        heads = cut(heads.select("element", *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("n", "fp", "rest", "part")]), rows)
+        near = (F.col("part") != F.col("pivot_part")) & (F.least("rest", "pivot_rest") >= share * (n + F.col("pivot_n")) - 1e-9)
+        pairs = cut(open_.join(heads, "element").where(near).select(F.col("pivot_fp").alias("pivot"), "fp").distinct())
+        found = _compare(pairs, sets, threshold).where(F.col("sim") >= threshold).select("pivot", "fp")
+        links = cut(links.unionByName(found))
+        open_ = open_.join(heads.select("element", F.col("pivot_fp").alias("fp")), ["element", "fp"], "left_anti")
+        pivots *= 8
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, class_id) of the ends of ``links`` (pivot, doc_id): the smallest id of the connected component."""
+    """(fp, class_id) of the ends of ``links`` (pivot, fp): the smallest name of the connected component."""
     links = cut(links)
     ends = 2 * links.count()
-    edges = cut(links.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).union(links.select("doc_id", "pivot")).distinct(), ends)
-    label = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("doc_id"), F.col("c").alias("class_id")), ends)
-    while True:
-        near = edges.join(label.select(F.col("doc_id").alias("b"), F.col("class_id").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        low = label.join(near, F.col("doc_id") == F.col("a")).select("doc_id", F.col("class_id").alias("was"), F.least("class_id", "c").alias("class_id"))
-        up = low.select(F.col("doc_id").alias("class_id"), F.col("class_id").alias("up"))
-        new = cut(low.join(up, "class_id", "left").select("doc_id", "was", F.least("class_id", F.coalesce("up", "class_id")).alias("class_id")), ends)
-        label = new.select("doc_id", "class_id")
+    edges = cut(links.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).union(links.select("fp", "pivot")).distinct(), ends)
+    label = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("fp"), F.col("c").alias("class_id")), ends)
+    while ends:
+        near = edges.join(label.select(F.col("fp").alias("b"), F.col("class_id").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        low = label.join(near, F.col("fp") == F.col("a")).select("fp", F.col("class_id").alias("was"), F.least("class_id", "c").alias("class_id"))
+        up = low.select(F.col("fp").alias("class_id"), F.col("class_id").alias("up"))
+        new = cut(low.join(up, "class_id", "left").select("fp", "was", F.least("class_id", F.coalesce("up", "class_id")).alias("class_id")), ends)
+        label = new.select("fp", "class_id")
         if new.where("was <> class_id").isEmpty():
-            return label
+            break
+    return label
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_copies (rows of the same multiset), n_links (verified links of its multiset; links within a connected group are not all looked for)."""
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, fp, n_copies, class_id and class_fp (one fingerprint of the class) of every row; a written table."""
     signed = cut(_signed(docs))
-    rows = cut(group_pick(signed.where("doc_id is not null"), "fp", F.min("doc_id")).select("doc_id", F.col("__pick").alias("rep"), F.col("__size").alias("n_copies"), "fp", F.when(F.col("doc_id") == F.col("__pick"), F.col("bands")).alias("bands")))
-    reps = rows.where("doc_id = rep and bands is not null").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    links = cut(_links(cut(reps), docs, threshold))
-    # Rows of one doc_id with different texts stand in several classes: those are joined through the id.
-    odd = rows.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select(F.col("x").alias("pivot"), F.col("y").alias("doc_id"))
-    found = components(links.select("pivot", "doc_id").unionByName(odd))
-    degree = links.select(F.explode(F.array("pivot", "doc_id")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    per_rep = small_enough(cut(found.withColumnRenamed("doc_id", "rep").join(degree, "rep", "left")))
-    out = rows.join(per_rep, "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    lost = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(lost)
+    rows = cut(group_pick(signed, "fp", F.min("doc_id")).select("doc_id", "fp", F.col("__pick").alias("id"), F.col("__size").alias("n_copies"), F.when(F.col("doc_id").eqNullSafe(F.col("__pick")), F.col("bands")).alias("bands")))
+    reps = cut(rows.where("bands is not null").select("fp", "id", "bands").dropDuplicates(["fp"]))
+    links = _links(reps, docs, threshold)
+    # Texts that share a doc_id are linked through it.
+    odd = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("pivot"), F.max("fp").alias("high")).where("pivot <> high").select("doc_id", "pivot")
+    odd = rows.select("doc_id", "fp").join(small_enough(cut(odd), FEW), "doc_id").where("fp <> pivot").select("pivot", "fp")
+    found = components(links.unionByName(odd)).withColumnRenamed("class_id", "part")
+    # Of texts in a class of several, the smallest id of the class; all others have their own.
+    member = cut(found.join(rows.groupBy("fp").agg(F.min("id").alias("id")), "fp"))
+    named = member.select("fp", "part").join(small_enough(cut(member.groupBy("part").agg(F.min("id").alias("low"))), FEW), "part")
+    out = rows.join(small_enough(cut(named), FEW), "fp", "left")
+    return cut(out.select("doc_id", "fp", "n_copies", F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("low")).alias("class_id"), F.coalesce("part", "fp").alias("class_fp")))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest id of its class), n_copies (rows of the same multiset)."""
+    return _classes(docs, threshold).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_copies")
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest doc_id; all columns kept."""
-    return drop_ids(docs, near_classes(docs, threshold).where("doc_id <> class_id").select("doc_id"))
+    """``docs`` with one row of each class, one of its smallest doc_id; all columns kept.
+
+    Rows that a doc_id does not tell apart (null or repeated ids) are looked at
+    again with their texts, so that of them, too, one row a class is left; of
+    classes with null ids alone, one row as well.
+    """
+    rows = _classes(docs, threshold)
+    out = drop_ids(docs, rows.where("doc_id <> class_id").select("doc_id"))
+    again = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__again")))
+    if again.isEmpty():
+        return out
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    one = F.first(F.struct(*cols)).alias("__row")
+    again = small_enough(again, FEW)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__again"))
+    odd = out.join(again, same, "left_semi")
+    named = odd.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(one).select("__row.*")
+    nameless = cut(rows.where("doc_id is null and class_id is null").select("fp", "class_fp").distinct())
+    print_of = "__fp"
+    while print_of in docs.columns:
+        print_of += "_"
+    others = _with_print(odd.where("doc_id is null"), print_of).join(small_enough(nameless, FEW), F.col(print_of) == F.col("fp"))
+    others = others.groupBy(F.col("class_fp").alias("__id")).agg(one).select("__row.*")
+    return out.join(again, same, "left_anti").unionByName(named).unionByName(others)
+
+
+def _with_print(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of its text as column ``name``."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in small_batches(batches, at, BLOCK):
+            texts = batch.column(at).to_pylist()
+            yield batch.append_column(name, pa.array(fingerprints(texts, *multisets(texts)), pa.string()))
+
+    return docs.mapInArrow(run, StructType(docs.schema.fields).add(name, "string"))

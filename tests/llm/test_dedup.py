@@ -118,6 +118,44 @@ def test_large_group_takes_several_rounds(spark):
     assert got[1005][1] == 201
 
 
+def test_open_members_are_searched_exactly(spark):
+    """Texts around a long common passage, near in pairs or not at all, and copies with random edits whose original is missing."""
+    rng = random.Random(11)
+    passage, base, rows = [f"p{k}" for k in range(160)], [f"q{k}" for k in range(120)], []
+    for k in range(120):
+        rows.append((k, " ".join([f"own{k}x{j}" for j in range(rng.randint(2, 60))] + passage)))
+    for k in range(120, 200):
+        t = list(base)
+        for _ in range(rng.randint(1, 4)):
+            t[rng.randrange(len(t))] = f"edit{rng.random()}"
+        rows.append((k, " ".join(t)))
+    expected = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in near_dup.near_classes(table(spark, rows)).collect()}
+    assert got == expected and 20 < len(set(expected.values())) < 180
+
+
+def test_recall_against_all_pairs(spark):
+    """All pairs at the threshold: at least 0.9 of them are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    classes = {r.doc_id: r.class_id for r in near_dup.near_classes(docs).collect()}
+    bags, holders = {i: bag(t) for i, t in rows.items()}, {}
+    for i, b in bags.items():
+        for s in b:
+            holders.setdefault(s, set()).add(i)
+    found = [classes[i] == classes[j] for i in bags for j in set().union(*[holders[s] for s in bags[i]]) if j < i and similarity(bags[i], bags[j]) >= 0.8]
+    assert len(found) > 50 and sum(found) >= 0.9 * len(found)
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    keep = lambda rows: sorted((r.doc_id or -1, r.text or "", r.lang) for r in near_dup.dedup(table(spark, rows)).collect())
+    assert keep([(1, a), (1, a), (2, a), (None, a)]) == [(1, a, "en")]
+    assert keep([(None, b), (None, b), (None, b + " more"), (None, a)]) in ([(-1, a, "en"), (-1, b, "en")], [(-1, a, "en"), (-1, b + " more", "en")])
+    assert [x[0] for x in keep([(5, a), (5, b), (9, b), (None, b + " tail"), (7, "alone"), (None, "")])] == [-1, 5, 7]
+    assert keep([(3, None), (3, ""), (None, None)]) in ([(3, "", "en")],)
+
+
 def test_near_null_and_repeated_ids(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     got = near_dup.near_classes(table(spark, [(1, a), (2, b), (2, a), (None, a), (3, b), (4, "other words stand here alone")])).collect()
