@@ -21,12 +21,14 @@ SUPPORT = 1 / 512
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made.
+    Only where the setting is absent and all runs on one machine (tests) a temporary folder is made.
     """
     sc = spark.sparkContext
     if found := sc.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='keyfold-')}")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

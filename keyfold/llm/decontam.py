@@ -18,7 +18,8 @@ text, and distinct shared shingles counted per document and item.
 Edge cases: an item of one to four words is one shingle of its own length, and
 documents post shingles of such lengths only if an item has one; items without
 words match nothing; a null text is empty; repeated rows of one doc_id count
-as one document; rows with a null doc_id are searched and reported under null;
+as one document; rows with a null doc_id are searched and reported under null, and
+``decontaminate`` drops those that hold an item;
 equal items are each reported; extra columns do not matter.
 """
 
@@ -95,8 +96,19 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that hold an item; all columns kept."""
-    return drop_ids(docs, contaminated(docs, items, n, threshold))
+    """``docs`` without the documents that hold an item; all columns kept. Rows without an id are judged by their texts."""
+    known = docs.where("doc_id is not null")
+    out = drop_ids(known, contaminated(known, items, n, threshold))
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return out
+    key = "__text"
+    while key in docs.columns:
+        key += "_"
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    bad = contaminated(nameless.select(digest.alias("doc_id"), "text").dropDuplicates(["doc_id"]), items, n, threshold)
+    bad = small_enough(cut(bad.select(F.col("doc_id").alias(key)).distinct()))
+    return out.unionByName(nameless.join(bad, digest == F.col(key), "left_anti"))
 
 
 ORACLE_SQL = """

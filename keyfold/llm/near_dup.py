@@ -54,7 +54,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from keyfold.llm.common import cut, drop_ids, group_pick, mix64, small_batches, small_enough
@@ -64,6 +64,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 6
 #: Members of a pivot that one salted group holds.
 SALT_ROWS = 512
+#: Narrow rows whose work equals that of comparing two multisets.
+HEAVY = 20
 #: Rows up to which a table is broadcast.
 FEW = 100_000
 #: Characters that a Python worker handles at once, unless one text is longer.
@@ -258,7 +260,7 @@ def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     open_ = cut(open_.join(members, "fp").select("bucket", "fp", F.struct((-F.col("met")).alias("a"), F.col("fp").alias("b")).alias("order")), rows)
     met = open_.join(open_.groupBy("bucket").agg(F.min("order.b").alias("low"), F.min("order").alias("head")), "bucket").select("bucket", F.col("head.b").alias("pivot"), "fp")
     met = cut(met.where("fp <> pivot"), rows)
-    seen = cut(_compare(cut(met.select("pivot", "fp").distinct(), rows), sets, threshold), rows)
+    seen = cut(_compare(cut(met.select("pivot", "fp").distinct(), rows), sets, threshold), rows * HEAVY)
     links = cut(seen.where(F.col("sim") >= threshold).select("pivot", "fp"), rows)
     # Open: members that are not near their pivot, and near ones that may be near one of those.
     known = cut(met.join(seen, ["pivot", "fp"]), rows)
@@ -267,12 +269,11 @@ def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     left = cut(_parts(left.select("bucket", "fp"), links), rows)
     mixed = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     left = cut(left.join(mixed, "bucket", "left_semi").select("fp", "part").distinct(), rows)
-    n = left.count()
-    return _exact(left, n, cut(sets.join(small_enough(left.select("fp"), FEW), "fp", "left_semi")), links, threshold) if n else links
+    return links if left.isEmpty() else _exact(cut(sets.join(small_enough(left.select("fp"), FEW), "fp", "left_semi")), links, threshold)
 
 
-def _exact(left: DataFrame, n_left: int, sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """``links`` and those found between the members of ``left`` (fp, part), by shared shingles of their prefixes."""
+def _exact(sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """``links`` and those found between the members that ``sets`` has, by shared shingles of their prefixes."""
     each = sets.select("fp", F.size("elements").alias("n"), F.explode("elements").alias("element"))
     # Shingles of one member alone come first in every order; only their number matters.
     usual = small_enough(cut(each.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")), FEW)
@@ -383,4 +384,4 @@ def _with_print(docs: DataFrame, name: str) -> DataFrame:
             texts = batch.column(at).to_pylist()
             yield batch.append_column(name, pa.array(fingerprints(texts, *multisets(texts)), pa.string()))
 
-    return docs.mapInArrow(run, StructType(docs.schema.fields).add(name, "string"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))

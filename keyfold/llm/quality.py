@@ -11,8 +11,9 @@ Scoring uses tables: the embedding and a filter's weights for a pair of bytes
 are multiplied out once, so a response is three table rows and a sum.
 
 The network is fitted by gradient descent on about ``PER_CLASS`` labelled rows
-of each class; in each pass over them it sees a random few chunks of each text,
-but every text is scored over all its chunks.
+of each class, and sees all chunks of each text, as it does in scoring. Without
+the plane of repetitions it had 0.98 of held-out labels right instead of 0.99
+and more: filters of six bytes under a maximum cannot see what is far apart.
 
 Edge cases: an empty or null text is one empty chunk and gets a score; with no
 labels, or one class only, the score is the rate of label 1; labels that
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import fold_of, text_blocks
+from keyfold.llm.common import fold_of, small_batches
 from keyfold.llm.toxicity import labelled
 
 #: Labelled rows of a class that the network is fitted on.
@@ -142,7 +143,7 @@ class Network:
         return g
 
 
-def fit(texts: list[str], labels: list[int], rate: float, passes: int = 8, per_text: int = 3, seed: int = 3) -> Network:
+def fit(texts: list[str], labels: list[int], rate: float, passes: int = 6, seed: int = 3) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed)
     if len(set(labels)) < 2:
         net.constant = rate
@@ -156,7 +157,7 @@ def fit(texts: list[str], labels: list[int], rate: float, passes: int = 8, per_t
         order = rng.permutation(len(y))
         for k in range(0, len(y), 32):
             docs = order[k : k + 32]
-            chosen = [[parts[d][i] for i in sorted(rng.choice(len(parts[d]), min(per_text, len(parts[d])), replace=False))] for d in docs]
+            chosen = [parts[d] for d in docs]
             owner = np.repeat(np.arange(len(docs)), [len(c) for c in chosen])
             x, valid = pack([c for cs in chosen for c in cs])
             g, t = net.step(x, valid, owner, y[docs], share[docs] / len(docs)), t + 1
@@ -181,10 +182,9 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 def _scorer(shared):
     def run(batches):
         tables = shared.value.tables()
-        for batch in batches:
+        for batch in small_batches(batches, 1, 500_000):
             texts = batch.column(1).to_pylist()
-            out = [shared.value.score(texts[a:b], tables) for a, b in text_blocks(texts, 500_000)]
-            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(shared.value.score(texts, tables), pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -202,9 +202,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches):
         tables = shared.value.tables()
-        for batch in batches:
+        for batch in small_batches(batches, at, 500_000):
             texts = batch.column(at).to_pylist()
-            out = [shared.value.score(texts[a:b], tables) for a, b in text_blocks(texts, 500_000)]
-            yield batch.filter(pa.array((np.concatenate(out) if out else np.zeros(0)) >= threshold))
+            yield batch.filter(pa.array(shared.value.score(texts, tables) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

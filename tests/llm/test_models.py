@@ -143,3 +143,83 @@ def test_toxicity_repeating_a_word_hides_no_other():
     one, many = m.evidence(["you zork now then blarg", "you zork now " * 40 + "then blarg"])
     at = 2 + len(toxicity.WINDOWS)
     assert np.allclose(one[at:], many[at:])
+
+
+def test_toxicity_against_brute_force_kneser_ney():
+    """The whole text's evidence is the mean log ratio of two bigram models worked out by dictionaries."""
+    from collections import Counter
+    from math import log
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a b c d e f g h".split()) for _ in range(rng.randint(1, 30))) for _ in range(60)] + ["bad worse bad worse a b"] * 3
+    labels = [int("bad" in t or rng.random() < 0.4) for t in texts]
+    model = toxicity._estimate(texts, np.array(labels))
+    grams, types = [], []
+    for c in (0, 1):
+        own = {t for t, y in zip(texts, labels) if y == c}
+        grams.append(Counter((u, w) for t in own for u, w in zip(["<s>", *t.split()], t.split())))
+        types.append(Counter(w for _, w in grams[c]))
+    words = {w for t in texts for w in t.split()}
+    size = len(words) + 1
+
+    def discount(counts):
+        n = [max(1, sum(v == k for v in counts.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [min(0.9 * k, max(0.3 * k, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
+        return lambda v: d[min(v, 3) - 1] if v else 0.0
+
+    follow = Counter(w for _, w in {*grams[0], *grams[1]})
+    shared = {w: max(follow[w] - 0.75, 0) / sum(follow.values()) for w in words}
+    rest = (1 - sum(shared.values())) / size
+
+    def p(c, u, w):
+        du, d2 = discount({**types[c], **{x: 0 for x in words - types[c].keys()}}), discount(grams[c])
+        total = sum(types[c].values())
+        low = (types[c][w] - du(types[c][w])) / total + sum(map(du, types[c].values())) / total * (shared[w] + rest)
+        after = {x: v for (y, x), v in grams[c].items() if y == u}
+        n = sum(after.values())
+        seen = after.get(w, 0) if grams[0][u, w] + grams[1][u, w] >= 2 else 0  # a bigram that occurs once is left to the totals
+        return low if not n else (seen - d2(seen)) / n + sum(map(d2, after.values())) / n * low
+
+    for t in texts[:20] + ["bad worse a", "h g f e", "worse bad bad"]:
+        w = t.split()
+        steps = [log(p(1, u, x) / p(0, u, x)) for u, x in zip(w, w[1:])]
+        first = model.uni[model.vocab[w[0]]]
+        assert np.isclose(model.evidence([t])[0, 0], (first + sum(steps)) / len(w), atol=1e-6), t
+
+
+def test_quality_score_against_loops():
+    """One probability from loops over chunks, positions and filters."""
+    net = quality.Network(7)
+    net.p["repeat"] += 0.3
+    texts = ["ab" * 40, "The quick brown fox. " * 90, "", "é"]
+    p = net.p
+    for text, got in zip(texts, net.score(texts, net.tables())):
+        pooled = []
+        for chunk in quality.chunks_of(text.encode()):
+            raw = chunk.ljust(quality.CHUNK, b"\0")
+            n = max(0, min(quality.CHUNK // 2 - 2, (len(chunk) + 1) // 2))
+            act = np.zeros((max(n, 1), quality.FILTERS))
+            for k in range(n):
+                at = 2 * k
+                x = np.concatenate([p["embed"][b] for b in raw[at : at + 6]])
+                again = any(at >= lag and raw[at : at + 4] == raw[at - lag : at - lag + 4] for lag in quality.LAGS)
+                act[k] = np.maximum(x @ p["filter"] + p["bias"] + again * p["repeat"], 0)
+            pooled.append(np.maximum(np.concatenate([act.max(axis=0), act.sum(axis=0) / max(1, n)]) @ p["hidden"] + p["hbias"], 0))
+        z = np.concatenate([np.max(pooled, axis=0), np.mean(pooled, axis=0)]) @ p["out"] + p["obias"][0]
+        assert np.isclose(got, 1 / (1 + np.exp(-z)), atol=1e-4)
+
+
+def test_language_decoding_against_loops():
+    """The codeword of least weighted loss, by loops over codewords and bits."""
+    words = {"de": "der und ich nicht schön", "en": "the and not with nice", "fr": "le et ne pas très", "es": "el y no con muy", "it": "il e non che molto"}
+    rng = random.Random(6)
+    make = lambda lang: " ".join(rng.choice(words[lang].split()) for _ in range(12))
+    langs = [x for x in words for _ in range(20)]
+    model = langid.fit([make(x) for x in langs], langs, 60)
+    texts = [make(x) for x in words]
+    losses = model.losses(np.stack([langid.features(t) for t in texts]))
+    for k, t in enumerate(texts):
+        f = [sum(float(a) * float(b) for a, b in zip(langid.features(t), model.weights[:, bit])) + model.bias[bit] for bit in range(model.code.shape[1])]
+        brute = [sum(model.trust[bit] * np.log1p(np.exp(-f[bit] * row[bit])) for bit in range(len(f))) for row in model.code]
+        assert np.allclose(losses[k], brute, atol=1e-4) and model.langs[int(np.argmin(brute))] == list(words)[k]
