@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 
 from keyfold.llm.common import small_batches, text_blocks
 
-#: Chunks whose ids a Python worker remembers in each of two generations, and a quarter of the token pairs.
-REMEMBERED = 200_000
+#: Chunks whose ids an encoder remembers in each of two generations, and a quarter of the token pairs.
+REMEMBERED = 100_000
 #: Characters of the longest chunk that is remembered.
 LONG = 64
 #: Bytes of the longest word whose trie nodes are worked out by array operations.
 WIDE = 40
 #: Characters that are encoded at once, unless one text is longer.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: A rank after all merges.
 NEVER = 1 << 60
 #: White space as Unicode defines it.
@@ -88,7 +88,8 @@ def split_words(text: str) -> list[str]:
 class WordBpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = remembered or REMEMBERED
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -217,7 +218,7 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of distinct words, by their trie; time and memory are linear in the words' bytes."""
-        if len(self.pairs) > 4 * REMEMBERED:
+        if len(self.pairs) > 4 * self.remembered:
             self.pairs.clear()
         order = sorted(words)  # code points sort as their bytes do: the trie in depth-first order
         coded = [w.encode() for w in order]
@@ -343,14 +344,14 @@ class WordBpe:
         ids |= self.learn(alone | (words - ids.keys()))
         found |= ids
         found |= {c: b"".join([ids[w] for w in ws]) for c, ws in split.items()}
-        if len(known) + len(found) > REMEMBERED:  # what is met again outlives its generation
+        if len(known) + len(found) > self.remembered:  # what is met again outlives its generation
             self.older, self.known = known, {}
         self.known |= found if max(map(len, found), default=0) <= LONG else {c: x for c, x in found.items() if len(c) <= LONG}
         return found
 
-    def encode(self, texts: list[str | None]):
+    def encode(self, texts: list[str | None], block: int | None = None):
         """Ids of each text as little-endian unsigned 32-bit integers, in order."""
-        for start, end in text_blocks(texts, BLOCK):
+        for start, end in text_blocks(texts, block or BLOCK):
             parts = [self._pieces(t) for t in texts[start:end]]
             seen = set(chain.from_iterable(parts))
             known = self.known
@@ -366,8 +367,8 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
-    made = WordBpe(path)
+def load(path: str, remembered: int | None = None) -> WordBpe:
+    made = WordBpe(path, remembered)
     gc.freeze()  # the vocabulary stays; the collector need not look through it again
     return made
 

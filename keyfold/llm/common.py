@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +127,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda pad: None
+
+
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def small_batches(batches, column: int, most: int = 2_000_000):
     """Slices of Arrow batches whose texts in ``column`` have about ``most`` bytes; a longer text stands alone."""
     for batch in batches:
@@ -136,6 +153,8 @@ def small_batches(batches, column: int, most: int = 2_000_000):
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+        give_back()
 
 
 def text_blocks(texts: list[str | None], most: int = 2_000_000):

@@ -41,6 +41,8 @@ from keyfold.llm.common import cut, shared_dir, small_batches
 
 MAGIC, VERSION = b"KFPL", 1
 CHUNK = 1 << 16
+#: Characters that are encoded at once, and chunks that the encoder remembers: more than elsewhere, since encoding is nearly all there is to do here.
+BLOCK, REMEMBERED = 4_000_000, 200_000
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -167,7 +169,7 @@ def write(docs: DataFrame, encode: Callable, folder: str, end_id: int, chunk: in
         out = writer = None
         end, docs, first = np.array([end_id], "<u4"), 0, None
         last = None
-        for batch in small_batches(batches, 1, bpe.BLOCK):
+        for batch in small_batches(batches, 1, BLOCK):
             if writer is None:
                 fs, path = pafs.FileSystem.from_uri(name)
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
@@ -215,4 +217,4 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def store(docs: DataFrame, path: str, end_id: int = 1, bits: bool = False) -> DataFrame:
     """Encode ``docs`` with the vocabulary file, write shards to a fresh shared folder, and read them back."""
     folder = f"{shared_dir(docs.sparkSession)}/keyfold-shards-{uuid.uuid4().hex}"
-    return read(write(docs, lambda texts: bpe.load(path).encode(texts), folder, end_id, bits=bits))
+    return read(write(docs, lambda texts: bpe.load(path, REMEMBERED).encode(texts, BLOCK), folder, end_id, bits=bits))
