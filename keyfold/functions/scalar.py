@@ -12,9 +12,15 @@ from pyspark.sql import types as T
 
 
 def java_hash(text: Column) -> Column:
-    """``String.hashCode`` of a string, as int, in built-in functions (characters of the basic plane)."""
+    """``String.hashCode`` of a string, as int, in built-in functions. A character outside the basic plane counts as its two surrogates."""
     units = F.split(text, "")
-    step = lambda h, c: F.pmod(h * 31 + F.ascii(c), F.lit(1 << 32))
+    put = lambda h, unit: F.pmod(h * 31 + unit, F.lit(1 << 32))
+
+    def step(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")  # its code point
+        high, low = F.lit(0xD7C0) + F.shiftright(code, 10), F.lit(0xDC00) + code.bitwiseAND(F.lit(0x3FF))
+        return F.when(code < 0x10000, put(h, code)).otherwise(put(put(h, high), low))
+
     h = F.aggregate(F.filter(units, lambda c: c != ""), F.lit(0).cast("long"), step)
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
 

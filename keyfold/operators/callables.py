@@ -199,9 +199,11 @@ class KeyMemory:
         self.state = self.snapshot = state
         self.dirty, self.ever_persisted = False, state is not None
 
-    def flush(self) -> dict[str, Any]:
-        """What is to be written: the key the first time, the journal, and the snapshot if it changed."""
+    def flush(self, write: Callable[[dict[str, Any]], None] | None = None) -> dict[str, Any]:
+        """What is to be written: the key the first time, the journal, and the snapshot if it changed. If ``write`` fails, nothing is forgotten."""
         out = {"key": not self.ever_persisted, "journal": list(self.journal), "snapshot": self.snapshot if self.dirty else None}
+        if write:
+            write(out)
         self.journal, self.dirty, self.ever_persisted = [], False, True
         return out
 
@@ -247,7 +249,7 @@ def additional_persist(cooldown: float, now: Callable[[Any], float], write: Call
 
     def persist(memory: KeyMemory, record: Any) -> None:
         if memory.last_persist is None or now(record) - memory.last_persist > cooldown:
-            write(memory.flush(), record)
+            memory.flush(lambda out: write(out, record))
             memory.last_persist, memory.hold = now(record), offset(record) + 1
 
     return persist

@@ -42,7 +42,21 @@ def wait_holds(log: DataFrame, n: int) -> DataFrame:
     return place.groupBy(*by).agg(F.max_by(F.struct("__k", "offset"), "__k").alias("__last"), F.max(F.when((F.col("__k") - 1) % n == 0, F.col("offset"))).alias("hold")).where(F.col("__last.__k") % n != 0).select(*by, "hold")
 
 
+def numbered(rows: DataFrame, order: str = "offset", block: int = 65_536) -> DataFrame:
+    """``rows`` with ``at``, their place in their partition by ``order`` (a number), from 0.
+
+    Rows are counted per block of the order, the counts summed over the few
+    blocks before, and places given within blocks: no task takes a whole partition.
+    """
+    blocks = rows.withColumn("__block", F.floor(F.col(order) / block))
+    counts = blocks.groupBy(*PARTITION, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*PARTITION).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*PARTITION, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    within = F.row_number().over(Window.partitionBy(*PARTITION, "__block").orderBy(order)) - 1
+    return blocks.withColumn("__in", within).join(starts, [*PARTITION, "__block"]).withColumn("at", F.col("__from") + F.col("__in")).drop("__block", "__in", "__from")
+
+
 def group_commit(writes: DataFrame, most: int = 256, order: str = "offset") -> DataFrame:
     """Number each partition's writes into transactions of at most ``most``; a transaction's marker is its last offset + 1."""
-    at = F.row_number().over(Window.partitionBy(*PARTITION).orderBy(order)) - 1
-    return writes.withColumn("txn", F.floor(at / most)).groupBy(*PARTITION, "txn").agg(F.count(F.lit(1)).alias("writes"), (F.max(order) + 1).alias("next_offset"))
+    txn = numbered(writes, order).withColumn("txn", F.floor(F.col("at") / most))
+    return txn.groupBy(*PARTITION, "txn").agg(F.count(F.lit(1)).alias("writes"), (F.max(order) + 1).alias("next_offset"))

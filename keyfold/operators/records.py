@@ -37,6 +37,11 @@ def route(log: DataFrame, flows: dict[str, Callable[[DataFrame], DataFrame]]) ->
     return out
 
 
+def explode_events(log: DataFrame, events: Column) -> DataFrame:
+    """One row for each event of a record, in their order: the log's columns, ``index`` and ``event``. A record without events gives none, but still advances the offset (next_offsets of the log)."""
+    return log.select("*", F.posexplode(events).alias("index", "event"))
+
+
 def identity_partition(partition: Column) -> Column:
     return partition
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyfold.functions.scalar import Compressor, java_hash, key_partition
-from keyfold.operators import commit, fold, records, timers
+from keyfold.functions.scalar import Compressor, java_hash, journal_events, key_partition, payload_as
+from keyfold.operators import callables, commit, fold, records, timers
 from keyfold.sources import tables
 from keyfold.sources.log import compacted, events_log, orders_log, table
 from keyfold.streaming import engine
@@ -69,24 +69,34 @@ def commit_on_revoke(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commit.commit_on_revoke(keys, records.next_offsets(log))
 
 
-@query(f'SELECT {BY}, "offset", "timestamp", nxt AS next_timestamp FROM (SELECT *, lead("timestamp") OVER (PARTITION BY topic, partition, key ORDER BY "offset") AS nxt FROM {{events}}) WHERE nxt > "timestamp" + INTERVAL 6 HOUR')
+CLOCKED = '(SELECT *, lead("timestamp") OVER (PARTITION BY topic, partition, key ORDER BY "offset") AS nxt, lead("offset") OVER (PARTITION BY topic, partition, key ORDER BY "offset") AS nxt_offset, max("timestamp") OVER (PARTITION BY topic, partition) AS clock, max("offset") OVER (PARTITION BY topic, partition) + 1 AS current FROM {events})'
+PERSISTED = 'SELECT topic, partition, key, date_trunc(\'hour\', "timestamp") AS tick, max("offset") AS "offset", arg_max(value, "offset") AS value, max(max("offset")) OVER (PARTITION BY topic, partition, date_trunc(\'hour\', "timestamp")) + 1 AS hold FROM {events} GROUP BY topic, partition, key, tick'
+
+
+@query(f'SELECT {BY}, "offset", "timestamp", nxt AS next_timestamp FROM {CLOCKED} WHERE coalesce(nxt, clock) > "timestamp" + INTERVAL 6 HOUR')
 def idle_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys unloaded after six idle hours."""
+    """Keys unloaded after six hours of their partition's clock, orphans included."""
     return timers.idle_unloads(events_log(spark, sf_dir), "6 hours")
 
 
-@query(f'SELECT {BY}, "offset", nxt - "offset" AS behind FROM (SELECT *, lead("offset") OVER (PARTITION BY topic, partition, key ORDER BY "offset") AS nxt FROM {{events}}) WHERE nxt - "offset" > 200')
+@query(f'SELECT {BY}, "offset", coalesce(nxt_offset, current) - "offset" AS behind FROM {CLOCKED} WHERE coalesce(nxt_offset, current) - "offset" > 20')
 def offset_distance_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys unloaded once 200 offsets have passed without them."""
-    return timers.distance_unloads(events_log(spark, sf_dir), 200)
+    """Keys unloaded once 20 offsets have passed without them, orphans included."""
+    return timers.distance_unloads(events_log(spark, sf_dir), 20)
 
 
-@query(f"SELECT {BY}, date_trunc('hour', \"timestamp\") AS tick, max(\"offset\") AS \"offset\", arg_max(value, \"offset\") AS value, max(\"offset\") + 1 AS hold FROM {{events}} GROUP BY ALL")
+@query(PERSISTED)
 def periodic_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What hourly flushes write, and the offset that each key holds after them."""
     return timers.periodic_persists(events_log(spark, sf_dir, "value"), "hour", "value")
 
 
+@query(f'SELECT p.*, u."offset" IS NOT NULL AS unloaded FROM ({PERSISTED}) p LEFT JOIN (SELECT {BY}, "offset" FROM {CLOCKED} WHERE coalesce(nxt, clock) > "timestamp" + INTERVAL 6 HOUR) u USING (topic, partition, key, "offset")')
+def persist_and_unload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly flushes, and which of them were a key's last before six idle hours unloaded it."""
+    return timers.persists_and_unloads(events_log(spark, sf_dir, "value"), "hour", "6 hours", "value")
+
+
 @query(f'SELECT {BY}, "offset", "offset" - "offset" % 100000 AS window_start FROM {{events}}')
 def timer_window_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_log(spark, sf_dir).select(*fold.KEY, "offset", timers.window_floor(F.col("offset"), 100_000).alias("window_start"))
@@ -144,7 +154,14 @@ def partition_mapper_modulo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_log(spark, sf_dir).select("partition", records.modulo_partition(F.col("partition"), 3).alias("state_partition"), "key").distinct()
 
 
-@query()
+@query("""WITH k AS (SELECT DISTINCT partition, key, strlen(key) AS n FROM {events} WHERE key IS NOT NULL),
+c AS (SELECT *, [ascii(key[i]) + ascii(key[i + 1]) * 256 + ascii(key[i + 2]) * 65536 + ascii(key[i + 3]) * 16777216 FOR i IN range(1, n - n % 4 + 1, 4)] AS words, n - n % 4 AS whole FROM k),
+m AS (SELECT *, [(x * 1540483477) % 4294967296 FOR x IN words] AS w1 FROM c),
+x AS (SELECT *, [(xor(v, v >> 24) * 1540483477) % 4294967296 FOR v IN w1] AS w2 FROM m),
+h AS (SELECT *, list_reduce([xor(CAST(2538058380 AS BIGINT), CAST(n AS BIGINT))] || [CAST(v AS BIGINT) FOR v IN w2], lambda h, v: xor((h * 1540483477) % 4294967296, v)) AS h0 FROM x),
+r AS (SELECT *, CASE WHEN n % 4 = 0 THEN h0 ELSE (xor(h0, CAST(CASE WHEN n % 4 >= 1 THEN ascii(key[whole + 1]) ELSE 0 END + CASE WHEN n % 4 >= 2 THEN ascii(key[whole + 2]) * 256 ELSE 0 END + CASE WHEN n % 4 = 3 THEN ascii(key[whole + 3]) * 65536 ELSE 0 END AS BIGINT)) * 1540483477) % 4294967296 END AS h1 FROM h),
+f AS (SELECT *, (xor(h1, h1 >> 13) * 1540483477) % 4294967296 AS h2 FROM r)
+SELECT partition, key, CAST(xor(h2, h2 >> 15) % 2147483648 % 4 AS INTEGER) AS place FROM f WHERE xor(h2, h2 >> 15) % 2147483648 % 4 = partition""")
 def partition_mapper_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States that their source partition owns, by the hash with which clients place keys."""
     keys = events_log(spark, sf_dir).select("partition", "key").distinct()
@@ -162,14 +179,15 @@ def key_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_log(spark, sf_dir).select("key").distinct().select("key", records.key_segment(java_hash(F.col("key"))).alias("segment"))
 
 
-@query(f'SELECT {BY}, CAST(count(*) AS BIGINT) AS live, CAST(count(*) AS BIGINT) AS replayed FROM {{events}} GROUP BY ALL')
+@query(f"SELECT {BY}, string_agg(event_type, ',' ORDER BY \"offset\") AS live, string_agg(event_type, ',' ORDER BY \"offset\") AS replayed FROM {{events}} GROUP BY ALL")
 def journal_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replaying the journal gives the state of the live fold."""
-    log = events_log(spark, sf_dir)
-    count = fold.Monoid({"__n": F.count(F.lit(1))}, {"n": F.col("__n")})
-    journal = log.unionByName(log).groupBy(*fold.KEY, "offset").agg(F.max("timestamp").alias("timestamp"))  # written twice, kept once per offset
-    replayed = tables.restore("events", journal, None, count.run)
-    return count.run(log).withColumnRenamed("n", "live").join(replayed.withColumnRenamed("n", "replayed"), list(fold.KEY))
+    """Replaying the journal, written twice and in no order, gives the state of the live fold, which depends on the order."""
+    log = events_log(spark, sf_dir, "event_type")
+    step = fold.Fold(lambda s, a: F.when(s == "", a["event_type"]).otherwise(F.concat(s, F.lit(","), a["event_type"])))
+    live = lambda rows: fold.run(rows, step, F.lit(""), ("event_type",))
+    journal = tables.upserted(log.limit(0), log.unionByName(log), (*fold.KEY, "offset"))
+    replayed = tables.restore("events", journal, None, live)
+    return live(log).withColumnRenamed("state", "live").join(replayed.withColumnRenamed("state", "replayed"), list(fold.KEY))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS key, max(turn) AS seq, count(DISTINCT turn) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL")
@@ -184,7 +202,7 @@ def journal_seqnr_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT key, \"offset\", CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM {events}")
 def journal_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of each record's JSON payload."""
-    return events_log(spark, sf_dir, "props").select("key", "offset", F.from_json("props", "k bigint")["k"].alias("k"))
+    return events_log(spark, sf_dir, "props").select("key", "offset", payload_as(F.col("props"), "k bigint")["k"].alias("k"))
 
 
 @query(f"SELECT {BY}, \"offset\", event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY topic, partition, key ORDER BY \"offset\") AS was FROM {{events}}) WHERE event_type IS DISTINCT FROM was")
@@ -253,12 +271,13 @@ def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.upserted(first, log.select(*fold.KEY, "offset", "value"), fold.KEY, F.col("offset"))
 
 
-@query("SELECT key, \"offset\", length(props) AS raw_bytes, true AS same FROM {events}")
+@query("SELECT key, \"offset\", CASE WHEN strlen('#' || props) >= 9 THEN '0000000101' || printf('%08X', strlen('#' || props)) ELSE '0000000100' || hex('#' || props) END AS frame, '#' || props AS text FROM {events}")
 def compression_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payloads framed and compressed from 8 bytes on, and read back."""
-    c, raw = Compressor(threshold=8), F.concat(F.lit("#"), F.col("props")).cast("binary")
-    packed = events_log(spark, sf_dir, "props").select("key", "offset", F.length("props").cast("long").alias("raw_bytes"), raw.alias("raw"), c.column(c.pack, raw).alias("packed"))
-    return packed.select("key", "offset", "raw_bytes", (c.column(c.unpack, F.col("packed")) == F.col("raw")).alias("same"))
+    """Payloads framed and compressed from 9 bytes on: the frame (of compressed ones, up to the raw length) and what is read back."""
+    c, raw = Compressor(threshold=9), F.concat(F.lit("#"), F.col("props")).cast("binary")
+    packed = events_log(spark, sf_dir, "props").select("key", "offset", c.column(c.pack, raw).alias("packed"))
+    frame = F.hex("packed")
+    return packed.select("key", "offset", F.when(F.substring(frame, 9, 2) == "01", F.substring(frame, 1, 18)).otherwise(frame).alias("frame"), c.column(c.unpack, F.col("packed")).cast("string").alias("text"))
 
 
 @query(f'SELECT {BY}, count(*) AS steps, count(*) - CAST(floor(count(*) / 3) AS BIGINT) AS kept FROM {{events}} GROUP BY ALL')
@@ -266,3 +285,114 @@ def stateful_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming processor's steps over the log as one batch: how many there were and how many left a state."""
     out = engine.fold_in_batch(events_log(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")), engine.wait_for_step(3), ())
     return out.groupBy(*fold.KEY).agg(F.count(F.lit(1)).alias("steps"), F.count("after").alias("kept"))
+
+
+def _cents(a) -> F.Column:
+    return F.round(a["value"] * 100).cast("long")
+
+
+@query(f"SELECT {BY}, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS state FROM {{events}} GROUP BY ALL")
+def fold_contramap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum of numbers as a fold of records."""
+    return fold.run(events_log(spark, sf_dir, "value"), fold.Fold(lambda s, n: s + n).contramap(_cents), F.lit(0).cast("long"), ("value",))
+
+
+@query(f"SELECT {BY}, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS state FROM {{events}} GROUP BY ALL")
+def fold_contra_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count that only purchases reach."""
+    count = fold.Fold(lambda s, one: s + one).contra_collect(lambda a: a["event_type"] == "purchase", lambda a: F.lit(1).cast("long"))
+    return fold.run(events_log(spark, sf_dir, "event_type"), count, F.lit(0).cast("long"), ("event_type",))
+
+
+@query(f"SELECT {BY}, count(*) AS n, 'kept' AS tag FROM {{events}} GROUP BY ALL")
+def fold_transform_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count as a part of a wider state."""
+    count = fold.Fold(lambda n, a: n + 1).transform_state(lambda s: s["n"], lambda s, n: F.struct(n.alias("n"), s["tag"].alias("tag")))
+    out = fold.run(events_log(spark, sf_dir), count, F.struct(F.lit(0).cast("long").alias("n"), F.lit("kept").alias("tag")), ())
+    return out.select(*fold.KEY, "state.n", "state.tag")
+
+
+@query(f'SELECT {BY}, count(*) AS n, arg_max(event_type, "offset") AS tag FROM {{events}} GROUP BY ALL')
+def fold_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with the record at hand when it is written back."""
+    count = fold.Fold(lambda n, a: n + 1).transform(lambda s, a: s["n"], lambda s, n, a: F.struct(n.alias("n"), a["event_type"].alias("tag")))
+    out = fold.run(events_log(spark, sf_dir, "event_type"), count, F.struct(F.lit(0).cast("long").alias("n"), F.lit("").alias("tag")), ("event_type",))
+    return out.select(*fold.KEY, "state.n", "state.tag")
+
+
+@query(f"SELECT {BY}, CAST(2 * count(*) AS BIGINT) AS state FROM (SELECT *, coalesce(max(CASE WHEN event_type = 'error' THEN \"offset\" END) OVER (PARTITION BY topic, partition, key), -1) AS gone FROM {{events}}) WHERE \"offset\" > gone GROUP BY ALL")
+def fold_then(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folds over optional states in turn: the first gives the state up at an error, and the second is skipped."""
+    more = lambda s, a: F.coalesce(s, F.lit(0)).cast("long") + 1
+    both = fold.FoldOption(lambda s, a: F.when(a["event_type"] != "error", more(s, a))).then(fold.FoldOption(more))
+    return fold.run(events_log(spark, sf_dir, "event_type"), both, F.lit(None).cast("long"), ("event_type",)).where("state is not null")
+
+
+@query(f"SELECT {BY}, max(value) AS state FROM {{events}} GROUP BY ALL")
+def fold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest value: a record that is not above the state leaves it."""
+    top = fold.Fold(lambda s, a: a["value"]).filter(lambda s, a: a["value"] > s)
+    return fold.run(events_log(spark, sf_dir, "value"), top, F.lit(float("-inf")), ("value",))
+
+
+@query(f"SELECT {BY}, count(*) FILTER (event_type <> 'error') AS n, count(*) FILTER (event_type = 'error') AS errors FROM {{events}} GROUP BY ALL")
+def fold_handle_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold that fails at errors, and recovers with the state before them."""
+
+    def count(s, a):
+        if a["event_type"] == "error":
+            raise ValueError(a["offset"])
+        return (s[0] + 1, s[1])
+
+    safe = callables.Fold(count).handle_error(lambda s, a, e: (s[0], s[1] + 1))
+    schema = "topic string, partition int, key string, n long, errors long"
+    return fold.run_sorted(events_log(spark, sf_dir, "event_type"), lambda s, a: safe(s or (0, 0), a), schema, ("event_type",), to_row=lambda s: {"n": s[0], "errors": s[1]})
+
+
+@query(f"SELECT {BY}, count(*) FILTER (event_type = 'purchase') AS writes, coalesce(max(\"offset\") FILTER (event_type = 'purchase') + 1, min(\"offset\")) AS hold FROM {{events}} GROUP BY ALL")
+def additional_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An enhanced fold that asks for a write at each purchase: the writes, and the offset that each key holds."""
+
+    def count(extras, s, a):
+        if a["event_type"] == "purchase":
+            extras.persist_now()
+        return (s or 0) + 1
+
+    def step(state, record):
+        memory, writes = state or (callables.KeyMemory(), [])
+        persist = callables.additional_persist(-1.0, lambda r: float(r["offset"]), lambda out, r: writes.append(out["snapshot"]), lambda r: r["offset"])
+        callables.fold_batch(memory, callables.EnhancedFold(count), [record], lambda r: r["offset"], persist)
+        memory.journal.clear()
+        return memory, writes
+
+    schema = "topic string, partition int, key string, writes long, hold long"
+    return fold.run_sorted(events_log(spark, sf_dir, "event_type"), step, schema, ("event_type",), to_row=lambda s: {"writes": len(s[1]), "hold": s[0].hold})
+
+
+@query("SELECT key, \"offset\", CAST(i AS INTEGER) AS index, \"offset\" * 2 + i AS seq, CASE WHEN i = 0 THEN event_type ELSE 'again' END AS tag FROM {events}, (SELECT unnest([0, 1]) AS i)")
+def payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose JSON holds two events each, taken apart."""
+    event = lambda i, tag: F.struct((F.col("offset") * 2 + i).alias("seqNr"), F.array(tag).alias("tags"), F.struct(F.col("props").alias("payload")).alias("payload"))
+    log = events_log(spark, sf_dir, "event_type", "props")
+    log = log.select("key", "offset", F.to_json(F.struct(F.array(event(0, F.col("event_type")), event(1, F.lit("again"))).alias("events"))).alias("value"))
+    out = records.explode_events(log, journal_events(F.col("value")))
+    return out.select("key", "offset", "index", F.col("event.seqNr").alias("seq"), F.col("event.tags")[0].alias("tag"))
+
+
+@query(f"SELECT {BY}, max(\"offset\") AS \"offset\", CAST(arg_max(value, \"offset\") AS VARCHAR) AS value, max(max(\"offset\")) OVER (PARTITION BY topic, partition) + 1 AS committed FROM {{events}} GROUP BY topic, partition, key HAVING arg_max(event_type, \"offset\") <> 'error'".replace("CAST(arg_max(value, \"offset\") AS VARCHAR)", "arg_max(event_type, \"offset\")"))
+def transaction_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of the log committed as transactions with their offsets; a stale writer's is rejected, an unfinished one never seen."""
+    log = events_log(spark, sf_dir, "event_type").withColumn("value", F.when(F.col("event_type") != "error", F.col("event_type")))
+    changelog = tables.Changelog(spark, f"{tables.work_dir(spark)}/changelog").create()
+    half = log.agg(F.expr("percentile(offset, 0.5)")).first()[0] or 0
+    for generation, part in ((1, log.where(F.col("offset") <= half)), (2, log.where(F.col("offset") > half))):
+        nexts = {f"{r['topic']}-{r['partition']}": r["next_offset"] for r in records.next_offsets(part).collect()}  # one row a partition
+        changelog.commit(part, generation, nexts)
+    try:
+        changelog.commit(log.where(F.col("offset") <= half), 1, {})
+    except tables.Fenced:
+        pass
+    changelog._write(log)  # a transaction without its pointer
+    rows = [(*name.rsplit("-", 1), at) for name, at in changelog.offsets().items()]
+    nexts = spark.createDataFrame(rows, "topic string, partition string, committed long").withColumn("partition", F.col("partition").cast("int"))
+    return changelog.read().join(F.broadcast(nexts), ["topic", "partition"])

@@ -1,17 +1,29 @@
-"""Tables of keys, journals and snapshots, as Parquet folders of immutable versions.
-
-A write makes a new version folder and then moves the pointer to it, so a
-reader sees the old rows or the new ones, and a job that is run again leaves
-nothing half-written. The pointer moves by one rename of a small file.
+"""Tables of keys, journals and snapshots, as Parquet folders of immutable rows.
+
+A write adds one folder with the rows that changed (a deletion adds tombstones)
+and then a numbered pointer file that lists the folders which make up the
+table. A pointer is created only if its number is free and none is ever
+deleted, so a reader sees the old rows or the new ones, a job that dies leaves
+the table as it was, and of two writers the later one notices and goes again.
+Folders are merged into one after ``COMPACT`` writes, so a micro-batch costs
+what it changes.
 """
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Folders that a table gathers before they are merged, and tries of a writer that others overtake.
+COMPACT, ATTEMPTS = 8, 20
 
 KEY_COLUMNS = ("application_id", "group_id", "topic", "partition", "key")
 SCHEMAS = {
@@ -32,15 +44,88 @@ class Table:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _current(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/current")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/current").first()[0]
+    def _pointers(self) -> list[int]:
+        """Numbers of the pointers, whether they were finished or not."""
+        fs, p = self._fs(f"{self.path}/pointers")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def _content(self, number: int) -> dict:
+        """Folders and notes of a pointer; empty if its writer died, or has yet to write it."""
+        fs, p = self._fs(f"{self.path}/pointers/{number:012d}")
+        if not fs.getFileStatus(p).getLen():
+            return {}
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _state(self) -> tuple[int, dict]:
+        """(highest number in use, content of the newest finished pointer)."""
+        numbers = self._pointers()
+        for n in reversed(numbers):
+            if content := self._content(n):
+                return numbers[-1], content
+        return (numbers[-1] if numbers else -1), {"folders": [], "notes": {}}
+
+    def _point(self, number: int, base: dict, content: dict) -> bool:
+        """Create pointer ``number``; False if another writer was first, or has changed the table since ``base`` was read."""
+        fs, p = self._fs(f"{self.path}/pointers/{number:012d}")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        try:
+            late = self._state()[1] != base  # a writer before us has finished in the meantime
+            if not late:
+                out.write(json.dumps(content).encode())
+        finally:
+            out.close()
+        return not late and self._pointers()[-1] == number
+
+    def _commit(self, make: Callable[[dict], dict]) -> None:
+        """Move to ``make(content)``, starting again if another writer came between. Repeating a write changes nothing."""
+        for _ in range(ATTEMPTS):
+            number, base = self._state()
+            if self._point(number + 1, base, make(base)):
+                return
+        raise OSError(f"{self.path} is written to by too many others")
+
+    def _write(self, rows: DataFrame, gone: bool = False) -> str:
+        name = f"v-{uuid.uuid4().hex}"
+        rows.select(*self._columns(), F.lit(gone).alias("__gone")).write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _columns(self) -> list[str]:
+        return T._parse_datatype_string(self.schema).names
+
+    def _add(self, name: str) -> None:
+        self._commit(lambda base: base | {"folders": self._compacted([*base["folders"], name])})
+
+    def _compacted(self, folders: list[str]) -> list[str]:
+        return folders if len(folders) < COMPACT else [self._write(self._merged(folders))]
+
+    def _merged(self, folders: list[str]) -> DataFrame:
+        """Rows of the folders, the last one of each identity, without those that are gone."""
+        schema = T._parse_datatype_string(self.schema).add("__gone", "boolean")
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{name}") for name in folders]
+        if len(parts) == 1:
+            return parts[0].where("not __gone").drop("__gone")
+        rows = parts[0].withColumn("__at", F.lit(0))
+        for k, part in enumerate(parts[1:], 1):
+            rows = rows.unionByName(part.withColumn("__at", F.lit(k)))
+        columns = self._columns()
+        rest = [c for c in columns if c not in self.identity]
+        last = rows.groupBy(*self.identity).agg(F.max_by(F.struct(*rest, "__gone"), "__at").alias("__row"))
+        return last.where("not __row.__gone").select(*[F.col(c) if c in self.identity else F.col(f"__row.{c}").alias(c) for c in columns])
 
     def create(self) -> Table:
         """Does nothing if the table is there."""
-        if self._current() is None:
+        if not self._state()[1]["folders"]:
             self.replace(self.spark.createDataFrame([], self.schema))
         return self
 
@@ -48,31 +133,29 @@ class Table:
         self.replace(self.spark.createDataFrame([], self.schema))
 
     def read(self) -> DataFrame:
-        version = self._current()
-        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        return self._merged(self._state()[1]["folders"])
 
     def replace(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.parquet(f"{self.path}/{version}")
-        staged = f"{self.path}/.next-{version}"
-        fs, p = self._fs(staged)
-        out = fs.create(p, True)
-        out.writeBytes(version)
-        out.close()
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(p, target):
-            raise OSError(f"{staged} could not be moved")
+        name = self._write(rows)
+        self._commit(lambda base: base | {"folders": [name]})
 
     def upsert(self, rows: DataFrame, order: Column | None = None) -> None:
         """Last write wins: new rows replace old ones of the same identity; among the new ones the largest ``order`` stays."""
-        self.replace(upserted(self.read(), rows, self.identity, order))
+        self._add(self._write(upserted(rows.limit(0), rows, self.identity, order)))
 
     def delete(self, keys: DataFrame) -> None:
         """Delete all rows that share the columns of ``keys``."""
-        self.replace(self.read().join(keys.distinct(), keys.columns, "left_anti"))
+        self._add(self._write(self.read().join(keys.distinct(), keys.columns, "left_semi"), True))
+
+    def vacuum(self) -> int:
+        """Remove folders that the newest pointer does not list; how many. Only while nothing reads or writes."""
+        fs, p = self._fs(self.path)
+        keep, n = set(self._state()[1]["folders"]), 0
+        for f in fs.listStatus(p):
+            name = f.getPath().getName()
+            if name.startswith("v-") and name not in keep:
+                n += fs.delete(f.getPath(), True)
+        return n
 
     def live(self, now: Column, ttl_seconds: int | None) -> DataFrame:
         """Rows that have not outlived the table's time to live."""
@@ -80,6 +163,51 @@ class Table:
         return rows if ttl_seconds is None else rows.where(F.col("created") + F.make_dt_interval(secs=F.lit(ttl_seconds)) > now)
 
 
+class Fenced(Exception):
+    """A writer of an older generation tried to commit."""
+
+
+class Changelog(Table):
+    """Snapshots written in transactions, with the input offsets that they stand for.
+
+    A transaction is one folder of rows and one pointer that names it, the
+    writer's generation and the next offsets to read: all of it is seen or
+    none. Rows of a transaction that never got its pointer are never read. A
+    null value is a tombstone. A writer whose generation is older than the last
+    committed one is rejected before it changes anything.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, value: str = "string"):
+        super().__init__(spark, path, f"topic string, partition int, key string, offset long, value {value}", ("topic", "partition", "key"))
+
+    def commit(self, writes: DataFrame, generation: int, offsets: dict[str, int]) -> None:
+        """Write rows (topic, partition, key, offset, value) and advance ``offsets`` ("topic-partition": next offset) in one step."""
+        last = writes.groupBy(*self.identity).agg(F.max_by(F.struct("offset", "value"), "offset").alias("__row")).select(*self.identity, "__row.*")
+        rows = last.withColumn("__gone", F.col("value").isNull())
+        name = f"v-{uuid.uuid4().hex}"
+        rows.select(*self._columns(), "__gone").write.parquet(f"{self.path}/{name}")
+
+        def make(base: dict) -> dict:
+            notes = base["notes"]
+            if notes.get("generation", -1) > generation:
+                raise Fenced(f"generation {generation} after {notes['generation']}")
+            return {"folders": self._compacted([*base["folders"], name]), "notes": {"generation": generation, "offsets": notes.get("offsets", {}) | offsets}}
+
+        self._commit(make)
+
+    def offsets(self) -> dict[str, int]:
+        """Next offset to read of each "topic-partition", as committed."""
+        return self._state()[1]["notes"].get("offsets", {})
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share, below spark.checkpoint.dir; a temporary one if that is unset and all runs on one machine."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{found.rstrip('/')}/keyfold-{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix='keyfold-')}"
+
+
 def upserted(old: DataFrame, new: DataFrame, identity: tuple[str, ...], order: Column | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` put over it. Combines on the map side by ``max_by``; nothing is sorted."""
     columns = old.columns
@@ -142,6 +270,20 @@ def last_write_wins(changelog: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return changelog.groupBy(*by).agg(F.max_by(F.struct(*[c for c in changelog.columns if c not in by]), "arrival").alias("__row")).select(*by, "__row.*")
 
 
+#: What each mode saves: its journal, its snapshots.
+SAVES = {"events": (True, False), "snapshots": (True, True), "snapshots_only": (False, True), "empty": (False, False)}
+
+
+def save(mode: str, stores: Stores, records: DataFrame, snapshots: DataFrame) -> None:
+    """Persist what the mode keeps: ``records`` to the journal, ``snapshots`` where they differ from those that are stored."""
+    journal, snapshot = SAVES[mode]
+    if journal:
+        stores.journals.upsert(records)
+    if snapshot:
+        changed = changed_only(snapshots, stores.snapshots.read(), KEY_COLUMNS, "value")
+        stores.snapshots.upsert(changed, F.col("offset"))
+
+
 def restore(mode: str, journals: DataFrame | None, snapshots: DataFrame | None, replay) -> DataFrame | None:
     """States at start: "events" replays the journal, "snapshots" and "snapshots_only" read snapshots, "empty" has none."""
     if mode == "events":

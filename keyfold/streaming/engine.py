@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
+from keyfold.sources.tables import Changelog
+
 #: State lives in RocksDB, on disk beyond memory and checkpointed by changelog.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 _OUT = Row("topic", "partition", "key", "kind", "offset", "before", "record", "after")
@@ -72,17 +74,20 @@ class KeyFold(StatefulProcessor):
             self.held.clear()
         else:
             self.held.update((offset, json.dumps(state)))
+            self.handle.registerTimer(int(expiredTimerInfo.getExpiryTimeInMs()) + self.idle_ms)  # it stays, so it is looked at again
         yield _OUT(*key, "tick", offset, json.dumps(before), None, None if state is None else json.dumps(state))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
         self.held.update((initialState["offset"], initialState["value"]))
+        if self.idle_ms and "timestamp" in initialState and initialState["timestamp"] is not None:  # it may never get a record
+            self.handle.registerTimer(int(initialState["timestamp"].timestamp() * 1000) + self.idle_ms)
 
     def close(self) -> None:
         pass
 
 
 def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, watermark: str = "0 seconds", initial: DataFrame | None = None) -> DataFrame:
-    """A streaming (or batch) log folded per key. ``initial`` (topic, partition, key, offset, value JSON) starts from a snapshot."""
+    """A streaming (or batch) log folded per key. ``initial`` (topic, partition, key, offset, value JSON, and timestamp for a timer) starts from snapshots."""
     log.sparkSession.streams.active  # noqa: B018  the state store's coordinator starts with the first use of streams
     rows = log.where("key is not null")
     if idle_ms and rows.isStreaming:
@@ -93,19 +98,53 @@ def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: C
 
 
 def once_per_batch(path: str, write: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that a repeated batch cannot write twice: each batch overwrites its own folder."""
+    """A ``foreachBatch`` sink whose folder a repeated batch cannot write twice: each batch overwrites its own. ``write`` runs again with a repeated batch and its id, and must be idempotent."""
 
     def sink(df: DataFrame, batch_id: int) -> None:
         if write:
+            df.persist()
             write(df, batch_id)
         df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if write:
+            df.unpersist()
 
     return sink
 
 
-def start(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], **options: str):
-    """Start with everything that is there and stop after it; run again to go on from the checkpoint."""
-    return df.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).start()
+class StoredFold:
+    """The whole loop: fold, persist states and commit input offsets in one transaction, recover.
+
+    ``sink`` is for ``start``: of each batch of fold outputs it commits the last
+    state of every key (None: a tombstone) with the offsets to read next.
+    ``recover`` gives the states and the log from the committed offsets on, for
+    a query with a new checkpoint. A batch that is repeated commits the same
+    rows again, so nothing is folded twice. A stale generation is rejected.
+    """
+
+    def __init__(self, changelog: Changelog, generation: int):
+        self.changelog, self.generation = changelog, generation
+
+    def sink(self, outputs: DataFrame, batch_id: int) -> None:
+        steps = outputs.where("kind = 'fold'").groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next"))
+        offsets = {f"{r['topic']}-{r['partition']}": r["next"] for r in steps.collect()}  # one row a partition of the input
+        if offsets or not outputs.isEmpty():
+            order = F.struct("offset", (F.col("kind") == "tick").alias("late"))
+            last = outputs.groupBy("topic", "partition", "key").agg(F.max_by(F.struct("offset", F.col("after").alias("value")), order).alias("row"))
+            self.changelog.commit(last.select("topic", "partition", "key", "row.*"), self.generation, offsets)
+
+    def recover(self, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(states to start from, records that are not yet committed)."""
+        cond = F.lit(True)
+        for name, at in sorted(self.changelog.offsets().items()):
+            topic, _, partition = name.rpartition("-")
+            cond = cond & ~((F.col("topic") == topic) & (F.col("partition") == int(partition)) & (F.col("offset") < at))
+        return self.changelog.read(), log.where(cond)
+
+
+def start(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every: str | None = None, **options: str):
+    """Start a query. Without ``every`` it takes everything that is there and stops; run again it goes on from the checkpoint. With it ("10 seconds") a batch is triggered, and its offsets are committed, at that cadence."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return df.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).options(**options).trigger(**trigger).start()
 
 
 @dataclass
@@ -157,6 +196,33 @@ class ProgressMetrics(StreamingQueryListener):
         pass
 
 
+class StallListener(StreamingQueryListener):
+    """Stops queries that make no progress for longer than the deadline; ``stop`` is called with the query's id."""
+
+    def __init__(self, deadline_s: float, stop: Callable[[str], None], clock: Callable[[], float] = time.monotonic):
+        self.deadline_s, self.stop, self.clock = deadline_s, stop, clock
+        self.moved: dict[str, float] = {}
+
+    def _note(self, query: str, rows: int) -> None:
+        now = self.clock()
+        if rows or query not in self.moved:
+            self.moved[query] = now
+        if now - self.moved[query] > self.deadline_s:
+            self.stop(query)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.moved[str(event.id)] = self.clock()
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self._note(str(event.progress.id), event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self._note(str(event.id), 0)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.moved.pop(str(event.id), None)
+
+
 def stalled(progress: list[dict], deadline_s: float, now: float) -> bool:
     """Whether a query has made no progress for longer than the deadline; entries have ``at`` and ``rows``."""
     moved = [p["at"] for p in progress if p["rows"]]
