@@ -22,8 +22,21 @@ _OUT = Row("topic", "partition", "key", "kind", "offset", "before", "record", "a
 OUTPUT = "topic string, partition int, key string, kind string, offset long, before string, record string, after string"
 
 
+@dataclass(frozen=True)
+class Serde:
+    """How a state becomes bytes in the state store and back."""
+
+    to_bytes: Callable[[object], bytes]
+    from_bytes: Callable[[bytes], object]
+
+
+JSON = Serde(lambda state: json.dumps(state).encode(), lambda raw: json.loads(bytes(raw)))
+TEXT = Serde(lambda state: state.encode(), lambda raw: bytes(raw).decode())
+LONG = Serde(lambda state: state.to_bytes(8, "big", signed=True), lambda raw: int.from_bytes(bytes(raw), "big", signed=True))
+
+
 class KeyFold(StatefulProcessor):
-    """Folds a key's records; states are JSON text, so that any state of plain values can be kept.
+    """Folds a key's records; ``serde`` keeps states, as JSON unless told otherwise. Outputs show them as JSON.
 
     A row of kind "fold" tells each step (state before, record, state after);
     the key is deleted when the state after a batch's last record is None.
@@ -31,18 +44,18 @@ class KeyFold(StatefulProcessor):
     gives the new state or None, in a row of kind "tick".
     """
 
-    def __init__(self, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None):
-        self.step, self.fields, self.tick, self.idle_ms = step, fields, tick, idle_ms
+    def __init__(self, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, serde: Serde = JSON):
+        self.step, self.fields, self.tick, self.idle_ms, self.serde = step, fields, tick, idle_ms, serde
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("state", "offset long, value string")
+        self.held = handle.getValueState("state", "offset long, value binary")
 
     def _get(self):
         if not self.held.exists():
             return None, None
         offset, value = self.held.get()
-        return offset, json.loads(value)
+        return offset, self.serde.from_bytes(value)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         offset, state = self._get()
@@ -59,7 +72,7 @@ class KeyFold(StatefulProcessor):
             for t in list(self.handle.listTimers()) if self.idle_ms else []:
                 self.handle.deleteTimer(t)
             return
-        self.held.update((offset, json.dumps(state)))
+        self.held.update((offset, self.serde.to_bytes(state)))
         if self.idle_ms and last_time is not None:
             for t in list(self.handle.listTimers()):  # one timer a key: a later record moves it
                 self.handle.deleteTimer(t)
@@ -73,12 +86,12 @@ class KeyFold(StatefulProcessor):
         if state is None:
             self.held.clear()
         else:
-            self.held.update((offset, json.dumps(state)))
+            self.held.update((offset, self.serde.to_bytes(state)))
             self.handle.registerTimer(int(expiredTimerInfo.getExpiryTimeInMs()) + self.idle_ms)  # it stays, so it is looked at again
         yield _OUT(*key, "tick", offset, json.dumps(before), None, None if state is None else json.dumps(state))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self.held.update((initialState["offset"], initialState["value"]))
+        self.held.update((initialState["offset"], self.serde.to_bytes(json.loads(initialState["value"]))))
         if self.idle_ms and "timestamp" in initialState and initialState["timestamp"] is not None:  # it may never get a record
             self.handle.registerTimer(int(initialState["timestamp"].timestamp() * 1000) + self.idle_ms)
 
@@ -86,14 +99,14 @@ class KeyFold(StatefulProcessor):
         pass
 
 
-def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, watermark: str = "0 seconds", initial: DataFrame | None = None) -> DataFrame:
+def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, watermark: str = "0 seconds", initial: DataFrame | None = None, serde: Serde = JSON) -> DataFrame:
     """A streaming (or batch) log folded per key. ``initial`` (topic, partition, key, offset, value JSON, and timestamp for a timer) starts from snapshots."""
     log.sparkSession.streams.active  # noqa: B018  the state store's coordinator starts with the first use of streams
     rows = log.where("key is not null")
     if idle_ms and rows.isStreaming:
         rows = rows.withWatermark("timestamp", watermark)
     return rows.groupBy("topic", "partition", "key").transformWithState(
-        statefulProcessor=KeyFold(step, fields, tick, idle_ms), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="EventTime" if idle_ms else "None", initialState=None if initial is None else initial.groupBy("topic", "partition", "key")
+        statefulProcessor=KeyFold(step, fields, tick, idle_ms, serde), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="EventTime" if idle_ms else "None", initialState=None if initial is None else initial.groupBy("topic", "partition", "key")
     )
 
 
@@ -171,7 +184,7 @@ class Retry:
 
 
 def registry(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Current states of a query, read from its state store: topic, partition, key, offset, value."""
+    """Current states of a query, read from its state store: topic, partition, key, offset, value (as its serde wrote it)."""
     s = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "state").load()
     return s.select("key.*", "value.*")
 

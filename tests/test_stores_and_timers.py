@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from keyfold.functions.scalar import java_hash
 from keyfold.operators import callables, commit, timers
 from keyfold.operators.timers import At, TimerPolicy
-from keyfold.sources import tables
+from keyfold.sources import memory, tables
 from keyfold.sources.log import read_log
 from keyfold.streaming import engine
 
@@ -200,3 +200,29 @@ def test_stall_listener_stops():
     now[0] = 71
     listener.onQueryIdle(Event)
     assert stopped == ["q"]
+
+
+def test_memory_tables(spark):
+    t = memory.MemoryTable(spark, ROW, ("key",)).create()
+    df = lambda *r: spark.createDataFrame(list(r), ROW)
+    t.upsert(df(("a", "1"), ("b", "2")))
+    t.upsert(df(("a", "3")))
+    t.delete(df(("b", "")).select("key"))
+    assert rows(t) == [("a", "3")]
+    t.truncate()
+    assert rows(t) == []
+    cache = memory.RecoveredSnapshots([("a", 1), ("b", 2)])
+    assert (cache.take("a"), cache.take("a"), cache.take("x"), len(cache)) == (1, None, None, 1)
+    registry = memory.EntityRegistry()
+    registry.put("a", 1)
+    registry.put("b", 2)
+    registry.put("a", None)
+    assert registry.all() == {"b": 2} and registry.get("a") is None and memory.EntityRegistry.const(7).get("x") == 7 and memory.EntityRegistry.empty().get("x") is None
+
+
+def test_serdes(spark):
+    for serde, state in ((engine.JSON, {"n": [1, "é"]}), (engine.TEXT, "é"), (engine.LONG, -5)):
+        assert serde.from_bytes(serde.to_bytes(state)) == state
+    log = spark.createDataFrame([("t", 0, k, datetime(2020, 3, 1), "k", k) for k in range(4)], "topic string, partition int, offset long, timestamp timestamp, key string, value int")
+    out = engine.fold_stream(log, lambda s, r: (s or 0) + r["value"], ("value",), serde=engine.LONG).orderBy("offset").collect()
+    assert [r.after for r in out] == ["0", "1", "3", "6"]
