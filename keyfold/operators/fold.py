@@ -14,8 +14,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 KEY = ("topic", "partition", "key")
 Merge = Callable[[Column, Column], Column]
@@ -117,28 +120,28 @@ def run_sorted(log: DataFrame, step: Callable, schema: str, fields: tuple[str, .
     only the running state is held. Keys that end with None give no row.
     ``schema`` describes ``by`` and the fields of ``to_row(state)``.
     """
-    import pandas as pd
-
     names = [*by, *[f for f in (*order, *fields) if f not in by]]
     rows = log.where("key is not null").select(*dict.fromkeys(names)).repartition(*by).sortWithinPartitions(*by, *order)
-    columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+    out_schema = T._parse_datatype_string(schema)
 
     def go(batches):
+        arrow = to_arrow_schema(out_schema)
         key = state = None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for record in pdf.to_dict("records"):
-                at = tuple(record[c] for c in by)
-                if at != key:
-                    if key is not None and state is not None:
-                        out.append(dict(zip(by, key)) | to_row(state))
-                    key, state = at, None
-                state = step(state, record)
-            yield pd.DataFrame(out, columns=columns)
+            for start in range(0, batch.num_rows, 4096):
+                for record in batch.slice(start, 4096).to_pylist():  # nulls stay None and integers exact
+                    at = tuple(record[c] for c in by)
+                    if at != key:
+                        if key is not None and state is not None:
+                            out.append(dict(zip(by, key)) | to_row(state))
+                        key, state = at, None
+                    state = step(state, record)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
         if key is not None and state is not None:
-            yield pd.DataFrame([dict(zip(by, key)) | to_row(state)], columns=columns)
+            yield pa.RecordBatch.from_pylist([dict(zip(by, key)) | to_row(state)], schema=arrow)
 
-    return rows.mapInPandas(go, schema)
+    return rows.mapInArrow(go, out_schema)
 
 
 @dataclass(frozen=True)

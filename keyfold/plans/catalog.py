@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyfold.functions.scalar import Compressor, java_hash, journal_events, key_partition, payload_as
+from keyfold.functions.scalar import TIMESTAMP_TYPES, Compressor, headers_to_map, java_hash, journal_events, key_partition, map_to_headers, payload_as, sequence_range
 from keyfold.operators import callables, commit, fold, records, timers
 from keyfold.sources import tables
 from keyfold.sources.log import compacted, events_log, orders_log, table
 from keyfold.streaming import engine
+from keyfold.streaming.metrics import MeasuredTable, Metrics
 
 QUERIES, ORACLES = {}, {}
 EVENTS = "(SELECT 'events' AS topic, CAST(user_id % 4 AS INTEGER) AS partition, event_id AS \"offset\", ts AS \"timestamp\", CAST(user_id AS VARCHAR) AS key, event_type, value, props FROM events) e"
@@ -170,7 +171,53 @@ def partition_mapper_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'SELECT {BY}, CAST(min("timestamp") AS DATE) AS created_date FROM {{events}} GROUP BY ALL')
 def keys_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_log(spark, sf_dir).groupBy(*fold.KEY).agg(F.to_date(F.min("timestamp")).alias("created_date"))
+    """All keys as they are stored in the keys table, with the day they were first seen."""
+    return _stored_keys(spark, sf_dir).keys.read().select(*fold.KEY, "created_date")
+
+
+@query("SELECT DISTINCT topic, partition, key FROM {events} WHERE partition = 1")
+def keys_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored keys of one application, group, topic and partition."""
+    return _stored_keys(spark, sf_dir).all_keys("app", "group", "events", 1).select(*fold.KEY)
+
+
+def _stored_keys(spark: SparkSession, sf_dir: str) -> tables.Stores:
+    stores = tables.Stores(spark, tables.work_dir(spark)).create()
+    keys = records.keyed(events_log(spark, sf_dir)).groupBy(*fold.KEY).agg(F.min("timestamp").cast("timestamp").alias("created"))
+    about = {"application_id": F.lit("app"), "group_id": F.lit("group"), "segment": records.key_segment(java_hash(F.col("key"))), "created_date": F.to_date("created"), "metadata": F.lit("")}
+    stores.keys.upsert(keys.withColumns(about))
+    return stores
+
+
+@query("SELECT key, \"offset\", event_type FROM {events} WHERE key = (SELECT min(key) FROM {events})")
+def journal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key's journal, read back from the journal table to which the whole log was written twice."""
+    stores = tables.Stores(spark, tables.work_dir(spark)).create()
+    log = events_log(spark, sf_dir, "event_type").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    about = {"application_id": F.lit("app"), "group_id": F.lit("group"), "created": F.col("timestamp"), "timestamp_type": F.lit(TIMESTAMP_TYPES["Create"]), "headers": F.expr("map('h', 'v')"), "metadata": F.lit(""), "value": F.col("event_type").cast("binary")}
+    rows = records.keyed(log).withColumns(about)
+    stores.journals.upsert(rows)
+    stores.journals.upsert(rows)
+    first = log.agg(F.min("key")).first()[0]
+    return tables.journal_of(stores.journals.read(), {"application_id": "app", "group_id": "group", "key": first}).select("key", "offset", F.col("value").cast("string").alias("event_type"))
+
+
+@query("SELECT key, \"offset\", CASE WHEN event_type = 'purchase' THEN \"offset\" END AS seq_from, CASE WHEN event_type = 'purchase' THEN \"offset\" + 2 END AS seq_to FROM {events}")
+def journal_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence ranges from the journal headers of records; only appends have one."""
+    text = F.to_json(F.struct(F.when(F.col("event_type") == "purchase", "append").otherwise("mark").alias("action"), F.struct(F.col("offset").alias("from"), (F.col("offset") + 2).alias("to")).alias("range")))
+    headers = F.array(F.struct(F.lit("journal").alias("key"), F.encode(text, "UTF-8").alias("value")))
+    span = sequence_range(headers)
+    return events_log(spark, sf_dir, "event_type").select("key", "offset", span["from"].alias("seq_from"), span["to"].alias("seq_to"))
+
+
+@query("SELECT key, \"offset\", event_type AS kind, 2 AS n FROM {events}")
+def headers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers to text and back: of equal keys the last stays."""
+    log = events_log(spark, sf_dir, "event_type").withColumn("m", F.create_map(F.lit("kind"), F.lit("first"), F.lit("key"), F.col("key")))
+    headers = F.concat(map_to_headers(F.col("m")), map_to_headers(F.create_map(F.lit("kind"), F.col("event_type"))))
+    back = headers_to_map(headers)
+    return log.select("key", "offset", back["kind"].alias("kind"), F.size(back).alias("n"))
 
 
 @query("WITH c AS (SELECT DISTINCT key, [ascii(x) FOR x IN string_split(key, '')] AS u FROM {events} WHERE key IS NOT NULL) SELECT key, CAST(abs((list_reduce([CAST(0 AS BIGINT)] || [CAST(x AS BIGINT) FOR x IN u], lambda h, x: (h * 31 + x) % 4294967296) + 2147483648) % 4294967296 - 2147483648) % 10000 AS BIGINT) AS segment FROM c")
@@ -208,8 +255,10 @@ def journal_json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {BY}, \"offset\", event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY topic, partition, key ORDER BY \"offset\") AS was FROM {{events}}) WHERE event_type IS DISTINCT FROM was")
 def snapshot_write_elision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots that need writing: those that differ from the one before."""
-    was = F.lag("event_type").over(Window.partitionBy(*fold.KEY).orderBy("offset"))
-    return events_log(spark, sf_dir, "event_type").withColumn("was", was).where(~F.col("event_type").eqNullSafe(F.col("was"))).select(*fold.KEY, "offset", "event_type")
+    log = events_log(spark, sf_dir, "event_type")
+    here = Window.partitionBy(*fold.KEY).orderBy("offset")
+    stored = log.select(*fold.KEY, F.lead("offset").over(here).alias("offset"), "event_type").where(F.col("offset").isNotNull())  # what is stored when the next record comes
+    return tables.changed_only(log, stored, (*fold.KEY, "offset"), "event_type").select(*fold.KEY, "offset", "event_type")
 
 
 @query('WITH m AS (SELECT max("timestamp") AS now FROM {events}) SELECT key, "offset" FROM {events}, m WHERE "timestamp" + INTERVAL 86400 SECOND > now')
@@ -349,6 +398,50 @@ def fold_handle_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.run_sorted(events_log(spark, sf_dir, "event_type"), lambda s, a: safe(s or (0, 0), a), schema, ("event_type",), to_row=lambda s: {"n": s[0], "errors": s[1]})
 
 
+@query(f"SELECT {BY}, count(*) FILTER (event_type <> 'error') AS n FROM {{events}} GROUP BY ALL HAVING count(*) FILTER (event_type <> 'error') > 0")
+def fold_option_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over an optional state: an error without a state leaves none, with one it keeps it."""
+
+    def count(s, a):
+        if a["event_type"] == "error":
+            raise ValueError(a["offset"])
+        return (s or 0) + 1
+
+    safe = callables.FoldOption(count).handle_error(lambda s, a, e: s)
+    return fold.run_sorted(events_log(spark, sf_dir, "event_type"), safe, "topic string, partition int, key string, n long", ("event_type",), to_row=lambda s: {"n": s})
+
+
+@query(f"SELECT {BY}, count(*) >= 3 AS alive, CASE WHEN count(*) >= 3 THEN CAST(floor(count(*) / 2) AS BIGINT) END AS n FROM {{events}} GROUP BY ALL")
+def tick_to_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tick over the folded states: it halves them, and deletes those of fewer than three records."""
+    count = callables.EnhancedFold.of(callables.Fold(lambda s, a: (s or 0) + 1))
+    tick = callables.Tick(lambda s: s // 2 if s >= 3 else None).optional()
+
+    def step(memory, record):
+        memory = memory or callables.KeyMemory()
+        callables.fold_batch(memory, count, [record], lambda r: r["offset"])
+        memory.journal.clear()
+        return memory
+
+    def ticked(memory):
+        alive = callables.tick_batch(memory, tick)
+        return {"alive": alive, "n": memory.state}
+
+    return fold.run_sorted(events_log(spark, sf_dir), step, "topic string, partition int, key string, alive boolean, n long", (), to_row=ticked)
+
+
+@query("SELECT 'fold_apply_duration_seconds' AS name, count(*) AS count FROM {events} UNION ALL SELECT 'snapshot_database_persist_duration_seconds', 1 UNION ALL SELECT 'snapshot_database_get_duration_seconds', 1")
+def metrics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each metric was observed while a log was folded and its states were stored and read."""
+    metrics = Metrics(spark)
+    step = metrics.fold(lambda s, a: (s or 0) + 1)
+    states = fold.run_sorted(events_log(spark, sf_dir), step, "topic string, partition int, key string, value string", (), to_row=lambda s: {"value": str(s)})
+    snapshots = MeasuredTable(tables.Table(spark, tables.work_dir(spark), states.schema.simpleString()[7:-1].replace(":", " "), fold.KEY), "snapshot", metrics)
+    snapshots.upsert(states)
+    snapshots.read().count()
+    return spark.createDataFrame([(name, m["count"]) for name, m in metrics.read().items()], "name string, count long")
+
+
 @query(f"SELECT {BY}, count(*) FILTER (event_type = 'purchase') AS writes, coalesce(max(\"offset\") FILTER (event_type = 'purchase') + 1, min(\"offset\")) AS hold FROM {{events}} GROUP BY ALL")
 def additional_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An enhanced fold that asks for a write at each purchase: the writes, and the offset that each key holds."""

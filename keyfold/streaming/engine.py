@@ -1,4 +1,4 @@
-"""Keyed folds over streams: state store, timers, idempotent sinks, recovery, registry, metrics."""
+"""Keyed folds over streams: state store, timers, idempotent sinks, recovery, registry."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from keyfold.sources.tables import Changelog
+from keyfold.streaming.metrics import ProgressMetrics  # noqa: F401
 
 #: State lives in RocksDB, on disk beyond memory and checkpointed by changelog.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
@@ -40,12 +41,16 @@ class KeyFold(StatefulProcessor):
 
     A row of kind "fold" tells each step (state before, record, state after);
     the key is deleted when the state after a batch's last record is None.
-    With ``idle_ms`` an event-time timer unloads keys that stay idle: ``tick``
-    gives the new state or None, in a row of kind "tick".
+    With ``idle_ms`` a timer unloads keys that stay idle: ``tick`` gives the
+    new state or None, in a row of kind "tick". ``clock`` is "event" (the
+    records' times, against the watermark) or "processing" (the wall clock,
+    looked at in each batch).
     """
 
-    def __init__(self, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, serde: Serde = JSON):
-        self.step, self.fields, self.tick, self.idle_ms, self.serde = step, fields, tick, idle_ms, serde
+    def __init__(self, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, serde: Serde = JSON, clock: str = "event"):
+        if clock not in ("event", "processing"):
+            raise ValueError(f"unknown clock {clock}")
+        self.step, self.fields, self.tick, self.idle_ms, self.serde, self.clock = step, fields, tick, idle_ms, serde, clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -57,6 +62,10 @@ class KeyFold(StatefulProcessor):
         offset, value = self.held.get()
         return offset, self.serde.from_bytes(value)
 
+    def _due(self, last_time, timerValues) -> int:  # noqa: N803
+        now = int(last_time.timestamp() * 1000) if self.clock == "event" else timerValues.getCurrentProcessingTimeInMs()
+        return now + self.idle_ms
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         offset, state = self._get()
         last_time = None
@@ -76,7 +85,7 @@ class KeyFold(StatefulProcessor):
         if self.idle_ms and last_time is not None:
             for t in list(self.handle.listTimers()):  # one timer a key: a later record moves it
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(int(last_time.timestamp() * 1000) + self.idle_ms)
+            self.handle.registerTimer(self._due(last_time, timerValues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         offset, before = self._get()
@@ -92,21 +101,22 @@ class KeyFold(StatefulProcessor):
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
         self.held.update((initialState["offset"], self.serde.to_bytes(json.loads(initialState["value"]))))
-        if self.idle_ms and "timestamp" in initialState and initialState["timestamp"] is not None:  # it may never get a record
-            self.handle.registerTimer(int(initialState["timestamp"].timestamp() * 1000) + self.idle_ms)
+        last_time = initialState["timestamp"] if "timestamp" in initialState else None
+        if self.idle_ms and (last_time is not None or self.clock == "processing"):  # it may never get a record
+            self.handle.registerTimer(self._due(last_time, timerValues))
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, watermark: str = "0 seconds", initial: DataFrame | None = None, serde: Serde = JSON) -> DataFrame:
+def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, watermark: str = "0 seconds", initial: DataFrame | None = None, serde: Serde = JSON, clock: str = "event") -> DataFrame:
     """A streaming (or batch) log folded per key. ``initial`` (topic, partition, key, offset, value JSON, and timestamp for a timer) starts from snapshots."""
     log.sparkSession.streams.active  # noqa: B018  the state store's coordinator starts with the first use of streams
     rows = log.where("key is not null")
-    if idle_ms and rows.isStreaming:
+    if idle_ms and rows.isStreaming and clock == "event":
         rows = rows.withWatermark("timestamp", watermark)
     return rows.groupBy("topic", "partition", "key").transformWithState(
-        statefulProcessor=KeyFold(step, fields, tick, idle_ms, serde), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="EventTime" if idle_ms else "None", initialState=None if initial is None else initial.groupBy("topic", "partition", "key")
+        statefulProcessor=KeyFold(step, fields, tick, idle_ms, serde, clock), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="None" if not idle_ms else "EventTime" if clock == "event" else "ProcessingTime", initialState=None if initial is None else initial.groupBy("topic", "partition", "key")
     )
 
 
@@ -189,26 +199,6 @@ def registry(spark: SparkSession, checkpoint: str) -> DataFrame:
     return s.select("key.*", "value.*")
 
 
-class ProgressMetrics(StreamingQueryListener):
-    """Batch durations and state sizes of running queries, by metric name."""
-
-    def __init__(self):
-        self.seen: list[dict] = []
-
-    def onQueryStarted(self, event) -> None:  # noqa: N802
-        pass
-
-    def onQueryProgress(self, event) -> None:  # noqa: N802
-        p = event.progress
-        self.seen.append({"batch_id": p.batchId, "partition_flow_apply_duration_seconds": p.durationMs.get("addBatch", 0) / 1000, "topic_flow_apply_duration_seconds": p.durationMs.get("triggerExecution", 0) / 1000, "key_flow_count": sum(s.numRowsTotal for s in p.stateOperators), "rows": p.numInputRows})
-
-    def onQueryIdle(self, event) -> None:  # noqa: N802
-        pass
-
-    def onQueryTerminated(self, event) -> None:  # noqa: N802
-        pass
-
-
 class StallListener(StreamingQueryListener):
     """Stops queries that make no progress for longer than the deadline; ``stop`` is called with the query's id."""
 

@@ -1,17 +1,19 @@
 """Writers that die or meet, the whole loop over restarts, and the timer policies."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from keyfold.functions.scalar import java_hash
+from keyfold.functions.scalar import Compressor, java_hash
 from keyfold.operators import callables, commit, timers
 from keyfold.operators.timers import At, TimerPolicy
 from keyfold.sources import memory, tables
 from keyfold.sources.log import read_log
 from keyfold.streaming import engine
+from keyfold.streaming.metrics import NAMES, MeasuredCompressor, Metrics, ProgressMetrics, measured_stores
 
 ROW = "key string, value string"
 
@@ -226,3 +228,56 @@ def test_serdes(spark):
     log = spark.createDataFrame([("t", 0, k, datetime(2020, 3, 1), "k", k) for k in range(4)], "topic string, partition int, offset long, timestamp timestamp, key string, value int")
     out = engine.fold_stream(log, lambda s, r: (s or 0) + r["value"], ("value",), serde=engine.LONG).orderBy("offset").collect()
     assert [r.after for r in out] == ["0", "1", "3", "6"]
+
+
+def test_metrics_of_stores_folds_and_compressors(spark, tmp_path):
+    m = Metrics(spark)
+    s = measured_stores(tables.Stores(spark, str(tmp_path)).create(), m)
+    for t in (s.keys, s.journals, s.snapshots):
+        none = t.read()
+        t.upsert(none)
+        t.delete(none.select("key"))
+    step = m.fold(lambda s, a: (s or 0) + a)
+    assert step(None, 2) == 2
+    with pytest.raises(TypeError):
+        step("x", 2)
+    packer = MeasuredCompressor(Compressor(threshold=9), m)
+    assert packer.unpack(packer.pack(b"a" * 1000)) == b"a" * 1000
+    sent = spark.createDataFrame([(b"b" * 50,)] * 3, "x binary")
+    assert sent.select(packer.column(packer.pack, F.col("x"))).count() == 3  # pruned: nothing is packed
+    assert len(sent.select(packer.column(packer.pack, F.col("x"))).collect()) == 3
+    got = m.read()
+    assert {n for n in NAMES if "database" in n} <= got.keys() and all(got[n]["count"] == 1 for n in got if "database" in n)
+    assert got["fold_apply_duration_seconds"]["count"] == 2
+    raw, packed = got["kafka_flow_compressor_raw_bytes"], got["kafka_flow_compressor_compressed_bytes"]
+    assert raw == {"count": 4, "sum": 1150, "max": 1000} and packed["count"] == 4 and packed["sum"] < 400
+    with pytest.raises(ValueError):
+        m.observe("other", 1)
+
+
+def test_metrics_of_queries_and_processing_clock(spark, tmp_path):
+    """A key that stays idle by the wall clock is unloaded in a later batch, whatever its records' times; the listener names what it saw."""
+    path, check, out = (str(tmp_path / x) for x in ("in", "check", "out"))
+    schema = "topic string, partition int, offset long, timestamp timestamp, key string, value int"
+    drop = lambda o, k: spark.createDataFrame([("t", 0, o, datetime(2020, 3, 1), k, 1)], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: engine.fold_stream(read_log(spark, "parquet", ["t"], True, schema, path=path), lambda s, r: {"n": (s or {"n": 0})["n"] + 1}, ("value",), idle_ms=2000, clock="processing")
+    m = Metrics(spark)
+    listener = ProgressMetrics(m)
+    spark.streams.addListener(listener)
+    try:
+        drop(1, "idle")
+        engine.start(stream(), check, engine.once_per_batch(out)).awaitTermination(120)
+        time.sleep(2.5)
+        drop(2, "late")
+        engine.start(stream(), check, engine.once_per_batch(out)).awaitTermination(120)
+        for _ in range(50):
+            if len(listener.seen) >= 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    rows = {(r.key, r.kind, r.after) for r in spark.read.parquet(out).collect()}
+    assert {("idle", "fold", '{"n": 1}'), ("late", "fold", '{"n": 1}'), ("idle", "tick", None)} <= rows
+    assert {n for n in NAMES if n.startswith(("partition_flow", "topic_flow", "key_flow"))} <= m.read().keys()
+    with pytest.raises(ValueError):
+        engine.KeyFold(None, (), clock="moon")
