@@ -4,15 +4,19 @@ For every participant of a conversation the dialogue is rendered once with
 that speaker as the assistant and all others as named users. A rendering is a
 sequence of messages; each row is one message with its place in the rendered
 text and its loss mask (only the assistant's words and end marker are learned
-from). A conversation of any length is thus never gathered in one task: places
-are prefix sums over blocks of turns, then within a block.
+from). A conversation of any length is thus never gathered in one task: turns
+meet their speakers by conversation and block, and places are prefix sums over
+blocks of turns, then within a block. A block is ``BLOCK`` turn numbers, so only
+rows of one conversation that have the same turn, or none, stay together.
 
 Edge cases: a null text is empty and still a message; a null role is the
 participant "unknown"; system turns are shown in every rendering as system
 messages, are never learned from and take no perspective, and a conversation
 of system turns only has no rendering; turns are ordered by turn (null first),
 then role, then text, so repeated and tied rows have a fixed order up to equal
-rows; a null conv_id is a conversation of its own; extra columns do not matter.
+rows; a null conv_id is a conversation of its own; markers that stand in a text or
+a role are left as they are, and do not move masks, which are places; extra columns
+do not matter.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         F.col("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))))
     speakers = t.where("role <> 'system'").select(F.col("conv_id").alias("__c"), F.col("role").alias("perspective")).distinct()
-    m = t.join(speakers, F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
+    blocks = t.select(F.col("conv_id").alias("__d"), F.col("block").alias("__k")).distinct()
+    shown = blocks.join(speakers, F.col("__d").eqNullSafe(F.col("__c"))).drop("__c")
+    m = t.join(shown, F.col("conv_id").eqNullSafe(F.col("__d")) & (F.col("block") == F.col("__k"))).drop("__d", "__k")
     own = F.col("role") == F.col("perspective")
     head = F.when(own, F.lit(f"{OPEN}assistant\n")).when(F.col("role") == "system", F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), "role", F.lit("\n")))
     m = m.select("conv_id", "perspective", "turn", "role", "text", "block", F.concat(head, "text", F.lit(CLOSE)).alias("message"), F.length(head).alias("__head"), own.alias("__own")).withColumn("__n", F.length("message").cast("long"))

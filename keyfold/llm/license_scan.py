@@ -147,6 +147,8 @@ SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR
 THRESHOLD = 0.7
 #: Templates of more words are compared with whole texts and lines only.
 WINDOW = 40
+#: Parts into which the files of one directory are split when they are joined to its licence.
+SALTS = 32
 
 
 def _family(name: str) -> str:
@@ -268,7 +270,10 @@ def scan(files: DataFrame, path: str = "path", matcher: Matcher | None = None) -
     root = F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("above")))
     dirs = rows.select("dir").distinct().select("dir", F.inline(F.concat(root, above)))
     nearest = dirs.join(given, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "licence")).alias("near"))
-    out = rows.join(nearest, "dir", "left")
+    # A directory may hold any share of the files: they meet its licence in SALTS parts.
+    part = F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS))
+    shares = rows.select(F.col("dir").alias("__dir"), part.alias("__part")).distinct().join(nearest, F.col("__dir") == F.col("dir")).drop("dir")
+    out = rows.join(shares, (F.col("dir") == F.col("__dir")) & (part == F.col("__part")), "left")
     return out.select("doc_id", "path", F.col("own.licence").alias("own_licence"), F.col("own.score").alias("own_score"), F.coalesce("own.licence", "near.licence").alias("licence"), F.when(F.col("own").isNotNull(), F.lit("own")).otherwise(F.col("near.above")).alias("origin"))
 
 
