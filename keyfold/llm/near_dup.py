@@ -37,7 +37,9 @@ its ends are connected already.
 
 Verification is the exact overlap of the multisets. Classes are the connected
 components over verified links, found by spreading the smallest fingerprint
-along links and then jumping pointers, a table per round.
+along links and then jumping pointers, a table per round. Links that are found
+later join the components of their ends, so a link is spread along in one
+search only.
 
 Edge cases: a text of one to four words is one shingle; texts without words
 are near only to equal texts; null counts as empty; rows that share a doc_id
@@ -235,20 +237,33 @@ def _compare(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, ["pivot", "salt"]).select("pivot", "fp", F.when(bound < threshold, bound).otherwise(both / (a + b - both)).alias("sim"))
 
 
-def _parts(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the component of each fp as ``part``."""
-    known = small_enough(components(links).withColumnRenamed("class_id", "part"), FEW)
-    return rows.join(known, "fp", "left").withColumn("part", F.coalesce("part", "fp"))
+def _part_of(rows: DataFrame, parts: DataFrame, column: str, part: str = "part") -> DataFrame:
+    """``rows`` with the part of ``column`` in ``parts`` (fp, part) as column ``part``; what has none is its own."""
+    found = parts.select(F.col("fp").alias("__end"), F.col("part").alias("__part"))
+    return rows.join(found, F.col(column) == F.col("__end"), "left").withColumn(part, F.coalesce("__part", column)).drop("__end", "__part")
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``parts`` (fp, part) with further ``links`` (pivot, fp), and the changes alone: the new part of former parts and of new ends."""
+    few = small_enough(parts, FEW)
+    ends = _part_of(_part_of(links, few, "pivot", "pivot"), few, "fp", "fp")
+    changes = components(ends.where("pivot <> fp").distinct()).select("fp", F.col("class_id").alias("part"))
+    new = changes.count()
+    if not new:
+        return parts, changes
+    known = _part_of(parts, small_enough(changes, FEW), "part")
+    return cut(known.unionByName(changes.join(few, "fp", "left_anti")), parts.count() + new), changes
 
 
 def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (pivot, fp) between representatives (fp, id, bands), enough to connect all that any bucket links."""
+    """Components (fp, part) over verified links of representatives (fp, id, bands), enough to connect all that any bucket links."""
+    parts = docs.sparkSession.createDataFrame([], "fp string, part string")
     open_ = reps.select("fp", F.explode("bands").alias("bucket"))
     sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     open_ = cut(open_.join(sizes, "bucket"))
     rows = open_.count()
     if not rows:
-        return docs.sparkSession.createDataFrame([], "pivot string, fp string")
+        return parts
     # Whole multisets are read again only of representatives that share a bucket.
     members = cut(open_.groupBy("fp").agg(F.sum("n").alias("met")), rows)
     wanted = cut(reps.join(members.select("fp"), "fp", "left_semi").select(F.col("id").alias("__want")).distinct(), rows)
@@ -261,19 +276,19 @@ def _links(reps: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     met = open_.join(open_.groupBy("bucket").agg(F.min("order.b").alias("low"), F.min("order").alias("head")), "bucket").select("bucket", F.col("head.b").alias("pivot"), "fp")
     met = cut(met.where("fp <> pivot"), rows)
     seen = cut(_compare(cut(met.select("pivot", "fp").distinct(), rows), sets, threshold), rows * HEAVY)
-    links = cut(seen.where(F.col("sim") >= threshold).select("pivot", "fp"), rows)
+    parts, _ = _joined(parts, seen.where(F.col("sim") >= threshold).select("pivot", "fp"))
     # Open: members that are not near their pivot, and near ones that may be near one of those.
     known = cut(met.join(seen, ["pivot", "fp"]), rows)
     reach = known.where(F.col("sim") < threshold).groupBy("bucket").agg(F.max("sim").alias("reach"))
     left = known.join(reach, "bucket").where((F.col("sim") < threshold) | (F.col("sim") - F.col("reach") <= 1 - threshold + 1e-9))
-    left = cut(_parts(left.select("bucket", "fp"), links), rows)
+    left = cut(_part_of(left.select("bucket", "fp"), small_enough(parts, FEW), "fp"), rows)
     mixed = left.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     left = cut(left.join(mixed, "bucket", "left_semi").select("fp", "part").distinct(), rows)
-    return links if left.isEmpty() else _exact(cut(sets.join(small_enough(left.select("fp"), FEW), "fp", "left_semi")), links, threshold)
+    return parts if left.isEmpty() else _exact(cut(sets.join(small_enough(left.select("fp"), FEW), "fp", "left_semi")), parts, threshold)
 
 
-def _exact(sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """``links`` and those found between the members that ``sets`` has, by shared shingles of their prefixes."""
+def _exact(sets: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """``parts`` joined by the links between the members that ``sets`` has, which are found by shared shingles of their prefixes."""
     each = sets.select("fp", F.size("elements").alias("n"), F.explode("elements").alias("element"))
     # Shingles of one member alone come first in every order; only their number matters.
     usual = small_enough(cut(each.groupBy("element").agg(F.count(F.lit(1)).alias("df")).where("df > 1")), FEW)
@@ -283,17 +298,17 @@ def _exact(sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     short = n - F.ceil(n * 2 * share - 1e-9) + 1 - alone
     lists = each.join(usual, "element").groupBy("fp", "n").agg(ordered.alias("list")).where(long > 0)
     open_ = lists.select("fp", "n", F.size("list").alias("listed"), short.alias("short"), F.posexplode(F.slice("list", F.lit(1), long.cast("int"))))
-    open_ = cut(open_.select("fp", "n", F.col("col.element").alias("element"), (F.col("pos") < F.col("short")).alias("leads"), (F.col("listed") - F.col("pos")).alias("rest")))
+    open_ = open_.select("fp", "n", F.col("col.element").alias("element"), (F.col("pos") < F.col("short")).alias("leads"), (F.col("listed") - F.col("pos")).alias("rest"))
+    open_ = cut(_part_of(open_, small_enough(parts, FEW), "fp"))
     pivots = 1
     while True:
-        open_ = cut(_parts(open_.drop("part"), links))
         live = open_.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("n").alias("least"), F.min(F.when(F.col("leads"), n)).alias("least_lead"))
         # Two that have this shingle first in common share no more than what stands from it on: too little with any partner, and the row can go.
         enough = F.col("rest") >= share * (n + F.when(F.col("leads"), F.col("least")).otherwise(F.col("least_lead"))) - 1e-9
         open_ = cut(open_.join(live.where("low <> high and least_lead is not null"), "element").where(enough).select(*open_.columns))
         rows = open_.count()
         if not rows:
-            return links
+            return parts
         first = F.struct("n", "fp", "rest", "part")
         leads = open_.where("leads").select("element", first.alias("p"))
         if pivots == 1:
@@ -304,8 +319,9 @@ def _exact(sets: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
         near = (F.col("part") != F.col("pivot_part")) & (F.least("rest", "pivot_rest") >= share * (n + F.col("pivot_n")) - 1e-9)
         pairs = cut(open_.join(heads, "element").where(near).select(F.col("pivot_fp").alias("pivot"), "fp").distinct())
         found = _compare(pairs, sets, threshold).where(F.col("sim") >= threshold).select("pivot", "fp")
-        links = cut(links.unionByName(found))
+        parts, changes = _joined(parts, found)
         open_ = open_.join(heads.select("element", F.col("pivot_fp").alias("fp")), ["element", "fp"], "left_anti")
+        open_ = cut(_part_of(open_, small_enough(changes, FEW), "part"))
         pivots *= 8
 
 
@@ -331,11 +347,11 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     signed = cut(_signed(docs))
     rows = cut(group_pick(signed, "fp", F.min("doc_id")).select("doc_id", "fp", F.col("__pick").alias("id"), F.col("__size").alias("n_copies"), F.when(F.col("doc_id").eqNullSafe(F.col("__pick")), F.col("bands")).alias("bands")))
     reps = cut(rows.where("bands is not null").select("fp", "id", "bands").dropDuplicates(["fp"]))
-    links = _links(reps, docs, threshold)
+    parts = _links(reps, docs, threshold)
     # Texts that share a doc_id are linked through it.
     odd = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("pivot"), F.max("fp").alias("high")).where("pivot <> high").select("doc_id", "pivot")
     odd = rows.select("doc_id", "fp").join(small_enough(cut(odd), FEW), "doc_id").where("fp <> pivot").select("pivot", "fp")
-    found = components(links.unionByName(odd)).withColumnRenamed("class_id", "part")
+    found, _ = _joined(parts, odd)
     # Of texts in a class of several, the smallest id of the class; all others have their own.
     member = cut(found.join(rows.groupBy("fp").agg(F.min("id").alias("id")), "fp"))
     named = member.select("fp", "part").join(small_enough(cut(member.groupBy("part").agg(F.min("id").alias("low"))), FEW), "part")

@@ -134,6 +134,27 @@ def test_open_members_are_searched_exactly(spark):
     assert got == expected and 20 < len(set(expected.values())) < 180
 
 
+def test_links_are_spread_along_once(spark, monkeypatch):
+    """Rounds of the search hand only what is new to the search for components, never a link again."""
+    rng, handed, whole = random.Random(11), [], near_dup.components
+    base, rows = [f"q{k}" for k in range(120)], []
+    for k in range(120):
+        t = list(base)
+        for _ in range(rng.randint(1, 4)):
+            t[rng.randrange(len(t))] = f"edit{rng.random()}"
+        rows.append((k, " ".join(t)))
+
+    def components(links):
+        links = near_dup.cut(links)
+        handed.append({frozenset(r) for r in links.select("pivot", "fp").collect()})
+        return whole(links)
+
+    monkeypatch.setattr(near_dup, "components", components)
+    expected = brute_classes(rows)
+    assert {r.doc_id: r.class_id for r in near_dup.near_classes(table(spark, rows)).collect()} == expected
+    assert len(handed) > 2 and sum(map(len, handed)) == len(set().union(*handed)) < len(rows) * 4
+
+
 def test_recall_against_all_pairs(spark):
     """All pairs at the threshold: at least 0.9 of them are in one class."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
