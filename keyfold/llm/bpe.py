@@ -327,39 +327,41 @@ class WordBpe:
             out += ["\n" + part] if part in self.specials else chunks_of(normal(part))
         return out
 
-    def _look_up(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that ``known`` does not have; they and their words are remembered unless they are long."""
+    def _look_up(self, seen: set[str]) -> list[str]:
+        """Bring the ids of all chunks in ``seen``, and of the words of new ones, into ``known``; returns the long ones, which are not to stay."""
+        new = seen.difference(self.known)
+        if not new:
+            return []
+        if self.known and len(self.known) + len(new) > self.remembered:  # what is met again outlives its generation
+            self.older, self.known, new = self.known, {}, seen
         known, older = self.known, self.older
-        found = {c: self.marks[c] for c in chunks & self.marks.keys()} | {c: older[c] for c in chunks & older.keys()}
-        chunks = chunks - found.keys()
-        if any(map(_BEYOND_LATIN.search, chunks)):
-            alone, split = set(), {c: split_words(c) for c in chunks}
+        known |= {c: self.marks[c] for c in new & self.marks.keys()}
+        known |= {c: older[c] for c in new & older.keys()}
+        new = new.difference(known)
+        if _BEYOND_LATIN.search("".join(new)):
+            others, alone, find = list(new), set(), split_words
         else:
-            alone = set(filter(str.isalpha, chunks))
-            find = _LATIN_WORDS.findall
-            split = {c: find(c) for c in chunks - alone}
-        words = {w for ws in split.values() for w in ws}
-        ids = {w: known[w] for w in words & known.keys()}
-        ids |= {w: older[w] for w in (words - ids.keys()) & older.keys()}
-        ids |= self.learn(alone | (words - ids.keys()))
-        found |= ids
-        found |= {c: b"".join([ids[w] for w in ws]) for c, ws in split.items()}
-        if len(known) + len(found) > self.remembered:  # what is met again outlives its generation
-            self.older, self.known = known, {}
-        self.known |= found if max(map(len, found), default=0) <= LONG else {c: x for c, x in found.items() if len(c) <= LONG}
-        return found
+            others = [c for c in new if not c.isalpha()]
+            alone, find = new.difference(others), _LATIN_WORDS.findall
+        split = list(map(find, others))
+        words = set(chain.from_iterable(split)).difference(known)
+        known |= {w: older[w] for w in words & older.keys()}
+        known |= self.learn(words.difference(known) | alone)
+        get = known.__getitem__
+        known |= {c: b"".join(map(get, ws)) for c, ws in zip(others, split)}
+        return [c for c in new | words if len(c) > LONG]
 
     def encode(self, texts: list[str | None], block: int | None = None):
         """Ids of each text as little-endian unsigned 32-bit integers, in order."""
         for start, end in text_blocks(texts, block or BLOCK):
             parts = [self._pieces(t) for t in texts[start:end]]
-            seen = set(chain.from_iterable(parts))
-            known = self.known
-            ids = {c: known[c] for c in seen & known.keys()}
-            if len(ids) < len(seen):
-                ids |= self._look_up(seen - ids.keys())
-            for chunks in parts:
-                yield b"".join(map(ids.__getitem__, chunks))
+            long = self._look_up(set(chain.from_iterable(parts)))
+            get = self.known.__getitem__
+            out = [b"".join(map(get, chunks)) for chunks in parts]
+            for c in long:
+                del self.known[c]
+            del parts
+            yield from out
 
     def decode(self, ids) -> bytes:
         """UTF-8 text of ids: their tokens' strings, parted by single spaces."""

@@ -81,6 +81,17 @@ def test_bpe_memory_of_words_is_bounded(monkeypatch):
     assert len(coder.older) <= 50 + 60
 
 
+def test_bpe_looks_through_a_block_at_once(monkeypatch):
+    """Which words may be split the short way is asked once a block, not once a chunk; chunks met before ask nothing."""
+    asked, real = [], bpe._BEYOND_LATIN
+    monkeypatch.setattr(bpe, "_BEYOND_LATIN", type("Counted", (), {"search": staticmethod(lambda text: asked.append(text) or real.search(text))}))
+    coder = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    for block in (["one two three, four's", "two 5six"], ["seven two", "eight!"], ["three, two one"], [None, ""]):
+        for text, raw in zip(block, coder.encode(block), strict=True):
+            assert list(memoryview(raw).cast("I")) == library(text or "")[0]
+    assert len(asked) == 2
+
+
 def docs_of(spark, texts):
     return spark.createDataFrame([(i, t, "x", 5) for i, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens int").repartition(3)
 
