@@ -12,8 +12,9 @@ lengths of shared prefixes, its nodes in depth-first order; states pass from
 parents to children, all nodes of one depth in one array operation, and a long
 word's path node by node. An automaton over the tokens' strings names the
 tokens that end at each node, so a node costs a few look-ups whatever its
-depth. Ids of whole chunks between white space are remembered, as long as they
-are few and short enough.
+depth. A block's chunks between white space are cut and numbered by array
+operations; ids of distinct chunks are remembered, as long as they are few and
+short enough.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text;
 white space alone has no ids; the special tokens' own strings in a text become
@@ -29,6 +30,7 @@ import re
 import struct
 import unicodedata
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
@@ -43,7 +45,7 @@ from keyfold.llm.common import small_batches, text_blocks
 
 #: Chunks whose ids an encoder remembers in each of two generations, and a quarter of the token pairs.
 REMEMBERED = 100_000
-#: Characters of the longest chunk that is remembered.
+#: Bytes of the longest chunk that is remembered.
 LONG = 64
 #: Bytes of the longest word whose trie nodes are worked out by array operations.
 WIDE = 40
@@ -53,12 +55,15 @@ BLOCK = 1_000_000
 NEVER = 1 << 60
 #: White space as Unicode defines it.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words as the vocabulary's file splits them, from any text in lower case.
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: Words as the vocabulary's file splits them, from any text in lower case, and the ends of lines between them.
+_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+|\n")
 #: The same for texts of characters below U+0250 only, whose letters and numbers are these ranges.
-_LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{_SPACE}a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f0-9\xb2\xb3\xb9\xbc-\xbe]+")
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_LATIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^{_SPACE}a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ0-9\xb2\xb3\xb9\xbc-\xbe]+|\n")
 _BEYOND_LATIN = re.compile(r"[^\0-ɏ]|[A-Z\xc0-\xd6\xd8-\xde]")
+#: Classes of UTF-8 bytes: 1 for white space, 2 for a byte that may begin it, 0 for others.
+_CLASSES = bytes(1 if 9 <= b <= 13 or b == 32 else 2 * (b in b"\xc2\xe1\xe2\xe3") for b in range(256))
+#: White space of more than one byte, as numbers of three bytes.
+_WIDE_SPACES = np.array(sorted(int.from_bytes(c.encode().ljust(3, b"\0"), "big") for c in map(chr, range(0x80, 0x3001)) if re.match(f"[{_SPACE}]", c)))
 
 
 def byte_symbols() -> dict[int, str]:
@@ -75,14 +80,87 @@ def normal(text: str) -> str:
     return text.lower()
 
 
-def chunks_of(text: str) -> list[str]:
-    """Runs of a normalised text between white space; the whole text if it has separators that only ``str.split`` takes for white space."""
-    return [text] if _SEPARATORS.search(text) else text.split()
-
+def outside_space(data: bytes) -> np.ndarray:
+    """Whether each byte of UTF-8 text, which ends with a line, belongs to no white space."""
+    classes = np.frombuffer(data.translate(_CLASSES), np.uint8)
+    out = classes != 1
+    at = np.flatnonzero(classes == 2)
+    if len(at):
+        raw = np.frombuffer(data, np.uint8)
+        lead = raw[at].astype(np.int64)
+        code = lead << 16 | raw[at + 1].astype(np.int64) << 8 | np.where(lead == 0xC2, 0, raw[at + 2])
+        hit = np.isin(code, _WIDE_SPACES)
+        at, long = at[hit], at[hit & (lead != 0xC2)]
+        out[at] = out[at + 1] = out[long + 2] = False
+    return out
+
+
+def split_words(lines: str) -> tuple[list[str], str, list[str]]:
+    """Lines of normalised text that are one word each, the others, and the words of these, with a line's end after each line's."""
+    if not _BEYOND_LATIN.search(lines):
+        latin, others = lines.split("\n"), []
+    else:
+        latin, others = [], []
+        for line in lines.split("\n"):
+            (others if _BEYOND_LATIN.search(line) else latin).append(line)
+    alone = [line for line in latin if line.isalpha()]
+    latin = [line for line in latin if not line.isalpha()]
+    words = []
+    for part, find in ((latin, _LATIN_WORDS.findall), (others, _WORDS.findall)):
+        if part:
+            words += find("\n".join(part))
+            words.append("\n")
+    return alone, "\n".join(latin + others), words
+
+
+def gather(runs: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the runs that ``which`` names, one after another, and where each of them ends."""
+    size = np.fromiter(map(len, runs), np.int64, len(runs)) >> 2
+    n = size[which]
+    ends = np.cumsum(n)
+    at = np.repeat((np.cumsum(size) - size)[which] - ends + n, n)
+    at += np.arange(len(at))
+    return np.frombuffer(b"".join(runs), "<u4")[at], ends
+
+
+class Numbers:
+    """Numbers by numbers of at least 0, looked up and put in by arrays (open addressing, at most half full)."""
+
+    def __init__(self, most: int):
+        self.most, self.n, self.bits = most, 0, (2 * most).bit_length()
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 without one."""
+        slot, mask = self._slots(keys), (1 << self.bits) - 1
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slot[open_] = at = slot[open_] + 1 & mask
+            found, hit = self.keys[at], self.keys[at] == keys[open_]
+            out[open_[hit]] = self.values[at[hit]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
 
-def split_words(text: str) -> list[str]:
-    """Words of a normalised text."""
-    return (_WORDS if _BEYOND_LATIN.search(text) else _LATIN_WORDS).findall(text)
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Put in distinct keys that are not in yet; a full table forgets what it had."""
+        keys, values = keys[: self.most], values[: self.most]
+        if self.n + len(keys) > self.most:
+            self.keys.fill(-1)
+            self.n = 0
+        self.n += len(keys)
+        slot, open_, mask = self._slots(keys), np.arange(len(keys)), (1 << self.bits) - 1
+        while len(open_):
+            free = open_[self.keys[slot[open_]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several keys one stays
+            won = self.keys[slot[open_]] == keys[open_]
+            self.values[slot[open_[won]]] = values[open_[won]]
+            open_ = open_[~won]
+            slot[open_] = slot[open_] + 1 & mask
 
 
 class WordBpe:
@@ -127,10 +205,18 @@ class WordBpe:
         self.inner = {k: i for k, i in self.inner.items() if self._stable(i)}
         self.final = {k: i for k, i in self.final.items() if self._stable(i)}
         self._automaton()
-        self.marks = {"\n" + c: struct.pack("<I", i) for c, i in self.specials.items()}  # no chunk begins with white space
+        size = max(self.names) + 1
+        self.births, self.sides = np.full(size, -1, np.int64), np.full((2, size), -1, np.int64)
+        self.births[list(self.born)] = list(self.born.values())
+        self.sides[:, list(self.parts)] = np.array(list(self.parts.values()), np.int64).reshape(-1, 2).T
+        self.ranks = Numbers(len(self.joined))
+        self.ranks.put(np.array(list(self.joined), np.int64), np.array(list(self.joined.values()), np.int64))
+        self.tried = Numbers(4 * self.remembered)
+        self.mark_of = {c: b"\xff%d" % i for c, i in self.specials.items()}  # no UTF-8 text has this byte
+        self.marks = {self.mark_of[c]: struct.pack("<I", i) for c, i in self.specials.items()}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _automaton(self) -> None:
         """States for the tokens' prefixes: a state is the longest end of what was read that begins a token.
@@ -168,8 +254,9 @@ class WordBpe:
                 first[k] = k if k in at_end else after[k]
                 token[k] = at_end.get(k, 0)
         self.go, self.back, self.depth, (self.inner_ends, self.final_ends) = go, back, depth, tables
-        keys = np.array(sorted(go), np.int64)
-        self.arrays = keys, np.array([go[k] for k in keys.tolist()], np.int64), np.array(back, np.int64), np.array(depth, np.int64), *[np.array(t, np.int64) for t in tables]
+        self.steps = Numbers(len(go))
+        self.steps.put(np.array(list(go), np.int64), np.array(list(go.values()), np.int64))
+        self.arrays = np.array(back, np.int64), np.array(depth, np.int64), *[np.array(t, np.int64) for t in tables]
 
     def _edges(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """Tokens that stand at one edge of ``token`` over time: (token, rank at which it arises, rank at which it is taken up)."""
@@ -216,17 +303,42 @@ class WordBpe:
             found = self.pairs[key] = self._apart(key >> 20, key & 0xFFFFF)
         return found
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of distinct words, by their trie; time and memory are linear in the words' bytes."""
+    def _all_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_apart`` of many pairs: the tokens at the edges of both sides are met from the whole token inwards, all pairs at once."""
+        out = np.ones(len(left), bool)
+        pair, a, a_gone = np.arange(len(left)), left, np.full(len(left), NEVER)
+        while len(pair):
+            a_born = self.births[a]
+            at, b, b_gone = np.arange(len(pair)), right[pair], np.full(len(pair), NEVER)
+            while len(at):
+                b_born, rank = self.births[b], self.ranks.get(a[at] << 20 | b)
+                out[pair[at[(rank > b_born) & (rank > a_born[at]) & (rank < a_gone[at]) & (rank <= b_gone)]]] = False
+                b = self.sides[0][b]
+                on = (b >= 0) & (b_born >= a_born[at]) & out[pair[at]]
+                at, b, b_gone = at[on], b[on], b_born[on]
+            a = self.sides[1][a]
+            on = (a >= 0) & out[pair]
+            pair, a, a_gone = pair[on], a[on], a_born[on]
+        return out
+
+    def _all_fit(self, keys: np.ndarray) -> np.ndarray:
+        """``_fits`` of many keys."""
+        found = self.tried.get(keys)
+        open_ = np.flatnonzero(found < 0)
+        if len(open_):
+            new, which = np.unique(keys[open_], return_inverse=True)
+            apart = self._all_apart(new >> 20, new & 0xFFFFF)
+            self.tried.put(new, apart)
+            found[open_] = apart[which]
+        return found > 0
+
+    def learn(self, words: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
+        """Distinct words with their ids, by their trie; time and memory are linear in the words' bytes."""
         if len(self.pairs) > 4 * self.remembered:
             self.pairs.clear()
-        order = sorted(words)  # code points sort as their bytes do: the trie in depth-first order
-        coded = [w.encode() for w in order]
-        short = [w for w in coded if len(w) <= WIDE]
-        if len(short) == len(coded):
-            return dict(zip(order, self._levels(short)))
-        long = [(w, c) for w, c in zip(order, coded) if len(c) > WIDE]
-        return dict(zip((w for w, c in zip(order, coded) if len(c) <= WIDE), self._levels(short))) | {w: self._walk(c) for w, c in long}
+        order = sorted(words)  # the trie in depth-first order
+        short = [w for w in order if len(w) <= WIDE]
+        return chain(zip(short, self._levels(short)), ((w, self._walk(w)) for w in order if len(w) > WIDE))
 
     def _walk(self, word: bytes) -> bytes:
         """Ids of one long word: its path from the root, a node at a time."""
@@ -254,9 +366,10 @@ class WordBpe:
         if not words:
             return []
         n = len(words)
-        keys, targets, back, depth, inner, final = self.arrays
+        back, depth, inner, final = self.arrays
         size = np.fromiter(map(len, words), np.int64, n)
-        heads = np.frombuffer(b"".join([w.ljust(WIDE, b"\0") for w in words]), np.uint8).reshape(n, WIDE)
+        heads = np.zeros((n, WIDE), np.uint8)
+        heads[np.arange(WIDE) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
         other = np.ones((n, WIDE + 1), bool)
         other[1:, :WIDE] = heads[1:] != heads[:-1]
         shared = other.argmax(axis=1)
@@ -269,11 +382,9 @@ class WordBpe:
             at, byte = autos[rows], heads[rows, d - 1].astype(np.int64)
             out, open_ = np.zeros(len(rows), np.int64), np.arange(len(rows))
             while len(open_):
-                key = at[open_] << 8 | byte[open_]
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[place] == key
-                out[open_[hit]] = targets[place[hit]]
-                open_ = open_[~hit & (at[open_] > 0)]
+                to = self.steps.get(at[open_] << 8 | byte[open_])
+                out[open_] = np.maximum(to, 0)
+                open_ = open_[(to < 0) & (at[open_] > 0)]
                 at[open_] = back[at[open_]]
             return out
 
@@ -284,24 +395,22 @@ class WordBpe:
                 open_ = open_[depth[end[open_]] < d]
                 if not len(open_):
                     return table[1][end], depth[end]
-                key = last[d - depth[end[open_]], rows[open_]] << 20 | table[1][end[open_]]
-                distinct, which = np.unique(key, return_inverse=True)
-                ok = np.fromiter(map(self._fits, distinct.tolist()), bool, len(distinct))
-                open_ = open_[~ok[which]]
+                open_ = open_[~self._all_fit(last[d - depth[end[open_]], rows[open_]] << 20 | table[1][end[open_]])]
                 end[open_] = table[2][end[open_]]
 
+        live = every
         for d in range(1, int(size.max()) + 1):
-            rows = np.flatnonzero(size == d)
+            live = live[size[live] >= d]
+            stops = size[live] == d
+            rows, live = live[stops], live[~stops]
             last[d, rows], lengths[d, rows] = choose(rows, step(rows, d), d, final)
-            new = (size > d) & (shared < d)
-            rows = np.flatnonzero(new)
+            new = shared[live] < d
+            rows = live[new]
             state = step(rows, d)
-            filled, token, length = np.zeros(n, np.int64), last[d].copy(), lengths[d].copy()
-            filled[rows] = state
-            token[rows], length[rows] = choose(rows, state, d, inner)
+            token, length = choose(rows, state, d, inner)
             # A node that several words share is worked out at the first of them.
-            from_ = np.where(size > d, np.maximum.accumulate(np.where(new, every, 0)), every)
-            autos, last[d], lengths[d] = filled[from_], token[from_], length[from_]
+            from_ = np.cumsum(new) - 1
+            autos[live], last[d, live], lengths[d, live] = state[from_], token[from_], length[from_]
         parts, owners, at, rows = [], [], size.copy(), every
         while len(rows):
             parts.append(last[at[rows], rows])
@@ -313,55 +422,79 @@ class WordBpe:
         ends = np.cumsum(np.bincount(np.concatenate(owners), minlength=n) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _pieces(self, text: str | None) -> list:
-        """White-space chunks of a text, with a mark where a special token's string stands.
-
-        Words never cross white space, so a chunk's ids are those of its words.
-        """
+    def _plain(self, text: str | None) -> bytes:
+        """A text's normal form, with a mark where a special token's string stands."""
         if not text:
-            return []
+            return b""
         if self.cut_specials is None or "<|" not in text:
-            return chunks_of(normal(text))
-        out: list = []
-        for part in self.cut_specials.split(text):
-            out += ["\n" + part] if part in self.specials else chunks_of(normal(part))
-        return out
+            return normal(text).encode()
+        return b" ".join([self.mark_of[p] if p in self.specials else normal(p).encode() for p in self.cut_specials.split(text)])
+
+    def _chunks(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct chunks between white space, which of them stand in the texts, in order, and how many of these stand before each text's end.
 
-    def _look_up(self, seen: set[str]) -> list[str]:
-        """Bring the ids of all chunks in ``seen``, and of the words of new ones, into ``known``; returns the long ones, which are not to stay."""
+        Words never cross white space, so a chunk's ids are those of its words.
+        """
+        parts = [self._plain(t) for t in texts]
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        data = b"\n" + b"\n".join(parts) + b"\n"
+        del parts
+        inside = outside_space(data)
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        offsets = np.zeros(len(sizes) + 1, np.int32)
+        np.cumsum(sizes, out=offsets[1:])
+        body = np.frombuffer(data, np.uint8)[inside]
+        found = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        distinct, which = found.dictionary, np.frombuffer(found.indices.buffers()[1], np.int32, len(sizes))
+        raw, cuts = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])], which, np.searchsorted(starts, ends)
+
+    def _look_up(self, chunks: list[bytes]) -> set[bytes]:
+        """Bring the ids of all of ``chunks``, and of the words of new ones, into ``known``; returns the long ones, which are not to stay."""
+        seen = set(chunks)
         new = seen.difference(self.known)
-        if not new:
-            return []
-        if self.known and len(self.known) + len(new) > self.remembered:  # what is met again outlives its generation
+        if new and self.known and len(self.known) + len(new) > self.remembered:  # what is met again outlives its generation
             self.older, self.known, new = self.known, {}, seen
         known, older = self.known, self.older
         known |= {c: self.marks[c] for c in new & self.marks.keys()}
-        known |= {c: older[c] for c in new & older.keys()}
+        again = new & older.keys()
+        known.update(zip(again, map(older.__getitem__, again)))
         new = new.difference(known)
-        if _BEYOND_LATIN.search("".join(new)):
-            others, alone, find = list(new), set(), split_words
-        else:
-            others = [c for c in new if not c.isalpha()]
-            alone, find = new.difference(others), _LATIN_WORDS.findall
-        split = list(map(find, others))
-        words = set(chain.from_iterable(split)).difference(known)
-        known |= {w: older[w] for w in words & older.keys()}
-        known |= self.learn(words.difference(known) | alone)
-        get = known.__getitem__
-        known |= {c: b"".join(map(get, ws)) for c, ws in zip(others, split)}
-        return [c for c in new | words if len(c) > LONG]
+        if not new:
+            return set()
+        alone, lines, split = split_words(b"\n".join(new).decode())
+        parts = set(split)
+        parts.discard("\n")
+        words = list(parts.union(alone))
+        coded = "\n".join(words).encode().split(b"\n")
+        again = older.keys() & coded
+        known.update(zip(again, map(older.__getitem__, again)))
+        known.update(self.learn([w for w in coded if w not in known]))
+        if not split:
+            return {w for w in coded if len(w) > LONG}
+        words = list(parts)
+        coded_parts = "\n".join(words).encode().split(b"\n")
+        place = dict(zip([*words, "\n"], range(len(words) + 1)))
+        which = np.fromiter(map(place.__getitem__, split), np.int64, len(split))
+        ids, ends = gather([*map(known.__getitem__, coded_parts), b""], which)
+        raw, ends = ids.tobytes(), (4 * ends[which == len(words)]).tolist()
+        new = lines.encode().split(b"\n")
+        known |= {c: raw[a:b] for c, a, b in zip(new, [0, *ends], ends)}
+        return {c for c in chain(new, coded) if len(c) > LONG}
 
     def encode(self, texts: list[str | None], block: int | None = None):
         """Ids of each text as little-endian unsigned 32-bit integers, in order."""
         for start, end in text_blocks(texts, block or BLOCK):
-            parts = [self._pieces(t) for t in texts[start:end]]
-            long = self._look_up(set(chain.from_iterable(parts)))
-            get = self.known.__getitem__
-            out = [b"".join(map(get, chunks)) for chunks in parts]
+            chunks, which, counts = self._chunks(texts[start:end])
+            long = self._look_up(chunks)
+            ids, ends = gather([*map(self.known.__getitem__, chunks)], which)
             for c in long:
                 del self.known[c]
-            del parts
-            yield from out
+            ends = np.concatenate([[0], ends])[counts].tolist()
+            del chunks, which, counts
+            for a, b in zip([0, *ends], ends):
+                yield ids[a:b].tobytes()
 
     def decode(self, ids) -> bytes:
         """UTF-8 text of ids: their tokens' strings, parted by single spaces."""

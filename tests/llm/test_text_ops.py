@@ -92,6 +92,41 @@ def test_bpe_looks_through_a_block_at_once(monkeypatch):
     assert len(asked) == 2
 
 
+def test_bpe_weighs_pairs_of_tokens_all_at_once(monkeypatch):
+    """Words of usual length ask for no pair of tokens by itself, and pairs asked for together get what each gets by itself."""
+    coder = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    tokens = list(coder.inner.values())
+    pairs = sorted({rng.choice(tokens) << 20 | rng.choice(tokens) for _ in range(20_000)} | {a << 20 | b for a, b in list(coder.parts.values())[:5_000] if a in coder.born and b in coder.born})
+    single = [coder._fits(k) for k in pairs]
+    assert 0 < sum(single) < len(single)
+    for _ in range(2):  # found out, then remembered
+        assert coder._all_fit(np.array(pairs)).tolist() == single
+    asked = []
+    monkeypatch.setattr(coder, "_fits", asked.append)
+    texts = ["a photographer's internationalisation, été 12!", "ΑΣΑ 漢字かな naïve", "don't <|endoftext|> we'll"]
+    assert [list(memoryview(raw).cast("I")) for raw in coder.encode(texts)] == [library(t)[0] for t in texts] and not asked
+
+
+def test_numbers_by_numbers():
+    table, rng = bpe.Numbers(1000), np.random.default_rng(6)
+    keys = rng.permutation(5000)[:900] << 7
+    table.put(keys[:500], keys[:500] + 1)
+    table.put(keys[500:], keys[500:] + 1)
+    assert (table.get(keys) == keys + 1).all() and (table.get(keys + 1) == -1).all()
+    table.put(np.arange(1, 1500), np.arange(1, 1500))  # more than it holds: what was there is forgotten, and the last ones are not kept
+    assert (table.get(np.arange(1, 1001)) == np.arange(1, 1001)).all() and (table.get(np.arange(1001, 1500)) == -1).all()
+
+
+def test_bpe_white_space_of_every_width():
+    """Each white space, and each character beside it in code, parts chunks as the library does, at both ends of a text and next to special tokens."""
+    coder = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    codes = [*range(0xA2), 0x167F, 0x1680, 0x1681, *range(0x1FFF, 0x2070), 0x2FFF, 0x3000, 0x3001, 0x180E, 0xFEFF, 0xC2, 0xE1, 0xE2, 0xE3]
+    texts = [f"{c}one{c}{c}two's 3{c}<|endoftext|>{c}é{c}" for c in map(chr, codes)]
+    for text, raw in zip(texts, coder.encode(texts), strict=True):
+        assert list(memoryview(raw).cast("I")) == library(text)[0], text
+
+
 def docs_of(spark, texts):
     return spark.createDataFrame([(i, t, "x", 5) for i, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens int").repartition(3)
 
