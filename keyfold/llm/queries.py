@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import bpe, chat, decontam, exact_dedup, langid, license_scan, near_dup, quality, token_store, toxicity
+from keyfold.llm import bpe, chat, decontam, exact_dedup, fim, hard_negatives, langid, license_scan, near_dup, quality, token_store, toxicity, warc
 from keyfold.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,7 +59,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits(table(spark, sf_dir, "pages"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.shifted(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_near_dup, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_quality, op7_bpe, op8_token_store, op9_decontamination, op10_language_id)
+    f.__name__: f for f in (op1_license_scan, op2_near_dup, op3_chat_format, op4_toxicity, op5_exact_dedup, op6_quality, op7_bpe, op8_token_store, op9_decontamination, op10_language_id, op11_fill_in_middle, op12_warc_revisits, op13_hard_negatives)
 }
-ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE_SQL, "op5_exact_dedup": exact_dedup.ORACLE_SQL, "op9_decontamination": decontam.ORACLE_SQL, "op11_fill_in_middle": fim.ORACLE_SQL, "op12_warc_revisits": warc.ORACLE_SQL, "op13_hard_negatives": hard_negatives.ORACLE_SQL}
