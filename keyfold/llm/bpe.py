@@ -73,10 +73,12 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def normal(text: str) -> str:
-    """Composed form, each character in lower case by itself. White space needs no change: words leave it out."""
+def normal(text: str, lower: tuple[re.Pattern, dict[int, str]] | None = None) -> str:
+    """Composed form, each character in lower case by itself, as ``lower`` has it if it does. White space needs no change: words leave it out."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+        if lower and lower[0].search(text):
+            text = text.translate(lower[1])
     return text.lower()
 
 
@@ -95,8 +97,50 @@ def outside_space(data: bytes) -> np.ndarray:
     return out
 
 
-def split_words(lines: str) -> tuple[list[str], str, list[str]]:
-    """Lines of normalised text that are one word each, the others, and the words of these, with a line's end after each line's."""
+@lru_cache(maxsize=1)
+def differing_classes() -> tuple[tuple[str, str], ...]:
+    """(class, characters as ranges of a set) of the code points that the tokenizers library takes for letters (L), numbers (N) or neither (O) and ``_WORDS`` does not; and, as "lower", lines of characters and their other lower case there.
+
+    The two know different versions of Unicode. The library is asked once, with
+    all code points that are alike here in one text: where they are alike there
+    too it gives one piece for all (for numbers one each).
+    """
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    ask = pre_tokenizers.Split(Regex(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True).pre_tokenize_str
+    everything = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    found: dict[str, list[int]] = {"L": [], "N": [], "O": []}
+    for kind, pattern in (("L", r"\p{L}+"), ("N", r"\p{N}+"), ("O", rf"[^{_SPACE}\p{{L}}\p{{N}}]+")):
+        for piece, _ in ask("".join(regex.findall(pattern, everything))):
+            there = "L" if len(ask("a" + piece[0])) == 1 else "O" if len(ask("!" + piece[0])) == 1 else "N"
+            if there != kind:
+                found[there] += map(ord, piece)
+    lines = everything.replace("\n", "")
+    pairs = zip(lines, normalizers.Lowercase().normalize_str("\n".join(lines)).split("\n"))
+    lower = "\n".join(c + there for c, there in pairs if c.lower() != there)
+    return tuple((kind, _ranges(sorted(codes))) for kind, codes in found.items() if codes) + ((("lower", lower),) if lower else ())
+
+
+def _ranges(codes: list[int]) -> str:
+    """Sorted code points as ranges of a regular expression's set."""
+    starts = [c for before, c in zip([-2, *codes], codes) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if after != c + 1]
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends))
+
+
+def own_words(classes: tuple[tuple[str, str], ...]) -> tuple[re.Pattern, regex.Pattern] | None:
+    """A search for characters of ``classes``, and ``_WORDS`` as it is with them."""
+    of = {kind: ranges for kind, ranges in classes if kind != "lower"}
+    if not of:
+        return None
+    every = "".join(of.values())
+    letters, numbers = (rf"[\p{{{k}}}--[{every}]]" + (f"||[{of[k]}]" if k in of else "") for k in "LN")
+    rest = rf"[^{_SPACE}\p{{L}}\p{{N}}{every}]" + (f"||[{of['O']}]" if "O" in of else "")
+    return re.compile(f"[{every}]"), regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[{rest}]+|\n", regex.V1)
+
+
+def split_words(lines: str, own: tuple[re.Pattern, regex.Pattern] | None = None) -> tuple[list[str], str, list[str]]:
+    """Lines of normalised text that are one word each, the others, and the words of these, with a line's end after each line's. Lines that ``own`` finds are split by it."""
     if not _BEYOND_LATIN.search(lines):
         latin, others = lines.split("\n"), []
     else:
@@ -105,12 +149,16 @@ def split_words(lines: str) -> tuple[list[str], str, list[str]]:
             (others if _BEYOND_LATIN.search(line) else latin).append(line)
     alone = [line for line in latin if line.isalpha()]
     latin = [line for line in latin if not line.isalpha()]
+    odd = []
+    if own and others:
+        odd = [line for line in others if own[0].search(line)]
+        others = [line for line in others if not own[0].search(line)] if odd else others
     words = []
-    for part, find in ((latin, _LATIN_WORDS.findall), (others, _WORDS.findall)):
+    for part, find in ((latin, _LATIN_WORDS.findall), (others, _WORDS.findall), (odd, own and own[1].findall)):
         if part:
             words += find("\n".join(part))
             words.append("\n")
-    return alone, "\n".join(latin + others), words
+    return alone, "\n".join(latin + others + odd), words
 
 
 def gather(runs: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +214,12 @@ class Numbers:
 class WordBpe:
     """Encoder and decoder for one vocabulary file."""
 
-    def __init__(self, path: str, remembered: int | None = None):
+    def __init__(self, path: str, remembered: int | None = None, classes: tuple[tuple[str, str], ...] | None = None):
         self.remembered = remembered or REMEMBERED
+        classes = differing_classes() if classes is None else classes
+        self.own = own_words(classes)
+        lower = {ord(line[0]): line[1:] for line in dict(classes).get("lower", "").split("\n") if line}
+        self.lower = (re.compile(f"[{_ranges(sorted(lower))}]"), lower) if lower else None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -427,8 +479,8 @@ class WordBpe:
         if not text:
             return b""
         if self.cut_specials is None or "<|" not in text:
-            return normal(text).encode()
-        return b" ".join([self.mark_of[p] if p in self.specials else normal(p).encode() for p in self.cut_specials.split(text)])
+            return normal(text, self.lower).encode()
+        return b" ".join([self.mark_of[p] if p in self.specials else normal(p, self.lower).encode() for p in self.cut_specials.split(text)])
 
     def _chunks(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct chunks between white space, which of them stand in the texts, in order, and how many of these stand before each text's end.
@@ -463,7 +515,7 @@ class WordBpe:
         new = new.difference(known)
         if not new:
             return set()
-        alone, lines, split = split_words(b"\n".join(new).decode())
+        alone, lines, split = split_words(b"\n".join(new).decode(), self.own)
         parts = set(split)
         parts.discard("\n")
         words = list(parts.union(alone))
@@ -502,8 +554,9 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str, remembered: int | None = None) -> WordBpe:
-    made = WordBpe(path, remembered)
+def load(path: str, remembered: int | None = None, classes: tuple[tuple[str, str], ...] | None = None) -> WordBpe:
+    """One encoder for a Python worker; ``classes`` as the driver found them (``differing_classes``)."""
+    made = WordBpe(path, remembered, classes)
     gc.freeze()  # the vocabulary stays; the collector need not look through it again
     return made
 
@@ -511,8 +564,10 @@ def load(path: str, remembered: int | None = None) -> WordBpe:
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian u32), decoded (string) of each row; no shuffle."""
 
+    classes = differing_classes()
+
     def run(batches):
-        bpe = load(path)
+        bpe = load(path, classes=classes)
         for batch in small_batches(batches, 1, BLOCK):
             ids = list(bpe.encode(batch.column(1).to_pylist()))
             out = [bpe.decode(memoryview(x).cast("I")) for x in ids]
@@ -524,8 +579,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode_decode gives, hashed where it is made."""
 
+    classes = differing_classes()
+
     def run(batches):
-        bpe = load(path)
+        bpe = load(path, classes=classes)
         for batch in small_batches(batches, 1, BLOCK):
             counts, first, second = [], [], []
             for ids in bpe.encode(batch.column(1).to_pylist()):

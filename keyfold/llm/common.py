@@ -63,20 +63,30 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def free_name(name: str, *dfs: DataFrame) -> str:
+    """``name``, or that with underscores after it, as no column of ``dfs`` is called."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``ids``; a null doc_id stays.
 
     The ids are broadcast after a count shows that they are few; otherwise the
     anti join shuffles both sides.
     """
-    gone = ids.select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct()
-    return docs.join(small_enough(cut(gone)), F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = free_name("gone", docs)
+    gone = ids.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(small_enough(cut(gone)), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``ids`` (distinct), joined as in drop_ids."""
-    want = ids.select(F.col("doc_id").alias("__want")).where("__want is not null").distinct()
-    return docs.join(small_enough(cut(want)), F.col("doc_id") == F.col("__want"), "left_semi")
+    name = free_name("wanted", docs)
+    want = ids.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(small_enough(cut(want)), F.col("doc_id") == F.col(name), "left_semi")
 
 
 def group_pick(df: DataFrame, key: str, pick, support: float = SUPPORT) -> DataFrame:

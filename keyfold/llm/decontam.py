@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import BROADCAST_IDS, cut, drop_ids, only_ids, small_enough
+from keyfold.llm.common import BROADCAST_IDS, cut, drop_ids, free_name, only_ids, small_enough
 
 WORD = "[\\p{L}\\p{N}]+"
 
@@ -102,9 +102,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, threshold: floa
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return out
-    key = "__text"
-    while key in docs.columns:
-        key += "_"
+    key = free_name("text_digest", docs)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     bad = contaminated(nameless.select(digest.alias("doc_id"), "text").dropDuplicates(["doc_id"]), items, n, threshold)
     bad = small_enough(cut(bad.select(F.col("doc_id").alias(key)).distinct()))

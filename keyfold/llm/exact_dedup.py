@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import cut, group_pick, small_enough
+from keyfold.llm.common import cut, free_name, group_pick, small_enough
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -42,17 +42,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the copies, all columns kept; the text is not shuffled while the dropped ids are few enough to broadcast."""
     labels = cut(label(docs))
     gone = labels.where(~F.col("kept"))
-    key = F.struct(F.col("doc_id").cast("long"), text_digest(F.col("text")))
+    key, drop, twin = (free_name(n, docs) for n in ("key", "drop", "twin"))
+    pair = F.struct(F.col("doc_id").alias("a"), F.col("text_sha256").alias("b"))
     # Rows equal in doc_id and text (or with a null doc_id) cannot be told apart by a key: one of each is taken apart from the rest.
-    same = cut(gone.where("keep_id is null or keep_id = doc_id").select("doc_id", "text_sha256").distinct())
-    other = gone.where("keep_id is not null and (doc_id is null or keep_id <> doc_id)").select(F.struct(F.col("doc_id").alias("a"), F.col("text_sha256").alias("b")).alias("__gone")).distinct()
-    keyed = docs.withColumn("__key", key)
-    left = keyed.join(small_enough(cut(other)), F.col("__key").eqNullSafe(F.col("__gone")), "left_anti")
+    same = cut(gone.where("keep_id is null or keep_id = doc_id").select(pair.alias(twin)).distinct())
+    other = gone.where("keep_id is not null and (doc_id is null or keep_id <> doc_id)").select(pair.alias(drop)).distinct()
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("a"), text_digest(F.col("text")).alias("b")))
+    left = keyed.join(small_enough(cut(other)), F.col(key).eqNullSafe(F.col(drop)), "left_anti")
     if same.isEmpty():
-        return left.drop("__key")
-    same = small_enough(same.select(F.struct("doc_id", "text_sha256").alias("__same")))
-    twins = left.join(same, F.col("__key").eqNullSafe(F.col("__same")), "left_semi").dropDuplicates(["__key"])
-    return left.join(same, F.col("__key").eqNullSafe(F.col("__same")), "left_anti").unionByName(twins).drop("__key")
+        return left.drop(key)
+    same = small_enough(same)
+    twins = left.join(same, F.col(key).eqNullSafe(F.col(twin)), "left_semi").dropDuplicates([key])
+    return left.join(same, F.col(key).eqNullSafe(F.col(twin)), "left_anti").unionByName(twins).drop(key)
 
 
 ORACLE_SQL = """

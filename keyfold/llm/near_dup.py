@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from keyfold.llm.common import cut, drop_ids, group_pick, mix64, small_batches, small_enough
+from keyfold.llm.common import cut, drop_ids, free_name, group_pick, mix64, small_batches, small_enough
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 0.9996.
@@ -373,21 +373,18 @@ def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = _classes(docs, threshold)
     out = drop_ids(docs, rows.where("doc_id <> class_id").select("doc_id"))
-    again = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__again")))
+    repeated, print_of, fp, class_fp = (free_name(n, docs) for n in ("repeated", "print_of", "fp", "class_fp"))
+    again = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(repeated)))
     if again.isEmpty():
         return out
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    one = F.first(F.struct(*cols)).alias("__row")
+    one = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
     again = small_enough(again, FEW)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__again"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(repeated))
     odd = out.join(again, same, "left_semi")
-    named = odd.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(one).select("__row.*")
-    nameless = cut(rows.where("doc_id is null and class_id is null").select("fp", "class_fp").distinct())
-    print_of = "__fp"
-    while print_of in docs.columns:
-        print_of += "_"
-    others = _with_print(odd.where("doc_id is null"), print_of).join(small_enough(nameless, FEW), F.col(print_of) == F.col("fp"))
-    others = others.groupBy(F.col("class_fp").alias("__id")).agg(one).select("__row.*")
+    named = odd.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(one).select("row.*")
+    nameless = cut(rows.where("doc_id is null and class_id is null").select(F.col("fp").alias(fp), F.col("class_fp").alias(class_fp)).distinct())
+    others = _with_print(odd.where("doc_id is null"), print_of).join(small_enough(nameless, FEW), F.col(print_of) == F.col(fp))
+    others = others.groupBy(F.col(class_fp).alias("id")).agg(one).select("row.*")
     return out.join(again, same, "left_anti").unionByName(named).unionByName(others)
 
 

@@ -217,4 +217,5 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def store(docs: DataFrame, path: str, end_id: int = 1, bits: bool = False) -> DataFrame:
     """Encode ``docs`` with the vocabulary file, write shards to a fresh shared folder, and read them back."""
     folder = f"{shared_dir(docs.sparkSession)}/keyfold-shards-{uuid.uuid4().hex}"
-    return read(write(docs, lambda texts: bpe.load(path, REMEMBERED).encode(texts, BLOCK), folder, end_id, bits=bits))
+    classes = bpe.differing_classes()
+    return read(write(docs, lambda texts: bpe.load(path, REMEMBERED, classes).encode(texts, BLOCK), folder, end_id, bits=bits))

@@ -213,3 +213,33 @@ def test_multiset_of_one_text_and_in_a_block_agree(n):
     alone, block = near_dup.multisets([t]), near_dup.multisets(["before it", t, None])
     pick = block[0] == 1
     assert (alone[1] == block[1][pick]).all() and (alone[2] == block[2][pick]).all()
+
+
+#: Names that the stages use inside, and their like.
+INNER = "gone wanted key drop twin repeated print_of fp class_fp text_digest row id n a b part __pick __size __row __key __gone __same __again __want __fp __text item_id h w shingle ids Gone FP_".split()
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "leaks"])
+def test_stages_keep_extra_columns_of_any_name(spark, stage):
+    from keyfold.llm import decontam
+
+    long = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, long), (2, long), (2, long), (3, long + " end"), (None, long), (None, "nameless one"), (None, "nameless one"), (4, None), (5, "some other text of its own words")]
+    schema = ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in dict.fromkeys(n.lower() for n in INNER)]])
+    names = schema.replace("`", "").split(", ")[2:]
+    docs = spark.createDataFrame([(i, t, *[f"{n} of {k}" for n in names]) for k, (i, t) in enumerate(rows)], schema)
+    if stage == "exact":
+        out = exact_dedup.dedup(docs)
+    elif stage == "near":
+        out = near_dup.dedup(docs)
+    else:
+        out = decontam.decontaminate(docs, spark.createDataFrame([(1, "nameless one"), (2, "text of its own words")], "item_id long, text string"))
+    assert out.columns == docs.columns
+    got = out.collect()
+    for r in got:  # whole rows as they came
+        assert len({v.rsplit(" ", 1)[1] for v in r[2:]}) == 1
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({
+        "exact": [(2, long), (3, long + " end"), (None, "nameless one"), (4, None), (5, rows[-1][1])],
+        "near": [(1, long), (None, "nameless one"), (4, None), (5, rows[-1][1])],
+        "leaks": [r for r in rows if r[1] != "nameless one" and r[0] != 5],
+    }[stage])

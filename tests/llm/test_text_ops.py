@@ -341,3 +341,21 @@ def test_license_siblings_are_told_apart(spark):
         ("Eclipse Public License - v 1.0", "EPL-1.0"),
     ]
     assert licences_of(spark, [t for t, _ in cases]) == [n for _, n in cases]
+
+
+def test_bpe_equals_the_library_on_every_code_point():
+    """Each code point within a word, at its end, and after a number, whatever Unicode version knows it."""
+    coder = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}1" for c in codes]
+    wrong = [c for c, got, want in zip(codes, coder.encode(texts), tokenizer().encode_batch_fast(texts, add_special_tokens=False)) if list(memoryview(got).cast("I")) != want.ids]
+    assert not wrong, (len(wrong), [hex(ord(c)) for c in wrong[:20]])
+
+
+def test_bpe_of_random_unicode_equals_the_library():
+    rng = random.Random(11)
+    coder = bpe.WordBpe(P.path("word_bpe_49k.json"))
+    odd = ["₏", "Ᲊ", "Ɤ", "\U0002ebf0", "\U0001d7ca", "͸"]
+    texts = ["".join(rng.choice(odd) if rng.random() < 0.2 else chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(1, 30))) for _ in range(20_000)]
+    for text, got, want in zip(texts, coder.encode(texts), tokenizer().encode_batch_fast(texts, add_special_tokens=False)):
+        assert list(memoryview(got).cast("I")) == want.ids, text
