@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions.scalar import TIMESTAMP_TYPES, Compressor, headers_to_map, java_hash, journal_events, key_partition, map_to_headers, payload_as, sequence_range
 from keyfold.operators import callables, commit, fold, records, timers
-from keyfold.sources import tables
+from keyfold.sources import segments, tables
 from keyfold.sources.log import compacted, events_log, orders_log, table
 from keyfold.streaming import engine
 from keyfold.streaming.metrics import MeasuredTable, Metrics
@@ -199,7 +199,52 @@ def journal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores.journals.upsert(rows)
     stores.journals.upsert(rows)
     first = log.agg(F.min("key")).first()[0]
-    return tables.journal_of(stores.journals.read(), {"application_id": "app", "group_id": "group", "key": first}).select("key", "offset", F.col("value").cast("string").alias("event_type"))
+    return stores.journal(application_id="app", group_id="group", key=first).select("key", "offset", F.col("value").cast("string").alias("event_type"))
+
+
+@query("WITH s AS (SELECT topic, partition, key, max(\"offset\") AS \"offset\", arg_max(event_type, \"offset\") AS event_type FROM {events} GROUP BY topic, partition, key) SELECT * FROM s WHERE key = (SELECT max(key) FROM {events})")
+def snapshot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key's snapshot out of all that were stored: only files that may hold the key are opened."""
+    stores = tables.Stores(spark, tables.work_dir(spark))
+    log = events_log(spark, sf_dir, "event_type")
+    about = {"application_id": F.lit("app"), "group_id": F.lit("group"), "metadata": F.lit("")}
+    last = records.keyed(log).groupBy(*fold.KEY).agg(F.max("offset").alias("offset"), F.max_by(F.col("event_type").cast("binary"), "offset").alias("value"), F.max("timestamp").cast("timestamp").alias("created"))
+    stores.snapshots.upsert(last.withColumns(about))
+    key = log.agg(F.max("key")).first()[0]
+    return stores.snapshot(application_id="app", group_id="group", key=key).select(*fold.KEY, "offset", F.col("value").cast("string").alias("event_type"))
+
+
+@query("SELECT key, \"offset\", event_type FROM {events} WHERE \"offset\" >= (SELECT (max(event_id) + 1) // 2 FROM events) AND event_type <> 'error'")
+def log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written in two appends of segments, and read through the source from the ends after the first to those after the second."""
+    log, path = events_log(spark, sf_dir, "event_type"), f"{tables.work_dir(spark)}/log"
+    half = ((log.agg(F.max("offset")).first()[0] or 0) + 1) // 2
+    segments.append(log.where(F.col("offset") < half), path)
+    start = segments.ends(path)
+    segments.append(log.where(F.col("offset") >= half), path)
+    return segments.scan(spark, path, "events", start=start, end=segments.ends(path)).where("event_type <> 'error'").select("key", "offset", "event_type")
+
+
+@query("SELECT topic, partition, key, max(\"offset\") AS \"offset\", count(*) AS n FROM {events} GROUP BY ALL")
+def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the source that stops after the first append and goes on, from its checkpoint, after the second: each record comes once."""
+    log, base = events_log(spark, sf_dir), tables.work_dir(spark)
+    half = ((log.agg(F.max("offset")).first()[0] or 0) + 1) // 2
+    for part in (log.where(F.col("offset") < half), log.where(F.col("offset") >= half)):
+        segments.append(part, f"{base}/log")
+        stream = segments.scan(spark, f"{base}/log", "events", streaming=True)
+        engine.start(stream, f"{base}/check", engine.once_per_batch(f"{base}/out")).awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.groupBy(*fold.KEY).agg(F.max("offset").alias("offset"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(o // 256 AS BIGINT) AS txn, topic, partition, max(n) AS committed FROM (SELECT event_id AS o, 'events' AS topic, CAST(user_id % 4 AS INTEGER) AS partition, event_id + 1 AS n FROM events) GROUP BY ALL")
+def transaction_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log committed as transactions of at most 256 offsets by one job: what each of their pointers has moved on."""
+    log = events_log(spark, sf_dir, "event_type").withColumnRenamed("event_type", "value").withColumn("txn", F.floor(F.col("offset") / 256))
+    changelog = tables.Changelog(spark, f"{tables.work_dir(spark)}/changelog").create()
+    changelog.commit_all(log, 1)
+    return changelog.history()
 
 
 @query("SELECT key, \"offset\", CASE WHEN event_type = 'purchase' THEN \"offset\" END AS seq_from, CASE WHEN event_type = 'purchase' THEN \"offset\" + 2 END AS seq_to FROM {events}")
@@ -477,7 +522,7 @@ def transaction_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of the log committed as transactions with their offsets; a stale writer's is rejected, an unfinished one never seen."""
     log = events_log(spark, sf_dir, "event_type").withColumn("value", F.when(F.col("event_type") != "error", F.col("event_type")))
     changelog = tables.Changelog(spark, f"{tables.work_dir(spark)}/changelog").create()
-    half = log.agg(F.expr("percentile(offset, 0.5)")).first()[0] or 0
+    half = (log.agg(F.max("offset")).first()[0] or 0) // 2
     for generation, part in ((1, log.where(F.col("offset") <= half)), (2, log.where(F.col("offset") > half))):
         nexts = {f"{r['topic']}-{r['partition']}": r["next_offset"] for r in records.next_offsets(part).collect()}  # one row a partition
         changelog.commit(part, generation, nexts)

@@ -6,7 +6,12 @@ table. A pointer is created only if its number is free and none is ever
 deleted, so a reader sees the old rows or the new ones, a job that dies leaves
 the table as it was, and of two writers the later one notices and goes again.
 Folders are merged into one after ``COMPACT`` writes, so a micro-batch costs
-what it changes.
+what it changes. A deletion by some columns adds those columns' values alone.
+
+A table with ``cluster`` columns lays its rows out in their order, in files of
+``FILE_ROWS``, and keeps an index beside each folder: for each file the least
+and largest value of each of these columns and, for one column, a Bloom filter.
+``scan`` opens only the files that can hold what is asked for.
 """
 
 from __future__ import annotations
@@ -23,7 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Folders that a table gathers before they are merged, and tries of a writer that others overtake.
-COMPACT, ATTEMPTS = 8, 20
+COMPACT, ATTEMPTS = 16, 20
+#: Rows of a file of a clustered table.
+FILE_ROWS = 100_000
+#: Bits of each of a Bloom filter's two bitmaps (fixed by Spark's bitmap functions).
+BLOOM_BITS = 32_768
 
 KEY_COLUMNS = ("application_id", "group_id", "topic", "partition", "key")
 SCHEMAS = {
@@ -34,15 +43,17 @@ SCHEMAS = {
 
 
 class Table:
-    """One table; ``identity`` names the columns that make a row unique."""
+    """One table; ``identity`` names the columns that make a row unique, ``cluster`` those in whose order rows lie in files, ``bloom`` the one that has Bloom filters."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, identity: tuple[str, ...]):
+    def __init__(self, spark: SparkSession, path: str, schema: str, identity: tuple[str, ...], cluster: tuple[str, ...] = (), bloom: str | None = None):
         self.spark, self.path, self.schema, self.identity = spark, path.rstrip("/"), schema, identity
+        self.cluster, self.bloom, self._held_fs = cluster, bloom, None
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if self._held_fs is None:
+            self._held_fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self._held_fs, p
 
     def _pointers(self) -> list[int]:
         """Numbers of the pointers, whether they were finished or not."""
@@ -68,8 +79,8 @@ class Table:
                 return numbers[-1], content
         return (numbers[-1] if numbers else -1), {"folders": [], "notes": {}}
 
-    def _point(self, number: int, base: dict, content: dict) -> bool:
-        """Create pointer ``number``; False if another writer was first, or has changed the table since ``base`` was read."""
+    def _point(self, number: int, base: dict, content: dict, sure: bool = False) -> bool:
+        """Create pointer ``number``; False if another writer was first, or has changed the table since ``base`` was read. ``sure``: the pointer just before is our own, with ``base``."""
         fs, p = self._fs(f"{self.path}/pointers/{number:012d}")
         try:
             out = fs.create(p, False)
@@ -78,50 +89,122 @@ class Table:
                 return False
             raise
         try:
-            late = self._state()[1] != base  # a writer before us has finished in the meantime
+            # Another writer may have finished in the meantime, but hardly if the pointer just before ours is ``base``.
+            late = not sure and not (number and self._content(number - 1) == base) and self._state()[1] != base
             if not late:
                 out.write(json.dumps(content).encode())
         finally:
             out.close()
-        return not late and self._pointers()[-1] == number
+        return not late and not fs.exists(self._fs(f"{self.path}/pointers/{number + 1:012d}")[1])
+
+    def _commit(self, make: Callable[[dict], dict], known: tuple[int, dict] | None = None) -> tuple[int, dict]:
+        """Move to ``make(content)``, starting again if another writer came between; the number and content of the pointer that was made.
 
-    def _commit(self, make: Callable[[dict], dict]) -> None:
-        """Move to ``make(content)``, starting again if another writer came between. Repeating a write changes nothing."""
+        Repeating a write changes nothing. ``known`` is what this method gave last, for a writer that goes on at once.
+        """
         for _ in range(ATTEMPTS):
-            number, base = self._state()
-            if self._point(number + 1, base, make(base)):
-                return
+            number, base = known or self._state()
+            content = make(base)
+            if self._point(number + 1, base, content, known is not None):
+                return number + 1, content
+            known = None
         raise OSError(f"{self.path} is written to by too many others")
 
     def _write(self, rows: DataFrame, gone: bool = False) -> str:
         name = f"v-{uuid.uuid4().hex}"
-        rows.select(*self._columns(), F.lit(gone).alias("__gone")).write.parquet(f"{self.path}/{name}")
+        rows = rows.select(*self._columns(), F.lit(gone).alias("__gone"))
+        if not self.cluster:
+            rows.write.parquet(f"{self.path}/{name}")
+            return name
+        laid = rows.repartitionByRange(*self.cluster).sortWithinPartitions(*self.cluster)
+        laid.write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.path}/{name}")
+        self._index(name)
         return name
 
+    def _index(self, name: str) -> None:
+        """One row a file of a folder: its name, ranges of the cluster columns, two bitmaps of hashes of the ``bloom`` column."""
+        about = [f(c).alias(f"{n}_{c}") for c in self.cluster for n, f in (("min", F.min), ("max", F.max))]
+        if self.bloom:
+            about += [F.bitmap_construct_agg(_bloom_place(F.col(self.bloom), seed)).alias(f"bits_{seed}") for seed in (1, 2)]
+        rows = self._part(name).select(*dict.fromkeys([*self.cluster, *([self.bloom] if self.bloom else [])]), F.col("_metadata.file_name").alias("__file"))
+        rows.groupBy("__file").agg(*about).coalesce(1).write.parquet(f"{self.path}/i-{name[2:]}")
+
+    def files(self, equals: dict[str, object]) -> dict[str, tuple[list[str], int]]:
+        """For each indexed folder the files that may hold rows with these values, and how many files it has. The names alone come to the driver."""
+        out = {}
+        for name in self._state()[1]["folders"]:
+            if not self.cluster or not name.startswith("v-") or "/" in name:
+                continue
+            index, hit = self.spark.read.parquet(f"{self.path}/i-{name[2:]}"), F.lit(True)
+            for c, v in equals.items():
+                if c in self.cluster:
+                    hit = hit & (F.lit(v) >= F.col(f"min_{c}")) & (F.lit(v) <= F.col(f"max_{c}"))
+                if c == self.bloom:
+                    for seed in (1, 2):
+                        place = _bloom_place(F.lit(v), seed)
+                        byte = F.conv(F.hex(F.substring(f"bits_{seed}", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+                        hit = hit & (F.getbit(byte, (place % 8).cast("int")) == 1)
+            found = index.select("__file", F.coalesce(hit, F.lit(False)).alias("hit"))
+            out[name] = [r["__file"] for r in found.where("hit").collect()], index.count()
+        return out
+
+    def scan(self, **equals: object) -> DataFrame:
+        """Rows with these values (of identity columns), from the files that may hold them."""
+        if odd := set(equals) - set(self.identity) - set(self.cluster):
+            raise ValueError(f"{sorted(odd)} are no identity columns of the table")
+        rows = self._merged(self._state()[1]["folders"], {name: found for name, (found, _) in self.files(equals).items()})
+        for c, v in equals.items():
+            rows = rows.where(F.col(c) == F.lit(v))
+        return rows
+
     def _columns(self) -> list[str]:
         return T._parse_datatype_string(self.schema).names
 
     def _add(self, name: str) -> None:
-        self._commit(lambda base: base | {"folders": self._compacted([*base["folders"], name])})
+        self._commit(lambda base: base | {"folders": [*base["folders"], name]})
+        self.compact()
 
-    def _compacted(self, folders: list[str]) -> list[str]:
-        return folders if len(folders) < COMPACT else [self._write(self._merged(folders))]
+    def compact(self, most: int = COMPACT) -> bool:
+        """Merge the folders into one if there are ``most``. Left to others if they write in the meantime."""
+        number, base = self._state()
+        if len(base["folders"]) < most:
+            return False
+        return self._point(number + 1, base, {"folders": [self._write(self._merged(base["folders"]))], "notes": base["notes"]})
 
-    def _merged(self, folders: list[str]) -> DataFrame:
-        """Rows of the folders, the last one of each identity, without those that are gone."""
+    def _part(self, name: str, files: list[str] | None = None) -> DataFrame:
         schema = T._parse_datatype_string(self.schema).add("__gone", "boolean")
+        paths = [f"{self.path}/{name}"] if files is None else [f"{self.path}/{name}/{f}" for f in files]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _merged(self, folders: list[str], files: dict[str, list[str]] | None = None) -> DataFrame:
+        """Rows of the folders, the last one of each identity, without those that are gone.
+
+        The first folder is the large one. Its rows are not gathered again: those
+        that later folders replace or delete are left out by an anti join, for
+        which AQE broadcasts the later folders' identities if they are few.
+        """
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{name}") for name in folders]
-        if len(parts) == 1:
-            return parts[0].where("not __gone").drop("__gone")
-        rows = parts[0].withColumn("__at", F.lit(0))
-        for k, part in enumerate(parts[1:], 1):
-            rows = rows.unionByName(part.withColumn("__at", F.lit(k)))
-        columns = self._columns()
+        columns, base, newer = self._columns(), None, None
         rest = [c for c in columns if c not in self.identity]
-        last = rows.groupBy(*self.identity).agg(F.max_by(F.struct(*rest, "__gone"), "__at").alias("__row"))
-        return last.where("not __row.__gone").select(*[F.col(c) if c in self.identity else F.col(f"__row.{c}").alias(c) for c in columns])
+        for k, name in enumerate(folders):
+            if name.startswith("d-"):
+                gone = self.spark.read.parquet(f"{self.path}/{name}")
+                base, newer = (None if rows is None else without(rows, gone) for rows in (base, newer))
+                continue
+            part = self._part(name, (files or {}).get(name))
+            if base is None:
+                base = part.where("not __gone").drop("__gone")
+            else:
+                part = part.withColumn("__at", F.lit(k))
+                newer = part if newer is None else newer.unionByName(part)
+        if base is None:
+            return self.spark.createDataFrame([], self.schema)
+        if newer is None:
+            return base
+        last = newer.groupBy(*self.identity).agg(F.max_by(F.struct(*rest, "__gone"), "__at").alias("__row"))
+        live = last.where("not __row.__gone").select(*[F.col(c) if c in self.identity else F.col(f"__row.{c}").alias(c) for c in columns])
+        return without(base, newer.select(*self.identity)).unionByName(live)
 
     def create(self) -> Table:
         """Does nothing if the table is there."""
@@ -144,17 +227,20 @@ class Table:
         self._add(self._write(upserted(rows.limit(0), rows, self.identity, order)))
 
     def delete(self, keys: DataFrame) -> None:
-        """Delete all rows that share the columns of ``keys``."""
-        self._add(self._write(self.read().join(keys.distinct(), keys.columns, "left_semi"), True))
+        """Delete all rows that share the columns of ``keys``. The table itself is not read: the keys are added as a folder that deletes from those before it."""
+        name = f"d-{uuid.uuid4().hex}"
+        keys.distinct().write.parquet(f"{self.path}/{name}")
+        self._add(name)
 
     def vacuum(self) -> int:
         """Remove folders that the newest pointer does not list; how many. Only while nothing reads or writes."""
         fs, p = self._fs(self.path)
-        keep, n = set(self._state()[1]["folders"]), 0
+        keep, n = {name.split("/")[0][2:] for name in self._state()[1]["folders"]}, 0
         for f in fs.listStatus(p):
-            name = f.getPath().getName()
-            if name.startswith("v-") and name not in keep:
-                n += fs.delete(f.getPath(), True)
+            kind, name = f.getPath().getName()[:2], f.getPath().getName()[2:]
+            if kind in ("v-", "d-", "i-") and name not in keep:
+                fs.delete(f.getPath(), True)
+                n += kind != "i-"
         return n
 
     def live(self, now: Column, ttl_seconds: int | None) -> DataFrame:
@@ -180,20 +266,54 @@ class Changelog(Table):
     def __init__(self, spark: SparkSession, path: str, value: str = "string"):
         super().__init__(spark, path, f"topic string, partition int, key string, offset long, value {value}", ("topic", "partition", "key"))
 
+    def _fenced(self, base: dict, generation: int, folders: list[str], offsets: dict[str, int]) -> dict:
+        """``base`` and a transaction; Fenced if a younger writer has committed."""
+        notes = base["notes"]
+        if notes.get("generation", -1) > generation:
+            raise Fenced(f"generation {generation} after {notes['generation']}")
+        return {"folders": [*base["folders"], *folders], "notes": {"generation": generation, "offsets": notes.get("offsets", {}) | offsets}}
+
+    def _last(self, writes: DataFrame, *by: str) -> DataFrame:
+        last = writes.groupBy(*by, *self.identity).agg(F.max_by(F.struct("offset", "value"), "offset").alias("__row")).select(*by, *self.identity, "__row.*")
+        return last.select(*by, *self._columns(), F.col("value").isNull().alias("__gone"))
+
     def commit(self, writes: DataFrame, generation: int, offsets: dict[str, int]) -> None:
         """Write rows (topic, partition, key, offset, value) and advance ``offsets`` ("topic-partition": next offset) in one step."""
-        last = writes.groupBy(*self.identity).agg(F.max_by(F.struct("offset", "value"), "offset").alias("__row")).select(*self.identity, "__row.*")
-        rows = last.withColumn("__gone", F.col("value").isNull())
         name = f"v-{uuid.uuid4().hex}"
-        rows.select(*self._columns(), "__gone").write.parquet(f"{self.path}/{name}")
-
-        def make(base: dict) -> dict:
-            notes = base["notes"]
-            if notes.get("generation", -1) > generation:
-                raise Fenced(f"generation {generation} after {notes['generation']}")
-            return {"folders": self._compacted([*base["folders"], name]), "notes": {"generation": generation, "offsets": notes.get("offsets", {}) | offsets}}
-
-        self._commit(make)
+        self._last(writes).write.parquet(f"{self.path}/{name}")
+        self._commit(lambda base: self._fenced(base, generation, [name], offsets))
+        self.compact()
+
+    def commit_all(self, writes: DataFrame, generation: int, txn: str = "txn", offsets: dict[int, dict[str, int]] | None = None) -> int:
+        """Commit many transactions, which the column ``txn`` numbers; how many.
+
+        One job writes the rows of all of them, each transaction's to a folder of
+        its own, by one task. Then their pointers follow in the order of their
+        numbers, each with the offsets after it: those of ``offsets``, or, by one
+        more job, one past the transaction's last in each partition. So a reader
+        sees all of the first transactions and nothing of the others; a writer
+        that is fenced or dies in between has committed those.
+        """
+        name = f"v-{uuid.uuid4().hex}"
+        rows = writes.select(F.col(txn).cast("long").alias("__txn"), *self._columns())
+        self._last(rows.repartition("__txn"), "__txn").withColumnRenamed("__txn", "txn").write.partitionBy("txn").parquet(f"{self.path}/{name}")
+        if offsets is None:
+            offsets = {}
+            for r in rows.groupBy("__txn", "topic", "partition").agg((F.max("offset") + 1).alias("next")).collect():  # one row a transaction and partition
+                offsets.setdefault(r["__txn"], {})[f"{r['topic']}-{r['partition']}"] = r["next"]
+        at = None
+        for k, nexts in sorted(offsets.items()):
+            at = self._commit(lambda base, k=k, nexts=nexts: self._fenced(base, generation, [f"{name}/txn={k}"], nexts) | {"moved": {"txn": k, "offsets": nexts}}, at)
+        self.compact()
+        return len(offsets)
+
+    def history(self) -> DataFrame:
+        """txn, topic, partition, committed: what each pointer of ``commit_all`` has moved on."""
+        rows = []
+        for n in self._pointers():
+            moved = self._content(n).get("moved")
+            rows += [(moved["txn"], *name.rsplit("-", 1), at) for name, at in moved["offsets"].items()] if moved else []
+        return self.spark.createDataFrame(rows, "txn long, topic string, partition string, committed long").withColumn("partition", F.col("partition").cast("int"))
 
     def offsets(self) -> dict[str, int]:
         """Next offset to read of each "topic-partition", as committed."""
@@ -208,6 +328,20 @@ def work_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/keyfold-{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix='keyfold-')}"
 
 
+def _bloom_place(value: Column, seed: int) -> Column:
+    """Where a value's hash falls in a bitmap."""
+    return F.pmod(F.xxhash64(value, F.lit(seed)), F.lit(BLOOM_BITS))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` that share the columns of ``gone`` with none of its rows; nulls are alike."""
+    there = gone.select(*[F.col(c).alias(f"__gone_{c}") for c in gone.columns])
+    cond = F.lit(True)
+    for c in gone.columns:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__gone_{c}"))
+    return rows.join(there, cond, "left_anti")
+
+
 def upserted(old: DataFrame, new: DataFrame, identity: tuple[str, ...], order: Column | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` put over it. Combines on the map side by ``max_by``; nothing is sorted."""
     columns = old.columns
@@ -227,21 +361,32 @@ class Stores:
     ttl: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.keys = Table(self.spark, f"{self.root}/keys", SCHEMAS["keys"], KEY_COLUMNS)
-        self.journals = Table(self.spark, f"{self.root}/records", SCHEMAS["records"], (*KEY_COLUMNS, "offset"))
-        self.snapshots = Table(self.spark, f"{self.root}/snapshots_v2", SCHEMAS["snapshots_v2"], KEY_COLUMNS)
+        place = ("application_id", "group_id", "topic", "partition")
+        self.keys = Table(self.spark, f"{self.root}/keys", SCHEMAS["keys"], KEY_COLUMNS, (*place, "segment", "key"))
+        self.journals = Table(self.spark, f"{self.root}/records", SCHEMAS["records"], (*KEY_COLUMNS, "offset"), (*KEY_COLUMNS, "offset"), "key")
+        self.snapshots = Table(self.spark, f"{self.root}/snapshots_v2", SCHEMAS["snapshots_v2"], KEY_COLUMNS, KEY_COLUMNS, "key")
 
     def create(self) -> Stores:
         for t in (self.keys, self.journals, self.snapshots):
             t.create()
         return self
 
-    def all_keys(self, application: str, group: str, topic: str, partition: int) -> DataFrame:
-        return self.keys.read().where((F.col("application_id") == application) & (F.col("group_id") == group) & (F.col("topic") == topic) & (F.col("partition") == partition))
+    def all_keys(self, application: str, group: str, topic: str, partition: int, segment: int | None = None) -> DataFrame:
+        """Keys of one partition, or of one of its segments: only the files that hold it are opened."""
+        at = {"application_id": application, "group_id": group, "topic": topic, "partition": partition}
+        return self.keys.scan(**at | ({} if segment is None else {"segment": segment}))
+
+    def journal(self, **key: object) -> DataFrame:
+        """One key's journal, by offset."""
+        return self.journals.scan(**key).orderBy("offset")
+
+    def snapshot(self, **key: object) -> DataFrame:
+        """One key's snapshot: one row, or none."""
+        return self.snapshots.scan(**key)
 
 
 def journal_of(journals: DataFrame, key: dict[str, object]) -> DataFrame:
-    """One key's journal, by offset."""
+    """One key's journal, by offset, of a table that is read whole."""
     out = journals
     for c, v in key.items():
         out = out.where(F.col(c) == F.lit(v))
