@@ -90,7 +90,8 @@ class TimerPolicy:
     ``persist_every`` flushes periodically; ``max_idle`` and ``max_behind``
     flush and unload keys that their partition has left behind; both together
     are the combined policy. Every fire that leaves the key in place registers
-    the next one. A flush that succeeds holds the partition's current offset;
+    the next one: from now on if states are persisted periodically, else from
+    the key's last touch, which may be past already. A flush that succeeds holds the partition's current offset;
     one that fails with ``ignore_errors`` leaves the hold where it was, so that
     nothing behind it is committed, and the key is not unloaded either.
     """
@@ -105,7 +106,8 @@ class TimerPolicy:
     def begin(self, now: At, persisted: At | None = None) -> KeyTimers:
         """A key enters memory, new or recovered: it holds its committed offset and gets a timer even if no record follows."""
         at = persisted or now
-        return KeyTimers(at, at.offset, None, persisted, now.clock + self.fire_every)
+        only_persists = self.persist_every is not None and self.max_idle is None and self.max_behind is None
+        return KeyTimers(at, at.offset, None, persisted, (now if only_persists else at).clock + self.fire_every)
 
     def _flush(self, key: KeyTimers, now: At, flush: Callable[[], None]) -> bool:
         try:
@@ -129,7 +131,7 @@ class TimerPolicy:
         if orphan and done:
             key.removed, key.hold, key.next_fire = True, None, None
             return False
-        key.next_fire = now.clock + self.fire_every
+        key.next_fire = (touched if self.persist_every is None else now).clock + self.fire_every
         return True
 
     def revoke(self, key: KeyTimers, now: At, flush: Callable[[], None]) -> bool:

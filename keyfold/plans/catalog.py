@@ -9,7 +9,7 @@ from keyfold.functions.scalar import TIMESTAMP_TYPES, Compressor, headers_to_map
 from keyfold.operators import callables, commit, fold, records, timers
 from keyfold.sources import segments, tables
 from keyfold.sources.log import compacted, events_log, orders_log, table
-from keyfold.streaming import engine
+from keyfold.streaming import engine, flow
 from keyfold.streaming.metrics import MeasuredTable, Metrics
 
 QUERIES, ORACLES = {}, {}
@@ -381,6 +381,52 @@ def stateful_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(*fold.KEY).agg(F.count(F.lit(1)).alias("steps"), F.count("after").alias("kept"))
 
 
+def _stamped(spark: SparkSession, sf_dir: str, *values: str) -> DataFrame:
+    return events_log(spark, sf_dir, *values).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
+@query(f"WITH c AS (SELECT topic, partition, key, max(\"offset\") AS last, min(\"offset\") AS first, CAST(count(*) AS VARCHAR) AS n FROM {{events}} GROUP BY ALL), p AS (SELECT *, max(last) OVER (PARTITION BY topic, partition) + 1 AS now FROM c), u AS (SELECT *, now - last > 100 AS gone FROM p) SELECT topic, partition, key, 'unload' AS kind, last AS \"offset\", n AS state FROM u WHERE gone UNION ALL SELECT topic, partition, NULL, 'commit', coalesce(min(CASE WHEN NOT gone THEN first END), max(now)), NULL FROM u GROUP BY topic, partition")
+def flow_unloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processor with timers over the log as one poll: keys that their partition has left 100 offsets behind, with the states that they are flushed with, and the offset that the others' holds leave to commit."""
+    out = flow.flow_stream(_stamped(spark, sf_dir), lambda s, r: (s or 0) + 1, (), timers.TimerPolicy(fire_every=0, max_behind=100), segments=8, steps=False)
+    gone = out.where("kind = 'unload'").select(*fold.KEY, "kind", "offset", F.col("after").alias("state"))
+    holds = out.where("kind = 'hold'").groupBy("topic", "partition").agg(F.coalesce(F.min("hold"), F.max("offset")).alias("offset"))
+    return gone.unionByName(holds.select("topic", "partition", F.lit(None).cast("string").alias("key"), F.lit("commit").alias("kind"), "offset", F.lit(None).cast("string").alias("state")))
+
+
+@query(f"SELECT {BY}, max(\"offset\") AS \"offset\", CAST(count(*) AS VARCHAR) AS value, max(max(\"offset\")) OVER (PARTITION BY topic, partition) + 1 AS committed FROM {{events}} GROUP BY topic, partition, key")
+def flow_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams over halves of a log with checkpoints of their own. The first flushes what is due and journals what it flushes; the second replays the journal through the fold, reads again what was not safe to commit, and flushes all: states as one stream would have them, and the offsets that were committed with them."""
+    log, base = _stamped(spark, sf_dir), tables.work_dir(spark)
+    changelog = tables.Changelog(spark, f"{base}/states").create()
+    journal = tables.Table(spark, f"{base}/events", flow.FlowSink.JOURNAL, (*fold.KEY, "offset")).create()
+    half = ((log.agg(F.max("offset")).first()[0] or 0) + 1) // 2
+    step = lambda s, r: (s or 0) + 1
+    for generation, (part, policy) in enumerate(((log.where(F.col("offset") < half), timers.TimerPolicy(fire_every=0, persist_every=86_400)), (log.where(F.col("offset") >= half), timers.TimerPolicy(fire_every=0, persist_every=0))), 1):
+        segments.append(part, f"{base}/log")
+        sink = flow.FlowSink(changelog, generation, journal, 8)
+        initial, start = sink.recover()
+        stream = flow.flow_stream(segments.scan(spark, f"{base}/log", "events", start=start or None, streaming=True), step, (), policy, segments=8, initial=initial, journal=True, steps=False)
+        engine.start(stream, f"{base}/check{generation}", sink).awaitTermination()
+    nexts = [(*name.rsplit("-", 1), at) for name, at in changelog.offsets().items()]
+    committed = spark.createDataFrame(nexts, "topic string, partition string, committed long").withColumn("partition", F.col("partition").cast("int"))
+    return changelog.read().join(F.broadcast(committed), ["topic", "partition"])
+
+
+@query(f"SELECT {BY}, max(\"offset\") AS \"offset\", CAST(count(*) AS VARCHAR) AS value, n AS committed FROM {{events}} JOIN (SELECT topic AS t, partition AS p, max(\"offset\") + 1 AS n FROM {{events}} GROUP BY ALL) ON topic = t AND partition = p WHERE event_type = 'purchase' GROUP BY ALL")
+def stored_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that folds purchases and commits states with input offsets: those go past the records that the filter leaves out."""
+    base = tables.work_dir(spark)
+    changelog = tables.Changelog(spark, f"{base}/states").create()
+    segments.append(_stamped(spark, sf_dir, "event_type"), f"{base}/log")
+    loop = engine.StoredFold(changelog, 1)
+    stream = loop.stream(segments.scan(spark, f"{base}/log", "events", streaming=True), lambda s, r: (s or 0) + 1, (), keep=F.col("event_type") == "purchase")
+    engine.start(stream, f"{base}/check", loop.sink).awaitTermination()
+    nexts = [(*name.rsplit("-", 1), at) for name, at in changelog.offsets().items()]
+    committed = spark.createDataFrame(nexts, "topic string, partition string, committed long").withColumn("partition", F.col("partition").cast("int"))
+    return changelog.read().join(F.broadcast(committed), ["topic", "partition"])
+
+
 def _cents(a) -> F.Column:
     return F.round(a["value"] * 100).cast("long")
 

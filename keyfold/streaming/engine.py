@@ -8,7 +8,8 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -41,20 +42,24 @@ class KeyFold(StatefulProcessor):
 
     A row of kind "fold" tells each step (state before, record, state after);
     the key is deleted when the state after a batch's last record is None.
+    With ``ttl_ms`` a state that is not written for that long, by the wall
+    clock, is gone, and its key starts from nothing.
     With ``idle_ms`` a timer unloads keys that stay idle: ``tick`` gives the
     new state or None, in a row of kind "tick". ``clock`` is "event" (the
     records' times, against the watermark) or "processing" (the wall clock,
     looked at in each batch).
     """
 
-    def __init__(self, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, serde: Serde = JSON, clock: str = "event"):
+    def __init__(self, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, serde: Serde = JSON, clock: str = "event", ttl_ms: int | None = None):
+        if ttl_ms and idle_ms and clock == "event":
+            raise ValueError("a time to live runs by the processing clock, and so must the idle timer beside it")
         if clock not in ("event", "processing"):
             raise ValueError(f"unknown clock {clock}")
-        self.step, self.fields, self.tick, self.idle_ms, self.serde, self.clock = step, fields, tick, idle_ms, serde, clock
+        self.step, self.fields, self.tick, self.idle_ms, self.serde, self.clock, self.ttl_ms = step, fields, tick, idle_ms, serde, clock, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("state", "offset long, value binary")
+        self.held = handle.getValueState("state", "offset long, value binary", self.ttl_ms)
 
     def _get(self):
         if not self.held.exists():
@@ -109,14 +114,14 @@ class KeyFold(StatefulProcessor):
         pass
 
 
-def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, watermark: str = "0 seconds", initial: DataFrame | None = None, serde: Serde = JSON, clock: str = "event") -> DataFrame:
-    """A streaming (or batch) log folded per key. ``initial`` (topic, partition, key, offset, value JSON, and timestamp for a timer) starts from snapshots."""
+def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: Callable | None = None, idle_ms: int | None = None, watermark: str = "0 seconds", initial: DataFrame | None = None, serde: Serde = JSON, clock: str = "event", ttl_ms: int | None = None, keep: Column | None = None) -> DataFrame:
+    """A streaming (or batch) log folded per key, but for records that ``keep`` leaves out. ``initial`` (topic, partition, key, offset, value JSON, and timestamp for a timer) starts from snapshots."""
     log.sparkSession.streams.active  # noqa: B018  the state store's coordinator starts with the first use of streams
-    rows = log.where("key is not null")
+    rows = log.where("key is not null") if keep is None else log.where(F.col("key").isNotNull() & keep)
     if idle_ms and rows.isStreaming and clock == "event":
         rows = rows.withWatermark("timestamp", watermark)
     return rows.groupBy("topic", "partition", "key").transformWithState(
-        statefulProcessor=KeyFold(step, fields, tick, idle_ms, serde, clock), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="None" if not idle_ms else "EventTime" if clock == "event" else "ProcessingTime", initialState=None if initial is None else initial.groupBy("topic", "partition", "key")
+        statefulProcessor=KeyFold(step, fields, tick, idle_ms, serde, clock, ttl_ms), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="ProcessingTime" if ttl_ms or idle_ms and clock == "processing" else "EventTime" if idle_ms else "None", initialState=None if initial is None else initial.groupBy("topic", "partition", "key")
     )
 
 
@@ -134,11 +139,25 @@ def once_per_batch(path: str, write: Callable[[DataFrame, int], None] | None = N
     return sink
 
 
+def marks(log: DataFrame) -> DataFrame:
+    """Rows of kind "mark": the last offset of what each task has read of a partition, whatever a fold makes of the records. One row a partition and Arrow batch."""
+
+    def run(batches):
+        for batch in batches:
+            of = pa.Table.from_batches([batch]).group_by(["topic", "partition"]).aggregate([("offset", "max")])
+            yield from of.select(["topic", "partition", "offset_max"]).rename_columns(["topic", "partition", "offset"]).to_batches()
+
+    read = log.select("topic", "partition", "offset").mapInArrow(run, "topic string, partition int, offset long")
+    return read.select("topic", "partition", F.lit(None).cast("string").alias("key"), F.lit("mark").alias("kind"), "offset", *[F.lit(None).cast("string").alias(c) for c in ("before", "record", "after")])
+
+
 class StoredFold:
     """The whole loop: fold, persist states and commit input offsets in one transaction, recover.
 
-    ``sink`` is for ``start``: of each batch of fold outputs it commits the last
-    state of every key (None: a tombstone) with the offsets to read next.
+    ``stream`` folds a log and marks how far it was read; ``sink`` is for
+    ``start``: of each batch it commits the last state of every key (None: a
+    tombstone) with the offsets to read next, past records that were filtered
+    out, have no key or came again as well. The fold runs once a batch.
     ``recover`` gives the states and the log from the committed offsets on, for
     a query with a new checkpoint. A batch that is repeated commits the same
     rows again, so nothing is folded twice. A stale generation is rejected.
@@ -147,13 +166,24 @@ class StoredFold:
     def __init__(self, changelog: Changelog, generation: int):
         self.changelog, self.generation = changelog, generation
 
+    def stream(self, log: DataFrame, step: Callable, fields: tuple[str, ...], **options) -> DataFrame:
+        """``fold_stream`` with the marks of the same log."""
+        return fold_stream(log, step, fields, **options).unionByName(marks(log))
+
     def sink(self, outputs: DataFrame, batch_id: int) -> None:
-        steps = outputs.where("kind = 'fold'").groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next"))
-        offsets = {f"{r['topic']}-{r['partition']}": r["next"] for r in steps.collect()}  # one row a partition of the input
-        if offsets or not outputs.isEmpty():
-            order = F.struct("offset", (F.col("kind") == "tick").alias("late"))
-            last = outputs.groupBy("topic", "partition", "key").agg(F.max_by(F.struct("offset", F.col("after").alias("value")), order).alias("row"))
-            self.changelog.commit(last.select("topic", "partition", "key", "row.*"), self.generation, offsets)
+        outputs = outputs.persist()
+        try:
+            read = outputs.where("kind in ('fold', 'mark')").groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next"))
+            before = self.changelog.offsets()
+            offsets = {f"{r['topic']}-{r['partition']}": r["next"] for r in read.collect()}  # one row a partition of the input
+            offsets = {name: at for name, at in offsets.items() if at > before.get(name, -1)}
+            states = outputs.where("kind <> 'mark'")
+            if offsets or not states.isEmpty():
+                order = F.struct("offset", (F.col("kind") == "tick").alias("late"))
+                last = states.groupBy("topic", "partition", "key").agg(F.max_by(F.struct("offset", F.col("after").alias("value")), order).alias("row"))
+                self.changelog.commit(last.select("topic", "partition", "key", "row.*"), self.generation, offsets)
+        finally:
+            outputs.unpersist()
 
     def recover(self, log: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(states to start from, records that are not yet committed)."""
@@ -167,7 +197,15 @@ class StoredFold:
 def start(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every: str | None = None, **options: str):
     """Start a query. Without ``every`` it takes everything that is there and stops; run again it goes on from the checkpoint. With it ("10 seconds") a batch is triggered, and its offsets are committed, at that cadence."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return df.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).options(**options).trigger(**trigger).start()
+    conf = df.sparkSession.conf
+    before = {name: conf.get(name, None) for name in STATE_STORE}
+    try:
+        for name, value in STATE_STORE.items():  # a query keeps the settings that it starts with
+            conf.set(name, value)
+        return df.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).options(**options).trigger(**trigger).start()
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 @dataclass
