@@ -10,7 +10,7 @@ from keyfold.operators import callables, commit, fold, records, timers
 from keyfold.sources import segments, tables
 from keyfold.sources.log import compacted, events_log, orders_log, table
 from keyfold.streaming import engine, flow
-from keyfold.streaming.metrics import MeasuredTable, Metrics
+from keyfold.streaming.metrics import MeasuredTable, Metrics, merged, quantiles, summaries
 
 QUERIES, ORACLES = {}, {}
 EVENTS = "(SELECT 'events' AS topic, CAST(user_id % 4 AS INTEGER) AS partition, event_id AS \"offset\", ts AS \"timestamp\", CAST(user_id AS VARCHAR) AS key, event_type, value, props FROM events) e"
@@ -339,6 +339,18 @@ def apply_duration_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_log(spark, sf_dir, "value").groupBy("topic").agg(F.percentile("value", 0.9).alias("q90"), F.percentile("value", 0.99).alias("q99"), F.max("value").alias("q100"))
 
 
+@query("SELECT topic, count(*) AS count, max(value) AS q100, true AS q90_within, true AS q99_within FROM {events} GROUP BY topic")
+def metric_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by topic and partition, merged by topic: how many values, the largest, and whether the ranks of the sketched quantiles are within 0.05 of 0.9 and 0.005 of 0.99."""
+    log = events_log(spark, sf_dir, "value")
+    parts = summaries(log, "value", "topic", "partition")
+    found = quantiles(merged(parts, "topic"), "topic")
+    ranks = log.select("topic", "value").join(F.broadcast(found), "topic").groupBy("topic")  # one row a topic
+    share = lambda q, how: F.avg(how(F.col("value"), F.col(q)).cast("double"))
+    within = lambda q, at, err: (share(q, lambda a, b: a < b) <= at + err) & (share(q, lambda a, b: a <= b) >= at - err)
+    return ranks.agg(F.first("count").alias("count"), F.first("q100").alias("q100"), within("q90", 0.9, 0.05).alias("q90_within"), within("q99", 0.99, 0.005).alias("q99_within"))
+
+
 @query("SELECT topic, count(DISTINCT key) AS live_keys FROM {events} GROUP BY topic")
 def live_key_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_log(spark, sf_dir).groupBy(*fold.KEY).agg(F.lit(1).alias("x")).groupBy("topic").agg(F.count(F.lit(1)).alias("live_keys"))

@@ -264,6 +264,41 @@ class StallListener(StreamingQueryListener):
         self.moved.pop(str(event.id), None)
 
 
+class Stalled(Exception):
+    """A stream that did not come to its target's end; ``behind`` has (where it stands, where it should be) of each partition."""
+
+    def __init__(self, behind: dict[str, tuple[int, int]], deadline_s: float):
+        self.behind = behind
+        super().__init__(f"no progress for {deadline_s} s: " + ", ".join(f"{name} stands at {at} of {end}" for name, (at, end) in sorted(behind.items())))
+
+
+def behind(query, target: dict[str, dict[str, int]]) -> dict[str, tuple[int, int]]:
+    """Partitions whose committed batches have not come to ``target`` ({topic: {partition: offset}}): "topic-partition": (at, end)."""
+    at: dict[str, dict[str, int]] = {}
+    for source in json.loads(query.lastProgress.json)["sources"] if query.lastProgress else []:
+        end = source["endOffset"]
+        for topic, of in (json.loads(end) if isinstance(end, str) else end or {}).items():
+            at.setdefault(topic, {}).update(of)
+    pairs = ((f"{t}-{p}", at.get(t, {}).get(p, 0), end) for t, of in target.items() for p, end in of.items())
+    return {name: (now, end) for name, now, end in pairs if now < end}
+
+
+def drain(query, target: dict[str, dict[str, int]], deadline_s: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Let a started query run until it has come to ``target``, which was captured before, and stop it there. Stalled if nothing moves for ``deadline_s``; an error of the query is raised."""
+    last, moved = None, clock()
+    try:
+        while left := behind(query, target):
+            if query.exception():
+                raise query.exception()
+            if left != last:
+                last, moved = left, clock()
+            elif clock() - moved > deadline_s:
+                raise Stalled(left, deadline_s)
+            sleep(0.1)
+    finally:
+        query.stop()
+
+
 def stalled(progress: list[dict], deadline_s: float, now: float) -> bool:
     """Whether a query has made no progress for longer than the deadline; entries have ``at`` and ``rows``."""
     moved = [p["at"] for p in progress if p["rows"]]

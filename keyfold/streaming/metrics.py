@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 from pyspark import AccumulatorParam
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from keyfold.functions.scalar import Compressor
@@ -86,6 +87,29 @@ class Metrics:
         return {name: {"count": n, "sum": total, "max": most} for name, (n, total, most) in sorted(self._held.value.items())}
 
 
+#: Size of a sketch: its quantiles' ranks are off by about 0.002, within the 0.05 for 0.9 and the 0.005 for 0.99 that summaries promise.
+SKETCH = 1_600
+#: The quantiles that summaries publish.
+QUANTILES = (0.9, 0.99)
+
+
+def summaries(values: DataFrame, value: str, *labels: str) -> DataFrame:
+    """labels, count, sum, max and a mergeable sketch of a measured value: sketched on the map side, so no buffer holds the values."""
+    v = F.col(value).cast("double")
+    return values.where(v.isNotNull()).groupBy(*labels).agg(F.count(F.lit(1)).alias("count"), F.sum(v).alias("sum"), F.max(v).alias("max"), F.kll_sketch_agg_double(v, SKETCH).alias("sketch"))
+
+
+def merged(parts: DataFrame, *labels: str) -> DataFrame:
+    """Summaries by fewer labels, or of several stretches of time, from those there are; the values are not needed again."""
+    return parts.groupBy(*labels).agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch", SKETCH).alias("sketch"))
+
+
+def quantiles(parts: DataFrame, *labels: str) -> DataFrame:
+    """labels, count, sum, q90, q99 and q100 (the exact largest value) of summaries."""
+    named = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"q{round(100 * q)}") for q in QUANTILES]
+    return parts.select(*labels, "count", "sum", *named, F.col("max").alias("q100"))
+
+
 class MeasuredTable:
     """A table (``tables.Table`` or ``memory.MemoryTable``) whose writes, reads and deletions are timed; ``kind`` is key, journal or snapshot.
 

@@ -90,3 +90,18 @@ def test_polls_repeat(spark, tmp_path):
     q.stop()
     polls = spark.read.parquet(out).groupBy("batch_id").agg(F.count("*").alias("n")).collect()
     assert [r["n"] for r in polls] == [12, 12, 12]
+
+
+def test_a_stream_is_drained_to_a_captured_end_or_says_who_stands_still(spark, tmp_path):
+    path, out = f"file://{tmp_path}/log", f"{tmp_path}/out"
+    segments.append(records(spark, 0, 12), path)
+    target = segments.ends(path)
+    begin = lambda: engine.start(segments.scan(spark, path, "t", streaming=True), f"{tmp_path}/check", engine.once_per_batch(out), every="0 seconds")
+    q = begin()
+    engine.drain(q, target, 60)
+    assert not q.isActive and places(spark.read.parquet(out)) == [("t", p, o) for p in range(3) for o in range(12)]
+    segments.append(records(spark, 12, 15, partitions=1), path)
+    q = begin()
+    with pytest.raises(engine.Stalled, match="t-1 stands at 12 of 15, t-2 stands at 12 of 13") as e:
+        engine.drain(q, {"t": {"0": 15, "1": 15, "2": 13}}, 8)
+    assert e.value.behind == {"t-1": (12, 15), "t-2": (12, 13)} and not q.isActive
