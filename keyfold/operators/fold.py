@@ -83,6 +83,18 @@ class FoldOption:
     def contra_collect(self, cond: Callable[[Column], Column], f: Callable[[Column], Column]) -> FoldOption:
         return FoldOption(lambda s, a: F.when(cond(a), self.step(s, f(a))).otherwise(s))
 
+    def transform_state(self, get: Callable[[Column], Column], put: Merge) -> FoldOption:
+        """Apply to an optional part of a wider state: ``get`` reads it, ``put`` (wide, part) writes it back."""
+        return FoldOption(lambda s, a: put(s, self.step(get(s), a)))
+
+    def transform(self, get: Merge, put: Callable[[Column, Column, Column], Column]) -> FoldOption:
+        """As transform_state, with the input at hand on both sides."""
+        return FoldOption(lambda s, a: put(s, self.step(get(s, a), a), a))
+
+    @staticmethod
+    def set(value: Column) -> FoldOption:
+        return FoldOption(lambda s, a: value)
+
     def then(self, other: FoldOption) -> FoldOption:
         """The second fold is skipped, with null, where the first gave null."""
 
@@ -159,6 +171,21 @@ class Monoid:
         return out.select(*by, *[c.alias(n) for n, c in self.state.items()])
 
 
+def route_folds(log: DataFrame, folds: dict[str, Monoid], by: tuple[str, ...] = KEY) -> DataFrame:
+    """Each topic's records folded by its own Monoid, in one scan and one shuffle; other topics are dropped.
+
+    The folds have states of the same names and aggregates of different ones.
+    A group works out the aggregates of all folds and takes those of its topic.
+    """
+    names = [n for fold in folds.values() for n in fold.aggregates]
+    if len(set(names)) < len(names) or len({tuple(sorted(fold.state)) for fold in folds.values()}) > 1:
+        raise ValueError("folds need aggregates of different names and states of the same")
+    grouped = log.where(F.col("key").isNotNull() & F.col("topic").isin(*folds)).groupBy(*by).agg(*[c.alias(n) for fold in folds.values() for n, c in fold.aggregates.items()])
+    alive = F.coalesce(*[F.when(F.col("topic") == t, F.lit(True) if fold.alive is None else fold.alive) for t, fold in folds.items()])
+    states = [F.coalesce(*[F.when(F.col("topic") == t, fold.state[n]) for t, fold in folds.items()]).alias(n) for n in next(iter(folds.values())).state]
+    return grouped.where(alive).select(*by, *states)
+
+
 def wait_for(n: int) -> FoldOption:
     """Counts records and gives up the state at the n-th: struct(offset, n)."""
 

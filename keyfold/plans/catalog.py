@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyfold.functions.scalar import TIMESTAMP_TYPES, Compressor, headers_to_map, java_hash, journal_events, key_partition, map_to_headers, payload_as, sequence_range
 from keyfold.operators import callables, commit, fold, records, timers
-from keyfold.sources import segments, tables
+from keyfold.sources import custom, segments, tables
 from keyfold.sources.log import compacted, events_log, orders_log, table
 from keyfold.streaming import engine, flow
 from keyfold.streaming.metrics import MeasuredTable, Metrics, merged, quantiles, summaries
@@ -147,7 +147,7 @@ def keyless_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two topics in one log, each with its own fold."""
     both = events_log(spark, sf_dir).withColumn("price", F.lit(None).cast("double")).unionByName(orders_log(spark, sf_dir, "o_totalprice").withColumnRenamed("o_totalprice", "price"))
-    return records.route(both, {"events": lambda d: d.groupBy(*fold.KEY).agg(F.count(F.lit(1)).cast("double").alias("state")), "orders": lambda d: d.groupBy(*fold.KEY).agg(F.max("price").alias("state"))})
+    return fold.route_folds(both, {"events": fold.Monoid({"__n": F.count(F.lit(1))}, {"state": F.col("__n").cast("double")}), "orders": fold.Monoid({"__top": F.max("price")}, {"state": F.col("__top")})})
 
 
 @query("SELECT DISTINCT partition, CAST(partition % 3 AS INTEGER) AS state_partition, key FROM {events}")
@@ -439,6 +439,109 @@ def stored_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.read().join(F.broadcast(committed), ["topic", "partition"])
 
 
+@query(f"SELECT {BY}, count(*) AS n, CASE WHEN max(\"offset\") >= half THEN arg_max(event_type, \"offset\") END AS last FROM {{events}}, (SELECT (max(event_id) + 1) // 2 AS half FROM events) GROUP BY topic, partition, key, half")
+def snapshot_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with typed columns of the user's own: a program that knows one column writes the first half, a later one adds a column and widens the other; keys that it did not write have no value there. The earlier program then merges the folders, and loses nothing."""
+    log, root = _stamped(spark, sf_dir, "event_type"), tables.work_dir(spark)
+    half = ((log.agg(F.max("offset")).first()[0] or 0) + 1) // 2
+    about = {"application_id": F.lit("app"), "group_id": F.lit("group"), "metadata": F.lit("")}
+    states = lambda rows: rows.groupBy(*fold.KEY).agg(F.max("offset").alias("offset"), F.count(F.lit(1)).alias("n"), F.max_by("event_type", "offset").alias("last"), F.max("timestamp").alias("created")).withColumns(about)
+    first = tables.Stores(spark, root, value="n int")
+    first.snapshots.upsert(states(log.where(F.col("offset") < half)).withColumn("n", F.col("n").cast("int")))
+    second = tables.Stores(spark, root, value="n bigint, last string")
+    moved = log.where(F.col("offset") >= half).select(*fold.KEY).distinct()
+    second.snapshots.upsert(states(log.join(moved, list(fold.KEY), "left_semi")))
+    first.snapshots.compact(2)
+    return first.snapshots.read().select(*fold.KEY, "n", "last")
+
+
+@query(f"SELECT {BY}, max(\"offset\") AS \"offset\", count(*) AS n, arg_max(event_type, \"offset\") AS last, max(max(\"offset\")) OVER (PARTITION BY topic, partition) + 1 AS committed FROM {{events}} GROUP BY topic, partition, key HAVING arg_max(event_type, \"offset\") <> 'error'")
+def custom_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored fold whose store is another than the library's tables: ORC files that are appended to, with typed states, over two streams of which the second recovers what the first committed. A key whose last record is an error ends without a state."""
+    log, base = _stamped(spark, sf_dir, "event_type"), tables.work_dir(spark)
+    store = custom.AppendStore(spark, f"{base}/states", "struct<n:bigint,last:string>").create()
+    half = ((log.agg(F.max("offset")).first()[0] or 0) + 1) // 2
+    last = log.groupBy(*fold.KEY).agg(F.max("offset").alias("top"))
+    log = log.join(last, list(fold.KEY)).withColumn("ends", F.col("offset") == F.col("top")).drop("top")
+    step = lambda s, r: None if r["ends"] and r["event_type"] == "error" else {"n": (s["n"] if s else 0) + 1, "last": r["event_type"]}
+    for generation, part in enumerate((log.where(F.col("offset") < half), log.where(F.col("offset") >= half)), 1):
+        segments.append(part, f"{base}/log")
+        loop = engine.StoredFold(store, generation, "n bigint, last string")
+        states, rest = loop.recover(segments.scan(spark, f"{base}/log", "events", streaming=True))
+        engine.start(loop.stream(rest, step, ("event_type", "ends"), initial=states), f"{base}/check{generation}", loop.sink).awaitTermination()
+    nexts = [(*name.rsplit("-", 1), at) for name, at in store.offsets().items()]
+    committed = spark.createDataFrame(nexts, "topic string, partition string, committed long").withColumn("partition", F.col("partition").cast("int"))
+    return store.read().join(F.broadcast(committed), ["topic", "partition"]).select(*fold.KEY, "offset", "value.n", "value.last", "committed")
+
+
+@query(f"SELECT {BY}, count(*) AS n, count(*) AS steps FROM {{events}} WHERE event_type <> 'error' GROUP BY ALL")
+def live_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of live keys as a reader beside the stream sees them, in the state store itself: whole numbers in their own bytes, by a serde, after a stream that stopped and went on from its checkpoint; and the steps that its outputs told."""
+    log, base = _stamped(spark, sf_dir, "event_type"), tables.work_dir(spark)
+    half = ((log.agg(F.max("offset")).first()[0] or 0) + 1) // 2
+    for part in (log.where(F.col("offset") < half), log.where(F.col("offset") >= half)):
+        segments.append(part, f"{base}/log")
+        out = engine.fold_stream(segments.scan(spark, f"{base}/log", "events", streaming=True), lambda s, r: (s or 0) + 1, (), serde=engine.LONG, keep=F.col("event_type") != "error")
+        engine.start(out, f"{base}/check", engine.once_per_batch(f"{base}/out")).awaitTermination()
+    live = engine.registry(spark, f"{base}/check").select(*fold.KEY, F.conv(F.hex("value"), 16, 10).cast("long").alias("n"))
+    steps = spark.read.parquet(f"{base}/out").groupBy(*fold.KEY).agg(F.count(F.lit(1)).alias("steps"))
+    return live.join(steps, list(fold.KEY))
+
+
+@query("SELECT topic, partition, count(*) AS n, true AS failed FROM {events} GROUP BY topic, partition")
+def retried_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream whose sink fails after it has written its first batch, and which is started again: the batch is repeated and its records still count once."""
+    log, base, failures = _stamped(spark, sf_dir), tables.work_dir(spark), []
+    segments.append(log, f"{base}/log")
+    write = engine.once_per_batch(f"{base}/out")
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        write(df, batch_id)
+        if not failures:
+            failures.append(batch_id)
+            raise OSError("lost after writing")
+
+    def begin() -> None:
+        engine.start(segments.scan(spark, f"{base}/log", "events", streaming=True), f"{base}/check", sink).awaitTermination()
+
+    engine.Retry(first=0.01, attempts=2).run(begin)
+    return spark.read.parquet(f"{base}/out").groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("n")).withColumn("failed", F.lit(bool(failures)))
+
+
+@query("SELECT key, \"offset\", CAST(count(*) AS BIGINT) AS polls FROM {events}, (SELECT unnest([1, 2, 3])) WHERE partition < 2 GROUP BY ALL")
+def repeated_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that gives the same records in each of three polls, bounded by ends that leave two partitions out."""
+    path = f"{tables.work_dir(spark)}/log"
+    segments.append(events_log(spark, sf_dir), path)
+    ends = {"events": {p: end for p, end in segments.ends(path)["events"].items() if int(p) < 2}}
+    return segments.scan(spark, path, "events", end=ends, repeat=3).groupBy("key", "offset").agg(F.count(F.lit(1)).alias("polls"))
+
+
+@query(f"SELECT {BY}, count(*) AS n, count(*) AS seen, min(event_type) AS tag, arg_min(event_type, \"offset\") <> 'error' AND count(*) > 1 AS twice FROM {{events}} GROUP BY ALL")
+def fold_constructors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds made by set, modify, and as parts of a wider optional state (transform, transform_state), one after another."""
+    Opt = fold.FoldOption  # noqa: N806
+    put = lambda **new: lambda s, *rest: F.struct(*[new.get(n, lambda s, *r, n=n: s[n])(s, *rest).alias(n) for n in ("n", "seen", "tag", "first")])
+    none = F.lit(None)
+    start = Opt(lambda s, a: F.when(s.isNotNull(), s).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("seen"), none.cast("string").alias("tag"), a["event_type"].alias("first"))))
+    count = Opt(lambda n, a: n + 1).transform_state(lambda s: s["n"], put(n=lambda s, n: n))
+    seen = Opt.modify(lambda s, a: s + 1).transform(lambda s, a: s["seen"], put(seen=lambda s, n, a: n))
+    least = Opt(lambda t, a: F.least(t, a["event_type"])).transform(lambda s, a: F.coalesce(s["tag"], a["event_type"]), put(tag=lambda s, t, a: t))
+    out = fold.run(events_log(spark, sf_dir, "event_type"), start.then(count).then(seen).then(least), none.cast("struct<n:bigint,seen:bigint,tag:string,first:string>"), ("event_type",))
+    return out.select(*fold.KEY, "state.n", "state.seen", "state.tag", ((F.col("state.first") != "error") & (F.col("state.n") > 1)).alias("twice"))
+
+
+@query("SELECT topic, partition, max(\"offset\") + 1 AS committed, count(*) AS n FROM {events} GROUP BY topic, partition")
+def drained_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that polls on until it has come to ends captured before it began, and is stopped there."""
+    base = tables.work_dir(spark)
+    segments.append(_stamped(spark, sf_dir), f"{base}/log")
+    target = segments.ends(f"{base}/log")
+    query_ = engine.start(segments.scan(spark, f"{base}/log", "events", streaming=True), f"{base}/check", engine.once_per_batch(f"{base}/out"), every="0 seconds")
+    engine.drain(query_, target, 120)
+    return spark.read.parquet(f"{base}/out").groupBy("topic", "partition").agg((F.max("offset") + 1).alias("committed"), F.count(F.lit(1)).alias("n"))
+
+
 def _cents(a) -> F.Column:
     return F.round(a["value"] * 100).cast("long")
 

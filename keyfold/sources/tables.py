@@ -12,6 +12,12 @@ A table with ``cluster`` columns lays its rows out in their order, in files of
 ``FILE_ROWS``, and keeps an index beside each folder: for each file the least
 and largest value of each of these columns and, for one column, a Bloom filter.
 ``scan`` opens only the files that can hold what is asked for.
+
+Schemas grow: a pointer carries the columns of all that was ever written, and
+its writers' own are merged into them. A table opened with more columns reads
+old rows with nulls there; one opened with fewer sees, and keeps when it merges
+folders, what others have added. Fields of structs are merged likewise, and
+numbers become wider types of their kind. Other changes are refused.
 """
 
 from __future__ import annotations
@@ -42,12 +48,40 @@ SCHEMAS = {
 }
 
 
+class SchemaConflict(Exception):
+    """A writer's columns do not go together with those that a table has."""
+
+
+#: Types that files of a narrower one can be read as (fixed by Spark's Parquet reader).
+WIDER = {"tinyint": 0, "smallint": 1, "int": 2, "bigint": 3}, {"float": 0, "double": 1}
+
+
+def merged_type(a: T.DataType, b: T.DataType, at: str = "") -> T.DataType:
+    """The type as which values of both can be read; fields of ``a`` come first. SchemaConflict if there is none."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        theirs, own = {f.name: f for f in b}, {f.name for f in a}
+        out = [T.StructField(f.name, merged_type(f.dataType, theirs[f.name].dataType, f"{at}.{f.name}") if f.name in theirs else f.dataType) for f in a]
+        return T.StructType(out + [T.StructField(f.name, f.dataType) for f in b if f.name not in own])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(merged_type(a.elementType, b.elementType, f"{at}[]"))
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return T.MapType(merged_type(a.keyType, b.keyType, f"{at}.key"), merged_type(a.valueType, b.valueType, f"{at}.value"))
+    x, y = a.simpleString(), b.simpleString()
+    for kind in WIDER:
+        if x in kind and y in kind:
+            return a if kind[x] >= kind[y] else b
+    if x != y:
+        raise SchemaConflict(f"{at[1:]} is {x} and {y}")
+    return a
+
+
 class Table:
     """One table; ``identity`` names the columns that make a row unique, ``cluster`` those in whose order rows lie in files, ``bloom`` the one that has Bloom filters."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, identity: tuple[str, ...], cluster: tuple[str, ...] = (), bloom: str | None = None):
         self.spark, self.path, self.schema, self.identity = spark, path.rstrip("/"), schema, identity
         self.cluster, self.bloom, self._held_fs = cluster, bloom, None
+        self._own = T._parse_datatype_string(schema)
 
     def _fs(self, path: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -105,14 +139,20 @@ class Table:
         for _ in range(ATTEMPTS):
             number, base = known or self._state()
             content = make(base)
+            content["schema"] = self._known(base).json()
             if self._point(number + 1, base, content, known is not None):
                 return number + 1, content
             known = None
         raise OSError(f"{self.path} is written to by too many others")
 
-    def _write(self, rows: DataFrame, gone: bool = False) -> str:
+    def _known(self, content: dict) -> T.StructType:
+        """Columns that the table has: its own, and those that others wrote."""
+        there = content.get("schema")
+        return merged_type(self._own, T.StructType.fromJson(json.loads(there))) if there else self._own
+
+    def _write(self, rows: DataFrame, columns: list[str] | None = None) -> str:
         name = f"v-{uuid.uuid4().hex}"
-        rows = rows.select(*self._columns(), F.lit(gone).alias("__gone"))
+        rows = rows.select(*(columns or self._columns()), F.lit(False).alias("__gone"))
         if not self.cluster:
             rows.write.parquet(f"{self.path}/{name}")
             return name
@@ -152,13 +192,13 @@ class Table:
         """Rows with these values (of identity columns), from the files that may hold them."""
         if odd := set(equals) - set(self.identity) - set(self.cluster):
             raise ValueError(f"{sorted(odd)} are no identity columns of the table")
-        rows = self._merged(self._state()[1]["folders"], {name: found for name, (found, _) in self.files(equals).items()})
+        rows = self._merged(self._state()[1], {name: found for name, (found, _) in self.files(equals).items()})
         for c, v in equals.items():
             rows = rows.where(F.col(c) == F.lit(v))
         return rows
 
     def _columns(self) -> list[str]:
-        return T._parse_datatype_string(self.schema).names
+        return self._own.names
 
     def _add(self, name: str) -> None:
         self._commit(lambda base: base | {"folders": [*base["folders"], name]})
@@ -169,37 +209,39 @@ class Table:
         number, base = self._state()
         if len(base["folders"]) < most:
             return False
-        return self._point(number + 1, base, {"folders": [self._write(self._merged(base["folders"]))], "notes": base["notes"]})
+        known = self._known(base)
+        return self._point(number + 1, base, {"folders": [self._write(self._merged(base), known.names)], "notes": base["notes"], "schema": known.json()})
 
-    def _part(self, name: str, files: list[str] | None = None) -> DataFrame:
-        schema = T._parse_datatype_string(self.schema).add("__gone", "boolean")
+    def _part(self, name: str, files: list[str] | None = None, known: T.StructType | None = None) -> DataFrame:
+        schema = T.StructType([*(known or self._own), T.StructField("__gone", T.BooleanType())])
         paths = [f"{self.path}/{name}"] if files is None else [f"{self.path}/{name}/{f}" for f in files]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _merged(self, folders: list[str], files: dict[str, list[str]] | None = None) -> DataFrame:
-        """Rows of the folders, the last one of each identity, without those that are gone.
+    def _merged(self, content: dict, files: dict[str, list[str]] | None = None) -> DataFrame:
+        """Rows of a pointer's folders, the last one of each identity, without those that are gone.
 
         The first folder is the large one. Its rows are not gathered again: those
         that later folders replace or delete are left out by an anti join, for
         which AQE broadcasts the later folders' identities if they are few.
         """
+        folders, known = content["folders"], self._known(content)
         if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        columns, base, newer = self._columns(), None, None
+            return self.spark.createDataFrame([], known)
+        columns, base, newer = known.names, None, None
         rest = [c for c in columns if c not in self.identity]
         for k, name in enumerate(folders):
             if name.startswith("d-"):
                 gone = self.spark.read.parquet(f"{self.path}/{name}")
                 base, newer = (None if rows is None else without(rows, gone) for rows in (base, newer))
                 continue
-            part = self._part(name, (files or {}).get(name))
+            part = self._part(name, (files or {}).get(name), known)
             if base is None:
                 base = part.where("not __gone").drop("__gone")
             else:
                 part = part.withColumn("__at", F.lit(k))
                 newer = part if newer is None else newer.unionByName(part)
         if base is None:
-            return self.spark.createDataFrame([], self.schema)
+            return self.spark.createDataFrame([], known)
         if newer is None:
             return base
         last = newer.groupBy(*self.identity).agg(F.max_by(F.struct(*rest, "__gone"), "__at").alias("__row"))
@@ -216,7 +258,7 @@ class Table:
         self.replace(self.spark.createDataFrame([], self.schema))
 
     def read(self) -> DataFrame:
-        return self._merged(self._state()[1]["folders"])
+        return self._merged(self._state()[1])
 
     def replace(self, rows: DataFrame) -> None:
         name = self._write(rows)
@@ -354,17 +396,18 @@ def upserted(old: DataFrame, new: DataFrame, identity: tuple[str, ...], order: C
 
 @dataclass
 class Stores:
-    """The three tables of one application and group."""
+    """The three tables of one application and group. ``value`` names the columns of a snapshot, which may be typed ("n bigint, last string"), and may grow."""
 
     spark: SparkSession
     root: str
     ttl: dict[str, int] = field(default_factory=dict)
+    value: str = "value binary"
 
     def __post_init__(self):
         place = ("application_id", "group_id", "topic", "partition")
         self.keys = Table(self.spark, f"{self.root}/keys", SCHEMAS["keys"], KEY_COLUMNS, (*place, "segment", "key"))
         self.journals = Table(self.spark, f"{self.root}/records", SCHEMAS["records"], (*KEY_COLUMNS, "offset"), (*KEY_COLUMNS, "offset"), "key")
-        self.snapshots = Table(self.spark, f"{self.root}/snapshots_v2", SCHEMAS["snapshots_v2"], KEY_COLUMNS, KEY_COLUMNS, "key")
+        self.snapshots = Table(self.spark, f"{self.root}/snapshots_v2", SCHEMAS["snapshots_v2"].replace("value binary", self.value), KEY_COLUMNS, KEY_COLUMNS, "key")
 
     def create(self) -> Stores:
         for t in (self.keys, self.journals, self.snapshots):
@@ -393,10 +436,10 @@ def journal_of(journals: DataFrame, key: dict[str, object]) -> DataFrame:
     return out.orderBy("offset")
 
 
-def changed_only(new: DataFrame, old: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
-    """Rows of ``new`` whose value differs from the one of ``old``, or that are new: others need no write."""
-    before = old.select(*by, F.col(value).alias("__old"), F.lit(True).alias("__was"))
-    out = new.join(before, list(by), "left").where(F.col("__was").isNull() | ~F.col(value).eqNullSafe(F.col("__old")))
+def changed_only(new: DataFrame, old: DataFrame, by: tuple[str, ...], *values: str) -> DataFrame:
+    """Rows of ``new`` whose ``values`` differ from those of ``old``, or that are new: others need no write."""
+    before = old.select(*by, F.struct(*values).alias("__old"), F.lit(True).alias("__was"))
+    out = new.join(before, list(by), "left").where(F.col("__was").isNull() | ~F.struct(*values).eqNullSafe(F.col("__old")))
     return out.drop("__old", "__was")
 
 
@@ -425,7 +468,8 @@ def save(mode: str, stores: Stores, records: DataFrame, snapshots: DataFrame) ->
     if journal:
         stores.journals.upsert(records)
     if snapshot:
-        changed = changed_only(snapshots, stores.snapshots.read(), KEY_COLUMNS, "value")
+        values = T._parse_datatype_string(stores.value).names
+        changed = changed_only(snapshots, stores.snapshots.read(), KEY_COLUMNS, *values)
         stores.snapshots.upsert(changed, F.col("offset"))
 
 

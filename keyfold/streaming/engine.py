@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from keyfold.sources.tables import Changelog
+from keyfold.sources.custom import SnapshotStore
 from keyfold.streaming.metrics import ProgressMetrics  # noqa: F401
 
 #: State lives in RocksDB, on disk beyond memory and checkpointed by changelog.
@@ -161,10 +161,12 @@ class StoredFold:
     ``recover`` gives the states and the log from the committed offsets on, for
     a query with a new checkpoint. A batch that is repeated commits the same
     rows again, so nothing is folded twice. A stale generation is rejected.
+    Any ``SnapshotStore`` will do. It gets states as JSON, or with ``state``
+    (DDL of their fields) as a struct of typed columns.
     """
 
-    def __init__(self, changelog: Changelog, generation: int):
-        self.changelog, self.generation = changelog, generation
+    def __init__(self, changelog: SnapshotStore, generation: int, state: str | None = None):
+        self.changelog, self.generation, self.state = changelog, generation, state
 
     def stream(self, log: DataFrame, step: Callable, fields: tuple[str, ...], **options) -> DataFrame:
         """``fold_stream`` with the marks of the same log."""
@@ -180,7 +182,8 @@ class StoredFold:
             states = outputs.where("kind <> 'mark'")
             if offsets or not states.isEmpty():
                 order = F.struct("offset", (F.col("kind") == "tick").alias("late"))
-                last = states.groupBy("topic", "partition", "key").agg(F.max_by(F.struct("offset", F.col("after").alias("value")), order).alias("row"))
+                value = F.col("after") if self.state is None else F.from_json("after", self.state, {"mode": "FAILFAST"})
+                last = states.groupBy("topic", "partition", "key").agg(F.max_by(F.struct("offset", value.alias("value")), order).alias("row"))
                 self.changelog.commit(last.select("topic", "partition", "key", "row.*"), self.generation, offsets)
         finally:
             outputs.unpersist()
@@ -191,7 +194,10 @@ class StoredFold:
         for name, at in sorted(self.changelog.offsets().items()):
             topic, _, partition = name.rpartition("-")
             cond = cond & ~((F.col("topic") == topic) & (F.col("partition") == int(partition)) & (F.col("offset") < at))
-        return self.changelog.read(), log.where(cond)
+        states = self.changelog.read()
+        if self.state is not None:
+            states = states.withColumn("value", F.to_json("value", {"ignoreNullFields": "false"}))
+        return states, log.where(cond)
 
 
 def start(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every: str | None = None, **options: str):
