@@ -71,15 +71,14 @@ def test_network_gradient():
     rng = np.random.default_rng(1)
     net = quality.Network(1)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    net.p["repeat"] += 0.3
     x, valid = quality.pack([bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (900, 1024, 300)])
     owner, y, w = np.array([0, 0, 1]), np.array([1.0, 0.0]), np.array([0.5, 0.5])
     g = net.step(x, valid, owner, y, w)
 
     def loss():
         emb = net.p["embed"][x].reshape(len(x), 512, -1)
-        act = np.maximum(np.concatenate([emb[:, k : k + 510] for k in range(3)], axis=2) @ net.p["filter"] + net.p["bias"] + quality.repeats(x)[:, :, None] * net.p["repeat"], 0)
-        z = net._head(net._pool(act, valid)[0], owner, 2)[3]
+        act = np.maximum(np.concatenate([emb[:, k : k + 510] for k in range(3)], axis=2) @ net.p["filter"] + net.p["bias"], 0)
+        z = net._head(net._pool(act, valid), owner, 2)[2]
         return float((w * (np.logaddexp(0, z) - y * z)).sum())
 
     for name in net.p:
@@ -191,7 +190,6 @@ def test_toxicity_against_brute_force_kneser_ney():
 def test_quality_score_against_loops():
     """One probability from loops over chunks, positions and filters."""
     net = quality.Network(7)
-    net.p["repeat"] += 0.3
     texts = ["ab" * 40, "The quick brown fox. " * 90, "", "é"]
     p = net.p
     for text, got in zip(texts, net.score(texts, net.tables())):
@@ -203,10 +201,9 @@ def test_quality_score_against_loops():
             for k in range(n):
                 at = 2 * k
                 x = np.concatenate([p["embed"][b] for b in raw[at : at + 6]])
-                again = any(at >= lag and raw[at : at + 4] == raw[at - lag : at - lag + 4] for lag in quality.LAGS)
-                act[k] = np.maximum(x @ p["filter"] + p["bias"] + again * p["repeat"], 0)
-            pooled.append(np.maximum(np.concatenate([act.max(axis=0), act.sum(axis=0) / max(1, n)]) @ p["hidden"] + p["hbias"], 0))
-        z = np.concatenate([np.max(pooled, axis=0), np.mean(pooled, axis=0)]) @ p["out"] + p["obias"][0]
+                act[k] = np.maximum(x @ p["filter"] + p["bias"], 0)
+            pooled.append(np.maximum(act.max(axis=0) @ p["hidden"] + p["hbias"], 0))
+        z = np.max(pooled, axis=0) @ p["out"] + p["obias"][0]
         assert np.isclose(got, 1 / (1 + np.exp(-z)), atol=1e-4)
 
 
