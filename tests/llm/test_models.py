@@ -220,3 +220,22 @@ def test_language_decoding_against_loops():
         f = [sum(float(a) * float(b) for a, b in zip(langid.features(t), model.weights[:, bit])) + model.bias[bit] for bit in range(model.code.shape[1])]
         brute = [sum(model.trust[bit] * np.log1p(np.exp(-f[bit] * row[bit])) for bit in range(len(f))) for row in model.code]
         assert np.allclose(losses[k], brute, atol=1e-4) and model.langs[int(np.argmin(brute))] == list(words)[k]
+
+
+def test_toxicity_counts_by_spark_equal_counts_in_memory(spark):
+    """Copies, one repeated row, unknown words and empty texts, spread over partitions."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(rng.randint(0, 40))) for _ in range(80)] + ["vile a b"] * 3
+    labels = [int(rng.random() < 0.3) for _ in range(80)] + [1] * 3
+    rows = [(t, y, 1) for t, y in dict.fromkeys(zip(texts, labels))]
+    rows = [(t, y, 2) for t, y, _ in rows[:9] for _ in "ab"] + rows[9:]
+    want = toxicity._estimate(texts, np.array(labels))
+    got = toxicity.estimate(spark.createDataFrame(rows, "text string, y int, copies int").repartition(5))
+    assert got.vocab == want.vocab and np.array_equal(got.keys, want.keys) and len(got.keys) > 50
+    assert np.allclose(got.uni, want.uni) and np.allclose(got.back, want.back) and np.allclose(got.bi, want.bi)
+
+
+def test_toxicity_keeps_the_most_frequent(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([1, 1, 2, 2, 3, 9, 40])], "i long, n long")
+    kept = lambda most: sorted(r.i for r in toxicity.most_frequent(df, most).collect())
+    assert kept(9) == [2, 3, 4, 5, 6] and kept(4) == [4, 5, 6] and kept(1) == [6] and kept(0) == []
