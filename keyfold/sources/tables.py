@@ -23,9 +23,10 @@ numbers become wider types of their kind. Other changes are refused.
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -35,6 +36,8 @@ from pyspark.sql import types as T
 
 #: Folders that a table gathers before they are merged, and tries of a writer that others overtake.
 COMPACT, ATTEMPTS = 16, 20
+#: What parts a folder of many transactions from the number of the last one that counts.
+UPTO = "/txn<="
 #: Rows of a file of a clustered table.
 FILE_ROWS = 100_000
 #: Bits of each of a Bloom filter's two bitmaps (fixed by Spark's bitmap functions).
@@ -80,13 +83,16 @@ class Table:
 
     def __init__(self, spark: SparkSession, path: str, schema: str, identity: tuple[str, ...], cluster: tuple[str, ...] = (), bloom: str | None = None):
         self.spark, self.path, self.schema, self.identity = spark, path.rstrip("/"), schema, identity
-        self.cluster, self.bloom, self._held_fs = cluster, bloom, None
+        self.cluster, self.bloom, self._held_fs, self._path, self._local = cluster, bloom, None, None, None
         self._own = T._parse_datatype_string(schema)
 
     def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if self._held_fs is None:
+            self._path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        p = self._path(path)
         if self._held_fs is None:
             self._held_fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            self._local = self._path(self.path).toUri().getPath() if self._held_fs.getScheme() == "file" else None
         return self._held_fs, p
 
     def _pointers(self) -> list[int]:
@@ -94,6 +100,38 @@ class Table:
         fs, p = self._fs(f"{self.path}/pointers")
         return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
 
+    def _there(self, number: int) -> bool:
+        if self._local:
+            return os.path.exists(f"{self._local}/pointers/{number:012d}")
+        fs, p = self._fs(f"{self.path}/pointers/{number:012d}")
+        return fs.exists(p)
+
+    def _claim(self, number: int):
+        """A new file for pointer ``number``, open; None if there is one. On a local disk Python makes it, since Hadoop starts a process for each file's mode."""
+        try:
+            if not self._local:
+                fs, p = self._fs(f"{self.path}/pointers/{number:012d}")
+            if self._local is None:
+                return fs.create(p, False)
+            os.makedirs(f"{self._local}/pointers", exist_ok=True)
+            return open(f"{self._local}/pointers/{number:012d}", "xb")
+        except FileExistsError:
+            return None
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return None
+            raise
+
+    def _highest(self) -> int:
+        """The highest number in use, -1 if there is none: numbers follow one another and none is freed, so few of them are looked at."""
+        low, high = -1, 0
+        while self._there(high):
+            low, high = high, 2 * high + 1
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if self._there(mid) else (low, mid)
+        return low
+
     def _content(self, number: int) -> dict:
         """Folders and notes of a pointer; empty if its writer died, or has yet to write it."""
         fs, p = self._fs(f"{self.path}/pointers/{number:012d}")
@@ -107,21 +145,17 @@ class Table:
 
     def _state(self) -> tuple[int, dict]:
         """(highest number in use, content of the newest finished pointer)."""
-        numbers = self._pointers()
-        for n in reversed(numbers):
+        highest = self._highest()
+        for n in range(highest, -1, -1):
             if content := self._content(n):
-                return numbers[-1], content
-        return (numbers[-1] if numbers else -1), {"folders": [], "notes": {}}
+                return highest, content
+        return highest, {"folders": [], "notes": {}}
 
     def _point(self, number: int, base: dict, content: dict, sure: bool = False) -> bool:
         """Create pointer ``number``; False if another writer was first, or has changed the table since ``base`` was read. ``sure``: the pointer just before is our own, with ``base``."""
-        fs, p = self._fs(f"{self.path}/pointers/{number:012d}")
-        try:
-            out = fs.create(p, False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
-                return False
-            raise
+        out = self._claim(number)
+        if out is None:
+            return False
         try:
             # Another writer may have finished in the meantime, but hardly if the pointer just before ours is ``base``.
             late = not sure and not (number and self._content(number - 1) == base) and self._state()[1] != base
@@ -129,7 +163,7 @@ class Table:
                 out.write(json.dumps(content).encode())
         finally:
             out.close()
-        return not late and not fs.exists(self._fs(f"{self.path}/pointers/{number + 1:012d}")[1])
+        return not late and not self._there(number + 1)
 
     def _commit(self, make: Callable[[dict], dict], known: tuple[int, dict] | None = None) -> tuple[int, dict]:
         """Move to ``make(content)``, starting again if another writer came between; the number and content of the pointer that was made.
@@ -139,7 +173,7 @@ class Table:
         for _ in range(ATTEMPTS):
             number, base = known or self._state()
             content = make(base)
-            content["schema"] = self._known(base).json()
+            content["schema"] = base["schema"] if known else self._known(base).json()
             ours = self._point(number + 1, base, content) if known is None else self._point(number + 1, base, content, sure=True)
             if ours:
                 return number + 1, content
@@ -213,8 +247,8 @@ class Table:
         known = self._known(base)
         return self._point(number + 1, base, {"folders": [self._write(self._merged(base), known.names)], "notes": base["notes"], "schema": known.json()})
 
-    def _part(self, name: str, files: list[str] | None = None, known: T.StructType | None = None) -> DataFrame:
-        schema = T.StructType([*(known or self._own), T.StructField("__gone", T.BooleanType())])
+    def _part(self, name: str, files: list[str] | None = None, known: T.StructType | None = None, burst: bool = False) -> DataFrame:
+        schema = T.StructType([*(known or self._own), T.StructField("__gone", T.BooleanType()), *([T.StructField("__txn", T.LongType())] if burst else [])])
         paths = [f"{self.path}/{name}"] if files is None else [f"{self.path}/{name}/{f}" for f in files]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -235,19 +269,19 @@ class Table:
                 gone = self.spark.read.parquet(f"{self.path}/{name}")
                 base, newer = (None if rows is None else without(rows, gone) for rows in (base, newer))
                 continue
-            part = self._part(name, (files or {}).get(name), known)
-            if base is None:
+            name, _, upto = name.partition(UPTO)
+            part = self._part(name, (files or {}).get(name), known, burst=bool(upto))
+            if not upto and base is None and newer is None:
                 base = part.where("not __gone").drop("__gone")
             else:
-                part = part.withColumn("__at", F.lit(k))
+                part = part.where(F.col("__txn") <= int(upto)) if upto else part.withColumn("__txn", F.lit(0).cast("long"))
+                part = part.withColumn("__at", F.struct(F.lit(k).alias("folder"), F.col("__txn").alias("txn"))).drop("__txn")
                 newer = part if newer is None else newer.unionByName(part)
-        if base is None:
-            return self.spark.createDataFrame([], known)
         if newer is None:
-            return base
+            return self.spark.createDataFrame([], known) if base is None else base
         last = newer.groupBy(*self.identity).agg(F.max_by(F.struct(*rest, "__gone"), "__at").alias("__row"))
         live = last.where("not __row.__gone").select(*[F.col(c) if c in self.identity else F.col(f"__row.{c}").alias(c) for c in columns])
-        return without(base, newer.select(*self.identity)).unionByName(live)
+        return live if base is None else without(base, newer.select(*self.identity)).unionByName(live)
 
     def create(self) -> Table:
         """Does nothing if the table is there."""
@@ -311,10 +345,13 @@ class Changelog(Table):
 
     def _fenced(self, base: dict, generation: int, folders: list[str], offsets: dict[str, int]) -> dict:
         """``base`` and a transaction; Fenced if a younger writer has committed."""
-        notes = base["notes"]
+        notes, there = base["notes"], base["folders"]
         if notes.get("generation", -1) > generation:
             raise Fenced(f"generation {generation} after {notes['generation']}")
-        return {"folders": [*base["folders"], *folders], "notes": {"generation": generation, "offsets": notes.get("offsets", {}) | offsets}}
+        bursts = [name.partition(UPTO)[0] for name in folders if UPTO in name]
+        if there and UPTO in there[-1] and there[-1].partition(UPTO)[0] in bursts:  # it goes on
+            there = there[:-1]
+        return {"folders": [*there, *folders], "notes": {"generation": generation, "offsets": notes.get("offsets", {}) | offsets}}
 
     def _last(self, writes: DataFrame, *by: str) -> DataFrame:
         last = writes.groupBy(*by, *self.identity).agg(F.max_by(F.struct("offset", "value"), "offset").alias("__row")).select(*by, *self.identity, "__row.*")
@@ -330,33 +367,42 @@ class Changelog(Table):
     def commit_all(self, writes: DataFrame, generation: int, txn: str = "txn", offsets: dict[int, dict[str, int]] | None = None) -> int:
         """Commit many transactions, which the column ``txn`` numbers; how many.
 
-        One job writes the rows of all of them, each transaction's to a folder of
-        its own, by one task. Then their pointers follow in the order of their
-        numbers, each with the offsets after it: those of ``offsets``, or, by one
-        more job, one past the transaction's last in each partition. So a reader
-        sees all of the first transactions and nothing of the others; a writer
-        that is fenced or dies in between has committed those.
+        One job writes the rows of all of them to one folder, each transaction's by
+        one task. Then their pointers follow in the order of their numbers, each
+        with the number up to which the folder counts and the offsets after it:
+        those of ``offsets``, or, by one more job, one past the transaction's last
+        in each partition. So a reader sees all of the first transactions and
+        nothing of the others; a writer that is fenced or dies in between has
+        committed those. A pointer's size does not depend on how many there are,
+        and the offsets come to the driver a part at a time.
         """
         name = f"v-{uuid.uuid4().hex}"
         rows = writes.select(F.col(txn).cast("long").alias("__txn"), *self._columns())
-        self._last(rows.repartition("__txn"), "__txn").withColumnRenamed("__txn", "txn").write.partitionBy("txn").parquet(f"{self.path}/{name}")
-        if offsets is None:
-            offsets = {}
-            for r in rows.groupBy("__txn", "topic", "partition").agg((F.max("offset") + 1).alias("next")).collect():  # one row a transaction and partition
-                offsets.setdefault(r["__txn"], {})[f"{r['topic']}-{r['partition']}"] = r["next"]
-        at = None
-        for k, nexts in sorted(offsets.items()):
-            at = self._commit(lambda base, k=k, nexts=nexts: self._fenced(base, generation, [f"{name}/txn={k}"], nexts) | {"moved": {"txn": k, "offsets": nexts}}, at)
+        if offsets is not None:
+            rows = rows.join(self.spark.createDataFrame([(k,) for k in offsets], "__txn long"), "__txn", "left_semi")
+        self._last(rows.repartition("__txn"), "__txn").sortWithinPartitions("__txn").write.parquet(f"{self.path}/{name}")
+        at, n = None, 0
+        for k, nexts in self._nexts(name) if offsets is None else sorted(offsets.items()):
+            moved = {"moved": {"txn": k, "offsets": nexts}}
+            at, n = self._commit(lambda base, k=k, nexts=nexts, moved=moved: self._fenced(base, generation, [f"{name}{UPTO}{k}"], nexts) | moved, at), n + 1
         self.compact()
-        return len(offsets)
+        return n
+
+    def _nexts(self, name: str) -> Iterator[tuple[int, dict[str, int]]]:
+        """(number, next offsets) of each transaction of a folder, in their order."""
+        parts = self._part(name, burst=True).groupBy("__txn", "topic", "partition").agg((F.max("offset") + 1).alias("next"))
+        place = F.concat_ws("-", "topic", F.col("partition").cast("string"))
+        txns = parts.groupBy("__txn").agg(F.map_from_entries(F.collect_list(F.struct(place, "next"))).alias("offsets"))
+        for r in txns.orderBy("__txn").toLocalIterator():
+            yield r["__txn"], r["offsets"]
 
     def history(self) -> DataFrame:
-        """txn, topic, partition, committed: what each pointer of ``commit_all`` has moved on."""
-        rows = []
-        for n in self._pointers():
-            moved = self._content(n).get("moved")
-            rows += [(moved["txn"], *name.rsplit("-", 1), at) for name, at in moved["offsets"].items()] if moved else []
-        return self.spark.createDataFrame(rows, "txn long, topic string, partition string, committed long").withColumn("partition", F.col("partition").cast("int"))
+        """txn, topic, partition, committed: what each pointer of ``commit_all`` has moved on. Tasks read the pointers."""
+        schema = "moved struct<txn:bigint,offsets:map<string,bigint>>"
+        found = self.spark.createDataFrame([], schema) if self._highest() < 0 else self.spark.read.schema(schema).json(f"{self.path}/pointers")
+        rows = found.where("moved is not null").select("moved.txn", F.explode("moved.offsets").alias("name", "committed"))
+        part = lambda k: F.regexp_extract("name", "(?s)^(.*)-([^-]*)$", k)
+        return rows.select("txn", part(1).alias("topic"), part(2).cast("int").alias("partition"), "committed")
 
     def offsets(self) -> dict[str, int]:
         """Next offset to read of each "topic-partition", as committed."""
