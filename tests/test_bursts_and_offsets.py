@@ -40,7 +40,7 @@ def test_highest_pointer_is_found_among_any_number(spark, tmp_path):
 @pytest.mark.parametrize("name", ["custom_store", "transaction_write"])
 def test_committed_offsets_where_a_partition_ends_with_an_error(spark, tmp_path, name):
     at = F.col("id")
-    kind = F.when(at.isin(27, 31, 9), "error").otherwise("view")  # the last record of partition 3, a key's last one of partition 1
+    kind = F.when(at.isin(9, 25, 31), "error").otherwise("view")  # the last record of partition 3, the last one of a key of partition 1, and one before it
     events = spark.range(32).select(at.alias("event_id"), F.timestamp_seconds(at).alias("ts"), (at % 8).alias("user_id"), kind.alias("event_type"), at.cast("double").alias("value"), F.lit("{}").alias("props"))
     events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     con = duckdb.connect()
