@@ -17,11 +17,17 @@ from pyspark.sql.types import StructType
 
 from keyfold.sources.custom import SnapshotStore
 from keyfold.streaming.metrics import ProgressMetrics  # noqa: F401
+from keyfold.streaming.packing import packed, unpacked
 
 #: State lives in RocksDB, on disk beyond memory and checkpointed by changelog.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-_OUT = Row("topic", "partition", "key", "kind", "offset", "before", "record", "after")
 OUTPUT = "topic string, partition int, key string, kind string, offset long, before string, record string, after string"
+#: What a processor tells of a key at once: arrays, of one length.
+_TOLD = ("kind", "offset", "before", "record", "after")
+_ARRAYS = "topic string, partition int, key string, kind array<string>, offset array<long>, before array<string>, record array<string>, after array<string>"
+_OUT = Row("topic", "partition", "key", *_TOLD)
+#: A record as JSON; what JSON does not know, as text.
+record_text = json.JSONEncoder(default=str).encode
 
 
 @dataclass(frozen=True)
@@ -73,14 +79,21 @@ class KeyFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         offset, state = self._get()
-        last_time = None
-        for r in sorted(rows, key=lambda r: r["offset"]):
-            if offset is not None and r["offset"] <= offset:  # delivered again
+        last_time, names, told = None, ("offset", *self.fields), ([], [], [], [])
+        arrays = [f"_{i}" for i in range(len(names))]
+        timed = self.idle_ms and self.clock == "event"  # then a row has one record
+        records = ((r["timestamp"] if timed else True, values) for r in rows for values in zip(*[r[a] for a in arrays]))
+        text = None if state is None else json.dumps(state)
+        for time_of, values in sorted(records, key=lambda r: r[1][0]):
+            if offset is not None and values[0] <= offset:  # delivered again
                 continue
-            before, record = state, {f: r[f] for f in ("offset", *self.fields)}
-            state, offset = self.step(state, record), r["offset"]
-            last_time = r["timestamp"]
-            yield _OUT(*key, "fold", offset, None if before is None else json.dumps(before), json.dumps(record, default=str), None if state is None else json.dumps(state))
+            record, before = dict(zip(names, values)), text
+            state, offset = self.step(state, record), values[0]
+            last_time, text = time_of, None if state is None else json.dumps(state)
+            for column, value in zip(told, (offset, before, record_text(record), text)):
+                column.append(value)
+        if told[0]:
+            yield _OUT(*key, ["fold"] * len(told[0]), *told)
         if state is None:
             self.held.clear()
             for t in list(self.handle.listTimers()) if self.idle_ms else []:
@@ -102,7 +115,7 @@ class KeyFold(StatefulProcessor):
         else:
             self.held.update((offset, self.serde.to_bytes(state)))
             self.handle.registerTimer(int(expiredTimerInfo.getExpiryTimeInMs()) + self.idle_ms)  # it stays, so it is looked at again
-        yield _OUT(*key, "tick", offset, json.dumps(before), None, None if state is None else json.dumps(state))
+        yield _OUT(*key, ["tick"], [offset], [json.dumps(before)], [None], [None if state is None else json.dumps(state)])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
         self.held.update((initialState["offset"], self.serde.to_bytes(json.loads(initialState["value"]))))
@@ -118,11 +131,17 @@ def fold_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], tick: C
     """A streaming (or batch) log folded per key, but for records that ``keep`` leaves out. ``initial`` (topic, partition, key, offset, value JSON, and timestamp for a timer) starts from snapshots."""
     log.sparkSession.streams.active  # noqa: B018  the state store's coordinator starts with the first use of streams
     rows = log.where("key is not null") if keep is None else log.where(F.col("key").isNotNull() & keep)
-    if idle_ms and rows.isStreaming and clock == "event":
-        rows = rows.withWatermark("timestamp", watermark)
-    return rows.groupBy("topic", "partition", "key").transformWithState(
-        statefulProcessor=KeyFold(step, fields, tick, idle_ms, serde, clock, ttl_ms), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="ProcessingTime" if ttl_ms or idle_ms and clock == "processing" else "EventTime" if idle_ms else "None", initialState=None if initial is None else initial.groupBy("topic", "partition", "key")
+    place, names = ("topic", "partition", "key"), dict.fromkeys(["offset", *fields])
+    if idle_ms and clock == "event":  # late records are told by their own times
+        if rows.isStreaming:
+            rows = rows.withWatermark("timestamp", watermark)
+        rows = rows.select(*place, "timestamp", *[F.array(n).alias(f"_{i}") for i, n in enumerate(names)])
+    else:
+        rows = packed(rows.select(*place, *[F.col(n).alias(f"_{i}") for i, n in enumerate(names)]), place, "_0")
+    out = rows.groupBy(*place).transformWithState(
+        statefulProcessor=KeyFold(step, tuple(names)[1:], tick, idle_ms, serde, clock, ttl_ms), outputStructType=StructType.fromDDL(_ARRAYS), outputMode="Update", timeMode="ProcessingTime" if ttl_ms or idle_ms and clock == "processing" else "EventTime" if idle_ms else "None", initialState=None if initial is None else initial.groupBy(*place)
     )
+    return unpacked(out, *_TOLD)
 
 
 def once_per_batch(path: str, write: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
