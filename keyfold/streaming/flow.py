@@ -26,19 +26,25 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from keyfold.operators.timers import At, KeyTimers, TimerPolicy
 from keyfold.sources.tables import Changelog, Table
-from keyfold.streaming.engine import JSON, Serde
+from keyfold.streaming.engine import JSON, Serde, record_text
+from keyfold.streaming.packing import gathered, pieces, unpacked
 
 #: Segments that the keys of a partition are dealt to.
 SEGMENTS = 64
 OUTPUT = "topic string, partition int, key string, kind string, offset long, before string, record string, after string, hold long"
-_OUT = Row(*[f.split()[0] for f in OUTPUT.split(", ")])
+#: What a segment tells at once: arrays, of one length, of at most ``TOLD`` rows.
+_TOLD = ("key", "kind", "offset", "before", "record", "after", "hold")
+_ARRAYS = "topic string, partition int, key array<string>, kind array<string>, offset array<long>, before array<string>, record array<string>, after array<string>, hold array<long>"
+_OUT = Row("topic", "partition", *_TOLD)
+TOLD = 1000
 _ENTRY = "offset long, value binary, start_clock double, start_offset long, touched_clock double, touched_offset long, flushed_clock double, flushed_offset long, hold long, next double, dirty boolean"
 GROUP = ("topic", "partition", "segment")
 
@@ -86,94 +92,124 @@ class SegmentFlow(StatefulProcessor):
         stored = At(*self.at.get()) if self.at.exists() else At(float("-inf"), 0)
         return stored if self.clock == "event" else At(timerValues.getCurrentProcessingTimeInMs() / 1000, stored.offset)
 
+    def _told(self, group, rows) -> Iterator[Row]:
+        """``rows``, tuples of ``_TOLD``, as arrays."""
+        topic, partition, _ = group
+        columns = [[] for _ in _TOLD]
+        for row in rows:
+            for column, value in zip(columns, row):
+                column.append(value)
+            if len(columns[0]) == TOLD:
+                yield _OUT(topic, partition, *columns)
+                columns = [[] for _ in _TOLD]
+        if columns[0]:
+            yield _OUT(topic, partition, *columns)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        records, now = [], At(*self.at.get()) if self.at.exists() else At(float("-inf"), 0)
+        got, now = [], At(*self.at.get()) if self.at.exists() else At(float("-inf"), 0)
         for r in rows:
-            if r["kind"] == "clock":
-                now = At(max(now.clock, r["timestamp"].timestamp()), max(now.offset, r["offset"]))
+            if r["now"] is not None:
+                now = At(max(now.clock, r["clock"]), max(now.offset, r["now"]))
             else:
-                records.append(r)
+                got.extend(zip(r["offset"], r["key"], r["time"], *[r[f"_{i}"] for i in range(len(self.fields))]))
         self.at.update((now.clock, now.offset))
-        yield from self._fold(key, sorted(records, key=lambda r: r["offset"]), timerValues)
-        yield from self._trigger(key, timerValues)
-
-    def _fold(self, group, records: list[Row], timerValues) -> Iterator[Row]:  # noqa: N803
-        topic, partition, _ = group
-        live: dict[str, _Key] = {}
-        events = []
-        for r in records:
-            k = r["key"]
-            if k not in live:
-                at = At(r["timestamp"].timestamp() if self.clock == "event" else timerValues.getCurrentProcessingTimeInMs() / 1000, r["offset"])
-                live[k] = _Key.load(self.keys.getValue((k,)), self.serde) if self.keys.containsKey((k,)) else _Key(self.policy.begin(at))
-            held = live[k]
-            if held.offset is not None and r["offset"] <= held.offset:  # delivered again
-                continue
-            record = {f: r[f] for f in ("offset", *self.fields)}
-            text, before = json.dumps(record, default=str), held.state
-            held.state, held.offset, held.dirty = self.step(before, record), r["offset"], True
-            held.timers.processed = At(r["timestamp"].timestamp() if self.clock == "event" else timerValues.getCurrentProcessingTimeInMs() / 1000, r["offset"])
-            events.append((k, r["offset"], text))
-            if self.steps:
-                yield _OUT(topic, partition, k, "fold", r["offset"], _text(before), text, _text(held.state), None)
-        gone = {k for k, held in live.items() if held.state is None}
-        for k, held in live.items():
-            if k not in gone:
-                self.keys.updateValue((k,), held.dump(self.serde))
-                continue
-            if self.keys.containsKey((k,)):
-                self.keys.removeKey((k,))
-            if held.timers.persisted is not None:
-                yield _OUT(topic, partition, k, "gone", held.offset, None, None, None, None)
-        if self.journal and events:
-            if gone:
-                events = [e for e in [*map(tuple, self.events.get()), *events] if e[0] not in gone]
-                self.events.put(events) if events else self.events.clear()
-            else:
-                self.events.appendList(events)
-
-    def _trigger(self, group, timerValues) -> Iterator[Row]:  # noqa: N803
-        """Fire the timers that are due, once for each key, and tell the smallest hold; one pass over the segment's keys."""
-        topic, partition, _ = group
-        now, low, changed, out, flushed = self._now(timerValues), None, [], [], False
-        for (k,), row in self.keys.iterator():
-            if row[9] is not None and row[9] <= now.clock:
-                held = _Key.load(row, self.serde)
-                fired = held.timers.persisted
-
-                def flush(k=k, held=held):
+        got.sort(key=lambda r: r[0])
+        yield from self._told(key, self._poll(got, timerValues))
+
+    def _poll(self, records: list[tuple], timerValues) -> Iterator[tuple]:  # noqa: N803
+        """Fold records (offset, key, time, fields) by offset, fire the timers that are due, once for each key, and tell the smallest hold. One pass over the segment's keys; each is written once."""
+        now, live, events, fields = self._now(timerValues), {}, [], ("offset", *self.fields)
+        wall = None if self.clock == "event" else timerValues.getCurrentProcessingTimeInMs() / 1000
+        moved, there, out, changed = {r[1] for r in records}, set(), [], []
+        low, flushed = None, False
+
+        def hold(at: int | None) -> None:
+            nonlocal low
+            low = at if low is None else low if at is None else min(low, at)
+
+        def settle(k, held: _Key) -> bool:
+            """Fire a key's timer if it is due; whether it flushed."""
+            before, stays = held.timers.persisted, True
+            if held.timers.next_fire is not None and held.timers.next_fire <= now.clock:
+
+                def flush():
                     if held.dirty:
-                        out.append(_OUT(topic, partition, k, "flush", held.offset, None, None, _text(held.state), now.offset))
+                        out.append((k, "flush", held.offset, None, None, _text(held.state), now.offset))
 
                 stays = self.policy.fire(held.timers, now, flush)
-                if held.timers.persisted is not fired:
-                    held.dirty, flushed = False, True
+                if held.timers.persisted is not before:
+                    held.dirty = False
                 if not stays:
-                    out.append(_OUT(topic, partition, k, "unload", held.offset, None, None, _text(held.state), None))
-                changed.append((k, held.dump(self.serde) if stays else None))
-                hold = held.timers.hold if stays else None
+                    out.append((k, "unload", held.offset, None, None, _text(held.state), None))
+            changed.append((k, held.dump(self.serde) if stays else None))
+            if stays:
+                hold(held.timers.hold)
+            return held.timers.persisted is not before
+
+        for (k,), row in self.keys.iterator():
+            if k in moved:
+                live[k] = _Key.load(row, self.serde)
+                there.add(k)
+            elif row[9] is not None and row[9] <= now.clock:
+                flushed |= settle(k, _Key.load(row, self.serde))
+                there.add(k)
             else:
-                hold = row[8]
-            low = hold if low is None else low if hold is None else min(low, hold)
+                hold(row[8])
+        for offset, k, time, *values in records:
+            at = At(time if wall is None else wall, offset)
+            held = live.get(k)
+            if held is None:
+                held = live[k] = _Key(self.policy.begin(at))
+            if held.offset is not None and offset <= held.offset:  # delivered again
+                continue
+            record, before = dict(zip(fields, (offset, *values))), held.state
+            told = _text(before) if self.steps else None
+            held.state, held.offset, held.dirty = self.step(before, record), offset, True
+            held.timers.processed = at
+            if self.steps or self.journal:
+                text = record_text(record)
+                if self.journal:
+                    events.append((k, offset, text))
+                if self.steps:
+                    yield k, "fold", offset, told, text, _text(held.state), None
+        gone = set()
+        for k, held in live.items():
+            if held.state is not None:
+                flushed |= settle(k, held)
+                continue
+            gone.add(k)
+            changed.append((k, None))
+            if held.timers.persisted is not None:
+                yield k, "gone", held.offset, None, None, None, None
         for k, row in changed:
-            if row is None:
-                self.keys.removeKey((k,))
-            else:
+            if row is not None:
                 self.keys.updateValue((k,), row)
-        if flushed and self.journal and self.events.exists():
-            for k, offset, text in self.events.get():
-                yield _OUT(topic, partition, k, "journal", offset, None, text, None, None)
-            self.events.clear()
+            elif k in there:
+                self.keys.removeKey((k,))
+        if self.journal:
+            yield from self._journal(events, gone, flushed)
         yield from out
-        yield _OUT(topic, partition, None, "hold", now.offset, None, None, None, low)
+        yield None, "hold", now.offset, None, None, None, low
         if self.clock == "processing":
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             if low is not None:
                 self.handle.registerTimer(int((now.clock + self.policy.fire_every) * 1000))
 
+    def _journal(self, events: list[tuple], gone: set, flushed: bool) -> Iterator[tuple]:
+        """Tell the events that no flush has written, if there was one now, or keep them; those of keys that are gone are forgotten."""
+        events = [e for e in events if e[0] not in gone]
+        if (flushed or gone) and self.events.exists():
+            events = [*(e for e in map(tuple, self.events.get()) if e[0] not in gone), *events]
+            self.events.clear()
+        if flushed:
+            for k, offset, text in events:
+                yield k, "journal", offset, None, text, None, None
+        elif events:
+            self.events.appendList(events)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        yield from self._trigger(key, timerValues)
+        yield from self._told(key, self._poll([], timerValues))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
         r = initialState.asDict()
@@ -191,17 +227,26 @@ class SegmentFlow(StatefulProcessor):
         pass
 
 
-def clocks(log: DataFrame) -> DataFrame:
-    """topic, partition, offset (one past the last), timestamp (the largest) of what each task has read of a partition: a row or two a task."""
-    schema = "topic string, partition int, offset long, timestamp timestamp"
+def dealt(log: DataFrame, keep, fields: tuple[str, ...], segments: int) -> DataFrame:
+    """What a segment gets, from one pass over the log: its records put together in rows of arrays, and, from each task for all segments of a partition, the largest timestamp (clock) and one past the last offset (now) of all that was read of it."""
+    seconds = lambda c: pc.divide(pc.cast(c, pa.int64()).cast(pa.float64(), safe=False), 1e6)
+    names = {f"_{i}": f for i, f in enumerate(fields)}
+    rows = log.select("topic", "partition", segment_of(segments).alias("segment"), "offset", "key", F.col("timestamp").alias("time"), *[F.col(f).alias(n) for n, f in names.items()], F.coalesce(F.col("key").isNotNull() & (F.lit(True) if keep is None else keep), F.lit(False)).alias("kept"))
+    types = {f.name: f.dataType for f in rows.schema} | {"time": DoubleType()}
+    lists = ("offset", "key", "time", *names)
+    schema = StructType([*[StructField(c, types[c]) for c in GROUP], *[StructField(c, ArrayType(types[c])) for c in lists], StructField("clock", DoubleType()), StructField("now", LongType())])
 
     def run(batches):
-        for batch in batches:
-            of = pa.Table.from_batches([batch]).group_by(["topic", "partition"]).aggregate([("offset", "max"), ("timestamp", "max")])
-            for b in of.select(["topic", "partition", "offset_max", "timestamp_max"]).rename_columns(["topic", "partition", "offset", "timestamp"]).to_batches():
-                yield b
+        for table in gathered(batches):
+            table = table.set_column(table.schema.get_field_index("time"), "time", seconds(table.column("time")))
+            ends = table.group_by(["topic", "partition"]).aggregate([("time", "max"), ("offset", "max")])
+            told = pa.table({"topic": ends.column("topic"), "partition": ends.column("partition"), "clock": ends.column("time_max"), "now": pc.add(ends.column("offset_max"), 1)})
+            own = pieces(table.filter(table.column("kept")).drop_columns("kept"), GROUP, "offset")
+            both = pa.concat_tables([own, told], promote_options="default")
+            yield from both.select([f.name for f in schema]).to_batches()
 
-    return log.select("topic", "partition", "offset", "timestamp").mapInArrow(run, schema).withColumn("offset", F.col("offset") + 1)
+    every = F.when(F.col("now").isNull(), F.array("segment")).otherwise(F.sequence(F.lit(0), F.lit(segments - 1)))
+    return rows.mapInArrow(run, schema).withColumn("segment", F.explode(every))
 
 
 def segment_of(segments: int):
@@ -216,15 +261,11 @@ def flow_stream(log: DataFrame, step: Callable, fields: tuple[str, ...], policy:
     timers of a recovered key without a timestamp are due at once.
     """
     log.sparkSession.streams.active  # noqa: B018  the state store's coordinator starts with the first use of streams
-    rows = log.where("key is not null") if keep is None else log.where(F.col("key").isNotNull() & keep)
-    names = ["topic", "partition", "offset", "timestamp", "key", *fields]
-    folded = rows.select(F.lit("record").alias("kind"), *dict.fromkeys(names), segment_of(segments).alias("segment"))
-    ticks = clocks(log).withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(segments - 1)))).withColumn("kind", F.lit("clock"))
-    both = folded.unionByName(ticks, allowMissingColumns=True)
     started = None if initial is None else initial.withColumn("segment", segment_of(segments)).groupBy(*GROUP)
-    return both.groupBy(*GROUP).transformWithState(
-        statefulProcessor=SegmentFlow(step, fields, policy, serde, clock, journal, steps), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="None" if clock == "event" else "ProcessingTime", initialState=started
+    out = dealt(log, keep, fields, segments).groupBy(*GROUP).transformWithState(
+        statefulProcessor=SegmentFlow(step, fields, policy, serde, clock, journal, steps), outputStructType=StructType.fromDDL(_ARRAYS), outputMode="Update", timeMode="None" if clock == "event" else "ProcessingTime", initialState=started
     )
+    return unpacked(out, *_TOLD)
 
 
 class FlowSink:

@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from keyfold.streaming import engine
+from keyfold.operators.timers import TimerPolicy
+from keyfold.streaming import engine, flow
 
 AT = datetime(2020, 3, 1)
 
@@ -32,3 +33,33 @@ def test_a_key_comes_in_few_rows(spark, monkeypatch):
     record = json.loads(hot[8]["record"])
     assert record["part"]["n"] == 8 and record["list"] == [8, None] and json.loads(hot[7]["record"])["part"] is None
     assert record["timestamp"].startswith(str(AT + timedelta(seconds=8)))
+
+
+def test_a_segment_comes_in_few_rows_from_one_pass_over_the_log(spark, monkeypatch):
+    """2,000 records of 100 keys in four tasks: the log is read once, and segments get rows of many records. Keyless and left out records move the offset."""
+    rows, read = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    class Counted(flow.SegmentFlow):
+        def handleInputRows(self, key, got, timerValues):  # noqa: N802, N803
+            got = list(got)
+            rows.add(len(got))
+            yield from super().handleInputRows(key, iter(got), timerValues)
+
+    def watched(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(flow, "SegmentFlow", Counted)
+    ids = spark.range(2000, numPartitions=4)
+    key = F.when(F.col("id") < 1900, F.concat(F.lit("k"), F.col("id") % 100)).when(F.col("id") < 1990, F.lit("out"))
+    log = ids.select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), (F.lit(AT) + F.make_dt_interval(secs=F.col("id"))).alias("timestamp"), key.alias("key"))
+    log = log.mapInArrow(watched, log.schema)
+    policy = TimerPolicy(fire_every=0, max_behind=150)
+    out = flow.flow_stream(log, lambda s, r: (s or 0) + 1, (), policy, keep=F.col("key") != "out", segments=2, steps=False).collect()
+    assert read.value == 2000
+    assert rows.value <= 4 * 2 * 3  # of four tasks, for each of two segments: at most two rows of records and the clock
+    gone = sorted((r["key"], r["offset"], r["after"]) for r in out if r["kind"] == "unload")
+    assert gone == sorted((f"k{k}", 1800 + k, "19") for k in range(50))  # more than 150 behind 2,000
+    assert len([r for r in out if r["kind"] == "flush"]) == 50 and {(r["offset"]) for r in out if r["kind"] == "hold"} == {2000}
+    assert min(r["hold"] for r in out if r["kind"] == "hold") == 50
