@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from keyfold.operators.timers import TimerPolicy
+from keyfold.sources import segments
 from keyfold.streaming import engine, flow
 
 AT = datetime(2020, 3, 1)
@@ -63,3 +64,17 @@ def test_a_segment_comes_in_few_rows_from_one_pass_over_the_log(spark, monkeypat
     assert gone == sorted((f"k{k}", 1800 + k, "19") for k in range(50))  # more than 150 behind 2,000
     assert len([r for r in out if r["kind"] == "flush"]) == 50 and {(r["offset"]) for r in out if r["kind"] == "hold"} == {2000}
     assert min(r["hold"] for r in out if r["kind"] == "hold") == 50
+
+
+def test_events_that_are_flushed_at_once_do_not_go_through_the_state_store(spark, tmp_path):
+    """400 records of five keys, all flushed in the poll that brings them: their journal is told, and the store is written once a key and segment."""
+    ids = spark.range(400)
+    log = ids.select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), (F.lit(AT) + F.make_dt_interval(secs=F.col("id"))).alias("timestamp"), F.concat(F.lit("k"), F.col("id") % 5).alias("key"))
+    segments.append(log, f"file://{tmp_path}/log")
+    stream = flow.flow_stream(segments.scan(spark, f"file://{tmp_path}/log", "t", streaming=True), lambda s, r: (s or 0) + 1, (), TimerPolicy(fire_every=0, persist_every=0), segments=2, journal=True, steps=False)
+    got = []
+    q = engine.start(stream, f"{tmp_path}/check", lambda df, _: got.extend(df.collect()))
+    assert q.awaitTermination(100) and q.exception() is None
+    assert sorted(r["offset"] for r in got if r["kind"] == "journal") == list(range(400))
+    assert sorted((r["key"], r["after"], r["hold"]) for r in got if r["kind"] == "flush") == [(f"k{k}", "80", 400) for k in range(5)]
+    assert sum(o.numRowsUpdated for o in q.lastProgress.stateOperators) <= 5 + 2
