@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there.
 
     A lost executor then costs a re-read, never a recomputation, and a plan
@@ -45,10 +46,30 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     partitions a shuffle has. That is for narrow rows of cheap columns.
     """
     path = f"{shared_dir(df.sparkSession)}/keyfold-{uuid.uuid4().hex}"
-    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has made and nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Meanwhile Spark deletes an action's shuffle files when it ends; each action must have a plan of its own."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,10 +10,16 @@ takes nearly all its probability from the shared counts, so it decides little.
 Spark counts words and bigrams over all labelled rows to learn from, so what
 the models are estimated from grows with the input: tasks count blocks of
 texts, and the sums, continuation counts and counts of counts are aggregated.
-The model that is handed to the tasks has a fixed size: the ``VOCABULARY`` most
-frequent words, all others being one unknown word that decides nothing, and the
-``BIGRAMS`` most frequent pairs of them, the others being left to the totals
-from which the weight of backing off comes.
+A word that occurs once is unknown and decides nothing, a bigram that occurs
+once is left to the totals from which the weight of backing off comes; all
+others have ratios of their own, however many they are. The ``VOCABULARY`` most
+frequent words and the ``BIGRAMS`` most frequent pairs of them are handed to
+the tasks. Ratios of the rest are made and kept by Spark, and what texts need
+of them is joined: texts are dealt into groups of about ``GROUP`` bytes, tasks
+ask for the rest's words and bigrams that a group may have (a bitmap of bounded
+size spares questions, it decides none), and a group is scored with the answers.
+In these joins a rare word stands as a hash of 62 bits, chosen so that no two
+counted words share one; a scored word must agree in 64 bits more.
 
 A text's evidence is the difference of the two log-likelihoods normalised by
 length: over the whole text, over its most telling windows of ``WINDOWS``
@@ -22,7 +28,8 @@ enters as well, since a maximum over more windows is larger by chance; nothing
 else does. A logistic calibration turns them into one probability at the
 labels' natural rate. It is fitted on texts that the models have not counted: a
 hash sample of distinct texts, at most ``RESERVED`` of each class and about
-``PER_CLASS`` texts. Every document is scored by its whole text, with no shuffle.
+``PER_CLASS`` texts. Every document is scored by its whole text; texts are
+shuffled only if there is a rest.
 
 Edge cases: an empty or null text has no evidence and gets the base rate; where
 one of the classes has no text to count or none to calibrate on, the score is
@@ -33,24 +40,32 @@ maximum; texts are copies if equal but for case; extra columns do not matter.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from hashlib import blake2b
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import class_sample, cut, fold_of, small_batches, small_enough, text_blocks
+from keyfold.llm.common import class_sample, cut, discard, fold_of, give_back, mix64, shuffles_freed, small_batches, small_enough
 
 #: Labelled texts of a class that the calibration is fitted on.
 PER_CLASS = 2000
 #: Largest share of a class's texts that is kept from the models for calibration.
 RESERVED = 0.25
-#: Words and bigrams of which a model has ratios of its own, at most.
+#: Words and bigrams whose ratios are handed to every task, at most; those of the rest are joined.
 VOCABULARY = 1 << 18
 BIGRAMS = 1 << 20
-#: Place of the first word in a bigram's key; larger than any word's number.
+#: Numbers of frequent words are below, hashes of all others above.
 _FIRST = 1 << 20
+#: Stands for the second word where both are frequent; the first is then ``first * _FIRST + second``. A word alone has _ALONE.
+_BOTH, _ALONE = -2, -1
+#: Bytes of text, about, that are scored together with what they need of the rest.
+GROUP = 2_000_000
+#: Bits of the bitmap of the rest, as a power of 2, at most.
+BITS = 28
 WINDOWS = (4, 30, 120)
 #: So many of a text's most telling distinct words are taken together.
 TOP = (2, 4)
@@ -62,6 +77,39 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def hashes(words: list[str], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word a number of 62 hashed bits above all numbers of frequent words, and 64 bits more."""
+    key = salt.to_bytes(8, "little")
+    raw = b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=16, key=key).digest() for w in words)
+    both = np.frombuffer(raw, "<i8").reshape(-1, 2)
+    return both[:, 0] & ((1 << 62) - 1) | (1 << 62), both[:, 1]
+
+
+def packed(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams as tables have them: frequent words in one number."""
+    both = (u < _FIRST) & (w < _FIRST) & (w >= 0)
+    return np.where(both, u * _FIRST + w, u), np.where(both, _BOTH, w)
+
+
+def spots(u: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
+    """Places of packed bigrams, or words alone, in a bitmap."""
+    return (mix64(mix64(np.asarray(u)) + np.asarray(w).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def marked(bitmap: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which bigrams may be in what the bitmap was made of."""
+    at = spots(u, w, len(bitmap).bit_length() + 2)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def starts(n: np.ndarray) -> np.ndarray:
+    """Whether each word is the first of its text."""
+    first = np.zeros(int(n.sum()), bool)
+    at = np.cumsum(n) - n
+    first[at[n > 0]] = True
+    return first
+
+
 @dataclass
 class Model:
     vocab: dict[str, int]
@@ -73,22 +121,99 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     base: float
+    rest: DataFrame | None = None  # u, w, x, y, more: of other words alone both ratios (x, y); of packed bigrams counts by class (x, y) if both words are frequent, or the ratio (x)
+    made: tuple[Totals, Values] | None = None  # what ratios of frequent words' bigrams are made of
+    bitmap: np.ndarray | None = None  # of the rest's u and w
+    salt: int = 0
 
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """One row of features for each text."""
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Numbers of all words, one text after the other, how many each text has, and the distinct words that are not frequent.
+
+        If there is a rest, these are numbered in their order, after the number of unknown words.
+        """
         words = [words_of(t) for t in texts]
-        n = np.array([len(w) for w in words])
-        v, get = len(self.vocab), self.vocab.get
-        ids = np.fromiter((get(w, v) for ws in words for w in ws), np.int64, int(n.sum()))
-        llr = self.uni[ids]
-        if len(ids) > 1 and len(self.keys):
-            key = ids[:-1] * (v + 1) + ids[1:]
-            first = np.zeros(len(ids), bool)
-            first[np.cumsum(n)[:-1][np.cumsum(n)[:-1] < len(ids)]] = True
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            seen = self.keys[at] == key
-            after = np.where(seen, self.bi[at], self.back[ids[:-1]] + llr[1:])
-            llr[1:] = np.where(first[1:], llr[1:], after)
+        n, flat, v = np.array([len(w) for w in words], np.int64), list(chain.from_iterable(words)), len(self.vocab)
+        ids = np.fromiter(map(self.vocab.get, flat, repeat(v)), np.int64, len(flat))
+        found: dict[str, int] = {}
+        if self.bitmap is not None:
+            at = np.flatnonzero(ids == v)
+            ids[at] = [found.setdefault(flat[i], v + 1 + len(found)) for i in at.tolist()]
+        return ids, n, list(found)
+
+    def frequent(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where bigrams stand among the frequent ones, and whether they do."""
+        v = len(self.vocab)
+        if not len(self.keys):
+            return np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+        key = first * (v + 1) + second
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, (self.keys[at] == key) & (second < v)
+
+    def questions(self, texts: list[str | None], part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words and bigrams of the texts that may be in the rest, as ``rest`` names them, and the texts' parts."""
+        ids, n, other = self.numbers(texts)
+        v, part = len(self.vocab), np.repeat(part, n)
+        codes, _ = hashes(other, self.salt)
+        usable = np.concatenate([np.arange(v + 1) < v, marked(self.bitmap, codes, np.full(len(codes), _ALONE))])
+        code = np.concatenate([np.arange(1, v + 2), codes])
+        rare = np.flatnonzero((ids > v) & usable[ids])
+        pair = np.flatnonzero(usable[ids[:-1]] & usable[ids[1:]] & ~starts(n)[1:]) if len(ids) > 1 else rare[:0]
+        u, w = packed(code[ids[pair]], code[ids[pair + 1]] if len(pair) else pair)
+        some = marked(self.bitmap, u, w)
+        some[some] = ~self.frequent(ids[pair[some]], ids[pair[some] + 1])[1]
+        u, w, at = np.concatenate([code[ids[rare]], u[some]]), np.concatenate([np.full(len(rare), _ALONE), w[some]]), np.concatenate([rare, pair[some]])
+        order = np.lexsort((part[at], w, u))
+        u, w, part = u[order], w[order], part[at[order]]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (part[1:] != part[:-1])
+        return u[new], w[new], part[new]
+
+    def evidence(self, texts: list[str | None], found: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """One row of features for each text. ``found`` is what ``rest`` has on the texts' questions, and maybe on others'."""
+        ids, n, other = self.numbers(texts)
+        v, uni, back, keys, bi = len(self.vocab), self.uni, self.back, self.keys[:0], self.bi[:0]
+        if other:
+            codes, check = hashes(other, self.salt)
+            mine, more_uni, more_back = np.zeros(len(other), bool), np.zeros(len(other)), np.zeros(len(other))
+            order = np.argsort(codes)
+            if found is not None:
+                u, w, x, y, more = found
+                word = np.flatnonzero(w == _ALONE)
+                at = np.minimum(np.searchsorted(codes[order], u[word]), len(other) - 1)
+                hit = (codes[order][at] == u[word]) & (check[order][at] == more[word])
+                to = order[at[hit]]
+                mine[to], more_uni[to], more_back[to] = True, x[word][hit], y[word][hit]
+            uni, back = np.concatenate([uni, more_uni]), np.concatenate([back, more_back])
+            ids = np.concatenate([np.arange(v + 1), np.where(mine, np.arange(len(other)) + v + 1, v)])[ids]
+        if found is not None:
+            u, w, x = found[:3]
+
+            def number(c: np.ndarray) -> np.ndarray:
+                out = np.where(c < _FIRST, c - 1, -1)
+                if other:
+                    at = order[np.minimum(np.searchsorted(codes[order], c), len(other) - 1)]
+                    out = np.where((codes[at] == c) & mine[at], at + v + 1, out)
+                return out
+
+            both, other_pair = np.flatnonzero(w == _BOTH), np.flatnonzero(w >= 0)
+            first, second = number(u[other_pair]), number(w[other_pair])
+            own = (first >= 0) & (second >= 0)
+            t, values = self.made
+            f, g = u[both] // _FIRST, u[both] % _FIRST
+            ratio = pair_ratios(t, (x[both], found[3][both]), values.after[:, f], values.left[:, f], values.p[:, g])
+            keys, once = np.unique(np.concatenate([f - 1 << 32 | g - 1, first[own] << 32 | second[own]]), return_index=True)
+            bi = np.concatenate([ratio, x[other_pair][own]])[once]
+        llr = uni[ids]
+        if len(ids) > 1:
+            at, seen = self.frequent(ids[:-1], ids[1:])
+            after = back[ids[:-1]] + llr[1:]
+            after[seen] = self.bi[at[seen]]
+            if len(keys):
+                key = ids[:-1] << 32 | ids[1:]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                seen = keys[at] == key
+                after[seen] = bi[at[seen]]
+            llr[1:] = np.where(starts(n)[1:], llr[1:], after)
         out = np.zeros((len(texts), N_FEATURES))
         end = 0
         for i, k in enumerate(n):
@@ -98,14 +223,14 @@ class Model:
                 for j, size in enumerate(WINDOWS, 2):
                     s = min(size, k)
                     out[i, j] = (total[s:] - total[:-s]).max() / s
-                telling = np.sort(self.uni[np.unique(ids[end : end + k])])[::-1]
+                telling = np.sort(uni[np.unique(ids[end : end + k])])[::-1]
                 for j, size in enumerate(TOP, 2 + len(WINDOWS)):
                     out[i, j] = telling[:size].sum() / size
                 end += k
         return out
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = self.evidence(texts)
+    def scores(self, texts: list[str | None], found: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        x = self.evidence(texts, found)
         z = np.clip(np.concatenate([np.ones((len(x), 1)), (x - self.mean) / self.scale], axis=1) @ self.coef, -30, 30)
         p = 1 / (1 + np.exp(-z))
         return np.where(x.any(axis=1), p, self.base)
@@ -118,10 +243,6 @@ def _steps(n: list[float]) -> np.ndarray:
     return np.array([0.0, *(np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0.3 * k, 0.9 * k) for k in (1, 2, 3))])
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    return _steps([(counts == k).sum() for k in (1, 2, 3, 4)])[np.minimum(counts, 3).astype(np.int64)]
-
-
 def word_counts(texts: list[str], weight: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The distinct words of some texts and how often they occur, each text taken ``weight`` times."""
     code: dict[str, int] = {}
@@ -130,56 +251,84 @@ def word_counts(texts: list[str], weight: np.ndarray) -> tuple[list[str], np.nda
     return list(code), np.bincount(ids, np.repeat(weight, [len(r) for r in rows]), minlength=len(code))
 
 
-def pair_counts(texts: list[str], labels: np.ndarray, weight: np.ndarray, vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the distinct bigrams of some texts, and their counts in ordinary and toxic ones.
+def pair_counts(texts: list[str], labels: np.ndarray, weight: np.ndarray, vocab: dict[str, int], others=None) -> tuple[np.ndarray, ...]:
+    """The two words of distinct bigrams of some texts, and their counts in ordinary and toxic ones.
 
-    0 is the start of a text, 1 + ``vocab[w]`` a word, 1 + the number of words an unknown one.
+    0 is the start of a text, 1 + ``vocab[w]`` a word, 1 + the number of words an unknown one. ``others``, if given, tells
+    the numbers of a list of words that are not in ``vocab``.
     """
     rows = [words_of(t) for t in texts]
     size = np.array([1 + len(r) for r in rows], np.int64)
-    ids = np.fromiter((i for r in rows for i in (-1, *(vocab.get(w, len(vocab)) for w in r))), np.int64, int(size.sum())) + 1
-    inside = ids[1:] > 0
-    keys, at = np.unique((ids[:-1] * _FIRST + ids[1:])[inside], return_inverse=True)
+    flat, v, far = list(chain.from_iterable(rows)), len(vocab), {}
+    own = np.fromiter(map(vocab.get, flat, repeat(v)), np.int64, len(flat)) + 1
+    if others is not None:
+        at = np.flatnonzero(own == v + 1)
+        own[at] = [v + 2 + far.setdefault(flat[i], len(far)) for i in at.tolist()]
+    ids, inside = np.zeros(int(size.sum()), np.int64), np.ones(int(size.sum()), bool)
+    inside[np.cumsum(size) - size] = False
+    ids[inside] = own
+    inside = inside[1:]
+    keys, at = np.unique((ids[:-1] << 32 | ids[1:])[inside], return_inverse=True)
     toxic, times = np.repeat(labels, size)[1:][inside] == 1, np.repeat(weight, size)[1:][inside]
-    return keys, np.bincount(at, times * ~toxic, minlength=len(keys)), np.bincount(at, times * toxic, minlength=len(keys))
+    code = np.arange(v + 2) if others is None else np.concatenate([np.arange(v + 2), others(list(far))])
+    counts = [np.bincount(at, times * some, minlength=len(keys)) for some in (~toxic, toxic)]
+    return code[keys >> 32], code[keys & 0xFFFFFFFF], *counts
 
 
 @dataclass
-class Counts:
-    """What a model is made of; arrays by word have the start of a text first and unknown words last."""
+class Totals:
+    """Sums over all words and bigrams; the first index is the class (ordinary, toxic, for words both together)."""
 
-    words: list[str]
-    before: np.ndarray  # distinct words before each word: in ordinary texts, toxic ones, both together
-    after: np.ndarray  # by class: occurrences after each word
-    times: np.ndarray  # by class: distinct words that follow once, twice, more often
+    size: int  # words, with the start of a text, and the unknown one if there is any
+    before: np.ndarray  # sum of the distinct words before each word
+    words: np.ndarray  # words that have 1, 2, 3, 4, and 3 or more distinct words before them
+    some: int  # words that have any
     spread: np.ndarray  # by class: bigrams that occur once to four times
-    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]  # keys and counts of the bigrams that get ratios of their own
-
-
-def _model(c: Counts) -> Model:
-    """The two models, without calibration."""
-    v = len(c.words)
-    size = v + 2 if c.before[2, v + 1] else v + 1  # the start of a text, the words, and the unknown word if there is any
-    before, after = c.before[:, :size].astype(float), c.after[:, :size].astype(float)
-    shared = np.maximum(before[2] - 0.75, 0) / max(1, before[2].sum())
-    shared += (1 - shared.sum()) / size
-    keys, *counts = c.pairs
-    u, w = keys // _FIRST, keys % _FIRST
-    own = (u > 0) & (u <= v) & (w <= v)
-    u, w = u[own], w[own]
-    p1, left, ratio = [], [], np.zeros(len(u))
+
+
+@dataclass
+class Values:
+    """By word: what the probabilities of bigrams with it are made of, by class."""
+
+    after: np.ndarray  # occurrences after the word
+    left: np.ndarray  # weight of backing off after it
+    p: np.ndarray  # its own probability
+
+    def ratios(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.log(self.p[1] / self.p[0]), np.log(self.left[1] / self.left[0])
+
+
+def word_values(t: Totals, before: np.ndarray, after: np.ndarray, times: np.ndarray) -> Values:
+    """Of words, from their distinct words before (3 rows), occurrences after (2) and words that follow once, twice, more often (2 by 3)."""
+    shared = np.maximum(before[2] - 0.75, 0) / max(1, t.before[2])
+    shared += (1 - (t.before[2] - 0.75 * t.some) / max(1, t.before[2])) / t.size
+    p, left = [], []
+    for k in (0, 1):
+        step, total = _steps(t.words[k][:4]), max(1.0, t.before[k])
+        lost = step[1:] @ t.words[k][[0, 1, 4]]
+        p.append((before[k] - step[np.minimum(before[k], 3).astype(np.int64)]) / total + (lost / total if t.before[k] else 1.0) * shared)
+        left.append(np.where(after[k] > 0, (_steps(t.spread[k])[1:] @ times[k]) / np.maximum(after[k], 1), 1.0))
+    return Values(np.asarray(after, float), np.array(left), np.array(p))
+
+
+def pair_ratios(t: Totals, counts, after: np.ndarray, left: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log ratios of bigrams, from their counts, what is known of the first word, and the probabilities of the second."""
+    out = np.zeros(len(counts[0]))
     for k, sign in ((0, -1), (1, 1)):
-        lost, total = _discounts(before[k]), max(1.0, before[k].sum())
-        p1.append((before[k] - lost) / total + (lost.sum() / total if before[k].any() else 1.0) * shared)
-        step = _steps(c.spread[k])
-        left.append(np.where(after[k] > 0, (step[1:] @ c.times[k][:, :size]) / np.maximum(after[k], 1), 1.0))
-        kept = counts[k][own] - step[np.minimum(counts[k][own], 3).astype(np.int64)]
-        ratio += sign * np.log(kept / np.maximum(after[k][u], 1) + left[k][u] * p1[k][w])
+        kept = counts[k] - _steps(t.spread[k])[np.minimum(counts[k], 3).astype(np.int64)]
+        out += sign * np.log(kept / np.maximum(after[k], 1) + left[k] * p[k])
+    return out
+
+
+def _model(words: list[str], t: Totals, values: Values, u, w, *counts) -> Model:
+    """The two models, without calibration, of words, what is known of the start, them and the unknown word, and bigrams of words."""
+    v = len(words)
+    one, back = (x[1 : v + 1] for x in values.ratios())
+    ratio = pair_ratios(t, counts, values.after[:, u], values.left[:, u], values.p[:, w])
     keys = (u - 1) * (v + 1) + w - 1
     order = np.argsort(keys)
-    one, back = np.log(p1[1] / p1[0])[1 : v + 1], np.log(left[1] / left[0])[1 : v + 1]
     blank = np.zeros(N_FEATURES)
-    return Model({x: i for i, x in enumerate(c.words)}, np.append(one, 0.0), np.append(back, 0.0), keys[order], ratio[order], np.zeros(1 + N_FEATURES), blank, blank + 1, 0.0)
+    return Model({x: i for i, x in enumerate(words)}, np.append(one, 0.0), np.append(back, 0.0), keys[order], ratio[order], np.zeros(1 + N_FEATURES), blank, blank + 1, 0.0)
 
 
 def _estimate(texts: list[str], labels: np.ndarray) -> Model:
@@ -188,17 +337,19 @@ def _estimate(texts: list[str], labels: np.ndarray) -> Model:
     texts, labels, weight = [t for t, _ in once], np.array([y for _, y in once]), np.ones(len(once))
     found, times = word_counts(texts, weight)
     words = sorted(x for x, n in zip(found, times) if n >= 2)
-    keys, *n = pair_counts(texts, labels, weight, {x: i for i, x in enumerate(words)})
-    count = lambda at, some=None: np.bincount(at, some, minlength=len(words) + 2)
-    u, w, kept = keys // _FIRST, keys % _FIRST, n[0] + n[1] >= 2
+    u, w, *n = pair_counts(texts, labels, weight, {x: i for i, x in enumerate(words)})
+    v = len(words)
+    count = lambda at, some=None: np.bincount(at, some, minlength=v + 2)
     before = np.array([count(w[n[0] > 0]), count(w[n[1] > 0]), count(w)])
     times = np.array([[count(u[k == 1]), count(u[k == 2]), count(u[k >= 3])] for k in n])
-    spread = np.array([[(k == i).sum() for i in (1, 2, 3, 4)] for k in n])
-    return _model(Counts(words, before, np.array([count(u, k) for k in n]), times, spread, (keys[kept], n[0][kept], n[1][kept])))
+    by = np.array([[*((b == i).sum() for i in (1, 2, 3, 4)), (b >= 3).sum()] for b in before])
+    t = Totals(v + 1 + int(before[2, v + 1] > 0), before.sum(axis=1), by, int((before[2] > 0).sum()), np.array([[(k == i).sum() for i in (1, 2, 3, 4)] for k in n]))
+    own = (n[0] + n[1] >= 2) & (u > 0) & (u <= v) & (w <= v)
+    return _model(words, t, word_values(t, before, np.array([count(u, k) for k in n]), times), u[own], w[own], n[0][own], n[1][own])
 
 
-def most_frequent(df: DataFrame, most: int) -> DataFrame:
-    """Rows with the largest ``n``, at most ``most`` of them and none below 2; counts that differ by little stay or go together."""
+def least_kept(df: DataFrame, most: int) -> int | None:
+    """The smallest ``n`` such that at most ``most`` rows have it or a larger one, none below 2; counts that differ by little stay or go together."""
     step = F.floor(F.log2("n") * 8).alias("step")
     steps = df.where("n >= 2").groupBy(step).agg(F.count(F.lit(1)), F.min("n")).collect()  # at most 8 for each doubling
     least, kept = None, 0
@@ -207,9 +358,61 @@ def most_frequent(df: DataFrame, most: int) -> DataFrame:
         if kept > most:
             break
         least = low
+    return least
+
+
+def most_frequent(df: DataFrame, most: int) -> DataFrame:
+    """Rows with the largest ``n``, at most ``most`` of them and none below 2."""
+    least = least_kept(df, most)
     return df.where(F.lit(False)) if least is None else df.where(F.col("n") >= least)
 
 
+def bitmap_of(df: DataFrame, n: int) -> np.ndarray:
+    """Bitmap of the ``n`` rows (u, w): at most 2 ** ``BITS`` bits, which Spark sets in parts of 64 KiB."""
+    bits = min(BITS, max(10, (16 * n).bit_length()))
+    part = min(bits, 19)
+
+    def place(batches):
+        for b in batches:
+            at = spots(np.asarray(b.column(0)), np.asarray(b.column(1)), bits)
+            yield pa.record_batch([pa.array(at >> part), pa.array(at & ((1 << part) - 1))], names=["part", "at"])
+
+    def fill(t: pa.Table) -> pa.Table:
+        on = np.zeros(1 << part, np.uint8)
+        on[np.asarray(t.column("at"))] = 1
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for k, raw in df.select("u", "w").mapInArrow(place, "part long, at long").groupBy("part").applyInArrow(fill, "part long, bits binary").collect():
+        out[k << (part - 3) : (k + 1) << (part - 3)] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def rare_words(words: DataFrame, names: list[str]) -> tuple[DataFrame, int]:
+    """Numbers (u), 64 bits more (more) and n of all words but the frequent ``names``; a salt by which no two share a number."""
+    shared = words.sparkSession.sparkContext.broadcast(set(names))
+
+    for salt in range(100):
+
+        def number(batches, salt=salt):
+            for b in batches:
+                w, n = b.column(0).to_pylist(), np.asarray(b.column(1))
+                own = np.array([x not in shared.value for x in w], bool)
+                got = hashes([x for x, k in zip(w, own) if k], salt)
+                yield pa.record_batch([pa.array(got[0]), pa.array(got[1]), pa.array(n[own])], names=["u", "more", "n"])
+
+        out = words.select("word", "n").mapInArrow(number, "u long, more long, n long")
+        if not out.groupBy("u").count().where("count > 1").limit(1).count():
+            return out, salt
+    raise ValueError("words share numbers under each salt")
+
+
+def with_word(pairs: DataFrame, side: str, other: str, table: DataFrame) -> DataFrame:
+    """``pairs`` left-joined by the word of one side, where it is a rare one; rows with a frequent word there are spread by both."""
+    key = F.when(F.col(side) >= _FIRST, F.col(side)).otherwise(-1 - F.pmod(F.xxhash64(side, other), F.lit(1 << 30)))
+    return pairs.join(table, key == F.col(table.columns[0]), "left")
+
+
 def estimate(rows: DataFrame) -> Model:
     """The two models of rows (text, y, copies): each text counts 1 / ``copies``. Spark counts; the driver gets ``VOCABULARY`` words and ``BIGRAMS`` pairs."""
 
@@ -221,28 +424,98 @@ def estimate(rows: DataFrame) -> Model:
     rows = rows.select("text", "y", "copies")
     words = cut(rows.mapInArrow(count_words, "word string, n double").groupBy("word").agg(F.round(F.sum("n")).cast("long").alias("n")))
     names = sorted(r[0] for r in most_frequent(words, VOCABULARY).select("word").collect())
-    shared = rows.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
+    v, known = len(names), words.where("n >= 2").count()
+    context, salt, rare, bitmap = rows.sparkSession.sparkContext, 0, None, None
+    if known > v:
+        rare, salt = rare_words(words, names)
+        once, rare = rare.where("n < 2").select("u"), cut(rare.where("n >= 2").select("u", "more"))
+        bitmap = bitmap_of(rare.withColumn("w", F.lit(_ALONE).cast("long")), known - v)
+    shared = context.broadcast(({x: i for i, x in enumerate(names)}, bitmap))
 
     def count_pairs(batches):
-        for batch in small_batches(batches, 0):
-            got = pair_counts(batch.column(0).to_pylist(), np.asarray(batch.column(1)), 1 / np.asarray(batch.column(2)), shared.value)
-            yield pa.record_batch([pa.array(x) for x in got], names=["key", "c0", "c1"])
+        vocab, bitmap = shared.value
 
-    whole = [F.round(F.sum(c)).cast("long").alias(c) for c in ("c0", "c1")]
-    pairs = cut(rows.mapInArrow(count_pairs, "key long, c0 double, c1 double").groupBy("key").agg(*whole))
-    first, second = F.expr(f"key div {_FIRST}").alias("id"), F.expr(f"key % {_FIRST}").alias("id")
+        def others(w: list[str]) -> np.ndarray:
+            code, _ = hashes(w, salt)
+            return np.where(marked(bitmap, code, np.full(len(code), _ALONE)), code, v + 1)
 
-    def by_word(word, *sums) -> np.ndarray:
-        got = pairs.groupBy(word).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).toArrow()
-        out = np.zeros((len(sums), len(names) + 2))
-        out[:, np.asarray(got.column(0))] = [np.asarray(got.column(1 + i)) for i in range(len(sums))]
-        return out
-
-    before = by_word(second, F.expr("count_if(c0 > 0)"), F.expr("count_if(c1 > 0)"), F.count(F.lit(1)))
-    follow = by_word(first, F.sum("c0"), F.sum("c1"), *[F.expr(f"count_if(c{c} {test})") for c in (0, 1) for test in ("= 1", "= 2", ">= 3")])
+        for batch in small_batches(batches, 0):
+            u, w, *n = pair_counts(batch.column(0).to_pylist(), np.asarray(batch.column(1)), 1 / np.asarray(batch.column(2)), vocab, None if bitmap is None else others)
+            yield pa.record_batch([pa.array(x) for x in (*packed(u, w), *n)], names=["u", "w", "c0", "c1"])
+
+    def only_marked(batches):
+        for b in batches:
+            u = np.asarray(b.column(0))
+            yield pa.record_batch([pa.array(u[marked(shared.value[1], u, np.full(len(u), _ALONE))])], names=["u"])
+
+    pairs = rows.mapInArrow(count_pairs, "u long, w long, c0 double, c1 double").groupBy("u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    made = [cut(pairs, codec="zstd")]
+    pairs = made[0].selectExpr(f"if(w = {_BOTH}, u div {_FIRST}, u) as u", f"if(w = {_BOTH}, u % {_FIRST}, w) as w", "c0", "c1")
+    whole = lambda of: [F.round(of(c)).cast("long").alias(c) for c in ("c0", "c1")]
+    if rare is None:
+        pairs = pairs.select("u", "w", *whole(F.col))
+    else:  # words that occur once and only seem to be in the bitmap are unknown
+        seem = small_enough(cut(once.mapInArrow(only_marked, "u long")))
+        far, unknown = F.expr(f"u >= {_FIRST} or w >= {_FIRST}"), F.expr(f"u = {v + 1} or w = {v + 1}")
+        real = with_word(with_word(pairs.where(far), "u", "w", seem.select(F.col("u").alias("ru"))), "w", "u", seem.select(F.col("u").alias("rw")))
+        real = real.select(*[F.when(F.col(f"r{s}").isNotNull(), v + 1).otherwise(F.col(s)).alias(s) for s in "uw"], "c0", "c1")
+        real = cut(pairs.where(unknown & ~far).unionByName(real).groupBy("u", "w").agg(*whole(F.sum)), codec="zstd")
+        made.append(real)
+        pairs = pairs.where(~far & ~unknown).select("u", "w", *whole(F.col)).unionByName(real)
+    ones = [F.expr(f"count_if({c})").alias(f"b{i}") for i, c in enumerate(("c0 > 0", "c1 > 0", "true"))]
+    follow = [F.sum("c0"), F.sum("c1"), *[F.expr(f"count_if(c{c} {test})") for c in (0, 1) for test in ("= 1", "= 2", ">= 3")]]
+    stats = pairs.groupBy(F.col("w").alias("id")).agg(*ones).join(pairs.groupBy(F.col("u").alias("id")).agg(*[f.alias(f"f{i}") for i, f in enumerate(follow)]), "id", "full")
+    columns = [*[f"b{i}" for i in range(3)], *[f"f{i}" for i in range(8)]]
+    stats = cut(stats.select("id", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in columns]))
+    sums = stats.agg(F.expr(f"count_if(id = {v + 1} and b2 > 0)"), F.expr("count_if(b2 > 0)"), *[F.coalesce(F.sum(f"b{k}"), F.lit(0.0)) for k in range(3)], *[F.expr(f"count_if(b{k} {c})") for k in range(3) for c in ("= 1", "= 2", "= 3", "= 4", ">= 3")]).first()
     spread = pairs.agg(*[F.expr(f"count_if(c{c} = {k})") for c in (0, 1) for k in (1, 2, 3, 4)]).first()
-    kept = most_frequent(pairs.withColumn("n", F.expr("c0 + c1")), BIGRAMS).select("key", "c0", "c1").toArrow()
-    return _model(Counts(names, before, follow[:2], follow[2:].reshape(2, 3, -1), np.array(spread).reshape(2, 4), tuple(np.asarray(kept.column(i)) for i in range(3))))
+    t = Totals(known + 1 + sums[0], np.array(sums[2:5]), np.array(sums[5:]).reshape(3, 5), sums[1], np.array(spread).reshape(2, 4))
+
+    def valued(x: np.ndarray) -> Values:
+        return word_values(t, x[:3], x[3:5], x[5:].reshape(2, 3, -1))
+
+    got = stats.where(F.col("id") < _FIRST).toArrow()
+    common = np.zeros((len(columns), v + 2))
+    common[:, np.asarray(got.column(0))] = [np.asarray(got.column(1 + i)) for i in range(len(columns))]
+    values = valued(common)
+    own = pairs.withColumn("n", F.expr("c0 + c1")).where(f"n >= 2 and u > 0 and u <> {v + 1} and w <> {v + 1}")
+    near = F.expr(f"u < {_FIRST} and w < {_FIRST}")
+    least = least_kept(own.where(near), BIGRAMS)
+    top = F.lit(False) if least is None else near & (F.col("n") >= least)
+    kept = own.where(top).select("u", "w", "c0", "c1").toArrow()
+    model = _model(names, t, values, *(np.asarray(kept.column(i)) for i in range(4)))
+    rest = own.where(~top).select("u", "w", "c0", "c1")
+    if rare is None and not rest.limit(1).count():
+        discard(words, stats, *made)
+        return model
+    counted = [F.col("c0").cast("double").alias("x"), F.col("c1").cast("double").alias("y"), F.lit(0).cast("long").alias("more")]
+    table = rest.where(near).select((F.col("u") * _FIRST + F.col("w")).alias("u"), F.lit(_BOTH).cast("long").alias("w"), *counted)
+    held, parts = context.broadcast((t, values)), ("a0", "a1", "l0", "l1", "p0", "p1")
+
+    def value_words(batches):
+        for b in batches:
+            x = valued(np.array([np.asarray(b.column(1 + i)) for i in range(len(columns))]))
+            yield pa.record_batch([b.column(0), *[pa.array(c) for y in (x.after, x.left, x.p) for c in y], *map(pa.array, x.ratios())], names=["id", *parts, "one", "back"])
+
+    def value_pairs(batches):
+        t, values = held.value
+        for b in batches:
+            u, w = np.asarray(b.column(0)), np.asarray(b.column(1))
+            joined = [np.asarray(c.fill_null(0.0)) for c in b.columns[4:]]
+            pick = lambda common, code, far: np.array([np.where(code < _FIRST, common[k][np.where(code < _FIRST, code, 0)], far[k]) for k in (0, 1)])
+            x = pair_ratios(t, [np.asarray(b.column(2)), np.asarray(b.column(3))], pick(values.after, u, joined[:2]), pick(values.left, u, joined[2:4]), pick(values.p, w, joined[4:]))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(x)], names=["u", "w", "x"])
+
+    if rare is not None:
+        far = cut(stats.where(F.col("id") >= _FIRST).mapInArrow(value_words, ", ".join(["id long", *[f"{c} double" for c in (*parts, "one", "back")]])))
+        rest = with_word(rest.where(~near), "u", "w", far.select(F.col("id").alias("iu"), *parts[:4]))
+        rest = with_word(rest, "w", "u", far.select(F.col("id").alias("iw"), *parts[4:])).select("u", "w", "c0", "c1", *parts)
+        rest = rest.mapInArrow(value_pairs, "u long, w long, x double")
+        table = table.unionByName(rest.select("u", "w", "x", F.lit(0.0).alias("y"), F.lit(0).cast("long").alias("more")))
+        table = table.unionByName(far.join(rare, F.col("id") == F.col("u")).select("u", F.lit(_ALONE).cast("long").alias("w"), F.col("one").alias("x"), F.col("back").alias("y"), "more"))
+    table = cut(table)
+    discard(words, stats, *made)
+    return replace(model, rest=table, made=(t, values), bitmap=bitmap_of(table, table.count()), salt=salt)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 4, held_out: int = 2) -> Model:
@@ -260,15 +533,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
         share = F.when(F.col("y") == c, min(RESERVED, PER_CLASS / n[c])).otherwise(share)
     once = once.withColumn("reserved", F.pmod(F.xxhash64("own", F.lit(17)), F.lit(1 << 30)) / float(1 << 30) < share)
     same = (F.col("doc_id") == F.col("id")) & (F.col("hash") == F.col("own"))
-    got = texts.join(F.broadcast(once.where("reserved")), same).dropDuplicates(["y", "hash"]).select("hash", "y", "text").collect()  # about PER_CLASS texts a class
-    got.sort()
-    if {r[1] for r in got} != {0, 1} or once.where("not reserved").select("y").distinct().count() < 2:
+    got = texts.join(F.broadcast(once.where("reserved")), same).dropDuplicates(["y", "hash"])
+    got = cut(got.select(F.expr("(hash & -2L) | y").alias("doc_id"), "text"))  # about PER_CLASS texts a class
+    if {r[0] for r in got.select(F.expr("doc_id & 1L")).distinct().collect()} != {0, 1} or once.where("not reserved").select("y").distinct().count() < 2:
         blank = _estimate([""], np.array([0]))
         blank.coef[0], blank.base = np.log((rate + 1e-9) / (1 - rate + 1e-9)), rate
         return blank
     model = estimate(texts.join(small_enough(once.where("not reserved")), same))
-    y = np.array([r[1] for r in got])
-    x = np.concatenate([model.evidence([r[2] for r in got[a:b]]) for a, b in text_blocks([r[2] for r in got])])
+    found = sorted(evidences(got, model).collect())
+    y, x = np.array([r[0] & 1 for r in found]), np.array([r[1] for r in found])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
     weight = np.where(y == 1, rate / max(1, (y == 1).sum()), (1 - rate) / max(1, (y == 0).sum()))
@@ -295,19 +568,99 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_o
     return [r[0] for r in got], [r[1] for r in got], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def zipped(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as to:
+        to.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unzipped(raw: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw.as_buffer()).read_next_batch()
+
+
+def joined_batches(batches, rows: int = 400_000):
+    """Tables of about ``rows`` rows from Arrow batches."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def by_text(docs: DataFrame, model: Model, of, kind: str) -> DataFrame:
+    """doc_id and what ``of`` (model, texts, answers of the rest) tells of every row: a list for each block of texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    as_table = {"double": pa.float64(), "array<double>": pa.list_(pa.float64())}[kind]
+    docs, out = docs.select(F.col("doc_id").cast("long"), "text"), f"doc_id long, got {kind}"
 
     def run(batches):
         for batch in small_batches(batches, 1):
-            yield pa.record_batch([batch.column(0), pa.array(shared.value.scores(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(of(shared.value, batch.column(1).to_pylist(), None), as_table)], names=["doc_id", "got"])
+
+    if model.rest is None:
+        return docs.mapInArrow(run, out)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // GROUP)))
+
+    def ask(batches):
+        for batch in small_batches(batches, 1):
+            got = shared.value.questions(batch.column(1).to_pylist(), np.asarray(batch.column(2)))
+            yield pa.record_batch([pa.array(x) for x in got], names=["u", "w", "part"])
+
+    def pack(batches):
+        for batch in batches:
+            part, parts, blobs = np.asarray(batch.column(2)), [], []
+            order = np.argsort(part, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(part) else ():
+                blobs.append(zipped(batch.select(["doc_id", "text"]).take(pa.array(at))))
+                parts.append(part[at[0]])
+            yield pa.record_batch([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "texts"])
+            give_back()
+
+    def pack_answers(batches):
+        for t in joined_batches(batches):
+            part, names = np.asarray(t.column("part")), ["u", "w", "x", "y", "more"]
+            order = np.lexsort((np.asarray(t.column("u")), part))
+            t, parts, blobs = t.select(names).take(pa.array(order)).combine_chunks(), [], []
+            ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                u = np.diff(np.asarray(t.column("u"))[a:b], prepend=0)  # sorted numbers are close
+                blobs.append(zipped(pa.record_batch([pa.array(u), *[pa.array(np.asarray(t.column(c))[a:b]) for c in names[1:]]], names=names)))
+                parts.append(part[order[a]])
+            yield pa.record_batch([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "answers"])
+            give_back()
+
+    def finish(blobs: pa.Table, answers: pa.Table) -> pa.Table:
+        model, known = shared.value, [unzipped(raw) for raw in answers.column("answers")]
+        found = tuple(np.concatenate([np.zeros(0, kind), *[np.asarray(b.column(i)) if i else np.cumsum(np.asarray(b.column(i))) for b in known]]) for i, kind in enumerate((np.int64, np.int64, float, float, np.int64)))
+        done, outs = [unzipped(raw) for raw in blobs.column("texts")], []
+        for b in small_batches(pa.Table.from_batches(done).combine_chunks().to_batches() if done else [], 1):
+            outs.append(pa.table({"doc_id": b.column(0), "got": pa.array(of(model, b.column(1).to_pylist(), found), as_table)}))
+        return pa.concat_tables(outs) if outs else pa.table({"doc_id": pa.array([], pa.int64()), "got": pa.array([], as_table)})
+
+    asked = docs.mapInArrow(ask, "u long, w long, part long")
+    answers = asked.join(model.rest, ["u", "w"]).select("part", "u", "w", "x", "y", "more").mapInArrow(pack_answers, "part long, answers binary")
+    return docs.mapInArrow(pack, "part long, texts binary").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(finish, out)
+
+
+def evidences(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and features of every row."""
+    return by_text(docs, model, lambda m, texts, found: list(m.evidence(texts, found)), "array<double>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of every row."""
+    return by_text(docs, model, lambda m, texts, found: m.scores(texts, found), "double").withColumnRenamed("got", "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; learned outside fold 2 of 4."""
-    model = fit(docs, labels)
+    with shuffles_freed(docs.sparkSession):
+        model = fit(docs, labels)
     held = F.coalesce(fold_of(F.col("doc_id"), 4) == 2, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -239,3 +239,24 @@ def test_toxicity_keeps_the_most_frequent(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate([1, 1, 2, 2, 3, 9, 40])], "i long, n long")
     kept = lambda most: sorted(r.i for r in toxicity.most_frequent(df, most).collect())
     assert kept(9) == [2, 3, 4, 5, 6] and kept(4) == [4, 5, 6] and kept(1) == [6] and kept(0) == []
+
+
+@pytest.mark.parametrize("most", [(1 << 18, 30), (6, 10), (0, 0)])
+def test_toxicity_words_and_bigrams_beyond_the_frequent_ones_count_in_full(spark, monkeypatch, most):
+    """With few words and pairs handed to the tasks, each text's score is that of the whole models."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 50))) + rng.choice(["", f" once{i}"]) for i in range(90)]
+    labels = [int(rng.random() < 0.3) for _ in texts]
+    rows = spark.createDataFrame(list(dict.fromkeys((t, y, 1) for t, y in zip(texts, labels))), "text string, y int, copies int").repartition(5)
+    whole = toxicity._estimate(texts, np.array(labels))
+    monkeypatch.setattr(toxicity, "VOCABULARY", most[0])
+    monkeypatch.setattr(toxicity, "BIGRAMS", most[1])
+    monkeypatch.setattr(toxicity, "GROUP", 2000)
+    model = toxicity.estimate(rows)
+    assert len(model.keys) <= most[1] and len(model.vocab) <= max(most[0], 0) and len(model.keys) < len(whole.keys)
+    asked = [*texts, None, "", "once3 never", f"{words[0]} never {words[1]} {words[2]}", texts[0]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string").repartition(3)
+    model.coef = whole.coef = np.array([0.1, 1.3, -0.2, 0.7, 0.4, -0.5, 0.3, 0.6])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert len(got) == len(asked) and np.allclose([got[i] for i in range(len(asked))], whole.scores(asked))
