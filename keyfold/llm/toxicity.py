@@ -14,11 +14,12 @@ A word that occurs once is unknown and decides nothing, a bigram that occurs
 once is left to the totals from which the weight of backing off comes; all
 others have ratios of their own, however many they are. The ``VOCABULARY`` most
 frequent words and the ``BIGRAMS`` most frequent pairs of them are handed to
-the tasks. Ratios of the rest are made and kept by Spark, and what texts need
-of them is joined: texts are dealt into groups of about ``GROUP`` bytes, tasks
-ask for the rest's words and bigrams that a group may have (a bitmap of bounded
-size spares questions, it decides none), and a group is scored with the answers.
-In these joins a rare word stands as a hash of 62 bits, chosen so that no two
+the tasks. Ratios of the rest are made by Spark and written to the shared
+folder, dealt by a hash and sorted by it in parts of about ``GROUP`` rows; a task
+that scores looks up there what its block of texts needs, in mapped files, so
+neither texts nor questions nor answers are shuffled and nobody holds the rest
+as a whole (a bitmap of bounded size spares look-ups, it decides none).
+In the rest a word stands as a hash of 62 bits, chosen so that no two
 counted words share one; a scored word must agree in 64 bits more.
 
 A text's evidence is the difference of the two log-likelihoods normalised by
@@ -28,8 +29,8 @@ enters as well, since a maximum over more windows is larger by chance; nothing
 else does. A logistic calibration turns them into one probability at the
 labels' natural rate. It is fitted on texts that the models have not counted: a
 hash sample of distinct texts, at most ``RESERVED`` of each class and about
-``PER_CLASS`` texts. Every document is scored by its whole text; texts are
-shuffled only if there is a rest.
+``PER_CLASS`` texts. Every document is scored by its whole text, where it is
+read.
 
 Edge cases: an empty or null text has no evidence and gets the base rate; where
 one of the classes has no text to count or none to calibrate on, the score is
@@ -39,31 +40,40 @@ maximum; texts are copies if equal but for case; extra columns do not matter.
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import tempfile
+import uuid
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import class_sample, cut, discard, fold_of, give_back, mix64, shuffles_freed, small_batches, small_enough
+from keyfold.llm.common import class_sample, cut, discard, fold_of, mix64, shared_dir, shuffles_freed, small_batches, small_enough
 
 #: Labelled texts of a class that the calibration is fitted on.
 PER_CLASS = 2000
 #: Largest share of a class's texts that is kept from the models for calibration.
 RESERVED = 0.25
-#: Words and bigrams whose ratios are handed to every task, at most; those of the rest are joined.
+#: Words and bigrams whose ratios are handed to every task, at most; those of the rest are looked up.
 VOCABULARY = 1 << 18
 BIGRAMS = 1 << 20
 #: Numbers of frequent words are below, hashes of all others above.
 _FIRST = 1 << 20
 #: Stands for the second word where both are frequent; the first is then ``first * _FIRST + second``. A word alone has _ALONE.
 _BOTH, _ALONE = -2, -1
-#: Bytes of text, about, that are scored together with what they need of the rest.
-GROUP = 2_000_000
+#: Rows of the rest that a file of it holds, about.
+GROUP = 1 << 17
+#: Words that tasks get as a list instead of a bitmap, at most.
+FEW = 1 << 16
 #: Bits of the bitmap of the rest, as a power of 2, at most.
 BITS = 28
 WINDOWS = (4, 30, 120)
@@ -91,9 +101,14 @@ def packed(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(both, u * _FIRST + w, u), np.where(both, _BOTH, w)
 
 
+def mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64 bits by which packed bigrams, or words alone, are dealt and sorted; with ``w`` they tell ``u``."""
+    return mix64(mix64(np.asarray(u)) + np.asarray(w).astype(np.uint64))
+
+
 def spots(u: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
     """Places of packed bigrams, or words alone, in a bitmap."""
-    return (mix64(mix64(np.asarray(u)) + np.asarray(w).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (mixed(u, w) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def marked(bitmap: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -110,6 +125,56 @@ def starts(n: np.ndarray) -> np.ndarray:
     return first
 
 
+@lru_cache(maxsize=1 << 14)
+def mapped(name: str) -> np.ndarray:
+    """An array of the shared folder, mapped; one in a store that cannot be mapped is copied first."""
+    fs, path = pafs.FileSystem.from_uri(name)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.load(path, mmap_mode="r")
+    with tempfile.TemporaryDirectory() as folder:  # what is mapped outlives its name
+        copy = os.path.join(folder, "part.npy")
+        with fs.open_input_stream(path) as src, open(copy, "wb") as to:
+            shutil.copyfileobj(src, to)
+        return np.load(copy, mmap_mode="r")
+
+
+@dataclass
+class Rest:
+    """Ratios in files of the shared folder: of the hash's first ``bits`` bits each value has its words and its bigrams."""
+
+    files: dict[int, tuple[str, str]]
+    bits: int
+
+    def look_up(self, u: np.ndarray, w: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words (``kind`` 0) or packed bigrams (1) the rest has, and a column of values for each that it has."""
+        key = mixed(u, w)
+        order = np.argsort(key)
+        key, w = key[order], np.asarray(w)[order]
+        ends = np.searchsorted(key >> np.uint64(64 - self.bits) if self.bits else key * np.uint64(0), np.arange(1 << self.bits, dtype=np.uint64), "right").tolist()
+        hit, values = np.zeros(len(key), bool), []
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            if a == b or k not in self.files:
+                continue
+            table = mapped(self.files[k][kind])
+            keys, seconds = table[0].view(np.uint64), table[1]
+            at = np.searchsorted(keys, key[a:b])
+            found, open_ = np.full(b - a, -1), np.arange(b - a)
+            while len(open_):  # nearly always one row has the key
+                open_ = open_[at[open_] < len(keys)]
+                open_ = open_[keys[at[open_]] == key[a:b][open_]]
+                same = seconds[at[open_]] == w[a:b][open_]
+                found[open_[same]] = at[open_[same]]
+                open_ = open_[~same]
+                at[open_] += 1
+            hit[a:b] = found >= 0
+            values.append(table[2:, found[found >= 0]])
+        out = np.zeros(len(key), bool)
+        out[order] = hit
+        got = np.concatenate(values, axis=1) if values else np.zeros((3 if kind == 0 else 1, 0), np.int64)
+        back = np.argsort(order[hit])
+        return out, got[:, back]
+
+
 @dataclass
 class Model:
     vocab: dict[str, int]
@@ -121,9 +186,8 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     base: float
-    rest: DataFrame | None = None  # u, w, x, y, more: of other words alone both ratios (x, y); of packed bigrams counts by class (x, y) if both words are frequent, or the ratio (x)
-    made: tuple[Totals, Values] | None = None  # what ratios of frequent words' bigrams are made of
-    bitmap: np.ndarray | None = None  # of the rest's u and w
+    rest: Rest | None = None  # ratios of all other words and bigrams
+    bitmap: np.ndarray | None = None  # of the rest's bigrams and words alone
     salt: int = 0
 
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -149,71 +213,33 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return at, (self.keys[at] == key) & (second < v)
 
-    def questions(self, texts: list[str | None], part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The words and bigrams of the texts that may be in the rest, as ``rest`` names them, and the texts' parts."""
-        ids, n, other = self.numbers(texts)
-        v, part = len(self.vocab), np.repeat(part, n)
-        codes, _ = hashes(other, self.salt)
-        usable = np.concatenate([np.arange(v + 1) < v, marked(self.bitmap, codes, np.full(len(codes), _ALONE))])
-        code = np.concatenate([np.arange(1, v + 2), codes])
-        rare = np.flatnonzero((ids > v) & usable[ids])
-        pair = np.flatnonzero(usable[ids[:-1]] & usable[ids[1:]] & ~starts(n)[1:]) if len(ids) > 1 else rare[:0]
-        u, w = packed(code[ids[pair]], code[ids[pair + 1]] if len(pair) else pair)
-        some = marked(self.bitmap, u, w)
-        some[some] = ~self.frequent(ids[pair[some]], ids[pair[some] + 1])[1]
-        u, w, at = np.concatenate([code[ids[rare]], u[some]]), np.concatenate([np.full(len(rare), _ALONE), w[some]]), np.concatenate([rare, pair[some]])
-        order = np.lexsort((part[at], w, u))
-        u, w, part = u[order], w[order], part[at[order]]
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1]) | (part[1:] != part[:-1])
-        return u[new], w[new], part[new]
-
-    def evidence(self, texts: list[str | None], found: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
-        """One row of features for each text. ``found`` is what ``rest`` has on the texts' questions, and maybe on others'."""
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """One row of features for each text."""
         ids, n, other = self.numbers(texts)
-        v, uni, back, keys, bi = len(self.vocab), self.uni, self.back, self.keys[:0], self.bi[:0]
-        if other:
+        v, uni, back = len(self.vocab), self.uni, self.back
+        if self.rest is not None:
             codes, check = hashes(other, self.salt)
-            mine, more_uni, more_back = np.zeros(len(other), bool), np.zeros(len(other)), np.zeros(len(other))
-            order = np.argsort(codes)
-            if found is not None:
-                u, w, x, y, more = found
-                word = np.flatnonzero(w == _ALONE)
-                at = np.minimum(np.searchsorted(codes[order], u[word]), len(other) - 1)
-                hit = (codes[order][at] == u[word]) & (check[order][at] == more[word])
-                to = order[at[hit]]
-                mine[to], more_uni[to], more_back[to] = True, x[word][hit], y[word][hit]
-            uni, back = np.concatenate([uni, more_uni]), np.concatenate([back, more_back])
+            may = np.flatnonzero(marked(self.bitmap, codes, np.full(len(codes), _ALONE)))
+            hit, (one, weight, more) = self.rest.look_up(codes[may], np.full(len(may), _ALONE), 0)
+            same = more == check[may[hit]]
+            mine, at = np.zeros(len(other), bool), may[hit][same]
+            far_uni, far_back = np.zeros(len(other)), np.zeros(len(other))
+            mine[at], far_uni[at], far_back[at] = True, one.view(float)[same], weight.view(float)[same]
+            uni, back, code = np.concatenate([uni, far_uni]), np.concatenate([back, far_back]), np.concatenate([np.arange(1, v + 2), codes])
             ids = np.concatenate([np.arange(v + 1), np.where(mine, np.arange(len(other)) + v + 1, v)])[ids]
-        if found is not None:
-            u, w, x = found[:3]
-
-            def number(c: np.ndarray) -> np.ndarray:
-                out = np.where(c < _FIRST, c - 1, -1)
-                if other:
-                    at = order[np.minimum(np.searchsorted(codes[order], c), len(other) - 1)]
-                    out = np.where((codes[at] == c) & mine[at], at + v + 1, out)
-                return out
-
-            both, other_pair = np.flatnonzero(w == _BOTH), np.flatnonzero(w >= 0)
-            first, second = number(u[other_pair]), number(w[other_pair])
-            own = (first >= 0) & (second >= 0)
-            t, values = self.made
-            f, g = u[both] // _FIRST, u[both] % _FIRST
-            ratio = pair_ratios(t, (x[both], found[3][both]), values.after[:, f], values.left[:, f], values.p[:, g])
-            keys, once = np.unique(np.concatenate([f - 1 << 32 | g - 1, first[own] << 32 | second[own]]), return_index=True)
-            bi = np.concatenate([ratio, x[other_pair][own]])[once]
         llr = uni[ids]
         if len(ids) > 1:
+            inside = ~starts(n)[1:]
             at, seen = self.frequent(ids[:-1], ids[1:])
             after = back[ids[:-1]] + llr[1:]
             after[seen] = self.bi[at[seen]]
-            if len(keys):
-                key = ids[:-1] << 32 | ids[1:]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                seen = keys[at] == key
-                after[seen] = bi[at[seen]]
-            llr[1:] = np.where(starts(n)[1:], llr[1:], after)
+            if self.rest is not None:
+                at = np.flatnonzero(inside & ~seen & (ids[:-1] != v) & (ids[1:] != v))
+                u, w = packed(code[ids[at]], code[ids[at + 1]])
+                may = marked(self.bitmap, u, w)
+                hit, (ratio,) = self.rest.look_up(u[may], w[may], 1)
+                after[at[may][hit]] = ratio.view(float)
+            llr[1:] = np.where(inside, after, llr[1:])
         out = np.zeros((len(texts), N_FEATURES))
         end = 0
         for i, k in enumerate(n):
@@ -229,8 +255,8 @@ class Model:
                 end += k
         return out
 
-    def scores(self, texts: list[str | None], found: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
-        x = self.evidence(texts, found)
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        x = self.evidence(texts)
         z = np.clip(np.concatenate([np.ones((len(x), 1)), (x - self.mean) / self.scale], axis=1) @ self.coef, -30, 30)
         p = 1 / (1 + np.exp(-z))
         return np.where(x.any(axis=1), p, self.base)
@@ -388,25 +414,86 @@ def bitmap_of(df: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def rare_words(words: DataFrame, names: list[str]) -> tuple[DataFrame, int]:
-    """Numbers (u), 64 bits more (more) and n of all words but the frequent ``names``; a salt by which no two share a number."""
-    shared = words.sparkSession.sparkContext.broadcast(set(names))
+def stored(df: DataFrame, n: int) -> tuple[Rest, np.ndarray]:
+    """The ``n`` rows (u, w, x, y, more) in files of a fresh shared folder, and their bitmap; tasks write both a part at a time."""
+    bits = min(BITS, max(10, (16 * n).bit_length()))
+    deal = min(bits - 3, (n // GROUP).bit_length())
+    folder = f"{shared_dir(df.sparkSession)}/keyfold-rest-{uuid.uuid4().hex}"
 
+    def place(batches):
+        for b in batches:
+            part = mixed(np.asarray(b.column(0)), np.asarray(b.column(1))) >> np.uint64(64 - deal) if deal else np.zeros(b.num_rows)
+            yield pa.record_batch([pa.array(part.astype(np.int64)), *b.columns], names=["part", *b.schema.names])
+
+    def write(t: pa.Table) -> pa.Table:
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        part, mine = t.column("part")[0].as_py(), uuid.uuid4().hex  # a task that runs again writes other files
+        u, w, *values = (np.asarray(t.column(c)) for c in ("u", "w", "x", "y", "more"))
+        key = mixed(u, w)
+        order, names = np.argsort(key), []
+        for kind, (some, k) in enumerate(((w == _ALONE, 3), (w != _ALONE, 1))):
+            at = order[some[order]]
+            names.append(f"{folder}/{kind}-{part}-{mine}.npy")
+            with fs.open_output_stream(f"{path}/{kind}-{part}-{mine}.npy") as to:
+                np.save(to, np.stack([key[at].view(np.int64), *[np.ascontiguousarray(c[at]).view(np.int64) for c in (w, *values[:k])]]))
+        on = np.zeros(1 << (bits - deal), np.uint8)
+        on[(spots(u, w, bits) & ((1 << (bits - deal)) - 1))] = 1
+        return pa.table({"part": pa.array([part], pa.int64()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary()), "files": pa.array([names], pa.list_(pa.string()))})
+
+    out, files = np.zeros(1 << (bits - 3), np.uint8), {}
+    dealt = df.select("u", "w", "x", "y", "more").mapInArrow(place, "part long, u long, w long, x double, y double, more long")
+    for k, raw, names in dealt.groupBy("part").applyInArrow(write, "part long, bits binary, files array<string>").collect():
+        out[k << (bits - deal - 3) : (k + 1) << (bits - deal - 3)] = np.frombuffer(raw, np.uint8)
+        files[k] = tuple(names)
+    return Rest(files, deal), out
+
+
+def rare_words(words: DataFrame, names: Broadcast) -> tuple[DataFrame, int]:
+    """Numbers (u), 64 bits more (more) and n of all words but the frequent ones, ``names``; a salt by which no two share a number."""
     for salt in range(100):
 
         def number(batches, salt=salt):
             for b in batches:
                 w, n = b.column(0).to_pylist(), np.asarray(b.column(1))
-                own = np.array([x not in shared.value for x in w], bool)
+                own = np.array([x not in names.value for x in w], bool)
                 got = hashes([x for x, k in zip(w, own) if k], salt)
                 yield pa.record_batch([pa.array(got[0]), pa.array(got[1]), pa.array(n[own])], names=["u", "more", "n"])
 
-        out = words.select("word", "n").mapInArrow(number, "u long, more long, n long")
+        out = cut(words.select("word", "n").mapInArrow(number, "u long, more long, n long"))
         if not out.groupBy("u").count().where("count > 1").limit(1).count():
             return out, salt
+        discard(out)
     raise ValueError("words share numbers under each salt")
 
 
+def sieve(rare: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """What tells the numbers u with n >= 2 from those below: bitmaps, each of those that the one before takes wrongly, and a list at last."""
+    inside, others, levels = rare.where("n >= 2").select("u"), rare.where("n < 2").select("u"), []
+    while (k := inside.count()) > FEW:
+        of = _ALONE - 2 - len(levels)  # another hash for each
+        levels.append(bitmap_of(inside.withColumn("w", F.lit(of).cast("long")), k))
+
+        def taken(batches, bitmap=levels[-1], of=of):
+            for b in batches:
+                u = np.asarray(b.column(0))
+                yield pa.record_batch([pa.array(u[marked(bitmap, u, np.full(len(u), of))])], names=["u"])
+
+        inside, others = cut(others.mapInArrow(taken, "u long")), inside
+    return levels, np.sort(np.asarray(inside.toArrow().column(0)))
+
+
+def sifted(levels: list[np.ndarray], few: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Which of the numbers that ``sieve`` has seen had n >= 2."""
+    known, left = np.zeros(len(u), bool), np.arange(len(u))
+    for i, bitmap in enumerate(levels):
+        on = marked(bitmap, u[left], np.full(len(left), _ALONE - 2 - i))
+        known[left[~on]] = i % 2 == 1
+        left = left[on]
+    known[left] = np.isin(u[left], few) ^ (len(levels) % 2 == 1)
+    return known
+
+
 def with_word(pairs: DataFrame, side: str, other: str, table: DataFrame) -> DataFrame:
     """``pairs`` left-joined by the word of one side, where it is a rare one; rows with a frequent word there are spread by both."""
     key = F.when(F.col(side) >= _FIRST, F.col(side)).otherwise(-1 - F.pmod(F.xxhash64(side, other), F.lit(1 << 30)))
@@ -425,50 +512,47 @@ def estimate(rows: DataFrame) -> Model:
     words = cut(rows.mapInArrow(count_words, "word string, n double").groupBy("word").agg(F.round(F.sum("n")).cast("long").alias("n")))
     names = sorted(r[0] for r in most_frequent(words, VOCABULARY).select("word").collect())
     v, known = len(names), words.where("n >= 2").count()
-    context, salt, rare, bitmap = rows.sparkSession.sparkContext, 0, None, None
+    context, salt, rare, known_words = rows.sparkSession.sparkContext, 0, None, None
     if known > v:
-        rare, salt = rare_words(words, names)
-        once, rare = rare.where("n < 2").select("u"), cut(rare.where("n >= 2").select("u", "more"))
-        bitmap = bitmap_of(rare.withColumn("w", F.lit(_ALONE).cast("long")), known - v)
-    shared = context.broadcast(({x: i for i, x in enumerate(names)}, bitmap))
+        listed = context.broadcast(set(names))
+        rare, salt = rare_words(words, listed)
+        known_words = sieve(rare)
+    shared = context.broadcast(({x: i for i, x in enumerate(names)}, known_words))
 
     def count_pairs(batches):
-        vocab, bitmap = shared.value
+        vocab, known_words = shared.value
 
         def others(w: list[str]) -> np.ndarray:
             code, _ = hashes(w, salt)
-            return np.where(marked(bitmap, code, np.full(len(code), _ALONE)), code, v + 1)
+            return np.where(sifted(*known_words, code), code, v + 1)
 
         for batch in small_batches(batches, 0):
-            u, w, *n = pair_counts(batch.column(0).to_pylist(), np.asarray(batch.column(1)), 1 / np.asarray(batch.column(2)), vocab, None if bitmap is None else others)
+            u, w, *n = pair_counts(batch.column(0).to_pylist(), np.asarray(batch.column(1)), 1 / np.asarray(batch.column(2)), vocab, None if known_words is None else others)
             yield pa.record_batch([pa.array(x) for x in (*packed(u, w), *n)], names=["u", "w", "c0", "c1"])
 
-    def only_marked(batches):
-        for b in batches:
-            u = np.asarray(b.column(0))
-            yield pa.record_batch([pa.array(u[marked(shared.value[1], u, np.full(len(u), _ALONE))])], names=["u"])
-
-    pairs = rows.mapInArrow(count_pairs, "u long, w long, c0 double, c1 double").groupBy("u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    made = [cut(pairs, codec="zstd")]
-    pairs = made[0].selectExpr(f"if(w = {_BOTH}, u div {_FIRST}, u) as u", f"if(w = {_BOTH}, u % {_FIRST}, w) as w", "c0", "c1")
-    whole = lambda of: [F.round(of(c)).cast("long").alias(c) for c in ("c0", "c1")]
-    if rare is None:
-        pairs = pairs.select("u", "w", *whole(F.col))
-    else:  # words that occur once and only seem to be in the bitmap are unknown
-        seem = small_enough(cut(once.mapInArrow(only_marked, "u long")))
-        far, unknown = F.expr(f"u >= {_FIRST} or w >= {_FIRST}"), F.expr(f"u = {v + 1} or w = {v + 1}")
-        real = with_word(with_word(pairs.where(far), "u", "w", seem.select(F.col("u").alias("ru"))), "w", "u", seem.select(F.col("u").alias("rw")))
-        real = real.select(*[F.when(F.col(f"r{s}").isNotNull(), v + 1).otherwise(F.col(s)).alias(s) for s in "uw"], "c0", "c1")
-        real = cut(pairs.where(unknown & ~far).unionByName(real).groupBy("u", "w").agg(*whole(F.sum)), codec="zstd")
-        made.append(real)
-        pairs = pairs.where(~far & ~unknown).select("u", "w", *whole(F.col)).unionByName(real)
-    ones = [F.expr(f"count_if({c})").alias(f"b{i}") for i, c in enumerate(("c0 > 0", "c1 > 0", "true"))]
-    follow = [F.sum("c0"), F.sum("c1"), *[F.expr(f"count_if(c{c} {test})") for c in (0, 1) for test in ("= 1", "= 2", ">= 3")]]
-    stats = pairs.groupBy(F.col("w").alias("id")).agg(*ones).join(pairs.groupBy(F.col("u").alias("id")).agg(*[f.alias(f"f{i}") for i, f in enumerate(follow)]), "id", "full")
+    def tally(batches):
+        for t in joined_batches(batches):
+            u, w, *n = (np.asarray(c) for c in t.columns)
+            ids, at = np.unique(np.concatenate([u, w]), return_inverse=True)
+            left, right = at[: len(u)], at[len(u) :]
+            sums = [np.bincount(right, some, len(ids)) for some in (n[0] > 0, n[1] > 0, None)] + [np.bincount(left, k, len(ids)) for k in n]
+            sums += [np.bincount(left, some, len(ids)) for k in n for some in (k == 1, k == 2, k >= 3)]
+            spread = [0, 0, 0, *[(k == i).sum() for k in n for i in (1, 2, 3, 4)]]  # of all, in a row without a word
+            yield pa.record_batch([pa.array(np.append(ids, -1)), *[pa.array(np.append(c, x).astype(float)) for c, x in zip(sums, spread)]], names=["id", *columns])
+
+    pairs = rows.mapInArrow(count_pairs, "u long, w long, c0 double, c1 double").groupBy("u", "w").agg(*[F.round(F.sum(c)).cast("long").alias(c) for c in ("c0", "c1")])
+    pairs = cut(pairs.selectExpr(f"if(w = {_BOTH}, u div {_FIRST}, u) as u", f"if(w = {_BOTH}, u % {_FIRST}, w) as w", "c0", "c1"), codec="zstd")
     columns = [*[f"b{i}" for i in range(3)], *[f"f{i}" for i in range(8)]]
-    stats = cut(stats.select("id", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in columns]))
+    stats = cut(pairs.mapInArrow(tally, ", ".join(["id long", *[f"{c} double" for c in columns]])).groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]))
+    own = pairs.withColumn("n", F.expr("c0 + c1")).where(f"n >= 2 and u > 0 and u <> {v + 1} and w <> {v + 1}")
+    own = cut(own, codec="zstd")
+    discard(words, pairs)
+    shared.destroy()
+    if rare is not None:
+        listed.destroy()
+    spread = stats.where("id = -1").select(*columns[3:]).first() or [0] * 8
+    stats = stats.where("id >= 0")
     sums = stats.agg(F.expr(f"count_if(id = {v + 1} and b2 > 0)"), F.expr("count_if(b2 > 0)"), *[F.coalesce(F.sum(f"b{k}"), F.lit(0.0)) for k in range(3)], *[F.expr(f"count_if(b{k} {c})") for k in range(3) for c in ("= 1", "= 2", "= 3", "= 4", ">= 3")]).first()
-    spread = pairs.agg(*[F.expr(f"count_if(c{c} = {k})") for c in (0, 1) for k in (1, 2, 3, 4)]).first()
     t = Totals(known + 1 + sums[0], np.array(sums[2:5]), np.array(sums[5:]).reshape(3, 5), sums[1], np.array(spread).reshape(2, 4))
 
     def valued(x: np.ndarray) -> Values:
@@ -478,18 +562,15 @@ def estimate(rows: DataFrame) -> Model:
     common = np.zeros((len(columns), v + 2))
     common[:, np.asarray(got.column(0))] = [np.asarray(got.column(1 + i)) for i in range(len(columns))]
     values = valued(common)
-    own = pairs.withColumn("n", F.expr("c0 + c1")).where(f"n >= 2 and u > 0 and u <> {v + 1} and w <> {v + 1}")
     near = F.expr(f"u < {_FIRST} and w < {_FIRST}")
     least = least_kept(own.where(near), BIGRAMS)
     top = F.lit(False) if least is None else near & (F.col("n") >= least)
     kept = own.where(top).select("u", "w", "c0", "c1").toArrow()
     model = _model(names, t, values, *(np.asarray(kept.column(i)) for i in range(4)))
-    rest = own.where(~top).select("u", "w", "c0", "c1")
-    if rare is None and not rest.limit(1).count():
-        discard(words, stats, *made)
+    rest, n = own.where(~top).select("u", "w", "c0", "c1"), own.count() - kept.num_rows + known - v
+    if not n:
+        discard(stats, own)
         return model
-    counted = [F.col("c0").cast("double").alias("x"), F.col("c1").cast("double").alias("y"), F.lit(0).cast("long").alias("more")]
-    table = rest.where(near).select((F.col("u") * _FIRST + F.col("w")).alias("u"), F.lit(_BOTH).cast("long").alias("w"), *counted)
     held, parts = context.broadcast((t, values)), ("a0", "a1", "l0", "l1", "p0", "p1")
 
     def value_words(batches):
@@ -504,18 +585,22 @@ def estimate(rows: DataFrame) -> Model:
             joined = [np.asarray(c.fill_null(0.0)) for c in b.columns[4:]]
             pick = lambda common, code, far: np.array([np.where(code < _FIRST, common[k][np.where(code < _FIRST, code, 0)], far[k]) for k in (0, 1)])
             x = pair_ratios(t, [np.asarray(b.column(2)), np.asarray(b.column(3))], pick(values.after, u, joined[:2]), pick(values.left, u, joined[2:4]), pick(values.p, w, joined[4:]))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(x)], names=["u", "w", "x"])
+            yield pa.record_batch([pa.array(c) for c in (*packed(u, w), x)], names=["u", "w", "x"])
 
+    none = [F.lit(None).cast("double").alias(c) for c in parts]
+    all_pairs, made = rest.where(near).select("u", "w", "c0", "c1", *none), [own, stats]
     if rare is not None:
         far = cut(stats.where(F.col("id") >= _FIRST).mapInArrow(value_words, ", ".join(["id long", *[f"{c} double" for c in (*parts, "one", "back")]])))
         rest = with_word(rest.where(~near), "u", "w", far.select(F.col("id").alias("iu"), *parts[:4]))
         rest = with_word(rest, "w", "u", far.select(F.col("id").alias("iw"), *parts[4:])).select("u", "w", "c0", "c1", *parts)
-        rest = rest.mapInArrow(value_pairs, "u long, w long, x double")
-        table = table.unionByName(rest.select("u", "w", "x", F.lit(0.0).alias("y"), F.lit(0).cast("long").alias("more")))
-        table = table.unionByName(far.join(rare, F.col("id") == F.col("u")).select("u", F.lit(_ALONE).cast("long").alias("w"), F.col("one").alias("x"), F.col("back").alias("y"), "more"))
-    table = cut(table)
-    discard(words, stats, *made)
-    return replace(model, rest=table, made=(t, values), bitmap=bitmap_of(table, table.count()), salt=salt)
+        all_pairs, made = all_pairs.unionByName(rest), [*made, far, rare]
+    table = all_pairs.mapInArrow(value_pairs, "u long, w long, x double").select("u", "w", "x", F.lit(0.0).alias("y"), F.lit(0).cast("long").alias("more"))
+    if rare is not None:
+        table = table.unionByName(far.join(rare.where("n >= 2"), F.col("id") == F.col("u")).select("u", F.lit(_ALONE).cast("long").alias("w"), F.col("one").alias("x"), F.col("back").alias("y"), "more"))
+    files, bitmap = stored(table, n)
+    discard(*made)
+    held.destroy()
+    return replace(model, rest=files, bitmap=bitmap, salt=salt)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 4, held_out: int = 2) -> Model:
@@ -532,15 +617,18 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
     for c in n:
         share = F.when(F.col("y") == c, min(RESERVED, PER_CLASS / n[c])).otherwise(share)
     once = once.withColumn("reserved", F.pmod(F.xxhash64("own", F.lit(17)), F.lit(1 << 30)) / float(1 << 30) < share)
-    same = (F.col("doc_id") == F.col("id")) & (F.col("hash") == F.col("own"))
-    got = texts.join(F.broadcast(once.where("reserved")), same).dropDuplicates(["y", "hash"])
-    got = cut(got.select(F.expr("(hash & -2L) | y").alias("doc_id"), "text"))  # about PER_CLASS texts a class
+    same = (F.col("doc_id") == F.col("id")) & (F.xxhash64(F.lower("text")).bitwiseXOR(F.col("own")) == 0)  # no key of the join: only rows whose id is there are hashed
+    texts = texts.select("doc_id", "text")
+    got = texts.join(F.broadcast(once.where("reserved")), same).dropDuplicates(["y", "own"])
+    got = cut(got.select(F.expr("(own & -2L) | y").alias("doc_id"), "text"))  # about PER_CLASS texts a class
     if {r[0] for r in got.select(F.expr("doc_id & 1L")).distinct().collect()} != {0, 1} or once.where("not reserved").select("y").distinct().count() < 2:
         blank = _estimate([""], np.array([0]))
         blank.coef[0], blank.base = np.log((rate + 1e-9) / (1 - rate + 1e-9)), rate
         return blank
     model = estimate(texts.join(small_enough(once.where("not reserved")), same))
-    found = sorted(evidences(got, model).collect())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = sorted(by_text(got, shared, lambda m, texts: list(m.evidence(texts)), "array<double>").collect())
+    shared.destroy()
     y, x = np.array([r[0] & 1 for r in found]), np.array([r[1] for r in found])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
@@ -568,18 +656,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_o
     return [r[0] for r in got], [r[1] for r in got], counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def zipped(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as to:
-        to.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def unzipped(raw: pa.BinaryScalar) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw.as_buffer()).read_next_batch()
-
-
-def joined_batches(batches, rows: int = 400_000):
+def joined_batches(batches, rows: int = 500_000):
     """Tables of about ``rows`` rows from Arrow batches."""
     held, n = [], 0
     for b in batches:
@@ -592,70 +669,21 @@ def joined_batches(batches, rows: int = 400_000):
         yield pa.Table.from_batches(held)
 
 
-def by_text(docs: DataFrame, model: Model, of, kind: str) -> DataFrame:
-    """doc_id and what ``of`` (model, texts, answers of the rest) tells of every row: a list for each block of texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+def by_text(docs: DataFrame, model: Broadcast, of, kind: str) -> DataFrame:
+    """doc_id and what ``of`` (model, texts) tells of every row: a list for each block of texts."""
     as_table = {"double": pa.float64(), "array<double>": pa.list_(pa.float64())}[kind]
-    docs, out = docs.select(F.col("doc_id").cast("long"), "text"), f"doc_id long, got {kind}"
 
     def run(batches):
         for batch in small_batches(batches, 1):
-            yield pa.record_batch([batch.column(0), pa.array(of(shared.value, batch.column(1).to_pylist(), None), as_table)], names=["doc_id", "got"])
+            yield pa.record_batch([batch.column(0), pa.array(of(model.value, batch.column(1).to_pylist()), as_table)], names=["doc_id", "got"])
 
-    if model.rest is None:
-        return docs.mapInArrow(run, out)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // GROUP)))
-
-    def ask(batches):
-        for batch in small_batches(batches, 1):
-            got = shared.value.questions(batch.column(1).to_pylist(), np.asarray(batch.column(2)))
-            yield pa.record_batch([pa.array(x) for x in got], names=["u", "w", "part"])
-
-    def pack(batches):
-        for batch in batches:
-            part, parts, blobs = np.asarray(batch.column(2)), [], []
-            order = np.argsort(part, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(part) else ():
-                blobs.append(zipped(batch.select(["doc_id", "text"]).take(pa.array(at))))
-                parts.append(part[at[0]])
-            yield pa.record_batch([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "texts"])
-            give_back()
-
-    def pack_answers(batches):
-        for t in joined_batches(batches):
-            part, names = np.asarray(t.column("part")), ["u", "w", "x", "y", "more"]
-            order = np.lexsort((np.asarray(t.column("u")), part))
-            t, parts, blobs = t.select(names).take(pa.array(order)).combine_chunks(), [], []
-            ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
-            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                u = np.diff(np.asarray(t.column("u"))[a:b], prepend=0)  # sorted numbers are close
-                blobs.append(zipped(pa.record_batch([pa.array(u), *[pa.array(np.asarray(t.column(c))[a:b]) for c in names[1:]]], names=names)))
-                parts.append(part[order[a]])
-            yield pa.record_batch([pa.array(parts, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "answers"])
-            give_back()
-
-    def finish(blobs: pa.Table, answers: pa.Table) -> pa.Table:
-        model, known = shared.value, [unzipped(raw) for raw in answers.column("answers")]
-        found = tuple(np.concatenate([np.zeros(0, kind), *[np.asarray(b.column(i)) if i else np.cumsum(np.asarray(b.column(i))) for b in known]]) for i, kind in enumerate((np.int64, np.int64, float, float, np.int64)))
-        done, outs = [unzipped(raw) for raw in blobs.column("texts")], []
-        for b in small_batches(pa.Table.from_batches(done).combine_chunks().to_batches() if done else [], 1):
-            outs.append(pa.table({"doc_id": b.column(0), "got": pa.array(of(model, b.column(1).to_pylist(), found), as_table)}))
-        return pa.concat_tables(outs) if outs else pa.table({"doc_id": pa.array([], pa.int64()), "got": pa.array([], as_table)})
-
-    asked = docs.mapInArrow(ask, "u long, w long, part long")
-    answers = asked.join(model.rest, ["u", "w"]).select("part", "u", "w", "x", "y", "more").mapInArrow(pack_answers, "part long, answers binary")
-    return docs.mapInArrow(pack, "part long, texts binary").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(finish, out)
-
-
-def evidences(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and features of every row."""
-    return by_text(docs, model, lambda m, texts, found: list(m.evidence(texts, found)), "array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, got {kind}")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
-    return by_text(docs, model, lambda m, texts, found: m.scores(texts, found), "double").withColumnRenamed("got", "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return by_text(docs, shared, lambda m, texts: m.scores(texts), "double").withColumnRenamed("got", "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -260,3 +260,31 @@ def test_toxicity_words_and_bigrams_beyond_the_frequent_ones_count_in_full(spark
     model.coef = whole.coef = np.array([0.1, 1.3, -0.2, 0.7, 0.4, -0.5, 0.3, 0.6])
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert len(got) == len(asked) and np.allclose([got[i] for i in range(len(asked))], whole.scores(asked))
+
+
+@pytest.mark.parametrize("few", [0, 9, 1 << 16])
+def test_toxicity_sieve_tells_every_counted_word(spark, monkeypatch, few):
+    """However short the last list may be, words that occur twice are told from those that occur once, one by one."""
+    monkeypatch.setattr(toxicity, "FEW", few)
+    codes, _ = toxicity.hashes([f"w{i}" for i in range(3000)], 0)
+    n = np.where(np.arange(3000) % 3 == 0, 2, 1)
+    levels, last = toxicity.sieve(spark.createDataFrame([(int(u), int(k)) for u, k in zip(codes, n)], "u long, n long"))
+    assert len(last) <= few and (not levels) == (few > 3000)
+    assert np.array_equal(toxicity.sifted(levels, last, codes), n == 2)
+
+
+def test_toxicity_scores_texts_where_they_are_read(spark, monkeypatch):
+    """Texts, and what they need of the rest, are not shuffled; the rest lies in many files, each text's score is that of the whole models."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randint(0, 80)}" for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    labels = [int(rng.random() < 0.3) for _ in texts]
+    whole = toxicity._estimate(texts, np.array(labels))
+    for name, most in (("VOCABULARY", 20), ("BIGRAMS", 15), ("GROUP", 100)):
+        monkeypatch.setattr(toxicity, name, most)
+    model = toxicity.estimate(spark.createDataFrame(list(dict.fromkeys((t, y, 1) for t, y in zip(texts, labels))), "text string, y int, copies int"))
+    assert len(model.vocab) <= 20 and len(model.rest.files) > 4
+    model.coef = whole.coef = np.array([0.1, 1.3, -0.2, 0.7, 0.4, -0.5, 0.3, 0.6])
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    scores = {r.doc_id: r.score for r in got.collect()}
+    assert np.allclose([scores[i] for i in range(len(texts))], whole.scores(texts))
